@@ -7,6 +7,14 @@ cache and retention plans. Everything is a DataFrame / Spark SQL /
 Structured Streaming plan.
 """
 
-from loglake.session import build_session, ensure_utc, scratch_path
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Ship loglake's UDFs and partition functions to Python workers by value, so
+# executors need no installed copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from loglake.session import build_session, ensure_utc, scratch_path  # noqa: E402
 
 __all__ = ["build_session", "ensure_utc", "scratch_path"]

@@ -148,3 +148,174 @@ def _keyword_like(spark, sf_dir):
     f"""SELECT {TABLE_SELECT} FROM logs WHERE ts_ms >= {AS_OF_TS} - INTERVAL 1440 MINUTE"""))
 def _recent_logs(spark, sf_dir):
     return Q.recent_logs(parquet_lake(spark, sf_dir), AS_OF, 1440)
+
+
+# ---- A / B: lake and ingest ----------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from loglake import schema as S  # noqa: E402
+from loglake.operators import ingest as I  # noqa: E402
+from loglake.sources import lake as L  # noqa: E402
+from loglake.sources.envelopes import read_envelopes  # noqa: E402
+
+
+def _conn_values() -> str:
+    rows = []
+    for g, d in zip(FX.LOG_GROUP_OF_USER_MOD, FX.DOMAIN_OF_USER_MOD):
+        if d != "unknown":
+            p = FX.FILTER_PATTERN_OF_GROUP[g].replace("'", "''")
+            rows.append(f"('{g}', '{p}', '{d}')")
+    return "(VALUES " + ", ".join(rows) + ") AS c(log_group, filter_pattern, domain)"
+
+
+def _decoded(spark, sf_dir):
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    records = read_envelopes(spark, FX.envelopes_path(spark, sf_dir), "json")
+    return I.transform(records, FX.connections(spark))
+
+
+INGEST_COLS = "domain, log_group, log_stream, \"timestamp\", message"
+
+
+@register("decode_envelopes", with_logs(f"SELECT {INGEST_COLS} FROM logs"))
+def _decode_envelopes(spark, sf_dir):
+    rows, _ = _decoded(spark, sf_dir)
+    return Q.display(rows.select("domain", "log_group", "log_stream", "timestamp", "message"))
+
+
+@register("disposition_counts", with_logs("""
+    SELECT 'Ok' AS disposition, count(*) AS records FROM logs
+    UNION ALL SELECT 'Dropped', count(DISTINCT log_group) FROM logs
+    UNION ALL SELECT 'ProcessingFailed', count(*) FROM (SELECT DISTINCT log_group, log_stream FROM logs)"""))
+def _disposition_counts(spark, sf_dir):
+    _, parsed = _decoded(spark, sf_dir)
+    return I.disposition_counts(parsed)
+
+
+@register("derive_partitions", with_logs(
+    "SELECT domain, log_group, message, year, month, day FROM logs"))
+def _derive_partitions(spark, sf_dir):
+    rows, _ = _decoded(spark, sf_dir)
+    return rows.select("domain", "log_group", "message", "year", "month", "day")
+
+
+@register("to_json_line")
+def _to_json_line(spark, sf_dir):
+    rows, _ = _decoded(spark, sf_dir)
+    return I.to_json_line(rows)
+
+
+@register("map_domain", with_logs(
+    f"""SELECT trace_id, l.log_group, coalesce(c.domain, 'unknown') AS domain
+        FROM logs l LEFT JOIN {_conn_values()} ON l.log_group = c.log_group"""))
+def _map_domain(spark, sf_dir):
+    lg = FX.logs(spark, sf_dir).select("trace_id", "log_group")
+    return I.map_domain(lg, FX.connections(spark))
+
+
+@register("epoch_to_iso", with_logs('SELECT trace_id, epoch_ms, "timestamp" FROM logs'))
+def _epoch_to_iso(spark, sf_dir):
+    lg = FX.logs(spark, sf_dir)
+    from loglake.functions.time import iso_text
+
+    return lg.select("trace_id", "epoch_ms",
+                     iso_text(F.timestamp_millis("epoch_ms")).alias("timestamp"))
+
+
+@register("subscription_filter", with_logs(
+    f"""SELECT trace_id, l.log_group, c.domain, message
+        FROM logs l JOIN {_conn_values()} ON l.log_group = c.log_group
+        WHERE c.filter_pattern = '' OR contains(message, c.filter_pattern)"""))
+def _subscription_filter(spark, sf_dir):
+    lg = FX.logs(spark, sf_dir).select("trace_id", "log_group", "domain", "message")
+    return I.subscription_filter(lg, FX.connections(spark)).select(
+        "trace_id", "log_group", "domain", "message")
+
+
+def _full_table(df):
+    return Q.display(df.select(*S.TABLE_COLUMNS))
+
+
+@register("scan_parquet", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
+def _scan_parquet(spark, sf_dir):
+    return _full_table(FX.lake(spark, sf_dir, "parquet"))
+
+
+@register("scan_json", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
+def _scan_json(spark, sf_dir):
+    return _full_table(FX.lake(spark, sf_dir, "json"))
+
+
+@register("scan_json_any_case", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
+def _scan_json_any_case(spark, sf_dir):
+    FX.lake(spark, sf_dir, "json")
+    return _full_table(L.read_logs(spark, FX.lake_path(spark, sf_dir, "json"), "json",
+                                   case_insensitive=True))
+
+
+@register("scan_bare_layout", with_logs(
+    f"SELECT {TABLE_SELECT} FROM logs WHERE domain IN ('payment', 'auth')"))
+def _scan_bare_layout(spark, sf_dir):
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    df = L.read_bare_layout(spark, FX.bare_lake_path(spark, sf_dir), "json")
+    return _full_table(df.where(F.col("domain").isin("payment", "auth")))
+
+
+def _roundtrip(spark, sf_dir, fmt):
+    rows, _ = _decoded(spark, sf_dir)
+    path = FX.derived_path(spark, sf_dir, f"ingested_{fmt}")
+    FX.materialise(spark, path, lambda p: L.write_logs(rows, p, fmt, mode="overwrite"))
+    back = L.read_logs(spark, path, fmt)
+    return Q.display(back.select("domain", "log_group", "log_stream", "timestamp", "message",
+                                 "year", "month", "day"))
+
+
+_RT_SQL = with_logs(f"SELECT {INGEST_COLS}, year, month, day FROM logs")
+
+
+@register("roundtrip_json", _RT_SQL)
+def _roundtrip_json(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, "json")
+
+
+@register("roundtrip_parquet", _RT_SQL)
+def _roundtrip_parquet(spark, sf_dir):
+    return _roundtrip(spark, sf_dir, "parquet")
+
+
+_REGISTERED = ", ".join(f"'{d}'" for d in FX.DOMAINS)
+
+
+@register("registered_domains", with_logs(
+    f"SELECT domain, count(*) AS cnt FROM logs WHERE domain IN ({_REGISTERED}) GROUP BY domain"))
+def _registered_domains(spark, sf_dir):
+    return Q.count_by_domain(L.registered_only(parquet_lake(spark, sf_dir), FX.DOMAINS))
+
+
+@register("partition_rows", with_logs(
+    "SELECT domain, year, month, day, count(*) AS rows FROM logs GROUP BY domain, year, month, day"))
+def _partition_rows(spark, sf_dir):
+    return parquet_lake(spark, sf_dir).groupBy(*S.PARTITION_COLUMNS).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("partition_inventory")
+def _partition_inventory(spark, sf_dir):
+    FX.lake(spark, sf_dir, "parquet")
+    return L.partition_inventory(spark, FX.lake_path(spark, sf_dir, "parquet"), "parquet")
+
+
+@register("sql_passthrough", with_logs(
+    """SELECT level, count(*) AS cnt FROM logs WHERE year = '2024' AND month = '01' AND day = '28'
+       GROUP BY level"""))
+def _sql_passthrough(spark, sf_dir):
+    from loglake.operators.sql import run_sql
+
+    return run_sql(spark, parquet_lake(spark, sf_dir),
+                   "SELECT level, count(*) AS cnt FROM logs WHERE year = :y AND month = :m "
+                   "AND day = :d GROUP BY level", {"y": "2024", "m": "01", "d": "28"})

@@ -225,3 +225,20 @@ def lake(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> DataFrame:
 
     ensure_utc(spark)
     return read_logs(spark, lake_path(spark, sf_dir, fmt), fmt)
+
+
+def envelopes_path(spark: SparkSession, sf_dir: str, fmt: str = "json") -> str:
+    """Delivery records for every event of ``sf_dir`` (plus the derived
+    control and truncated records), written once."""
+    from loglake.sources.envelopes import write_envelopes
+
+    path = derived_path(spark, sf_dir, f"envelopes_{fmt}")
+    return materialise(spark, path, lambda p: write_envelopes(
+        encode_envelopes(logs(spark, sf_dir)), p, fmt))
+
+
+def bare_lake_path(spark: SparkSession, sf_dir: str) -> str:
+    from loglake.sources.lake import write_bare_layout
+
+    path = derived_path(spark, sf_dir, "lake_bare")
+    return materialise(spark, path, lambda p: write_bare_layout(logs(spark, sf_dir), p))

@@ -65,9 +65,12 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet",
         raw = spark.read.schema(
             "value string, domain string, year string, month string, day string").text(path)
         entries = F.map_entries(F.from_json("value", "map<string,string>"))
+        def key_is(name):
+            return lambda e: F.lower(e["key"]) == F.lit(name)
+
         picked = []
         for c in S.DATA_COLUMNS:
-            hit = F.filter(entries, lambda e, c=c: F.lower(e["key"]) == F.lit(c))
+            hit = F.filter(entries, key_is(c))
             picked.append(F.try_element_at(hit, F.lit(1))["value"].alias(c))
         df = raw.select(*picked, F.lit(None).cast("string").alias(S.CORRUPT),
                         *S.PARTITION_COLUMNS)
