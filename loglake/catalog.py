@@ -319,3 +319,239 @@ def _sql_passthrough(spark, sf_dir):
     return run_sql(spark, parquet_lake(spark, sf_dir),
                    "SELECT level, count(*) AS cnt FROM logs WHERE year = :y AND month = :m "
                    "AND day = :d GROUP BY level", {"y": "2024", "m": "01", "d": "28"})
+
+
+# ---- E: alerts, F: connections ---------------------------------------------------
+
+from loglake.operators import alerts as AL  # noqa: E402
+from loglake.operators import connections as CN  # noqa: E402
+
+
+def _sql_str(v) -> str:
+    if v is None:
+        return "CAST(NULL AS VARCHAR)"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _sql_num(v) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+
+
+_BASE_RULES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join([_sql_str(n), _sql_str(d), _sql_str(lv), _sql_str(k), _sql_num(t), _sql_num(p)]) + ")"
+    for n, d, lv, k, t, p in FX.BASE_RULES) + \
+    ") AS r(name, domain, level, keyword, threshold, period_minutes)"
+
+RULES_CTE = f"""base_rules AS ({_BASE_RULES_SQL}),
+derived_rules AS (
+  SELECT domain || '-' || lower(level) || '-daily' AS name, domain, level,
+         CAST(NULL AS VARCHAR) AS keyword, CAST(50.0 AS DOUBLE) AS threshold,
+         CAST(1440.0 AS DOUBLE) AS period_minutes
+  FROM (SELECT DISTINCT domain, level FROM logs WHERE level IS NOT NULL)),
+rules AS (
+  SELECT * FROM base_rules WHERE name NOT IN (SELECT name FROM derived_rules)
+  UNION ALL SELECT * FROM derived_rules),
+checked AS (
+  SELECT *, CASE
+    WHEN name IS NULL OR name = '' THEN 'name is required'
+    WHEN domain IS NULL OR domain = '' THEN 'domain is required'
+    WHEN threshold IS NULL OR threshold < 0 THEN 'threshold must be a number >= 0'
+    WHEN period_minutes IS NULL OR period_minutes <= 0 THEN 'period_minutes must be a number > 0'
+  END AS error FROM rules),
+hits AS (
+  SELECT r.name, count(*) AS cnt FROM logs l JOIN checked r
+    ON r.error IS NULL AND l.domain = r.domain
+   AND (NULLIF(trim(r.level), '') IS NULL OR l.level = r.level)
+   AND (NULLIF(trim(r.keyword), '') IS NULL OR contains(l.message, r.keyword))
+   AND l.ts_ms >= {AS_OF_TS} - to_microseconds(CAST(r.period_minutes * 60000000 AS BIGINT))
+  GROUP BY r.name),
+status AS (
+  SELECT r.name, r.domain, r.level, r.keyword, r.threshold, r.period_minutes,
+         coalesce(h.cnt, 0) AS cnt,
+         CASE WHEN r.error IS NOT NULL THEN 'ERROR'
+              WHEN coalesce(h.cnt, 0) > r.threshold THEN 'EXCEEDED' ELSE 'OK' END AS status,
+         r.error
+  FROM checked r LEFT JOIN hits h ON r.name = h.name)"""
+
+
+def with_rules(sql: str) -> str:
+    return f"WITH {LOGS_CTE},\n{RULES_CTE}\n{sql}"
+
+
+def _rules(spark, sf_dir):
+    return AL.upsert_rules(FX.base_rules(spark), FX.derived_rules(FX.logs(spark, sf_dir)))
+
+
+def _status(spark, sf_dir):
+    return AL.alert_status(parquet_lake(spark, sf_dir), _rules(spark, sf_dir), AS_OF)
+
+
+@register("rule_counts", with_rules("SELECT name, cnt FROM status"))
+def _rule_counts(spark, sf_dir):
+    return AL.rule_counts(parquet_lake(spark, sf_dir), _rules(spark, sf_dir), AS_OF)
+
+
+@register("rule_counts_like", with_rules("SELECT name, cnt FROM status").replace(
+    "contains(l.message, r.keyword)", "l.message LIKE '%' || r.keyword || '%'"))
+def _rule_counts_like(spark, sf_dir):
+    return AL.rule_counts(parquet_lake(spark, sf_dir), _rules(spark, sf_dir), AS_OF,
+                          keyword_mode="like")
+
+
+@register("alert_status", with_rules("SELECT * FROM status"))
+def _alert_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@register("alert_summary", with_rules(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'EXCEEDED') AS exceeded,
+              count(*) FILTER (WHERE status = 'ERROR') AS errors FROM status"""))
+def _alert_summary(spark, sf_dir):
+    return AL.alert_summary(_status(spark, sf_dir))
+
+
+@register("alert_payload", with_rules(
+    """SELECT count(*) AS exceeded,
+         'Alert: ' || CAST(count(*) AS VARCHAR) || ' rule(s) exceeded' || chr(10)
+           || string_agg(line, chr(10) ORDER BY line) AS text
+       FROM (SELECT '[' || name || '] ' || domain || ' / ' || coalesce(NULLIF(trim(level), ''), 'ALL')
+                    || ': ' || CAST(cnt AS VARCHAR) || ' events (threshold: '
+                    || CASE WHEN threshold = floor(threshold)
+                            THEN CAST(CAST(threshold AS BIGINT) AS VARCHAR)
+                            ELSE CAST(threshold AS VARCHAR) END || ')' AS line
+             FROM status WHERE status = 'EXCEEDED')
+       HAVING count(*) > 0"""))
+def _alert_payload(spark, sf_dir):
+    return AL.alert_payload(_status(spark, sf_dir))
+
+
+@register("rules_upsert", with_rules(
+    "SELECT name, domain, level, keyword, threshold, period_minutes FROM rules"))
+def _rules_upsert(spark, sf_dir):
+    return _rules(spark, sf_dir)
+
+
+@register("rules_invalid", with_rules("SELECT name, error FROM checked WHERE error IS NOT NULL"))
+def _rules_invalid(spark, sf_dir):
+    return AL.invalid_rules(_rules(spark, sf_dir))
+
+
+_DOMAINS_SQL = "(VALUES " + ", ".join(f"('{d}')" for d in FX.DOMAINS) + ") AS dm(name)"
+
+CONN_CTE = f"""base_conn AS (SELECT * FROM {_conn_values()}),
+derived_conn AS (
+  SELECT DISTINCT log_group, '' AS filter_pattern,
+         regexp_extract(log_group, '^/ecs/([a-z]+)', 1) AS domain FROM logs),
+domains AS (SELECT * FROM {_DOMAINS_SQL})"""
+
+
+def with_conn(sql: str) -> str:
+    return f"WITH {LOGS_CTE},\n{CONN_CTE}\n{sql}"
+
+
+@register("connections_upsert", with_conn(
+    """, valid AS (SELECT * FROM derived_conn WHERE domain IN (SELECT name FROM domains))
+       SELECT log_group, filter_pattern, domain FROM base_conn
+        WHERE log_group NOT IN (SELECT log_group FROM valid)
+       UNION ALL SELECT log_group, filter_pattern, domain FROM valid"""))
+def _connections_upsert(spark, sf_dir):
+    return CN.upsert_connections(FX.connections(spark), FX.derived_connections(FX.logs(spark, sf_dir)),
+                                 FX.domains(spark))
+
+
+@register("connections_remove", with_conn(
+    """SELECT log_group, filter_pattern, domain FROM base_conn b
+       WHERE NOT EXISTS (
+         SELECT 1 FROM (SELECT DISTINCT log_group, domain FROM logs WHERE domain IN ('payment', 'auth')
+                        UNION SELECT DISTINCT log_group, 'user' FROM logs WHERE domain = 'order') x
+         WHERE x.log_group = b.log_group AND x.domain = b.domain)"""))
+def _connections_remove(spark, sf_dir):
+    lg = FX.logs(spark, sf_dir)
+    to_remove = (lg.where(F.col("domain").isin("payment", "auth")).select("log_group", "domain")
+                 .unionByName(lg.where(F.col("domain") == "order")
+                              .select("log_group", F.lit("user").alias("domain"))).distinct())
+    return CN.remove_connections(FX.connections(spark), to_remove)
+
+
+@register("connections_invalid", with_conn(
+    """SELECT log_group, domain, 'unknown domain ''' || domain || '''' AS error FROM derived_conn
+       WHERE domain NOT IN (SELECT name FROM domains)"""))
+def _connections_invalid(spark, sf_dir):
+    return CN.invalid_connections(FX.derived_connections(FX.logs(spark, sf_dir)), FX.domains(spark))
+
+
+@register("filter_name", with_logs(
+    """SELECT DISTINCT log_group, domain,
+         'loglake-' || domain || '-' || replace(regexp_replace(log_group, '^/+|/+$', '', 'g'), '/', '-')
+           AS filter_name FROM logs"""))
+def _filter_name(spark, sf_dir):
+    lg = FX.logs(spark, sf_dir).select("log_group", "domain").distinct()
+    return CN.filter_names(lg)
+
+
+# ---- G: cost, K: retention ---------------------------------------------------------
+
+from loglake.operators import cost as CO  # noqa: E402
+from loglake.operators import retention as RT  # noqa: E402
+
+HIST_CTE = """hist AS (
+  SELECT 'SELECT * FROM logs WHERE domain = ''' || domain || ''' AND year = ''' || year
+           || ''' AND month = ''' || month || ''' AND day = ''' || day || '''' AS sql,
+         CAST(sum(coalesce(strlen(level), 0) + coalesce(strlen(service), 0) + coalesce(strlen(message), 0)
+                  + coalesce(strlen(trace_id), 0) + 24) AS BIGINT) AS scanned_bytes,
+         strftime(max(ts_ms), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "timestamp"
+  FROM logs GROUP BY domain, year, month, day),
+priced AS (SELECT *, CAST(scanned_bytes AS DOUBLE) * (5.0 / 1099511627776.0) AS cost FROM hist)"""
+
+
+def with_hist(sql: str) -> str:
+    return f"WITH {LOGS_CTE},\n{HIST_CTE}\n{sql}"
+
+
+def _history(spark, sf_dir):
+    return CO.partition_scan_estimates(parquet_lake(spark, sf_dir))
+
+
+@register("query_cost", with_hist('SELECT sql, scanned_bytes, cost, "timestamp" FROM priced'))
+def _query_cost(spark, sf_dir):
+    return _history(spark, sf_dir)
+
+
+@register("cost_totals", with_hist(
+    """SELECT count(*) AS queries, CAST(coalesce(sum(scanned_bytes), 0) AS BIGINT) AS total_bytes,
+         round(coalesce(sum(scanned_bytes), 0) / 1048576.0, 2) AS total_mb,
+         round(CAST(coalesce(sum(scanned_bytes), 0) AS DOUBLE) * (5.0 / 1099511627776.0), 6) AS total_usd
+       FROM priced"""))
+def _cost_totals(spark, sf_dir):
+    return CO.cost_totals(_history(spark, sf_dir))
+
+
+@register("cost_report", with_hist(
+    """SELECT row_number() OVER (ORDER BY "timestamp", sql) AS n, substr("timestamp", 1, 19) AS time,
+         CASE WHEN length(sql) > 50 THEN substr(sql, 1, 50) || '...' ELSE sql END AS sql_preview,
+         round(scanned_bytes / 1048576.0, 2) AS mb, round(cost, 6) AS usd
+       FROM priced"""))
+def _cost_report(spark, sf_dir):
+    return CO.cost_report(_history(spark, sf_dir))
+
+
+@register("retention_plan", with_logs(
+    f"""SELECT domain, year, month, day, age_days,
+         CASE WHEN age_days >= {FX.RETENTION_DAYS} THEN 'expired'
+              WHEN age_days >= {FX.ARCHIVE_DAYS} THEN 'archive' ELSE 'hot' END AS tier
+       FROM (SELECT DISTINCT domain, year, month, day,
+               CAST(date_diff('day', make_date(CAST(year AS BIGINT), CAST(month AS BIGINT), CAST(day AS BIGINT)),
+                              DATE '{AS_OF[:10]}') AS INTEGER) AS age_days FROM logs)"""))
+def _retention_plan(spark, sf_dir):
+    return RT.retention_plan(parquet_lake(spark, sf_dir), AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
+
+
+@register("scan_bytes")
+def _scan_bytes(spark, sf_dir):
+    """Files and bytes a domain-day query reads, pruned, next to the whole lake."""
+    lk = parquet_lake(spark, sf_dir)
+    pruned = CO.files_scanned(lk.where((F.col("domain") == "payment") & (F.col("year") == "2024")
+                                       & (F.col("month") == "01") & (F.col("day") == "15")))
+    full = CO.files_scanned(lk)
+    return (pruned.select(F.lit("payment 2024-01-15").alias("scope"), "*")
+            .unionByName(full.select(F.lit("whole lake").alias("scope"), "*")))

@@ -52,6 +52,7 @@ BASE_RULES = [
     ("negative-threshold", "user", None, None, -1.0, 60.0),
     ("zero-period", "order", None, None, 5.0, 0.0),
     ("no-domain", "", "ERROR", None, 1.0, 60.0),
+    ("payment-error-daily", "payment", "ERROR", None, 5.0, 1440.0),
 ]
 # ---------------------------------------------------------------------------
 
