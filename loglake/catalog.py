@@ -555,3 +555,88 @@ def _scan_bytes(spark, sf_dir):
     full = CO.files_scanned(lk)
     return (pruned.select(F.lit("payment 2024-01-15").alias("scope"), "*")
             .unionByName(full.select(F.lit("whole lake").alias("scope"), "*")))
+
+
+# ---- L: streaming ---------------------------------------------------------------------
+
+from loglake.streaming import alerts as SA  # noqa: E402
+from loglake.streaming import ingest as SI  # noqa: E402
+
+
+def _streamed_lake(spark, sf_dir):
+    """Run the streaming ingest once over the envelope files (availableNow)."""
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    src = FX.envelopes_path(spark, sf_dir)
+    base = FX.derived_path(spark, sf_dir, "stream_ingest")
+    lake_p, q_p, ck = base + "/lake", base + "/quarantine", base + "/_checkpoint"
+
+    def run(_):
+        q = SI.start_ingest(spark, src, lake_p, ck, lambda: FX.connections(spark),
+                            quarantine_path=q_p, trigger={"availableNow": True},
+                            max_files_per_trigger=4)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+    FX.materialise(spark, base, run)
+    return L.read_logs(spark, lake_p, "parquet"), q_p
+
+
+@register("stream_ingest", _RT_SQL)
+def _stream_ingest(spark, sf_dir):
+    lk, _ = _streamed_lake(spark, sf_dir)
+    return Q.display(lk.select("domain", "log_group", "log_stream", "timestamp", "message",
+                               "year", "month", "day"))
+
+
+@register("stream_quarantine", with_logs(
+    """SELECT DISTINCT 'truncated:' || log_group || ':' || log_stream || ':' || CAST(min(event_id // 256)
+         OVER (PARTITION BY log_group, log_stream) AS VARCHAR) AS record_id,
+         'not gzip or not UTF-8' AS reason FROM logs"""))
+def _stream_quarantine(spark, sf_dir):
+    _, q_p = _streamed_lake(spark, sf_dir)
+    return spark.read.schema("record_id string, data string, reason string, ingest_batch int") \
+        .json(q_p).select("record_id", "reason")
+
+
+WINDOW_SQL = """SELECT name, strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_start,
+         strftime(make_timestamp(s + span), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_end,
+         cnt, threshold, cnt > threshold AS exceeded
+  FROM (SELECT r.name, r.threshold, CAST(r.period_minutes * 60000000 AS BIGINT) AS span,
+               CAST(floor(epoch_us(l.ts_ms) / CAST(r.period_minutes * 60000000 AS BIGINT)) AS BIGINT)
+                 * CAST(r.period_minutes * 60000000 AS BIGINT) AS s,
+               count(*) AS cnt
+        FROM logs l JOIN checked r
+          ON r.error IS NULL AND l.domain = r.domain
+         AND (NULLIF(trim(r.level), '') IS NULL OR l.level = r.level)
+         AND (NULLIF(trim(r.keyword), '') IS NULL OR contains(l.message, r.keyword))
+        GROUP BY 1, 2, 3, 4)"""
+
+
+@register("window_counts", with_rules(WINDOW_SQL))
+def _window_counts(spark, sf_dir):
+    return SA.window_counts(parquet_lake(spark, sf_dir), _rules(spark, sf_dir))
+
+
+@register("stream_alerts")
+def _stream_alerts(spark, sf_dir):
+    """Closed windows from the streaming alert job over the lake files."""
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    lake_p = FX.lake_path(spark, sf_dir, "parquet")
+    base = FX.derived_path(spark, sf_dir, "stream_alerts")
+    out, ck = base + "/out", base + "/_checkpoint"
+
+    def run(_):
+        stream = spark.readStream.schema(S.LOGS_PARQUET).parquet(lake_p)
+        q = SA.start_alerts(SA.stream_alerts(stream, _rules(spark, sf_dir), watermark="0 seconds"),
+                            out, ck, trigger={"availableNow": True})
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+    FX.materialise(spark, base, run)
+    return spark.read.parquet(out)
