@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.text import keyword_match
 from loglake.functions.time import date_bound, parse_as_of, ts_literal
-from loglake.operators.joins import broadcast_if_small
+from loglake.operators.joins import MAX_BROADCAST_ROWS, small_table
 
 OK_STATUS, EXCEEDED, ERROR = "OK", "EXCEEDED", "ERROR"
 
@@ -46,40 +46,62 @@ def _as_of_micros(as_of) -> int:
     return int(t.timestamp()) * 1_000_000 + t.microsecond
 
 
-def rule_counts(logs: DataFrame, rules: DataFrame, as_of,
-                keyword_mode: str = "contains") -> DataFrame:
-    """(name, cnt): events per rule with ``timestamp >= as_of - period``.
-
-    A blank level or keyword means "any". ``keyword_mode="like"`` gives the
-    wildcard behaviour of a raw LIKE pattern.
-    """
-    checked = validate_rules(rules)
-    valid = checked.where(F.col("error").isNull())
+def _rule_side(valid: DataFrame, as_of) -> DataFrame:
     micros = _as_of_micros(as_of)
-    r = valid.select(
+    return valid.select(
         "name", F.col("domain").alias("r_domain"), _blank_to_null("level").alias("r_level"),
         _blank_to_null("keyword").alias("r_keyword"),
         F.timestamp_micros(F.lit(micros) - (F.col("period_minutes") * 60_000_000).cast("long"))
         .alias("r_lower"))
-    # One tiny aggregate over the rule table gives the scan bounds.
-    b = valid.agg(F.max("period_minutes").alias("p"),
-                  F.collect_set("domain").alias("d")).first()
-    scoped = logs
-    if b is not None and b["p"] is not None:
-        lower = parse_as_of(as_of) - _dt.timedelta(minutes=float(b["p"]))
-        scoped = logs.where(F.col("domain").isin(list(b["d"])) & date_bound(lower)
-                            & (F.col("timestamp") >= ts_literal(lower)))
-    else:
-        scoped = logs.limit(0)
+
+
+def _count_hits(logs: DataFrame, rules_local: DataFrame, as_of, keyword_mode: str) -> DataFrame:
+    """(name, cnt) for rules already held locally (proven small)."""
+    b = rules_local.agg(F.max("period_minutes").alias("p"),
+                        F.collect_set("domain").alias("d")).first()
+    if b is None or b["p"] is None:
+        return rules_local.sparkSession.createDataFrame([], "name string, cnt long")
+    lower = parse_as_of(as_of) - _dt.timedelta(minutes=float(b["p"]))
+    scoped = logs.where(F.col("domain").isin(list(b["d"])) & date_bound(lower)
+                        & (F.col("timestamp") >= ts_literal(lower)))
     cond = ((F.col("domain") == F.col("r_domain"))
             & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level")))
             & (F.col("r_keyword").isNull()
                | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
             & (F.col("timestamp") >= F.col("r_lower")))
-    hits = (scoped.select("domain", "level", "message", "timestamp")
-            .join(broadcast_if_small(r), cond, "inner")
+    return (scoped.select("domain", "level", "message", "timestamp")
+            .join(F.broadcast(_rule_side(rules_local, as_of)), cond, "inner")
             .groupBy("name").agg(F.count(F.lit(1)).alias("cnt")))
-    return (checked.select("name").join(hits, "name", "left")
+
+
+def rule_counts(logs: DataFrame, rules: DataFrame, as_of,
+                keyword_mode: str = "contains", max_rules: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """(name, cnt): events per rule with ``timestamp >= as_of - period``.
+
+    A blank level or keyword means "any". ``keyword_mode="like"`` gives the
+    wildcard behaviour of a raw LIKE pattern. The valid rules are taken
+    locally after a size check; a rule table beyond ``max_rules`` is split
+    into broadcast-sized chunks by name hash, one scan per chunk.
+    """
+    whole = small_table(rules, max_rules)
+    rules = whole if whole is not None else rules
+    checked = validate_rules(rules)
+    valid = checked.where(F.col("error").isNull()).drop("error")
+    local = small_table(valid, max_rules)
+    if local is not None:
+        hits = _count_hits(logs, local, as_of, keyword_mode)
+    else:
+        n = valid.count()
+        k = -(-n // max_rules) * 2
+        hits = None
+        for i in range(k):
+            part = small_table(valid.where(F.pmod(F.hash("name"), F.lit(k)) == i), max_rules)
+            if part is None:
+                raise ValueError("rule chunk above the broadcast bound; raise max_rules")
+            h = _count_hits(logs, part, as_of, keyword_mode)
+            hits = h if hits is None else hits.unionByName(h)
+    # One row per rule on both sides: the counts are broadcast.
+    return (checked.select("name").join(F.broadcast(hits), "name", "left")
             .select("name", F.coalesce(F.col("cnt"), F.lit(0)).cast("long").alias("cnt")))
 
 
@@ -87,9 +109,11 @@ def alert_status(logs: DataFrame, rules: DataFrame, as_of,
                  keyword_mode: str = "contains") -> DataFrame:
     """Per rule: count, threshold and status (EXCEEDED when count is
     strictly above the threshold; ERROR for an invalid rule)."""
+    local = small_table(rules)
+    rules = local if local is not None else rules
     counts = rule_counts(logs, rules, as_of, keyword_mode)
     checked = validate_rules(rules)
-    j = checked.join(counts, "name", "left")
+    j = checked.join(F.broadcast(counts), "name", "left")
     status = (F.when(F.col("error").isNotNull(), F.lit(ERROR))
               .when(F.col("cnt") > F.col("threshold"), F.lit(EXCEEDED))
               .otherwise(F.lit(OK_STATUS)))

@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
+def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """A local copy of ``df`` when it has at most ``max_rows`` rows, else None.
+
+    Reads at most ``max_rows + 1`` rows once; later uses of the copy (size
+    checks, bounds, broadcast) cost no further job on the source.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
-    unchanged, so Spark plans a shuffle join instead. The check reads at most
-    ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """``broadcast`` of a local copy when ``df`` is within ``max_rows``;
+    otherwise ``df`` itself, and Spark plans a shuffle join (AQE splits
+    skewed keys)."""
+    local = small_table(df, max_rows)
+    return F.broadcast(local) if local is not None else df

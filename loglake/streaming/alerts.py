@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loglake.functions.text import keyword_match
 from loglake.functions.time import iso_text
 from loglake.operators.alerts import _blank_to_null, validate_rules
-from loglake.operators.joins import broadcast_if_small
+from loglake.operators.joins import small_table
 
 
 def _rule_side(rules: DataFrame) -> DataFrame:
@@ -34,13 +34,15 @@ def stream_alerts(logs_stream: DataFrame, rules: DataFrame, watermark: str = "10
                   slide_minutes: float | None = None, keyword_mode: str = "contains") -> DataFrame:
     """Streaming DataFrame of (name, window_start, window_end, cnt,
     threshold, exceeded); tumbling windows unless ``slide_minutes``."""
-    side = _rule_side(rules)
-    periods = sorted({r["period_minutes"] for r in side.select("period_minutes").distinct().collect()})
+    side = small_table(_rule_side(rules))
+    if side is None:
+        raise ValueError("rule table above the broadcast bound")
+    periods = sorted({r["period_minutes"] for r in side.select("period_minutes").collect()})
     events = logs_stream.withWatermark("timestamp", watermark).select(
         "timestamp", "domain", "level", "message")
     branches = []
     for p in periods:
-        rs = broadcast_if_small(side.where(F.col("period_minutes") == F.lit(p)))
+        rs = F.broadcast(side.where(F.col("period_minutes") == F.lit(p)))
         length = f"{int(p * 60)} seconds"
         slide = f"{int((slide_minutes or p) * 60)} seconds"
         b = (events.join(rs, _match(keyword_mode), "inner")
@@ -60,7 +62,10 @@ def stream_alerts(logs_stream: DataFrame, rules: DataFrame, watermark: str = "10
 def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contains") -> DataFrame:
     """Batch twin of :func:`stream_alerts` (tumbling windows): one pass, the
     window start computed per row from the rule's own period."""
-    side = broadcast_if_small(_rule_side(rules))
+    local = small_table(_rule_side(rules))
+    if local is None:
+        raise ValueError("rule table above the broadcast bound")
+    side = F.broadcast(local)
     j = logs.select("timestamp", "domain", "level", "message").join(side, _match(keyword_mode), "inner")
     span = (F.col("period_minutes") * 60_000_000).cast("long")
     start_us = F.floor(F.unix_micros("timestamp") / span) * span
