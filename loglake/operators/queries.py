@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from loglake.functions.text import keyword_match
 from loglake.functions.time import date_bound, iso_text, parse_as_of, ts_literal
 
-# Tie-break of every ordered limit: time, then the unique trace id.
-ROW_ORDER = [F.col("timestamp").asc(), F.col("trace_id").asc()]
+def row_order() -> list[Column]:
+    """Tie-break of every ordered limit: time, then the unique trace id."""
+    return [F.col("timestamp").asc(), F.col("trace_id").asc()]
 
 
 def _day_filter(day) -> Column:
@@ -41,7 +42,7 @@ def count_by_domain(logs: DataFrame) -> DataFrame:
 def domain_sample(logs: DataFrame, domain: str, n: int = 5) -> DataFrame:
     """timestamp, level, service, message of the first n rows of a domain."""
     return display(logs.where(F.col("domain") == domain)
-                   .orderBy(*ROW_ORDER).limit(n)
+                   .orderBy(*row_order()).limit(n)
                    .select("timestamp", "level", "service", "message"))
 
 
@@ -65,7 +66,7 @@ def domain_rows(logs: DataFrame, domain: str, year: str, month: str, n: int = 10
     """Whole rows of a domain-month, first n by time."""
     return display(logs.where((F.col("domain") == domain) & (F.col("year") == year)
                               & (F.col("month") == month))
-                   .orderBy(*ROW_ORDER).limit(n))
+                   .orderBy(*row_order()).limit(n))
 
 
 def errors_on_day(logs: DataFrame, domain: str, day, level: str = "ERROR") -> DataFrame:

@@ -95,4 +95,4 @@ def read_table(spark: SparkSession, db: str, table: str, registered_only: bool =
 
 
 def list_tables(spark: SparkSession, db: str) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables(db))
+    return sorted(t.name for t in spark.catalog.listTables(db) if not t.isTemporary)
