@@ -574,8 +574,7 @@ def _streamed_lake(spark, sf_dir):
 
     def run(_):
         q = SI.start_ingest(spark, src, lake_p, ck, lambda: FX.connections(spark),
-                            quarantine_path=q_p, trigger={"availableNow": True},
-                            max_files_per_trigger=4)
+                            quarantine_path=q_p, trigger={"availableNow": True})
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.text import keyword_match
 from loglake.functions.time import date_bound, parse_as_of, ts_literal
-from loglake.operators.joins import MAX_BROADCAST_ROWS, small_table
+from loglake.operators.joins import MAX_BROADCAST_ROWS, local_table, small_table
 
 OK_STATUS, EXCEEDED, ERROR = "OK", "EXCEEDED", "ERROR"
 
@@ -55,22 +55,25 @@ def _rule_side(valid: DataFrame, as_of) -> DataFrame:
         .alias("r_lower"))
 
 
-def _count_hits(logs: DataFrame, rules_local: DataFrame, as_of, keyword_mode: str) -> DataFrame:
-    """(name, cnt) for rules already held locally (proven small)."""
-    b = rules_local.agg(F.max("period_minutes").alias("p"),
-                        F.collect_set("domain").alias("d")).first()
-    if b is None or b["p"] is None:
-        return rules_local.sparkSession.createDataFrame([], "name string, cnt long")
-    lower = parse_as_of(as_of) - _dt.timedelta(minutes=float(b["p"]))
-    scoped = logs.where(F.col("domain").isin(list(b["d"])) & date_bound(lower)
+def _count_hits(logs: DataFrame, valid_rows: list, schema, as_of, keyword_mode: str) -> DataFrame:
+    """(name, cnt) for valid rules held on the driver (proven small)."""
+    spark = logs.sparkSession
+    if not valid_rows:
+        return local_table(spark, [], "name string, cnt long")
+    longest = max(float(r["period_minutes"]) for r in valid_rows)
+    domains = sorted({r["domain"] for r in valid_rows})
+    lower = parse_as_of(as_of) - _dt.timedelta(minutes=longest)
+    scoped = logs.where(F.col("domain").isin(domains) & date_bound(lower)
                         & (F.col("timestamp") >= ts_literal(lower)))
     cond = ((F.col("domain") == F.col("r_domain"))
             & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level")))
             & (F.col("r_keyword").isNull()
                | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
             & (F.col("timestamp") >= F.col("r_lower")))
+    side = _rule_side(local_table(spark, [tuple(r[f.name] for f in schema.fields) for r in valid_rows],
+                                    schema), as_of)
     return (scoped.select("domain", "level", "message", "timestamp")
-            .join(F.broadcast(_rule_side(rules_local, as_of)), cond, "inner")
+            .join(F.broadcast(side), cond, "inner")
             .groupBy("name").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -79,29 +82,32 @@ def rule_counts(logs: DataFrame, rules: DataFrame, as_of,
     """(name, cnt): events per rule with ``timestamp >= as_of - period``.
 
     A blank level or keyword means "any". ``keyword_mode="like"`` gives the
-    wildcard behaviour of a raw LIKE pattern. The valid rules are taken
-    locally after a size check; a rule table beyond ``max_rules`` is split
-    into broadcast-sized chunks by name hash, one scan per chunk.
+    wildcard behaviour of a raw LIKE pattern. The rule table is read once,
+    after a size check; a table beyond ``max_rules`` is split into
+    broadcast-sized chunks by name hash, one scan of the logs per chunk.
     """
-    whole = small_table(rules, max_rules)
-    rules = whole if whole is not None else rules
+    spark = logs.sparkSession
     checked = validate_rules(rules)
-    valid = checked.where(F.col("error").isNull()).drop("error")
-    local = small_table(valid, max_rules)
-    if local is not None:
-        hits = _count_hits(logs, local, as_of, keyword_mode)
+    rows = checked.limit(max_rules + 1).collect()
+    schema = rules.schema
+    if len(rows) <= max_rules:
+        valid = [r for r in rows if r["error"] is None]
+        hits = _count_hits(logs, valid, schema, as_of, keyword_mode)
+        names = local_table(spark, [(r["name"],) for r in rows], "name string")
     else:
-        n = valid.count()
+        n = checked.count()
         k = -(-n // max_rules) * 2
         hits = None
         for i in range(k):
-            part = small_table(valid.where(F.pmod(F.hash("name"), F.lit(k)) == i), max_rules)
-            if part is None:
+            part = (checked.where(F.col("error").isNull() & (F.pmod(F.hash("name"), F.lit(k)) == i))
+                    .limit(max_rules + 1).collect())
+            if len(part) > max_rules:
                 raise ValueError("rule chunk above the broadcast bound; raise max_rules")
-            h = _count_hits(logs, part, as_of, keyword_mode)
+            h = _count_hits(logs, part, schema, as_of, keyword_mode)
             hits = h if hits is None else hits.unionByName(h)
+        names = checked.select("name")
     # One row per rule on both sides: the counts are broadcast.
-    return (checked.select("name").join(F.broadcast(hits), "name", "left")
+    return (names.join(F.broadcast(hits), "name", "left")
             .select("name", F.coalesce(F.col("cnt"), F.lit(0)).cast("long").alias("cnt")))
 
 

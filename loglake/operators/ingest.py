@@ -17,7 +17,7 @@ from loglake import schema as S
 from loglake.functions.codec import gunzip_utf8
 from loglake.functions.text import filter_name  # noqa: F401  (re-export)
 from loglake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS, iso_text
-from loglake.operators.joins import broadcast_if_small, small_table
+from loglake.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, local_table
 
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
@@ -79,14 +79,14 @@ def map_domain(rows: DataFrame, connections: DataFrame) -> DataFrame:
     """Left lookup of ``log_group`` in the connections table; unmapped
     groups get ``unknown``. The table is deduplicated per group and
     broadcast only after a size check."""
-    local = small_table(connections.select("log_group", "domain"))
-    if local is not None:
+    pairs = connections.select("log_group", "domain").limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(pairs) <= MAX_BROADCAST_ROWS:
         best: dict = {}
-        for r in local.collect():
-            if r["domain"] is not None and (r["log_group"] not in best or r["domain"] < best[r["log_group"]]):
-                best[r["log_group"]] = r["domain"]
-        conn = F.broadcast(rows.sparkSession.createDataFrame(
-            sorted(best.items()), "log_group string, _domain string"))
+        for g, d in pairs:
+            if d is not None and (g not in best or d < best[g]):
+                best[g] = d
+        conn = F.broadcast(local_table(rows.sparkSession, sorted(best.items()),
+                                         "log_group string, _domain string"))
     else:
         conn = connections.groupBy("log_group").agg(F.min("domain").alias("_domain"))
     out = rows.join(conn, "log_group", "left")

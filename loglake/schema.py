@@ -20,7 +20,7 @@ DATA_MESSAGE = "DATA_MESSAGE"
 UNKNOWN_DOMAIN = "unknown"
 CORRUPT = "_corrupt_record"
 
-# Athena-style price: USD 5 per TiB scanned.
+# Price of the hosted SQL service: USD 5 per TiB scanned.
 USD_PER_BYTE = 5.0 / (1024.0 ** 4)
 BYTES_PER_MB = 1024.0 * 1024.0
 
