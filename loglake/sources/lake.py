@@ -64,14 +64,19 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet",
     if case_insensitive:
         raw = spark.read.schema(
             "value string, domain string, year string, month string, day string").text(path)
-        entries = F.map_entries(F.from_json("value", "map<string,string>"))
+        # Keys are lower-cased once per line; each column then takes the
+        # first entry with its name (no error when two keys fold together).
+        entries = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
+                              lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+        raw = raw.select(entries.alias("_kv"), *S.PARTITION_COLUMNS)
+
         def key_is(name):
-            return lambda e: F.lower(e["key"]) == F.lit(name)
+            return lambda e: e["k"] == F.lit(name)
 
         picked = []
         for c in S.DATA_COLUMNS:
-            hit = F.filter(entries, key_is(c))
-            picked.append(F.try_element_at(hit, F.lit(1))["value"].alias(c))
+            hit = F.filter(F.col("_kv"), key_is(c))
+            picked.append(F.try_element_at(hit, F.lit(1))["v"].alias(c))
         df = raw.select(*picked, F.lit(None).cast("string").alias(S.CORRUPT),
                         *S.PARTITION_COLUMNS)
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake import schema as S
-from loglake.operators.ingest import transform
+from loglake.operators.ingest import explode_events, map_domain, parse_records, to_log_rows
 from loglake.sources.envelopes import read_envelopes
 
 BATCH_COLUMN = "ingest_batch"
@@ -36,10 +36,11 @@ def _write_batch(rows: DataFrame, path: str, fmt: str, batch_id: int) -> None:
 
 def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], DataFrame],
                  lake_path: str, quarantine_path: str | None, fmt: str = "parquet") -> None:
-    """One micro-batch (also usable on a static DataFrame)."""
-    records = records.persist()
+    """One micro-batch (also usable on a static DataFrame). Payloads are
+    decoded and parsed once; both outputs read the persisted result."""
+    parsed = parse_records(records).persist()
     try:
-        rows, parsed = transform(records, connections())
+        rows = to_log_rows(map_domain(explode_events(parsed), connections()))
         _write_batch(rows, lake_path, fmt, batch_id)
         if quarantine_path:
             (parsed.where(F.col("disposition") == S.FAILED)
@@ -47,7 +48,7 @@ def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], Da
              .write.partitionBy(BATCH_COLUMN).mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").json(quarantine_path))
     finally:
-        records.unpersist()
+        parsed.unpersist()
 
 
 def start_ingest(spark: SparkSession, source_path: str, lake_path: str, checkpoint: str,

@@ -22,7 +22,8 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf, tmp_path):
     # Replaying batch 0 (as after a crash) must not duplicate it.
     recs = spark.read.schema(S.DELIVERY_RECORD).json(src).orderBy("record_id").limit(5).cache()
     replay = str(tmp_path / "replay")
-    once = SI.transform(recs, FX.connections(spark))[0].count()
+    from loglake.operators.ingest import transform
+    once = transform(recs, FX.connections(spark))[0].count()
     SI.ingest_batch(recs, 3, lambda: FX.connections(spark), replay, None)
     SI.ingest_batch(recs, 4, lambda: FX.connections(spark), replay, None)
     SI.ingest_batch(recs, 3, lambda: FX.connections(spark), replay, None)
