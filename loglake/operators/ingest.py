@@ -64,12 +64,17 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 def explode_events(parsed: DataFrame) -> DataFrame:
     """One row per event of every Ok record. Missing group, stream or
-    message become ``""``; the event id is dropped."""
-    ok = parsed.where(F.col("disposition") == S.OK)
-    ev = ok.select("record_id",
-                   F.coalesce(F.col("env.logGroup"), F.lit("")).alias("log_group"),
-                   F.coalesce(F.col("env.logStream"), F.lit("")).alias("log_stream"),
-                   F.explode("env.logEvents").alias("e"))
+    message become ``""``; the event id is dropped.
+
+    Non-Ok records explode a null array (no rows) instead of being filtered:
+    a Filter on the disposition would be pushed below the decode projection
+    and make Spark run gunzip and from_json twice per record.
+    """
+    ok_events = F.when(F.col("disposition") == S.OK, F.col("env.logEvents"))
+    ev = parsed.select("record_id",
+                       F.coalesce(F.col("env.logGroup"), F.lit("")).alias("log_group"),
+                       F.coalesce(F.col("env.logStream"), F.lit("")).alias("log_stream"),
+                       F.explode(ok_events).alias("e"))
     return ev.select("record_id", "log_group", "log_stream",
                      F.col("e.timestamp").alias("epoch_ms"),
                      F.coalesce(F.col("e.message"), F.lit("")).alias("message"))
