@@ -30,9 +30,11 @@ class LogLake:
         df = read_logs(self.spark, self.path, self.fmt)
         return registered_only(df, self.domains) if self.domains is not None else df
 
-    def _snapshot(self) -> tuple:
-        """Files of the lake right now: a new file changes the cache key."""
-        return tuple(sorted(self.logs().inputFiles()))
+    def _snapshot(self) -> str | None:
+        """The lake's version stamp (bumped by every loglake write): a write
+        changes the cache key without listing the lake's files."""
+        from loglake.sources.lake import lake_version
+        return lake_version(self.spark, self.path)
 
     def query(self, sql: str, args: dict | None = None) -> DataFrame:
         """Run SQL over ``logs``; record the bytes its scans selected and the

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from loglake import schema as S
 from loglake.functions.codec import gzip_base64
 from loglake.functions.time import iso_text
 from loglake.operators.joins import local_table
-from loglake.session import ensure_utc, local_path, path_exists, scratch_path
+from loglake.session import ensure_utc, path_exists, scratch_path, write_text
 
 # ---- fixed values ----------------------------------------------------------
 # Registered domains (the default domain set).
@@ -209,18 +210,24 @@ def materialise(spark: SparkSession, path: str, build) -> str:
     without one), so an interrupted write is redone, never half-read.
     """
     marker = path.rstrip("/") + "/_LOGLAKE_DONE"
-    if path_exists(spark, marker):
-        return path
-    build(path)
-    lp = local_path(marker)
-    if lp is not None:
-        os.makedirs(os.path.dirname(lp), exist_ok=True)
-        open(lp, "w").close()
-    else:
-        spark.createDataFrame([("done",)], "s string").coalesce(1).write.mode("overwrite").text(marker)
+    with _lock_for(path):
+        if path_exists(spark, marker):
+            return path
+        build(path)
+        write_text(spark, marker, "done")
     return path
 
 
+_LOCKS: dict = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    """One lock per derived path: concurrent callers in one driver build it once."""
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def lake_path(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
     """The ``logs`` lake of ``sf_dir`` in ``fmt``, written once per session
     scratch root and reused."""

@@ -38,27 +38,28 @@ def apply_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str =
                     archive_root: str | None = None, dry_run: bool = True) -> list[str]:
     """Carry out a plan on a Hive-layout lake. Returns the directories acted on.
 
-    Archive tier: the partition's rows are rewritten under ``archive_root``
-    (same layout) and the hot copy removed. Expired: removed. ``dry_run``
-    only lists. The plan holds one row per partition (small), so it is
-    collected; the rows themselves move only through Spark writes.
+    Archive tier: all archive partitions are copied under ``archive_root``
+    (same layout) in one Spark job, a semi-join of the lake with the
+    broadcast plan rows (dynamic partition pruning reads only those
+    partitions); then the hot copies are removed. Expired: removed.
+    ``dry_run`` only lists. The plan has one row per partition, so its
+    non-hot rows are collected to drive the directory deletes.
     """
-    from loglake.sources.lake import read_logs, write_logs
+    from loglake.sources.lake import bump_version, read_logs, write_logs
 
-    acted = []
-    todo = plan.where(F.col("tier") != HOT).collect()
+    todo = plan.where(F.col("tier") != HOT).select(*S.PARTITION_COLUMNS, "tier").collect()
+    acted = [f"{r['tier']}:{d}" for r, d in zip(todo, partition_dirs(root, todo))]
+    if dry_run or not todo:
+        return acted
+    archive = [r for r in todo if r["tier"] == ARCHIVE]
+    if archive and archive_root:
+        keys = F.broadcast(plan.where(F.col("tier") == ARCHIVE).select(*S.PARTITION_COLUMNS))
+        rows = read_logs(spark, root, fmt).join(keys, S.PARTITION_COLUMNS, "left_semi")
+        write_logs(rows, archive_root, fmt, mode="overwrite")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for r in todo:
-        d = partition_dirs(root, [r])[0]
-        acted.append(f"{r['tier']}:{d}")
-        if dry_run:
-            continue
-        if r["tier"] == ARCHIVE and archive_root:
-            rows = read_logs(spark, root, fmt).where(
-                (F.col("domain") == r["domain"]) & (F.col("year") == r["year"])
-                & (F.col("month") == r["month"]) & (F.col("day") == r["day"]))
-            write_logs(rows, archive_root, fmt, mode="overwrite")
+    for d in partition_dirs(root, todo):
         p = jvm.org.apache.hadoop.fs.Path(d)
         p.getFileSystem(conf).delete(p, True)
+    bump_version(spark, root)
     return acted

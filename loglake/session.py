@@ -83,3 +83,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small marker file (local path or any Hadoop filesystem)."""
+    lp = local_path(path)
+    if lp is not None:
+        os.makedirs(os.path.dirname(lp) or ".", exist_ok=True)
+        with open(lp, "w") as f:
+            f.write(text)
+        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    if not path_exists(spark, path):
+        return None
+    lp = local_path(path)
+    if lp is not None:
+        with open(lp) as f:
+            return f.read()
+    return "".join(r.value for r in spark.read.text(path).collect())

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from loglake import schema as S
 
+VERSION_FILE = "_LOGLAKE_VERSION"
+
 # Files are cut at this many rows; with AQE's rebalance this keeps files
 # near the advisory size instead of one file per task per partition.
 MAX_RECORDS_PER_FILE = 2_000_000
@@ -45,6 +47,29 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
         w.option("timestampFormat", S.ISO_FORMAT).option("ignoreNullFields", "false").json(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
+    bump_version(df.sparkSession, path)
+
+
+def bump_version(spark: SparkSession, path: str) -> str:
+    """Stamp the lake with a new version after a write: one small file at the
+    root, so readers can tell "changed?" without listing every file."""
+    import time
+    import uuid
+
+    v = f"{time.time_ns()}-{uuid.uuid4().hex}"
+    from loglake.session import write_text
+    write_text(spark, f"{path.rstrip('/')}/{VERSION_FILE}", v)
+    return v
+
+
+def lake_version(spark: SparkSession, path: str) -> str | None:
+    from loglake.session import read_text
+    return read_text(spark, f"{path.rstrip('/')}/{VERSION_FILE}")
+
+
+def save_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A query result as CSV with a header row."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -32,6 +32,8 @@ def _write_batch(rows: DataFrame, path: str, fmt: str, batch_id: int) -> None:
         w.option("compression", "snappy").parquet(path)
     else:
         w.option("timestampFormat", S.ISO_FORMAT).option("ignoreNullFields", "false").json(path)
+    from loglake.sources.lake import bump_version
+    bump_version(rows.sparkSession, path)
 
 
 def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], DataFrame],

@@ -105,3 +105,13 @@ def test_map_domain_is_broadcast(spark):
     assert join_strategies(out) == ["BroadcastHashJoin"]
     got = dict(out.groupBy("domain").count().collect())
     assert got == {"order": 50, "unknown": 50}
+
+
+def test_fixture_envelopes_are_bounded(spark, sf):
+    from loglake import fixtures as FX
+
+    recs = FX.encode_envelopes(FX.logs(spark, sf), with_faults=False)
+    parsed = I.parse_records(recs)
+    sizes = parsed.select(F.size("env.logEvents").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= FX.EVENTS_PER_ENVELOPE
+    assert sizes.agg(F.sum("n")).first()[0] == FX.logs(spark, sf).count()

@@ -71,3 +71,36 @@ def test_quarantine_and_inventory(spark, sf, tmp_path):
     inv = L.partition_inventory(spark, FX.lake_path(spark, sf), "parquet")
     tot = inv.agg(F.sum("rows"), F.sum("files"), F.min("bytes")).first()
     assert tot[0] == FX.logs(spark, sf).count() and tot[1] >= inv.count() and tot[2] > 0
+
+
+def test_hot_partition_is_split(spark, tmp_path):
+    """A domain-day holding most rows is written by several tasks (AQE
+    splits the rebalance partition), not by one straggler."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        n = 300_000
+        df = spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, F.lit("order")).otherwise(F.lit("payment")).alias("domain"),
+            F.timestamp_seconds(F.lit(1706659200) + (F.col("id") % 3 == 0).cast("int") * F.col("id"))
+            .alias("timestamp"),
+            F.sha2(F.col("id").cast("string"), 256).alias("message"))
+        df = df.select("*", F.date_format("timestamp", "yyyy").alias("year"),
+                       F.date_format("timestamp", "MM").alias("month"),
+                       F.date_format("timestamp", "dd").alias("day"))
+        p = str(tmp_path / "skew")
+        L.write_logs(df, p, "parquet", mode="overwrite")
+        hot = os.path.join(p, "domain=payment", "year=2024", "month=01", "day=31")
+        files = [f for f in os.listdir(hot) if f.endswith(".parquet")]
+        assert len(files) > 1
+        assert L.read_logs(spark, p).count() == n
+        assert L.lake_version(spark, p)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
+def test_save_result(spark, tmp_path):
+    df = spark.createDataFrame([("ERROR", 3)], "level string, cnt long")
+    L.save_result(df, str(tmp_path / "r"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "r")).collect()
+    assert [(r["level"], r["cnt"]) for r in back] == [("ERROR", "3")]
