@@ -178,8 +178,27 @@ def encode_envelopes(lg: DataFrame, with_faults: bool = True) -> DataFrame:
 
 # ---- materialised lakes ----------------------------------------------------
 
+_CODE_HASH: list = []
+
+
+def _code_hash() -> str:
+    """Hash of the package source: derived data written by older code is
+    never reused after the code that writes it changes."""
+    if not _CODE_HASH:
+        h = hashlib.sha1()
+        root = os.path.dirname(os.path.abspath(__file__))
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(f.encode() + fh.read())
+        _CODE_HASH.append(h.hexdigest()[:12])
+    return _CODE_HASH[0]
+
+
 def _fingerprint(sf_dir: str, *names: str) -> str:
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h.update(_code_hash().encode())
     for n in names:
         p = os.path.join(sf_dir, f"{n}.parquet")
         try:

@@ -160,20 +160,27 @@ def write_bare_layout(df: DataFrame, path: str) -> None:
 
         pid = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
-        buffers: dict = {}
-        for pdf in it:
-            for key, g in pdf.groupby(S.PARTITION_COLUMNS, sort=False, dropna=False):
-                lines = buffers.setdefault(key, [])
-                for rec in g[S.DATA_COLUMNS].to_dict("records"):
-                    lines.append(json.dumps(rec, ensure_ascii=False))
-        written = []
-        for (domain, y, m, d), lines in buffers.items():
-            folder = f"{base}/{domain}/{y}/{m}/{d}"
-            fs.create_dir(folder, recursive=True)
-            with fs.open_output_stream(f"{folder}/part-{pid:05d}.json") as f:
-                f.write(("\n".join(lines) + "\n").encode("utf-8"))
-            written.append((f"{domain}/{y}/{m}/{d}", len(lines)))
-        yield pd.DataFrame(written, columns=["partition", "rows"])
+        streams: dict = {}
+        counts: dict = {}
+        try:
+            # Each Arrow batch is written out at once: memory stays one batch,
+            # with one open file per partition key this task holds.
+            for pdf in it:
+                for key, g in pdf.groupby(S.PARTITION_COLUMNS, sort=False, dropna=False):
+                    if key not in streams:
+                        folder = f"{base}/{key[0]}/{key[1]}/{key[2]}/{key[3]}"
+                        fs.create_dir(folder, recursive=True)
+                        streams[key] = fs.open_output_stream(f"{folder}/part-{pid:05d}.json")
+                        counts[key] = 0
+                    lines = [json.dumps(rec, ensure_ascii=False)
+                             for rec in g[S.DATA_COLUMNS].to_dict("records")]
+                    streams[key].write(("\n".join(lines) + "\n").encode("utf-8"))
+                    counts[key] += len(lines)
+        finally:
+            for st in streams.values():
+                st.close()
+        yield pd.DataFrame([("/".join(k), n) for k, n in counts.items()],
+                           columns=["partition", "rows"])
 
     # The noop sink runs the writers without bringing anything back.
     (out.mapInPandas(write_part, "partition string, rows long")
