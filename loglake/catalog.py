@@ -202,7 +202,10 @@ def _derive_partitions(spark, sf_dir):
     return rows.select("domain", "log_group", "message", "year", "month", "day")
 
 
-@register("to_json_line")
+@register("to_json_line", with_logs(
+    """SELECT CAST(json_object('domain', domain, 'log_group', log_group, 'log_stream', log_stream,
+                           'timestamp', "timestamp", 'message', message) AS VARCHAR) AS value
+       FROM logs"""))
 def _to_json_line(spark, sf_dir):
     rows, _ = _decoded(spark, sf_dir)
     return I.to_json_line(rows)
@@ -619,7 +622,12 @@ def _window_counts(spark, sf_dir):
     return SA.window_counts(parquet_lake(spark, sf_dir), _rules(spark, sf_dir))
 
 
-@register("stream_alerts")
+STREAM_WINDOW_SQL = WINDOW_SQL.replace(
+    "GROUP BY 1, 2, 3, 4)",
+    "GROUP BY 1, 2, 3, 4)\n  WHERE make_timestamp(s + span) <= (SELECT max(ts_ms) FROM logs)")
+
+
+@register("stream_alerts", with_rules(STREAM_WINDOW_SQL))
 def _stream_alerts(spark, sf_dir):
     """Closed windows from the streaming alert job over the lake files."""
     from loglake.session import ensure_utc
