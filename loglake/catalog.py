@@ -640,7 +640,8 @@ def _stream_alerts(spark, sf_dir):
     def run(_):
         stream = spark.readStream.schema(S.LOGS_PARQUET).parquet(lake_p)
         q = SA.start_alerts(SA.stream_alerts(stream, _rules(spark, sf_dir), watermark="0 seconds"),
-                            out, ck, trigger={"availableNow": True})
+                            out, ck, trigger={"availableNow": True},
+                            state_partitions=spark.sparkContext.defaultParallelism)
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

@@ -77,10 +77,24 @@ def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contai
                       (F.col("cnt") > F.col("threshold")).alias("exceeded"))
 
 
-def start_alerts(alerts: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
-    """Write closed windows to files (exactly-once file sink)."""
-    return (alerts.withColumn("window_start", iso_text(F.col("window_start")))
-            .withColumn("window_end", iso_text(F.col("window_end")))
-            .writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "60 seconds"})).start(out_path))
+def start_alerts(alerts: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None,
+                 state_partitions: int | None = None):
+    """Write closed windows to files (exactly-once file sink).
+
+    ``state_partitions`` fixes the number of state-store partitions of a new
+    query (Spark records it in the checkpoint at the first start; later
+    restarts keep it). The session setting is restored right after start.
+    """
+    spark = alerts.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        return (alerts.withColumn("window_start", iso_text(F.col("window_start")))
+                .withColumn("window_end", iso_text(F.col("window_end")))
+                .writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": "60 seconds"})).start(out_path))
+    finally:
+        spark.conf.set(key, old)
