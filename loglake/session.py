@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -108,3 +109,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         with open(lp) as f:
             return f.read()
     return "".join(r.value for r in spark.read.text(path).collect())
+
+
+@contextlib.contextmanager
+def scoped_conf(spark: SparkSession, settings: dict):
+    """Set runtime SQL settings for the duration of a block, then restore."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield spark
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -29,7 +29,10 @@ def _write_batch(rows: DataFrame, path: str, fmt: str, batch_id: int) -> None:
     w = (out.write.partitionBy(*S.PARTITION_COLUMNS, BATCH_COLUMN).mode("overwrite")
          .option("partitionOverwriteMode", "dynamic"))
     if fmt == "parquet":
-        w.option("compression", "snappy").parquet(path)
+        from loglake.session import scoped_conf
+        from loglake.sources.lake import PARQUET_WRITE_CONF
+        with scoped_conf(rows.sparkSession, PARQUET_WRITE_CONF):
+            w.option("compression", "snappy").parquet(path)
     else:
         w.option("timestampFormat", S.ISO_FORMAT).option("ignoreNullFields", "false").json(path)
     from loglake.sources.lake import bump_version

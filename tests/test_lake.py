@@ -104,3 +104,28 @@ def test_save_result(spark, tmp_path):
     L.save_result(df, str(tmp_path / "r"))
     back = spark.read.option("header", True).csv(str(tmp_path / "r")).collect()
     assert [(r["level"], r["cnt"]) for r in back] == [("ERROR", "3")]
+
+
+def test_time_ordered_files_skip_row_groups(spark, tmp_path):
+    """INT64 timestamps + time order inside files: a one-hour predicate on a
+    day partition reads only the row groups of that hour."""
+    from loglake.plans.inspect import _walk
+
+    n = 200_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, "payment").otherwise("order").alias("domain"),
+        F.timestamp_seconds(F.lit(1706572800) + ((F.col("id") * 7919) % 86400)).alias("timestamp"),
+        F.sha2(F.col("id").cast("string"), 256).alias("message"))
+    df = df.select("*", F.date_format("timestamp", "yyyy").alias("year"),
+                   F.date_format("timestamp", "MM").alias("month"),
+                   F.date_format("timestamp", "dd").alias("day"))
+    p = str(tmp_path / "lake")
+    L.write_logs(df, p, "parquet", mode="overwrite", options={"parquet.block.size": str(1 << 19)})
+    q = L.read_logs(spark, p).where((F.col("domain") == "payment") & (
+        F.col("timestamp") >= F.to_timestamp(F.lit("2024-01-30 23:00:00"))))
+    agg = q.groupBy("domain").count()
+    plan = agg._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    rows_read = sum(s["numOutputRows"] for s in _walk(plan, []))
+    assert rows_read < (n // 2) / 4
+    assert q.count() == df.where("domain = 'payment' AND timestamp >= '2024-01-30 23:00:00'").count()
