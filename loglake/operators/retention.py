@@ -53,7 +53,8 @@ def apply_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str =
         return acted
     archive = [r for r in todo if r["tier"] == ARCHIVE]
     if archive and archive_root:
-        keys = F.broadcast(plan.where(F.col("tier") == ARCHIVE).select(*S.PARTITION_COLUMNS))
+        from loglake.operators.joins import broadcast_if_small
+        keys = broadcast_if_small(plan.where(F.col("tier") == ARCHIVE).select(*S.PARTITION_COLUMNS))
         rows = read_logs(spark, root, fmt).join(keys, S.PARTITION_COLUMNS, "left_semi")
         write_logs(rows, archive_root, fmt, mode="overwrite")
     jvm = spark.sparkContext._jvm
