@@ -68,7 +68,8 @@ def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contai
     side = F.broadcast(local)
     j = logs.select("timestamp", "domain", "level", "message").join(side, _match(keyword_mode), "inner")
     span = (F.col("period_minutes") * 60_000_000).cast("long")
-    start_us = F.floor(F.unix_micros("timestamp") / span) * span
+    micros = F.unix_micros("timestamp")
+    start_us = micros - F.pmod(micros, span)  # exact integer floor to the window
     agg = (j.groupBy("name", "threshold", start_us.alias("s"), span.alias("span"))
            .agg(F.count(F.lit(1)).alias("cnt")))
     return agg.select("name", iso_text(F.timestamp_micros("s")).alias("window_start"),
