@@ -129,3 +129,17 @@ def test_time_ordered_files_skip_row_groups(spark, tmp_path):
     rows_read = sum(s["numOutputRows"] for s in _walk(plan, []))
     assert rows_read < (n // 2) / 4
     assert q.count() == df.where("domain = 'payment' AND timestamp >= '2024-01-30 23:00:00'").count()
+
+
+def test_file_cut_and_empty_result_schema(spark, sf, tmp_path):
+    from loglake.operators.sql import run_sql
+
+    lg = FX.logs(spark, sf).where(F.col("domain") == "payment")
+    p = str(tmp_path / "cut")
+    L.write_logs(lg, p, "parquet", mode="overwrite", max_records_per_file=2)
+    n_files = sum(len([f for f in fs if f.endswith(".parquet")]) for _, _, fs in os.walk(p))
+    assert n_files >= lg.count() / 2
+    empty = run_sql(spark, L.read_logs(spark, p),
+                    "SELECT level, count(*) AS cnt FROM logs WHERE domain = :d GROUP BY level",
+                    {"d": "nope"})
+    assert empty.columns == ["level", "cnt"] and empty.count() == 0

@@ -50,3 +50,47 @@ def test_stream_alerts_match_batch_closed_windows(spark, sf, tmp_path):
     cols = ["name", "window_start", "window_end", "cnt"]
     assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert closed.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_connections_reread_per_batch_and_late_rows(spark, tmp_path):
+    """A group connected between batches is mapped from the next batch on
+    (the connections table is read again in every batch), and a late event
+    lands in the partition of its own event date."""
+    import os
+
+    from helpers import b64gz, envelope
+
+    src, conn_dir = tmp_path / "src", tmp_path / "conns"
+    src.mkdir()
+    lake, ck = str(tmp_path / "lake"), str(tmp_path / "ck")
+
+    def write_records(name, rows):
+        import json
+        with open(src / name, "w") as f:
+            for rid, data in rows:
+                f.write(json.dumps({"record_id": rid, "data": data}) + "\n")
+
+    def write_conns(rows):
+        spark.createDataFrame(rows, S.CONNECTIONS).coalesce(1).write.mode("overwrite").json(str(conn_dir))
+
+    def conns():
+        return spark.read.schema(S.CONNECTIONS).json(str(conn_dir))
+
+    write_conns([("/ecs/other", "", "user")])
+    ev1 = [{"id": "1", "timestamp": 1704412800000, "message": "first"}]        # 2024-01-05
+    write_records("a.json", [("a", b64gz(envelope(group="/ecs/new", events=ev1)))])
+    run = lambda: SI.start_ingest(spark, str(src), lake, ck, conns,
+                                  trigger={"availableNow": True})
+    q = run()
+    q.awaitTermination()
+    write_conns([("/ecs/other", "", "user"), ("/ecs/new", "", "auth")])
+    ev2 = [{"id": "2", "timestamp": 1704153600000, "message": "late"}]         # 2024-01-02
+    write_records("b.json", [("b", b64gz(envelope(group="/ecs/new", events=ev2)))])
+    q = run()
+    q.awaitTermination()
+    got = {r["message"]: (r["domain"], r["day"], r["ingest_batch"])
+           for r in read_logs(spark, lake).collect()}
+    assert got["first"][:2] == ("unknown", "05")
+    assert got["late"][:2] == ("auth", "02")
+    assert got["late"][2] > got["first"][2]
+    assert os.path.isdir(os.path.join(lake, "domain=auth", "year=2024", "month=01", "day=02"))

@@ -28,3 +28,20 @@ def test_identifiers_checked(spark):
     import pytest
     with pytest.raises(ValueError):
         T.create_log_table(spark, "db; DROP", "logs", "/tmp/x")
+
+
+def test_new_partitions_need_sync_in_catalog(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    root = str(tmp_path / "lake2")
+    lg = FX.logs(spark, sf)
+    write_logs(lg.where(F.col("day") == "01"), root, "parquet", mode="overwrite")
+    T.create_log_table(spark, "lakedb2", "logs", root, "parquet")
+    n1 = T.read_table(spark, "lakedb2", "logs").count()
+    write_logs(lg.where(F.col("day") == "02"), root, "parquet", mode="append")
+    assert T.read_table(spark, "lakedb2", "logs").count() == n1          # not yet visible
+    T.sync_partitions(spark, "lakedb2", "logs")
+    assert T.read_table(spark, "lakedb2", "logs").count() == n1 + lg.where(F.col("day") == "02").count()
+    from loglake.sources.lake import read_logs
+    assert read_logs(spark, root).count() == T.read_table(spark, "lakedb2", "logs").count()
+    T.drop_log_table(spark, "lakedb2", "logs", drop_database=True)
