@@ -17,7 +17,7 @@ from loglake import schema as S
 from loglake.functions.time import iso_text
 from loglake.operators.numbering import global_row_number
 
-PREVIEW = 50  # characters of SQL shown in the report
+PREVIEW = S.SQL_PREVIEW_CHARS
 
 
 def cost_of(bytes_col):

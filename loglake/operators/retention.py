@@ -15,7 +15,8 @@ def retention_plan(partitions: DataFrame, as_of, retention_days: int | None,
                    archive_days: int | None = None) -> DataFrame:
     """Per partition: age in days and tier. ``age >= retention_days`` is
     expired; ``age >= archive_days`` is archive; else hot. No retention
-    setting: an empty plan (nothing is aged)."""
+    setting: an empty plan (nothing is aged). ``schema.DEFAULT_RETENTION_DAYS``
+    is the customary value when a caller wants the default."""
     parts = partitions.select(*S.PARTITION_COLUMNS).distinct()
     if retention_days is None:
         return parts.limit(0).select(*S.PARTITION_COLUMNS, F.lit(0).alias("age_days"),

@@ -26,6 +26,12 @@ BYTES_PER_MB = 1024.0 * 1024.0
 
 # Result cache lifetime in seconds.
 CACHE_TTL_SECONDS = 300
+# Characters of SQL shown per line of the cost report (longer ones get "...").
+SQL_PREVIEW_CHARS = 50
+# Delivery buffer: flush every 300 s (the streaming trigger interval).
+FLUSH_SECONDS = 300
+# Default retention when a caller asks for the default (days).
+DEFAULT_RETENTION_DAYS = 90
 # ---------------------------------------------------------------------------
 
 _s = T.StringType()

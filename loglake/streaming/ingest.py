@@ -60,11 +60,11 @@ def start_ingest(spark: SparkSession, source_path: str, lake_path: str, checkpoi
                  connections: Callable[[], DataFrame], quarantine_path: str | None = None,
                  source_fmt: str = "json", fmt: str = "parquet",
                  trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream. Default trigger: every 300 s (the delivery buffer);
+    """Start the stream. Default trigger: every FLUSH_SECONDS (the delivery buffer);
     tests pass ``{"availableNow": True}``."""
     stream = read_envelopes(spark, source_path, source_fmt, streaming=True,
                             max_files_per_trigger=max_files_per_trigger)
-    trig = trigger or {"processingTime": "300 seconds"}
+    trig = trigger or {"processingTime": f"{S.FLUSH_SECONDS} seconds"}
     return (stream.writeStream
             .foreachBatch(lambda df, bid: ingest_batch(df, bid, connections, lake_path,
                                                        quarantine_path, fmt))
