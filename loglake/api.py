@@ -67,7 +67,3 @@ class LogLake:
     def alert_payload(self, status: DataFrame) -> DataFrame:
         return AL.alert_payload(status)
 
-
-def domains_frame(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n, f"{n}/") for n in names], "name string, prefix string") \
-        .select("name", F.col("prefix"))

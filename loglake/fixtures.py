@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.codec import gzip_base64
-from loglake.functions.time import iso_text
 from loglake.operators.joins import local_table
 from loglake.session import ensure_utc, path_exists, scratch_path, write_text
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.codec import gunzip_utf8
-from loglake.functions.text import filter_name  # noqa: F401  (re-export)
 from loglake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS, iso_text
 from loglake.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, local_table
 

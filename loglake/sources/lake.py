@@ -32,13 +32,16 @@ def _table_frame(df: DataFrame) -> DataFrame:
 
 
 def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
-               max_records_per_file: int = MAX_RECORDS_PER_FILE, options: dict | None = None) -> None:
+               max_records_per_file: int = MAX_RECORDS_PER_FILE, options: dict | None = None,
+               target_file_mb: int | None = None) -> None:
     """Write rows with the table columns, partitioned by domain and date.
 
     ``REBALANCE(domain, year, month, day)`` is one shuffle that groups rows
     of a partition together; AQE splits a hot domain-day into several
     advisory-size tasks instead of one, so a skewed partition costs more
-    files, not one straggler. ``mode="overwrite"`` uses dynamic partition
+    files, not one straggler. ``target_file_mb`` sets AQE's advisory
+    partition size for this write only (files come out near that size);
+    unset, the session's value applies. ``mode="overwrite"`` uses dynamic partition
     overwrite: only the partitions present in ``df`` are replaced, so a
     replayed batch rewrites its own days and nothing else.
     """
@@ -52,13 +55,16 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
          .option("partitionOverwriteMode", "dynamic"))
     for k, v in (options or {}).items():
         w = w.option(k, v)
-    if fmt == "parquet":
-        with scoped_conf(df.sparkSession, PARQUET_WRITE_CONF):
+    conf = dict(PARQUET_WRITE_CONF) if fmt == "parquet" else {}
+    if target_file_mb:
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = f"{int(target_file_mb)}m"
+    with scoped_conf(df.sparkSession, conf):
+        if fmt == "parquet":
             w.option("compression", "snappy").parquet(path)
-    elif fmt == "json":
-        w.option("timestampFormat", S.ISO_FORMAT).option("ignoreNullFields", "false").json(path)
-    else:
-        raise ValueError(f"unknown format {fmt!r}")
+        elif fmt == "json":
+            w.option("timestampFormat", S.ISO_FORMAT).option("ignoreNullFields", "false").json(path)
+        else:
+            raise ValueError(f"unknown format {fmt!r}")
     bump_version(df.sparkSession, path)
 
 
