@@ -67,12 +67,16 @@ def _count_hits(logs: DataFrame, valid_rows: list, schema, as_of, keyword_mode:
                         & (F.col("timestamp") >= ts_literal(lower)))
     cond = ((F.col("domain") == F.col("r_domain"))
             & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level")))
-            & (F.col("r_keyword").isNull()
-               | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
             & (F.col("timestamp") >= F.col("r_lower")))
+    cols = ["domain", "level", "timestamp"]
+    # The message column (the widest) is read only if some rule needs it.
+    if any((r["keyword"] or "").strip() for r in valid_rows):
+        cond = cond & (F.col("r_keyword").isNull()
+                       | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
+        cols.append("message")
     side = _rule_side(local_table(spark, [tuple(r[f.name] for f in schema.fields) for r in valid_rows],
                                     schema), as_of)
-    return (scoped.select("domain", "level", "message", "timestamp")
+    return (scoped.select(*cols)
             .join(F.broadcast(side), cond, "inner")
             .groupBy("name").agg(F.count(F.lit(1)).alias("cnt")))
 

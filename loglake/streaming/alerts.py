@@ -23,11 +23,18 @@ def _rule_side(rules: DataFrame) -> DataFrame:
         _blank_to_null("keyword").alias("r_keyword"), "threshold", "period_minutes")
 
 
-def _match(keyword_mode: str):
-    return ((F.col("domain") == F.col("r_domain"))
-            & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level")))
-            & (F.col("r_keyword").isNull()
-               | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode)))
+def _match(keyword_mode: str, with_keywords: bool = True):
+    cond = ((F.col("domain") == F.col("r_domain"))
+            & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level"))))
+    if with_keywords:
+        cond = cond & (F.col("r_keyword").isNull()
+                       | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
+    return cond
+
+
+def _needs_message(side: DataFrame) -> bool:
+    """Read the (wide) message column only when some rule has a keyword."""
+    return side.where(F.col("r_keyword").isNotNull()).limit(1).count() > 0
 
 
 def stream_alerts(logs_stream: DataFrame, rules: DataFrame, watermark: str = "10 minutes",
@@ -38,14 +45,15 @@ def stream_alerts(logs_stream: DataFrame, rules: DataFrame, watermark: str = "10
     if side is None:
         raise ValueError("rule table above the broadcast bound")
     periods = sorted({r["period_minutes"] for r in side.select("period_minutes").collect()})
+    kw = _needs_message(side)
     events = logs_stream.withWatermark("timestamp", watermark).select(
-        "timestamp", "domain", "level", "message")
+        "timestamp", "domain", "level", *(["message"] if kw else []))
     branches = []
     for p in periods:
         rs = F.broadcast(side.where(F.col("period_minutes") == F.lit(p)))
         length = f"{int(p * 60)} seconds"
         slide = f"{int((slide_minutes or p) * 60)} seconds"
-        b = (events.join(rs, _match(keyword_mode), "inner")
+        b = (events.join(rs, _match(keyword_mode, kw), "inner")
              .groupBy(F.window("timestamp", length, slide).alias("w"), "name", "threshold")
              .agg(F.count(F.lit(1)).alias("cnt")))
         branches.append(b)
@@ -65,8 +73,10 @@ def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contai
     local = small_table(_rule_side(rules))
     if local is None:
         raise ValueError("rule table above the broadcast bound")
+    kw = _needs_message(local)
     side = F.broadcast(local)
-    j = logs.select("timestamp", "domain", "level", "message").join(side, _match(keyword_mode), "inner")
+    j = logs.select("timestamp", "domain", "level", *(["message"] if kw else [])).join(
+        side, _match(keyword_mode, kw), "inner")
     span = (F.col("period_minutes") * 60_000_000).cast("long")
     micros = F.unix_micros("timestamp")
     start_us = micros - F.pmod(micros, span)  # exact integer floor to the window

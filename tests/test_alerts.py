@@ -118,3 +118,16 @@ def test_empty_rules(spark, logs):
     assert AL.rule_counts(logs, empty, AS_OF).count() == 0
     assert AL.alert_summary(AL.alert_status(logs, empty, AS_OF)).first()["total"] == 0
     assert dt.datetime(2024, 1, 31)  # fixed clock, never now()
+
+
+def test_message_column_read_only_for_keyword_rules(spark, sf):
+    from loglake import fixtures as FX
+    from loglake.plans.inspect import plan_text
+
+    lake = FX.lake(spark, sf, "parquet")
+    plain = _rules(spark, [("a", "payment", "ERROR", None, 1.0, 1440.0), ("b", "user", None, "", 1.0, 60.0)])
+    kw = _rules(spark, [("a", "payment", "ERROR", 'k": 9', 1.0, 1440.0)])
+    import re
+    schemas = lambda df: re.findall(r"ReadSchema: (struct<[^>]*>)", plan_text(df, "simple"))
+    assert not any("message" in x for x in schemas(AL.rule_counts(lake, plain, FX.AS_OF)))
+    assert any("message" in x for x in schemas(AL.rule_counts(lake, kw, FX.AS_OF)))
