@@ -43,7 +43,9 @@ def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], Da
                  lake_path: str, quarantine_path: str | None, fmt: str = "parquet") -> None:
     """One micro-batch (also usable on a static DataFrame). Payloads are
     decoded and parsed once; both outputs read the persisted result."""
-    parsed = parse_records(records).persist()
+    # The decoded text is not needed once parsed: keep only what the two
+    # outputs read, so the persisted batch holds no second copy of it.
+    parsed = parse_records(records).drop("payload").persist()
     try:
         rows = to_log_rows(map_domain(explode_events(parsed), connections()))
         _write_batch(rows, lake_path, fmt, batch_id)
