@@ -22,7 +22,10 @@ from loglake.session import ensure_utc
 class LogLake:
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
                  domains: list[str] | None = None, cache_ttl: float = 300.0):
-        self.spark, self.path, self.fmt, self.domains = ensure_utc(spark), path, fmt, domains
+        # A session of its own (same SparkContext): its ``logs`` temp view and
+        # settings never clash with the caller's or another LogLake's.
+        self.spark = ensure_utc(spark.newSession())
+        self.path, self.fmt, self.domains = path, fmt, domains
         self.history = CO.QueryHistory()
         self.cache = CO.ResultCache(cache_ttl)
 

@@ -168,3 +168,8 @@ def upsert_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove_rules(rules: DataFrame, names: DataFrame) -> DataFrame:
     return rules.join(names.select("name"), "name", "left_anti")
+
+
+def missing_rules(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """Names asked for removal that match no rule (reported, not an error)."""
+    return names.select("name").join(rules.select("name"), "name", "left_anti")

@@ -34,3 +34,10 @@ def remove_connections(conns: DataFrame, to_remove: DataFrame) -> DataFrame:
 def filter_names(conns: DataFrame, prefix: str = "loglake-") -> DataFrame:
     return conns.select("log_group", "domain",
                         _filter_name(F.col("log_group"), F.col("domain"), prefix).alias("filter_name"))
+
+
+def unmatched_removals(conns: DataFrame, to_remove: DataFrame) -> DataFrame:
+    """(log_group, domain) pairs asked for removal that match no connection,
+    e.g. the right group with the wrong domain."""
+    return to_remove.select("log_group", "domain").join(
+        conns.select("log_group", "domain"), ["log_group", "domain"], "left_anti")

@@ -93,6 +93,8 @@ def test_upsert_remove_validate(spark):
     assert up == {"a": "user", "b": "order", "c": "auth"}
     rm = AL.remove_rules(AL.upsert_rules(base, new), spark.createDataFrame([("a",)], "name string"))
     assert sorted(r["name"] for r in rm.collect()) == ["b", "c"]
+    gone = spark.createDataFrame([("a",), ("zz",)], "name string")
+    assert [r["name"] for r in AL.missing_rules(base, gone).collect()] == ["zz"]
     inv = _rules(spark, [("", "d", None, None, 1.0, 1.0), ("x", None, None, None, 1.0, 1.0),
                          ("y", "d", None, None, None, 1.0), ("z", "d", None, None, 0.0, -1.0)])
     errs = {r["name"]: r["error"] for r in AL.invalid_rules(inv).collect()}

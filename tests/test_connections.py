@@ -14,6 +14,8 @@ def test_connections(spark):
     wrong = spark.createDataFrame([("/ecs/b", "user"), ("/ecs/a", "user")], "log_group string, domain string")
     left = sorted(r["log_group"] for r in CN.remove_connections(conns, wrong).collect())
     assert left == ["/ecs/b"]
+    miss = [(r["log_group"], r["domain"]) for r in CN.unmatched_removals(conns, wrong).collect()]
+    assert miss == [("/ecs/b", "user")]
     names = spark.createDataFrame([("//ecs/pay/api//", "payment"), ("plain", "x")], "log_group string, domain string")
     got = sorted(r["filter_name"] for r in CN.filter_names(names, prefix="p-").collect())
     assert got == ["p-payment-ecs-pay-api", "p-x-plain"]
