@@ -143,3 +143,23 @@ def test_file_cut_and_empty_result_schema(spark, sf, tmp_path):
                     "SELECT level, count(*) AS cnt FROM logs WHERE domain = :d GROUP BY level",
                     {"d": "nope"})
     assert empty.columns == ["level", "cnt"] and empty.count() == 0
+
+
+def test_inventory_and_scan_bytes_against_filesystem(spark, sf):
+    """The two rows-only queries, checked by brute force on the files."""
+    import __spark_entry__ as E
+
+    root = FX.lake_path(spark, sf, "parquet")
+    walk = {}
+    for d, _, files in os.walk(root):
+        parts = dict(x.split("=", 1) for x in os.path.relpath(d, root).split(os.sep) if "=" in x)
+        data = [f for f in files if f.endswith(".parquet")]
+        if data:
+            key = (parts["domain"], parts["year"], parts["month"], parts["day"])
+            walk[key] = (len(data), sum(os.path.getsize(os.path.join(d, f)) for f in data))
+    inv = {(r["domain"], r["year"], r["month"], r["day"]): (r["files"], r["bytes"])
+           for r in E.queries()["partition_inventory"](spark, sf).collect()}
+    assert inv == walk
+    sb = {r["scope"]: (r["files"], r["scanned_bytes"]) for r in E.queries()["scan_bytes"](spark, sf).collect()}
+    assert sb["payment 2024-01-15"] == walk[("payment", "2024", "01", "15")]
+    assert sb["whole lake"] == (sum(v[0] for v in walk.values()), sum(v[1] for v in walk.values()))
