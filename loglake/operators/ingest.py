@@ -40,10 +40,17 @@ def parse_records(records: DataFrame) -> DataFrame:
     bad_event = F.exists(events, lambda e: e.isNull() | e["timestamp"].isNull()
                          | (e["timestamp"] < F.lit(MIN_EPOCH_MS))
                          | (e["timestamp"] > F.lit(MAX_EPOCH_MS)))
+    # A known non-data type is dropped before its events are looked at, but
+    # only if the payload is valid JSON: text broken after the type field
+    # fails, as a strict parser would. The validity test (a second parse)
+    # runs only for such rows.
+    corrupt = F.col(f"env.{S.CORRUPT}")
+    other_type = mt.isNotNull() & (mt != S.DATA_MESSAGE) & (
+        corrupt.isNull() | F.json_object_keys(F.col("payload")).isNotNull())
     disposition = (
         F.when(F.col("_bin").isNull(), F.lit(S.FAILED))
         .when(F.col("payload").isNull(), F.lit(S.FAILED))
-        .when(mt.isNotNull() & (mt != S.DATA_MESSAGE), F.lit(S.DROPPED))
+        .when(other_type, F.lit(S.DROPPED))
         .when(F.col("env").isNull() | F.col(f"env.{S.CORRUPT}").isNotNull(), F.lit(S.FAILED))
         .when(mt.isNull(), F.lit(S.DROPPED))
         .when(F.size(events) == 0, F.lit(S.DROPPED))
@@ -52,7 +59,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("_bin").isNull(), F.lit("not base64"))
         .when(F.col("payload").isNull(), F.lit("not gzip or not UTF-8"))
-        .when(mt.isNotNull() & (mt != S.DATA_MESSAGE), F.concat(F.lit("message type "), mt))
+        .when(other_type, F.concat(F.lit("message type "), mt))
         .when(F.col("env").isNull() | F.col(f"env.{S.CORRUPT}").isNotNull(), F.lit("not JSON"))
         .when(mt.isNull(), F.lit("no message type"))
         .when(F.size(events) == 0, F.lit("no log events"))

@@ -32,6 +32,7 @@ def test_dispositions(spark):
         ("no_ts", b64gz(envelope(events=ev + [{"id": "2", "message": "x"}]))),
         ("bad_ts", b64gz('{"messageType":"DATA_MESSAGE","logGroup":"g","logEvents":[{"timestamp":"abc"}]}')),
         ("control_broken", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":"oops"}')),
+        ("control_truncated", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":[{"id":')),
     ]
     rows, d = _run(spark, records)
     assert d["ok"][0] == S.OK
@@ -48,6 +49,8 @@ def test_dispositions(spark):
     assert d["bad_ts"][0] == S.FAILED
     # The type is tested before events are read.
     assert d["control_broken"][0] == S.DROPPED
+    # Broken JSON fails even when its type field was read before the break.
+    assert d["control_truncated"] == (S.FAILED, "not JSON")
     assert rows.count() == 1
 
 
