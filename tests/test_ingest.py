@@ -33,6 +33,7 @@ def test_dispositions(spark):
         ("bad_ts", b64gz('{"messageType":"DATA_MESSAGE","logGroup":"g","logEvents":[{"timestamp":"abc"}]}')),
         ("control_broken", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":"oops"}')),
         ("control_truncated", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":[{"id":')),
+        ("empty_text", b64gz("")),
     ]
     rows, d = _run(spark, records)
     assert d["ok"][0] == S.OK
@@ -51,6 +52,7 @@ def test_dispositions(spark):
     assert d["control_broken"][0] == S.DROPPED
     # Broken JSON fails even when its type field was read before the break.
     assert d["control_truncated"] == (S.FAILED, "not JSON")
+    assert d["empty_text"] == (S.FAILED, "not JSON")
     assert rows.count() == 1
 
 
