@@ -107,19 +107,19 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet",
     if case_insensitive:
         raw = spark.read.schema(
             "value string, domain string, year string, month string, day string").text(path)
-        # Keys are lower-cased once per line; each column then takes the
-        # first entry with its name (no error when two keys fold together).
-        entries = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
-                              lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-        raw = raw.select(entries.alias("_kv"), *S.PARTITION_COLUMNS)
-
-        def key_is(name):
-            return lambda e: e["k"] == F.lit(name)
-
-        picked = []
-        for c in S.DATA_COLUMNS:
-            hit = F.filter(F.col("_kv"), key_is(c))
-            picked.append(F.try_element_at(hit, F.lit(1))["v"].alias(c))
+        # Exact keys first (one code-generated parse). Only where that left a
+        # column null are the line's keys lower-cased and searched; coalesce
+        # evaluates that fallback lazily, so canonical lines never pay for it.
+        exact = F.from_json("value", ", ".join(f"`{c}` string" for c in S.DATA_COLUMNS))
+
+        def any_case(name):
+            kv = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
+                             lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+            hit = F.filter(kv, lambda e: e["k"] == F.lit(name))
+            return F.try_element_at(hit, F.lit(1))["v"]
+
+        raw = raw.select(exact.alias("_x"), "value", *S.PARTITION_COLUMNS)
+        picked = [F.coalesce(F.col("_x")[c], any_case(c)).alias(c) for c in S.DATA_COLUMNS]
         df = raw.select(*picked, F.lit(None).cast("string").alias(S.CORRUPT),
                         *S.PARTITION_COLUMNS)
     else:
