@@ -120,3 +120,16 @@ def test_fixture_envelopes_are_bounded(spark, sf):
     sizes = parsed.select(F.size("env.logEvents").alias("n"))
     assert sizes.agg(F.max("n")).first()[0] <= FX.EVENTS_PER_ENVELOPE
     assert sizes.agg(F.sum("n")).first()[0] == FX.logs(spark, sf).count()
+
+
+def test_decode_runs_gunzip_and_parse_once(spark):
+    """Regression guard: a pushed-down disposition filter made Spark run the
+    gunzip UDF and from_json twice per record."""
+    from loglake.plans.inspect import plan_text
+
+    ev = [{"id": "1", "timestamp": 1706659200000, "message": "m"}]
+    df = spark.createDataFrame([("a", b64gz(envelope(events=ev)))], S.DELIVERY_RECORD)
+    rows, _ = I.transform(df, spark.createDataFrame(CONN, S.CONNECTIONS))
+    text = plan_text(rows, "simple")
+    assert text.count("ArrowEvalPython") == 1
+    assert text.count("from_json(") == 1
