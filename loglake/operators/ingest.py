@@ -68,6 +68,17 @@ def parse_records(records: DataFrame) -> DataFrame:
                      disposition.alias("disposition"), reason.alias("reason"))
 
 
+def rows_where(df: DataFrame, cond, cols: list) -> DataFrame:
+    """``df.where(cond).select(cols)`` without a Filter node.
+
+    On decoded records a Filter is pushed below the projection that runs
+    gunzip and from_json and makes Spark evaluate both twice; a generator
+    of zero or one row per record keeps a single evaluation.
+    """
+    packed = F.when(cond, F.array(F.struct(*[F.col(c) for c in cols])))
+    return df.select(F.explode(packed).alias("_r")).select("_r.*")
+
+
 def explode_events(parsed: DataFrame) -> DataFrame:
     """One row per event of every Ok record. Missing group, stream or
     message become ``""``; the event id is dropped.

@@ -208,8 +208,10 @@ def write_bare_layout(df: DataFrame, path: str) -> None:
 def write_quarantine(records: DataFrame, path: str, mode: str = "append") -> None:
     """Failed delivery records, original payload and reason, as JSON Lines.
     Always a sibling of the table root, never inside it."""
-    (records.where(F.col("disposition") == S.FAILED)
-     .select("record_id", "data", "reason").write.mode(mode).json(path))
+    from loglake.operators.ingest import rows_where
+
+    failed = rows_where(records, F.col("disposition") == S.FAILED, ["record_id", "data", "reason"])
+    failed.write.mode(mode).json(path)
 
 
 def partition_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
