@@ -60,3 +60,23 @@ def test_facade_history_and_cache(spark, sf):
     hist = lake.history.rows
     assert 0 < hist[0][1] < hist[1][1]
     assert lake.cost_totals().first()["queries"] == 2
+
+
+def test_cache_misses_after_a_write(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loglake import fixtures as FX
+    from loglake.api import LogLake
+    from loglake.sources.lake import write_logs
+
+    root = str(tmp_path / "lake")
+    lg = FX.logs(spark, sf)
+    write_logs(lg.where(F.col("day") == "01"), root, "parquet", mode="overwrite")
+    ll = LogLake(spark, root, "parquet")
+    sql = "SELECT count(*) AS n FROM logs"
+    first = ll.query(sql).first()["n"]
+    assert ll.query(sql).first()["n"] == first and len(ll.history.rows) == 1   # hit
+    write_logs(lg.where(F.col("day") == "02"), root, "parquet", mode="append")
+    second = ll.query(sql).first()["n"]                                        # miss: new version
+    assert second == first + lg.where(F.col("day") == "02").count()
+    assert len(ll.history.rows) == 2
