@@ -133,3 +133,29 @@ def test_message_column_read_only_for_keyword_rules(spark, sf):
     schemas = lambda df: re.findall(r"ReadSchema: (struct<[^>]*>)", plan_text(df, "simple"))
     assert not any("message" in x for x in schemas(AL.rule_counts(lake, plain, FX.AS_OF)))
     assert any("message" in x for x in schemas(AL.rule_counts(lake, kw, FX.AS_OF)))
+
+
+def test_keyword_semantics_brute_force(spark):
+    """Random messages and keywords over an alphabet rich in %, _, \\ and ':
+    Spark's predicate equals a direct Python implementation, both modes."""
+    import random
+    import re as _re
+
+    from loglake.functions.text import keyword_match
+
+    rnd = random.Random(7)
+    alpha = "ab%_\\'x"
+    pairs = [("".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 8))),
+              "".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 3)))) for _ in range(400)]
+
+    def like(msg, kw):  # SQL LIKE without escape char: % any run, _ any one char
+        rx = "".join(".*" if c == "%" else "." if c == "_" else _re.escape(c) for c in kw)
+        return _re.fullmatch(".*" + rx + ".*", msg, flags=_re.S) is not None
+
+    df = spark.createDataFrame(pairs, "m string, k string")
+    got = df.select("m", "k",
+                    keyword_match(F.col("m"), F.col("k"), "contains").alias("c"),
+                    keyword_match(F.col("m"), F.col("k"), "like").alias("l")).collect()
+    for r in got:
+        assert r["c"] == (r["k"] in r["m"]), (r["m"], r["k"])
+        assert r["l"] == like(r["m"], r["k"]), (r["m"], r["k"])
