@@ -19,3 +19,15 @@ def test_connections(spark):
     names = spark.createDataFrame([("//ecs/pay/api//", "payment"), ("plain", "x")], "log_group string, domain string")
     got = sorted(r["filter_name"] for r in CN.filter_names(names, prefix="p-").collect())
     assert got == ["p-payment-ecs-pay-api", "p-x-plain"]
+
+
+def test_filter_name_brute_force(spark):
+    import random
+    import re
+
+    rnd = random.Random(3)
+    groups = ["".join(rnd.choice("/ab-") for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(g, "d") for g in groups], "log_group string, domain string")
+    for r in CN.filter_names(df, prefix="p-").collect():
+        trimmed = re.sub(r"^/+|/+$", "", r["log_group"])
+        assert r["filter_name"] == "p-d-" + trimmed.replace("/", "-"), r["log_group"]

@@ -36,3 +36,20 @@ def test_apply(spark, sf, tmp_path):
     assert hot.count() < before
     assert read_logs(spark, arch).count() == archived_rows
     assert RT.retention_plan(hot, FX.AS_OF, 14, 7).where("tier != 'hot'").count() == 0
+
+
+def test_plan_brute_force(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    as_of = dt.date(2024, 3, 1)
+    days = sorted({as_of - dt.timedelta(days=rnd.randint(-3, 60)) for _ in range(200)})
+    parts = spark.createDataFrame([("x", f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}") for d in days],
+                                  "domain string, year string, month string, day string")
+    got = {(r["year"], r["month"], r["day"]): (r["age_days"], r["tier"])
+           for r in RT.retention_plan(parts, "2024-03-01 00:00:00", 30, 10).collect()}
+    for d in days:
+        age = (as_of - d).days
+        tier = "expired" if age >= 30 else "archive" if age >= 10 else "hot"
+        assert got[(f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")] == (age, tier)
