@@ -163,3 +163,18 @@ def test_inventory_and_scan_bytes_against_filesystem(spark, sf):
     sb = {r["scope"]: (r["files"], r["scanned_bytes"]) for r in E.queries()["scan_bytes"](spark, sf).collect()}
     assert sb["payment 2024-01-15"] == walk[("payment", "2024", "01", "15")]
     assert sb["whole lake"] == (sum(v[0] for v in walk.values()), sum(v[1] for v in walk.values()))
+
+
+def test_check_pruned_flags_unpruned_queries(spark, sf):
+    import warnings
+
+    import pytest
+
+    lake = FX.lake(spark, sf, "parquet")
+    unpruned = lake.groupBy("level").count()
+    with pytest.raises(ValueError):
+        check_pruned(unpruned, strict=True)
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert check_pruned(unpruned) is False
+        assert any("domain" in str(x.message) for x in w)
