@@ -178,3 +178,16 @@ def test_check_pruned_flags_unpruned_queries(spark, sf):
         warnings.simplefilter("always")
         assert check_pruned(unpruned) is False
         assert any("domain" in str(x.message) for x in w)
+
+
+def test_bare_layout_rewrite_is_idempotent(spark, sf, tmp_path):
+    """Files are named by task partition, so writing again (as a retried
+    task does) replaces them instead of adding copies."""
+    lg = FX.logs(spark, sf).where(F.col("domain").isin("payment", "auth"))
+    root = str(tmp_path / "bare")
+    L.write_bare_layout(lg, root)
+    first = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs)
+    L.write_bare_layout(lg, root)
+    second = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs)
+    assert first == second
+    assert L.read_bare_layout(spark, root, "json").count() == lg.count()
