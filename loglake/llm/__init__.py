@@ -3,18 +3,26 @@
 from loglake.llm import (
     decontaminate,
     html_extract,
+    line_dedup,
+    ngram_join,
+    pii,
     quality_neighbours,
     quality_rules,
     sentencepiece_dropout,
+    substring_dedup,
     token_counts,
 )
 
 QUERIES = {f.__name__: f for f in (
     token_counts.op1_token_counts,
+    ngram_join.op2_ngram_jaccard,
+    substring_dedup.op3_substring_dedup,
     quality_rules.op4_quality_rules,
+    line_dedup.op5_line_dedup,
     sentencepiece_dropout.op6_sentencepiece,
+    pii.op7_pii_surrogates,
     decontaminate.op8_decontaminate,
     html_extract.op9_html_extract,
     quality_neighbours.op10_quality_neighbours,
 )}
-ORACLES = {"op4_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE}

@@ -10,12 +10,10 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loglake.session import scratch_path
 
-#: ASCII white space, the separators of the contracts' plain words.
-ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,3 +75,50 @@ def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
         h = h * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i:n - w + 1 + i]
         h ^= h >> np.uint64(29)
     return np.unique(mix64(h))
+
+
+#: Bits of the row filters: fixed, so that a filter of any table can be broadcast.
+FILTER_BITS = 1 << 25
+FILTER_SLICE = 1 << 16
+
+
+def _filter_place(columns: list[str]):
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def filter_bits(places: DataFrame) -> bytes:
+    """A filter with the flags at ``at`` (0 to FILTER_BITS - 1) set; merged by slices of flags."""
+
+    def run(pdf):
+        import pandas as pd
+
+        flags = np.zeros(FILTER_SLICE, bool)
+        flags[pdf["at"].to_numpy() % FILTER_SLICE] = True
+        return pd.DataFrame({"slice": [int(pdf["at"].iloc[0]) // FILTER_SLICE], "bits": [np.packbits(flags).tobytes()]})
+
+    slices = places.select("at").distinct().groupBy(F.floor(F.col("at") / FILTER_SLICE)).applyInPandas(run, "slice long, bits binary")
+    bits = bytearray(FILTER_BITS // 8)
+    for r in slices.collect():  # FILTER_BITS bits in all
+        bits[r["slice"] * FILTER_SLICE // 8:(r["slice"] + 1) * FILTER_SLICE // 8] = r["bits"]
+    return bytes(bits)
+
+
+def in_filter(bits: bytes, at: np.ndarray) -> np.ndarray:
+    """Whether each place is flagged."""
+    return np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
+def flag_rows(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df with a boolean ``name``: false only where the row's key is not in keys.
+
+    Lets rows that certainly need no join pass by it, so that their texts are not shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(filter_bits(keys.select(_filter_place(columns).alias("at"))))
+
+    @F.pandas_udf("boolean")
+    def flag(at):
+        import pandas as pd
+
+        return pd.Series(in_filter(shared.value, at.to_numpy()))
+
+    return df.withColumn(name, flag(_filter_place(columns)))

@@ -19,7 +19,6 @@ nothing; repeated documents are judged row by row.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -206,16 +205,16 @@ def benchmark_pieces(items: DataFrame, window: int) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                       block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, spans (word positions [start, end)) and items."""
+                       block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_words, spans (word positions [start, end)), items, and the columns of ``carry``."""
     sc = docs.sparkSession.sparkContext
     pieces = save(benchmark_pieces(benchmark, window), "benchmark-pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // block_words)
-    schema = "doc_id long, text string, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").selectExpr(
-        "doc_id", "text", "CAST(NULL AS long) AS n_words", "CAST(array() AS array<struct<s:long,e:long>>) AS spans",
-        "CAST(array() AS array<string>) AS items")
+    out = docs.selectExpr(
+        "CAST(doc_id AS long) AS doc_id", "text", "CAST(NULL AS long) AS n_words",
+        "CAST(array() AS array<struct<s:long,e:long>>) AS spans", "CAST(array() AS array<string>) AS items", *carry)
+    schema = out.schema
     for k in range(max(1, blocks)):
         automaton = SuffixAutomaton(window)
         block = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(max(1, blocks))) == k)
@@ -238,8 +237,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(n, pa.int64()),
                      pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], span),
-                     pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "spans", "items"])
+                     pa.array(items, pa.list_(pa.string())), *b.columns[5:]],
+                    ["doc_id", "text", "n_words", "spans", "items", *carry])
 
         out = out.mapInArrow(run, schema)
         if k + 1 < blocks:
@@ -255,28 +254,26 @@ def judge(found: DataFrame, coverage: float = 0.05) -> DataFrame:
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))))
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                         coverage: float = 0.05) -> DataFrame:
-    """doc_id, text, n_words, n_hit without what exceeds a limit.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.05) -> DataFrame:
+    """docs with the same columns, without what exceeds a limit.
 
     Documents at or over the coverage limit go; of the others, spans as long as
-    a window are cut out of the text.
+    a window are cut out of the text, and n_chars follows.
     """
-    judged = judge(find_contamination(docs, benchmark, window), coverage).where("NOT contaminated")
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("in_row"))
+    judged = judge(find_contamination(packed, benchmark, window, carry=("in_row",)), coverage).where("NOT contaminated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [cut_spans(t, [(x["s"], x["e"]) for x in s]) if s else t
                      for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3), b.column(4)],
-                                             ["doc_id", "text", "n_words", "n_hit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3)], ["doc_id", "text", "in_row"])
 
-    return judged.select("doc_id", "text", "spans", "n_words", "n_hit").mapInArrow(
-        run, "doc_id long, text string, n_words long, n_hit long")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    cut = judged.select("doc_id", "text", "spans", "in_row").mapInArrow(run, judged.select("doc_id", "text", "in_row").schema)
+    values = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return cut.select([values[c].cast(docs.schema[c].dataType).alias(c) if c in values else F.col("in_row")[c].alias(c) for c in names])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

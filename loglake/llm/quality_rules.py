@@ -13,18 +13,21 @@ repeated rows are judged row by row; ties do not occur. No shuffle but in
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglake.llm.common import plain_words, table
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals"]
 MAX_EXACT_KEY = 2_000_000
+ENTRY = "_ledger_entry"
 
 #: Rules in bit order, as conditions on the measurements (SQL; integers only).
 RULES = {
@@ -49,6 +52,12 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << order.index(r) for r in rules)
 
 
+def failure_bits(prefix: str = "") -> str:
+    """SQL of the failure mask over measurements named with ``prefix``."""
+    bits = (f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
+    return re.sub(f"\\b({'|'.join(MEASURES)})\\b", lambda m: prefix + m[1], f"CAST({' + '.join(bits)} AS int)")
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words inside 3-word windows whose words occur at least twice."""
     n = len(words)
@@ -102,8 +111,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def ledger(docs: DataFrame) -> DataFrame:
     """measurements plus ``failures``: bit i is set if rule i fails."""
-    bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
-    return measurements(docs).withColumn("failures", F.expr(f"CAST({bits} AS int)"))
+    return measurements(docs).withColumn("failures", F.expr(failure_bits()))
 
 
 def rejected_by(failures: Column, rules: tuple[str, ...]) -> Column:
@@ -118,6 +126,25 @@ def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
             .withColumn("policy", F.lit(policy)))
 
 
+def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs that the policy keeps, with the same columns.
+
+    The rules are evaluated beside the row itself, so nothing is joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measure(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            columns = zip(*rows) if rows else ((),) * len(MEASURES)
+            entry = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], MEASURES)
+            yield pa.RecordBatch.from_arrays([*b.columns, entry], [*b.schema.names, ENTRY])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(ENTRY, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
+    entries = docs.mapInArrow(run, schema)
+    failures = F.expr(failure_bits(f"{ENTRY}."))
+    return entries.where(~rejected_by(failures, tuple(dict.fromkeys((*BASE, *POLICIES[policy]))))).drop(ENTRY)
+
+
 def ablations(entries: DataFrame) -> DataFrame:
     """Per policy and rule: documents the rule fails, and those it alone rejects."""
     masks = entries.groupBy("failures").agg(F.count(F.lit(1)).alias("n"))
@@ -136,11 +163,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failures", "base_failed", "kept")
 
 
-_BITS = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 p AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT rid, i, word, lead(word, 1) OVER s AS b, lead(word, 2) OVER s AS c FROM p WINDOW s AS (PARTITION BY rid ORDER BY i)),
 t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, word, b, c) AS n FROM g WHERE c IS NOT NULL),
@@ -153,7 +179,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters,
              length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
       FROM w LEFT JOIN r USING (rid)),
-f AS (SELECT *, CAST({_BITS} AS INTEGER) AS failures FROM m)
+f AS (SELECT *, {failure_bits()} AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures,
        (failures & {mask(BASE)}) <> 0 AS base_failed, (failures & {mask(POLICIES[CURRENT]) | mask(BASE)}) = 0 AS kept
 FROM f

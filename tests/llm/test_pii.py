@@ -1,0 +1,59 @@
+import re
+
+import pytest
+
+from loglake.llm import pii as P
+
+TEXT = ("Mr John Smith met Mrs. Anna-Maria MÜLLER and Dr. Smith; mail A.b@Mail1.Example.com or a.b@mail1.example.com, "
+        "+1 (555) 123-4567 and +1 555 123 4567, card 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32, "
+        'ssn 123-45-6789, ip 10.0.0.5 and 8.8.4.4, token = "0123456789abcdef0123456789abcdef01234567". Господин Иванов и Госпожа Петрова')
+GONE = ["John", "Smith", "MÜLLER", "A.b@Mail1", "123-4567", "123 4567", "4111", "WEST", "123-45-6789", "8.8.4.4", "0123456789abcdef", "Иванов", "Петрова"]
+
+
+def test_types_format_gender_script():
+    out, n = P.replace(TEXT, {})
+    assert n == 15 and not any(g in out for g in GONE)
+    m = re.fullmatch(
+        r'Mr (\w+) (\w+) met Mrs. (\w+) (\w+) and Dr. (\w+); mail (\S+) or (\S+), \+1 \((\d{3})\) (\d{3})-(\d{4}) and \+1 (\d{3}) (\d{3}) (\d{4}), '
+        r"card (\d{4} \d{4} \d{4} \d{4}), IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d), ssn (\d{3}-\d\d-\d{4}), ip (10\.\S+) and (\S+), "
+        r'token = "([0-9a-f]{40})"\. Господин ([а-яА-Я]+) и Госпожа ([а-яА-Я]+)', out)
+    assert m
+    assert m[2] == m[5]  # one person, two mentions
+    assert m[6].lower() == m[7] and m[8] + m[9] + m[10] == m[11] + m[12] + m[13]
+    assert P.luhn(m[14].replace(" ", "")) and P.iban_check(m[15].replace(" ", "")) == 1
+    assert m[4].isupper() and m[1][0].isupper()
+    assert P.surrogate("forename", "anna", "f", 0)[-1] == "a" and P.surrogate("forename", "john", "m", 0)[-1] != "a"
+
+
+def test_nothing_to_find():
+    for t in (None, "", "no data 2024-01-05 12:30 v1.2.3 999", "version 300.1.2.3"):
+        assert P.replace(t, {}) == (t, 0)
+    assert P.replace("x" * 100_000, {}) == ("x" * 100_000, 0)
+
+
+def test_coreference_distinctness_and_tables(make_docs):
+    texts = {i: f"call +1 (555) 000-{i:04d} or mail u{i % 50}@x.example.com" for i in range(400)} | {900: None, 901: "", 902: TEXT}
+    got = {x["doc_id"]: x for x in P.pseudonymise(make_docs(texts)).collect()}
+    assert set(got) == set(texts) and got[900]["text"] is None and got[901]["text"] == ""
+    phones = {i: re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[i]["text"])[0] for i in range(400)}
+    assert len(set(phones.values())) == 400
+    mails = {i: got[i]["text"].split()[-1] for i in range(400)}
+    assert len(set(mails.values())) == 50 and all(mails[i] == mails[i % 50] for i in range(400))
+    assert P.pseudonymise(make_docs({})).count() == 0
+    assert len({x["text"] for x in P.pseudonymise(make_docs([(1, TEXT), (1, TEXT)])).collect()}) == 1
+
+
+def test_collisions_are_drawn_again(spark, make_docs, monkeypatch):
+    """With first draws that all meet, every entity still gets its own surrogate."""
+    shape = P.Draw.like
+    monkeypatch.setattr(P.Draw, "like", lambda self, t: "7" * len(t) if b", 0)" in self.parts and t.isdigit() else shape(self, t))
+    texts = {i: f"ssn 123-45-{i:04d} here" for i in range(40)}
+    got = [x["text"] for x in P.pseudonymise(make_docs(texts)).collect()]
+    assert len(set(got)) == 40 and not set(got) & set(texts.values())
+
+
+def test_format_without_room_is_an_error(make_docs, monkeypatch):
+    monkeypatch.setattr(P.Draw, "like", lambda self, t: "7" * len(t))
+    monkeypatch.setattr(P, "MAX_DRAWS", 2)
+    with pytest.raises(ValueError, match="collide"):
+        P.pseudonymise(make_docs({1: "ssn 123-45-6789", 2: "ssn 123-45-6780"})).collect()

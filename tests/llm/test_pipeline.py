@@ -1,0 +1,45 @@
+import corpus_pipeline as C
+from loglake.llm import sentencepiece_dropout
+from loglake.llm.common import table
+
+
+def run_stages(spark, docs, sf):
+    out = [docs]
+    for _, stage in C.STAGES:
+        out.append(stage(spark, out[-1], sf).cache())
+    return out
+
+
+def test_stages_against_plain_rules(spark, make_docs, words, sf, tmp_path):
+    item = " ".join(words(40, 77))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = {i: "\n".join(" ".join(words(30, 10 * i + k)) for k in range(5)) for i in range(1, 9)}
+    boiler = "please accept our cookies and read the terms of use"
+    texts = {**good, 1: good[1] + "\n" + boiler, 2: good[2] + "\n" + boiler, 20: good[3], 21: good[3].replace(good[3].split()[75], "edit"),
+             22: "too short", 23: good[4].upper(), 24: " ".join(words(60, 500)) + " " + item, 25: None, 26: ""}
+    docs = make_docs([*texts.items(), (5, good[5])])
+    quality, lines, joined, clean, encoded = run_stages(spark, docs, str(tmp_path))[1:]
+    for df in (quality, lines, joined, clean):
+        assert df.columns == docs.columns and df.dtypes == docs.dtypes
+    ids = lambda df: sorted(x["doc_id"] for x in df.select("doc_id").collect())
+    assert ids(quality) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 20, 21, 24]
+    assert ids(lines) == ids(quality)
+    after = {x["doc_id"]: x["text"] for x in lines.collect()}
+    assert after[1] == texts[1] and after[2] == good[2] and after[21] == texts[21]
+    assert ids(joined) == [1, 2, 3, 4, 5, 6, 7, 8, 24]
+    assert ids(clean) == [1, 2, 3, 4, 5, 6, 7, 8]
+    rows = encoded.collect()
+    decoder = sentencepiece_dropout.Decoder(sentencepiece_dropout.load_model(__import__("public_tokenizers").path(sentencepiece_dropout.MODEL)))
+    assert {x["doc_id"]: decoder.decode(x["ids"]) for x in rows} == {x["doc_id"]: x["text"] for x in clean.collect()}
+
+
+def test_run_over_the_table(spark, sf):
+    out = C.run(spark, sf)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "variant", "lossless"]
+    n = out.count()
+    assert 0 < n <= table(spark, sf, "documents").count() and out.where("NOT lossless").count() == 0
+
+
+def test_empty_table(spark, make_docs, sf):
+    docs = make_docs({})
+    assert [df.count() for df in run_stages(spark, docs, sf)] == [0] * 6
