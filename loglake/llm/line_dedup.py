@@ -46,10 +46,10 @@ def row_key():
 
 def tree_lines(docs: DataFrame) -> DataFrame:
     """One row per line of MIN_TOKENS tokens: doc_id, key, pos, nodes (hash and length of each segment)."""
-    lines = (docs.select("doc_id", row_key(), F.regexp_replace("text", VARIABLE, "<*>").alias("text"))
-             .select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .select("doc_id", "key", "pos", F.split(F.btrim("line", F.lit(" \t\x0b\f\r")), f"[{SPACE}]+").alias("t"))
-             .where(F.size("t") >= MIN_TOKENS))
+    # Few lines have a digit: the pattern that masks variable fields runs on those only.
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))
+    lines = (docs.select("doc_id", row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+             .select("doc_id", "key", "pos", F.split(F.btrim(masked, F.lit(" \t\x0b\f\r")), f"[{SPACE}]+").alias("t")))
     rest = F.size("t") - LEAD
     nodes = []
     for i in range(SEGMENTS):
@@ -57,7 +57,9 @@ def tree_lines(docs: DataFrame) -> DataFrame:
         part = F.slice("t", start + LEAD + 1, end - start)
         nodes.append(F.struct(F.xxhash64(F.size("t"), F.slice("t", 1, LEAD), F.lit(i), part).alias("node"),
                               (end - start).alias("size")))
-    return lines.select("doc_id", "key", "pos", F.array(*nodes).alias("nodes"))
+    # A generator of no or one row instead of a filter, which would be pushed
+    # below the projection and cut every line twice.
+    return lines.select("doc_id", "key", "pos", F.explode(F.when(F.size("t") >= MIN_TOKENS, F.array(F.array(*nodes)))).alias("nodes"))
 
 
 def recurring(rows: DataFrame, column: str) -> DataFrame:
@@ -92,16 +94,20 @@ def cleaned(docs: DataFrame, max_share: float = 1.0) -> DataFrame:
     A document that would lose more than ``max_share`` of its characters is a
     copy rather than a carrier of recurring lines, and is left whole.
     """
-    marked = docs.withColumn("key", row_key()).join(dropped_lines(docs.select("doc_id", "text")), "key", "left")
+    # The smaller side is hashed, so that the texts need no sorting.
+    gone_lines = dropped_lines(docs.select("doc_id", "text")).hint("shuffle_hash")
+    none = F.array().cast("array<int>")
+    marked = docs.withColumn("key", row_key()).join(gone_lines, "key", "left").withColumn("gone", F.coalesce("gone", none))
     lines = F.split("text", "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    whole = F.length("new_text") < (1 - max_share) * F.length("text")
-    return (marked.withColumn("new_text", text)
-            .withColumn("gone", F.when(whole, F.array().cast("array<int>")).otherwise(gone))
-            .withColumn("new_text", F.when(whole, F.col("text")).otherwise(F.col("new_text")))
-            .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+    marked = marked.withColumn("new_text", text)
+    if max_share < 1:
+        whole = F.length("new_text") < (1 - max_share) * F.length("text")
+        marked = marked.withColumn("gone", F.when(whole, none).otherwise(F.col("gone")))
+        marked = marked.withColumn("new_text", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.col("new_text")))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return (marked.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
             .withColumn("n_dropped", F.size("gone").cast("long")))
 
 
