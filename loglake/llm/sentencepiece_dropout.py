@@ -32,10 +32,11 @@ from loglake.llm.common import table
 MODEL = "piece_bpe_32k.model"
 SEED = 20_240
 DROPOUT = 0.1
-VARIANTS = 3
-MEMO = 400_000
+VARIANTS = 2
+MEMO = 600_000
 MARK = "▁"
-NONE = 1 << 62
+NONE = 1 << 29
+SHIFT = 15  # keys of pairs stay small integers for up to 2**15 pieces
 SHORT = 48  # characters up to which a scanned list beats a heap
 
 
@@ -54,11 +55,17 @@ def load_model(path: str) -> dict:
             if MARK in piece.lstrip(MARK) or "\n" in piece:
                 raise ValueError("merges of this model may cross words")
             ids[piece], ranks[piece] = i, int(-m.get_score(i))
+    if len(texts) > 1 << SHIFT:
+        raise ValueError("the model has too many pieces for the keys of pairs")
     if any(c not in ids for p in ids for c in p):
         raise ValueError("a piece of this model has a character that is no piece")
-    merges = {ids[p[:k]] << 20 | ids[p[k:]]: ranks[p] << 20 | ids[p]
+    # Ranks from 0, best first; a pair's key holds two ids.
+    order = sorted(ids, key=ranks.__getitem__)
+    rank_of = {p: r for r, p in enumerate(order)}
+    merges = {ids[p[:k]] << SHIFT | ids[p[k:]]: rank_of[p]
               for p in ids for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
-    return {"chars": {p: i for p, i in ids.items() if len(p) == 1}, "merges": merges, "bytes": byte_ids, "texts": texts}
+    return {"chars": {p: i for p, i in ids.items() if len(p) == 1}, "merges": merges, "merged": [ids[p] for p in order],
+            "bytes": byte_ids, "texts": texts}
 
 
 def stream(digest: bytes) -> Iterator[int]:
@@ -68,57 +75,57 @@ def stream(digest: bytes) -> Iterator[int]:
         digest = hashlib.blake2b(digest).digest()
 
 
-def merge_short(symbols: list[int], merge, draw, bar: int) -> list[int]:
-    """The agenda as a list of the values between neighbours; its first minimum is next."""
-    agenda = [merge(a << 20 | b, NONE) for a, b in zip(symbols, symbols[1:])]
+def merge_short(symbols: list[int], merge, merged: list[int], draw, bar: int) -> list[int]:
+    """The agenda as a list of the ranks of neighbours; its first minimum is next."""
+    agenda = [merge(a << SHIFT | b, NONE) for a, b in zip(symbols, symbols[1:])]
     while agenda and (m := min(agenda)) != NONE:
         i = agenda.index(m)
         if bar and draw() < bar:
             agenda[i] = NONE
             continue
-        symbols[i] = a = m & 0xFFFFF
+        symbols[i] = a = merged[m]
         del symbols[i + 1], agenda[i]
         if i < len(agenda):
-            agenda[i] = merge(a << 20 | symbols[i + 1], NONE)
+            agenda[i] = merge(a << SHIFT | symbols[i + 1], NONE)
         if i:
-            agenda[i - 1] = merge(symbols[i - 1] << 20 | a, NONE)
+            agenda[i - 1] = merge(symbols[i - 1] << SHIFT | a, NONE)
     return symbols
 
 
-def merge_long(symbols: list[int], merge, draw, bar: int) -> list[int]:
+def merge_long(symbols: list[int], merge, merged: list[int], draw, bar: int) -> list[int]:
     """The same agenda as a heap: n log n for very long words."""
     n = len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = [m << 32 | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := merge(a << 20 | b, NONE)) != NONE]
+    agenda = [(m, i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := merge(a << SHIFT | b, NONE)) != NONE]
     heapq.heapify(agenda)
     gone = set()
     while agenda:
-        x = heapq.heappop(agenda)
-        i = x & 0xFFFFFFFF
+        m, i = heapq.heappop(agenda)
         j = after[i]
         # Entries about symbols that are merged by now are stale.
-        if i in gone or j >= n or merge(symbols[i] << 20 | symbols[j], NONE) != x >> 32:
+        if i in gone or j >= n or merge(symbols[i] << SHIFT | symbols[j], NONE) != m:
             continue
         if bar and draw() < bar:
             continue
-        symbols[i] = a = x >> 32 & 0xFFFFF
+        symbols[i] = a = merged[m]
         gone.add(j)
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (m := merge(a << 20 | symbols[k], NONE)) != NONE:
-                heapq.heappush(agenda, m << 32 | i)
-        if (g := before[i]) >= 0 and (m := merge(symbols[g] << 20 | a, NONE)) != NONE:
-            heapq.heappush(agenda, m << 32 | g)
+            if (m := merge(a << SHIFT | symbols[k], NONE)) != NONE:
+                heapq.heappush(agenda, (m, i))
+        if (g := before[i]) >= 0 and (m := merge(symbols[g] << SHIFT | a, NONE)) != NONE:
+            heapq.heappush(agenda, (m, g))
     return [s for i, s in enumerate(symbols) if i not in gone]
 
 
 def segment(word: str, model: dict, digest: bytes, rate: float) -> tuple[int, ...]:
     """Piece ids of one word. The t-th merge taken from the agenda is skipped if
     byte t of the keyed hash stream that begins with ``digest`` is under the rate."""
-    symbols = [model["chars"].get(c, -1 - ord(c)) for c in word]
+    chars = model["chars"]
+    symbols = [chars[c] if c in chars else -1 - ord(c) for c in word]
     merge = merge_short if len(symbols) <= SHORT else merge_long
-    symbols = merge(symbols, model["merges"].get, stream(digest).__next__, round(rate * 256))
+    symbols = merge(symbols, model["merges"].get, model["merged"], stream(digest).__next__, round(rate * 256))
     if min(symbols) >= 0:
         return tuple(symbols)
     return tuple(x for s in symbols for x in ((s,) if s >= 0 else map(model["bytes"].__getitem__, chr(-1 - s).encode())))

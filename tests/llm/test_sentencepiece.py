@@ -30,9 +30,9 @@ def test_short_and_long_agendas_agree(model):
         symbols = [model["chars"][c] for c in word]
         for bar in (0, 60):
             draws = [r.randrange(256) for _ in range(500)]
-            a = S.merge_short(symbols[:], model["merges"].get, iter(draws).__next__, bar)
+            a = S.merge_short(symbols[:], model["merges"].get, model["merged"], iter(draws).__next__, bar)
             if not bar:
-                assert a == S.merge_long(symbols[:], model["merges"].get, iter(draws).__next__, bar)
+                assert a == S.merge_long(symbols[:], model["merges"].get, model["merged"], iter(draws).__next__, bar)
             assert "".join(model["texts"][i] for i in a) == word
 
 
