@@ -6,10 +6,13 @@ extra columns of an input, clashing names included, never reach it.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.session import scratch_path
@@ -46,35 +49,111 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Stable 64-bit hash of a word, remembered; forgets all when it is full."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small parts of Arrow batches, so that what is made from their texts stays small."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+#: ASCII white space, which parts words.
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+BASE = 0x9E3779B97F4A7C15 | 1
+BLOCK = 1 << 20
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64 for i < n; those of a block are kept."""
+    size = max(n, BLOCK)
+    if size not in _POWERS:
+        bases = (BASE, pow(BASE, -1, 1 << 64))
+        both = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(x))))) for x in bases)
+        if size > BLOCK:
+            return both
+        _POWERS[size] = both
+    return _POWERS[size]
 
-def word_hash_array(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+def _hash_block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of a text, all at once: polynomials from prefix sums."""
+    a = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], SPACES[a], [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[:len(a)], out=sums[1:])
+    return starts, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of ``width``-word shingles; fewer words make one."""
-    n = len(word_hashes)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    w = min(n, width)
-    h = np.full(n - w + 1, np.uint64(w), np.uint64)
-    for i in range(w):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i:n - w + 1 + i]
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and the number of words of each text.
+
+    Texts are hashed a block at a time; one longer than a block is cut between words.
+    """
+    hashes, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    block: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if block:
+            starts, found = _hash_block(b" ".join(p for _, p in block))
+            bounds = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for _, p in block)]))
+            for (i, _), n in zip(block, np.diff(bounds)):
+                counts[i] += n
+            hashes.append(found)
+            block.clear()
+            size = 0
+
+    for i, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            stop = len(text)
+            if stop - start > BLOCK:
+                space = re.search(rb"[ \t-\r]", text[start + BLOCK // 2:])
+                stop = start + BLOCK // 2 + space.end() if space else stop
+            if size + stop - start > BLOCK:
+                flush()
+            block.append((i, text[start:stop]))
+            size += stop - start
+            start = stop
+    flush()
+    return np.concatenate(hashes), counts
+
+
+def gram_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from every position on."""
+    n = len(word_hashes) - width + 1
+    h = np.full(n, np.uint64(width), np.uint64)
+    for i in range(width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += word_hashes[i:n + i]
         h ^= h >> np.uint64(29)
-    return np.unique(mix64(h))
+    return mix64(h)
+
+
+def shingle_hashes(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """Hashes of the ``width``-word shingles of each text, repeats included.
+
+    A text of fewer words is one shingle. All texts are hashed in one
+    go, since calls cost more than the work on a short one.
+    """
+    words, counts = hash_words(texts)
+    grams = gram_hashes(words, width) if len(words) >= width else np.empty(0, np.uint64)
+    out, start = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            out.append(grams[start:start + n - width + 1])
+        else:
+            out.append(gram_hashes(words[start:start + n], n) if n else np.empty(0, np.uint64))
+        start += n
+    return out
+
+
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 #: Bits of the row filters: fixed, so that a filter of any table can be broadcast.
@@ -82,7 +161,8 @@ FILTER_BITS = 1 << 25
 FILTER_SLICE = 1 << 16
 
 
-def _filter_place(columns: list[str]):
+def filter_place(columns: list[str]) -> Column:
+    """Where a key is flagged in a filter."""
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
@@ -113,7 +193,7 @@ def flag_rows(df: DataFrame, keys: DataFrame, columns: list[str], name: str) ->
 
     Lets rows that certainly need no join pass by it, so that their texts are not shuffled.
     """
-    shared = df.sparkSession.sparkContext.broadcast(filter_bits(keys.select(_filter_place(columns).alias("at"))))
+    shared = df.sparkSession.sparkContext.broadcast(filter_bits(keys.select(filter_place(columns).alias("at"))))
 
     @F.pandas_udf("boolean")
     def flag(at):
@@ -121,4 +201,4 @@ def flag_rows(df: DataFrame, keys: DataFrame, columns: list[str], name: str) ->
 
         return pd.Series(in_filter(shared.value, at.to_numpy()))
 
-    return df.withColumn(name, flag(_filter_place(columns)))
+    return df.withColumn(name, flag(filter_place(columns)))

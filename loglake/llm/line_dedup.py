@@ -72,7 +72,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """key and the positions of the lines to drop, one row per document that loses lines."""
     lines = save(tree_lines(docs), "tree-lines")
     nodes = lines.select("doc_id", "key", "pos", F.explode("nodes").alias("n")).select("doc_id", "key", "pos", "n.*")
-    fixed = nodes.join(recurring(nodes, "node"), "node")
+    # Written first: a join of two exchanges, whose hot keys Spark can split.
+    fixed = nodes.join(save(recurring(nodes, "node"), "recurring-nodes"), "node")
     # A repeated row repeats its lines; xor needs each node once.
     templates = (fixed.groupBy("key", "pos", "doc_id", "node").agg(F.first("size").alias("size"))
                  .groupBy("key", "pos", "doc_id")
@@ -83,6 +84,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
     again = (templates.groupBy("template").agg(first, F.min("key").alias("lo"), F.max("key").alias("hi"))
              .where("lo <> hi").select("template", "first"))
+    again = save(again, "recurring-templates")
     return (templates.join(again, "template")
             .where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
             .groupBy("key").agg(F.collect_set("pos").alias("gone")))

@@ -11,17 +11,18 @@ groups, and a class is the point of its group counts, at two resolutions:
   meets in a tree. The order puts groups last that a count over all shingles
   (a fixed-size sketch) finds hot, so that passages shared by many documents
   do not draw them into one tree;
-* coarse (about a group for six shingles): inside a tree, nodes hold the
+* coarse (a group for two shingles or so): inside a tree, nodes hold the
   largest count in each group and the range of set sizes; pairs of nodes, then
   of points, are dropped when their summed coordinate minima cannot reach the
   overlap the threshold asks for. Survivors are verified on whole sets.
 
-Links only need to span components, so trees are searched in two rounds:
-first each point against the smallest point of its cells, of which the one
-that shares most cells is verified; after components of these links, trees
-whose points lie in different components are joined in full, skipping pairs
-that are linked already. Trees of more than CELL_ROWS points are dealt
-out as pairs of sub-trees, so no task holds an unbounded cell.
+Links only need to span components, so four rounds look for them, each among
+pairs that no earlier round has connected: each point against the smallest point
+of its cells with which it shares most of them; then against those of all its cells;
+then trees of three points or more are joined, first for FEW partners of each point, then in full. Trees of more than CELL_ROWS
+points are dealt out as pairs of sub-trees, so no task holds an unbounded cell. A pair
+that meets in several trees is handed on by the first only, as far as the FIRST smallest
+cells of both points tell.
 
 Sets to verify are computed from the texts a second time, for documents that pass a
 fixed-size Bloom filter of the needed ones; so sets of all documents are never
@@ -35,6 +36,7 @@ Shingles and classes are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +44,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import WordHashes, flag_rows, save, shingle_hashes, table, word_hash_array
+from loglake.llm.common import (
+    FILTER_BITS,
+    distinct_sorted,
+    filter_bits,
+    filter_place,
+    flag_rows,
+    in_filter,
+    save,
+    shingle_hashes,
+    slices,
+    table,
+)
 from loglake.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 80
 FINE_SHIFT = 20
 SKETCH = 1 << 20
+SKETCH_SLICE = 1 << 16
+FAN = 64
+FIRST = 4
+FEW = 4
 HOT_MIN = 16
-COARSE_MIN, COARSE_MAX = 8, 4096
+COARSE_MIN, COARSE_MAX = 8, 16384
 CELL_ROWS = 4096
 LEAF = 16
 
@@ -58,10 +75,9 @@ LEAF = 16
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None, known: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a whole text."""
-    words = text.encode().translate(LOWER).split() if text else []
-    return shingle_hashes(word_hash_array(words, known), WIDTH)
+def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit shingle hashes of whole texts, repeats included."""
+    return shingle_hashes([t.encode().translate(LOWER) if t else b"" for t in texts], WIDTH)
 
 
 def least_overlap(n: int) -> int:
@@ -74,27 +90,37 @@ def first_groups(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     n = len(hashes)
     take = n - least_overlap(n) + 1
     late = hot[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]
-    ordered = np.concatenate((hashes[~late], hashes[late]))
-    return np.unique(ordered[:take] >> np.uint64(FINE_SHIFT)).astype(np.int64)
+    if late.any():
+        hashes = np.concatenate((hashes[~late], hashes[late]))
+    return distinct_sorted(hashes[:take] >> np.uint64(FINE_SHIFT)).astype(np.int64)
 
 
 def coarse_counts(hashes: np.ndarray) -> bytes:
-    """Counts in 2**k groups; k from the set's size. Two bytes a group if one is too small."""
+    """Counts in 2**k groups of one and a half to three shingles each. Two groups share a byte,
+    unless a count is too large for that: the first byte is the bits of a count."""
     size = COARSE_MIN
-    while size * 12 < len(hashes) and size < COARSE_MAX:
+    while size * 3 < len(hashes) and size < COARSE_MAX:
         size *= 2
     counts = np.bincount(((hashes >> np.uint64(40)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    width = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32
-    return bytes([np.dtype(width).itemsize]) + counts.astype(width).tobytes()
+    most = counts.max(initial=0)
+    if most < 16:
+        return b"\x04" + (counts[0::2] << 4 | counts[1::2]).astype(np.uint8).tobytes()
+    width = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    return bytes([np.dtype(width).itemsize * 8]) + counts.astype(width).tobytes()
 
 
 def read_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[0]], offset=1).astype(np.int64)
+    if raw[0] == 4:
+        both = np.frombuffer(raw, np.uint8, offset=1)
+        counts = np.empty(2 * len(both), np.int32)
+        counts[0::2], counts[1::2] = both >> 4, both & 15
+        return counts
+    return np.frombuffer(raw, {8: np.uint8, 16: np.uint16, 32: np.uint32}[raw[0]], offset=1).astype(np.int32)
 
 
 def fold(counts: np.ndarray, size: int) -> np.ndarray:
     """The same point in fewer groups (sizes are powers of two); rows fold alike."""
-    return counts if counts.shape[-1] == size else counts.reshape(*counts.shape[:-1], -1, size).sum(-2)
+    return counts if counts.shape[-1] == size else counts.reshape(*counts.shape[:-1], -1, size).sum(-2, dtype=np.int32)
 
 
 def can_link(n_a: int, n_b: int, overlap: int) -> bool:
@@ -147,8 +173,9 @@ class CountTree:
         shared = int(np.minimum(fold(a.top, dims), fold(b.top, dims)).sum())
         return can_link(a.low, b.low, min(shared, a.high, b.high))
 
-    def pairs(self, apart: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-        """Positions (i < j) that may link; ``apart``: only of points marked differently."""
+    def pairs(self, apart: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+        """Positions (i < j) that may link, and the similarity that the bound leaves possible;
+        ``apart``: only of points marked differently."""
         stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()
@@ -163,7 +190,7 @@ class CountTree:
             else:
                 yield from self._leaf_pairs(a, b, apart)
 
-    def _leaf_pairs(self, a: Node, b: Node, apart: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    def _leaf_pairs(self, a: Node, b: Node, apart: np.ndarray | None) -> Iterator[tuple[int, int, float]]:
         dims = min(len(self.vectors[i]) for n in (a, b) for i in range(n.start, n.stop))
         right = np.stack([fold(self.vectors[j], dims) for j in range(b.start, b.stop)])
         sizes = self.sizes[b.start:b.stop]
@@ -176,30 +203,43 @@ class CountTree:
                 ok &= apart[b.start:b.stop] != apart[i]
             for j in np.flatnonzero(ok) + b.start:
                 if a is not b or i < j:
-                    yield i, int(j)
+                    n = int(shared[j - b.start])
+                    yield i, int(j), n / (self.sizes[i] + self.sizes[j] - n)
 
 
 def hot_groups(docs: DataFrame) -> np.ndarray:
-    """Sketch positions whose count over all documents stands out."""
+    """Sketch positions whose count over all documents stands out.
+
+    Every task counts into SKETCH counters, which are summed slice by slice,
+    in a few levels, so that no task gets more than some slices of FAN tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(SKETCH, np.int64)
-        for b in batches:
-            found = [shingles(t, known) for t in b.column(0).to_pylist()]
-            if found:
-                at = (np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64)
-                counts += np.bincount(at, minlength=SKETCH)
-        at = np.flatnonzero(counts)
-        for s in range(0, len(at), 1 << 16):
-            part = at[s:s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], ["at", "n"])
-
-    counts = save(docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")), "shingle-sketch")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / SKETCH
-    hot = np.zeros(SKETCH, bool)
-    rows = counts.where(F.col("n") > mean + 8 * mean ** 0.5 + HOT_MIN).select("at").toArrow()  # at most SKETCH numbers
-    hot[rows.column(0).to_numpy()] = True
-    return hot
+        from pyspark import TaskContext
+
+        counts = np.zeros(SKETCH, np.int64)
+        for b in slices(batches):
+            found = np.concatenate(shingles(b.column(0).to_pylist()))
+            counts += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        for k, part in enumerate(np.split(counts, SKETCH // SKETCH_SLICE)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                ["slice", "part", "counts"])
+
+    def add(pdf):
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
+        return pdf.iloc[:1].assign(counts=[total.tobytes()], part=[int(pdf["part"].iloc[0]) // FAN])
+
+    schema = "slice int, part int, counts binary"
+    sums = docs.select("text").mapInArrow(run, schema)
+    for level in range(3):
+        keys = ["slice"] if level == 2 else ["slice", F.floor(F.col("part") / FAN)]
+        sums = sums.groupBy(*keys).applyInPandas(add, schema)
+    counts = np.zeros(SKETCH, np.int64)
+    for r in sums.collect():  # SKETCH counters in all
+        counts[r["slice"] * SKETCH_SLICE:(r["slice"] + 1) * SKETCH_SLICE] += np.frombuffer(r["counts"], np.int64)
+    mean = counts.mean()
+    return counts > mean + 8 * mean ** 0.5 + HOT_MIN
 
 
 def points(docs: DataFrame) -> DataFrame:
@@ -209,12 +249,11 @@ def points(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, seen = WordHashes(), set()
+        seen = set()
         late = np.unpackbits(np.frombuffer(hot.value, np.uint8)).astype(bool)
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for text in b.column(2).to_pylist():
-                h = shingles(text, known)
+            for h in map(distinct_sorted, shingles(b.column(2).to_pylist())):
                 if not len(h):
                     rows.append((0, None, None, None))
                     continue
@@ -255,27 +294,23 @@ def may_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose sets link, checked on the whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = save(first_docs.join(ends, "class").select("doc_id", "class"), "join-needed")
+    needed = first_docs.join(ends, "class").select(filter_place(["doc_id"]).alias("at"))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(needed))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = WordHashes()
-        for b in batches:
-            kinds, sets = [], []
-            for text in b.column(0).to_pylist():
-                h = shingles(text, known)
-                if len(h):
-                    kinds.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                    sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(sets, pa.binary())], ["class", "hashes"])
-
-    sets = (flag_rows(docs, needed, ["doc_id"], "_needed").where("_needed").select("text").mapInArrow(compute, "class long, hashes binary").join(needed.select("class").distinct(), "class", "left_semi")
-            .dropDuplicates(["class"]))
-    sets = save(sets, "join-sets")
+        for b in slices(b.filter(pa.array(in_filter(bits.value, b.column(0).to_numpy()), pa.bool_())) for b in batches):
+            sets = [h for h in map(distinct_sorted, shingles(b.column(1).to_pylist())) if len(h)]
+            kinds = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())],
+                                             ["class", "hashes"])
+
+    # What the filter lets through without need finds no pair; both joins read one exchange.
+    sets = docs.select(filter_place(["doc_id"]).alias("at"), "text").mapInArrow(compute, "class long, hashes binary").repartition("class")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -284,21 +319,64 @@ def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = pairs.select("a", "b")
-    for side in "ab":
+    for side in "ba":
         whole = whole.join(sets.select(F.col("class").alias(side), F.col("hashes").alias(f"set_{side}")), side)
-    return whole.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return whole.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+
 
+def shared_cells(every: DataFrame) -> DataFrame:
+    """cell, class, hub (the smallest class), k (classes) of the cells of two or more classes.
 
-def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components that meet in a tree and pass its bounds."""
+    Most cells are of one class: only their count is shuffled. Cells that occur
+    again are marked in a fixed-size filter, and only what it lets through is joined.
+    """
+    dealt = every.where("cells IS NOT NULL").select("class", "cells")
+    again = save(dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"),
+                 "join-again")
+    bits = every.sparkSession.sparkContext.broadcast(filter_bits(again.select((F.col("cell") % FILTER_BITS).alias("at"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.column(1)
+            flat = cells.flatten().to_numpy()
+            owners = np.repeat(b.column(0).to_numpy(), cells.value_lengths().to_numpy())
+            keep = in_filter(bits.value, flat % FILTER_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owners[keep])], ["cell", "class"])
+
+    shared = save(dealt.mapInArrow(run, "cell long, class long").join(again, "cell", "left_semi").distinct(), "join-shared")
+    # Written first, here and below: a join of two exchanges, whose hot keys Spark can split.
+    hubs = save(shared.groupBy("cell").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1"), "join-hubs")
+    return save(shared.join(hubs, "cell"), "join-cells")
+
+
+def most_promising(pairs: Iterator[tuple[int, int, float]], few: int) -> Iterator[tuple[int, int, float]]:
+    """Of each point the pairs of the greatest possible similarity."""
+    best: dict[int, list] = {}
+    for i, j, similarity in pairs:
+        for x, y in ((i, j), (j, i)):
+            heap = best.setdefault(x, [])
+            if len(heap) < few:
+                heapq.heappush(heap, (similarity, y))
+            elif heap[0][0] < similarity:
+                heapq.heapreplace(heap, (similarity, y))
+    return ((x, y, similarity) for x, heap in best.items() for similarity, y in heap)
+
+
+def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int | None = None) -> DataFrame:
+    """Pairs (a, b) across components that meet in a tree and pass its bounds.
+
+    ``few``: only the most promising so many of each point in each tree, for a round before the full one.
+    """
     rows = (shared.join(labels, shared["class"] == labels["node"], "left")
             .select("cell", "class", F.coalesce("component", "class").alias("component")))
     open_cells = (rows.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
                   .where("lo <> hi").select("cell", F.ceil(F.col("k") / CELL_ROWS).cast("int").alias("parts")))
+    open_cells = save(open_cells, "join-open")
     rows = rows.join(open_cells, "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .join(known.select("class", "n", "counts"), "class")
-            .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "component", "n", "counts"))
+            .join(known.select("class", "n", "counts", "first"), "class")
+            .select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "component",
+                    "n", "counts", "first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: list[tuple] = []
@@ -307,10 +385,14 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame) -> DataFr
         def flush():
             if len(tree) > 1:
                 tree.sort(key=lambda r: (r[2], r[0]))
-                ids, components, sizes, raw, parts = zip(*tree)
+                ids, components, sizes, raw, parts, first = zip(*tree)
                 apart = np.array(parts) if key[1] != key[2] else None
                 index = CountTree(np.array(sizes), [read_counts(x) for x in raw], np.array(components))
-                for i, j in index.pairs(apart):
+                # A smaller common cell has the pair as well.
+                pairs = (p for p in index.pairs(apart) if not any(c < key[0] for c in first[p[0]] if c in first[p[1]]))
+                if few is not None:
+                    pairs = most_promising(pairs, few)
+                for i, j, _ in pairs:
                     found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
             tree.clear()
 
@@ -320,14 +402,14 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for b in batches:
-            for cell, i, j, part, kind, component, n, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for cell, i, j, part, kind, component, n, counts, first in zip(*(c.to_pylist() for c in b.columns)):
                 if (cell, i, j) != key:
                     flush()
                     key = (cell, i, j)
                     if len(found) > 10_000:
                         yield batch()
                 if not tree or tree[-1][0] != kind:
-                    tree.append((kind, component, n, counts, part))
+                    tree.append((kind, component, n, counts, part, first))
         flush()
         yield batch()
 
@@ -335,30 +417,41 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame) -> DataFr
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose ends are in different components."""
+    for side in "ab":
+        label = labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(label, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs.where("_a <> _b").drop("_a", "_b")
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, class, component (of classes), component_id for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = save(points(docs), "join-points")
     first_docs = save(every.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "join-classes")
-    known = save(every.where("counts IS NOT NULL").select("class", "n", "counts").dropDuplicates(["class"]), "join-counts")
-    dealt = every.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "class")
-    trees = dealt.groupBy("cell").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub <> top").select("cell", "hub")
-    shared = save(dealt.join(trees, "cell").distinct(), "join-cells")
+    known = save(every.where("counts IS NOT NULL").select("class", "n", "counts", F.slice("cells", 1, FIRST).alias("first"))
+                 .dropDuplicates(["class"]), "join-counts")
+    shared = shared_cells(every)
 
     to_hub = shared.where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    best = may_link(to_hub, known).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    to_hub = save(may_link(to_hub, known), "join-hub-pairs")
+    best = to_hub.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = save(verified(save(best, "join-best"), docs, first_docs), "join-links")
     labels = connected_components(links)
-    across = save(tree_pairs(shared.select("cell", "class"), labels, known), "join-across")
-    if not across.isEmpty():
-        more = save(verified(across, docs, first_docs), "join-more")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
+    crowded = shared.where("k > 2").select("cell", "class")
+    for pairs in (lambda: across(to_hub, labels), lambda: tree_pairs(crowded, labels, known, FEW), lambda: tree_pairs(crowded, labels, known)):
+        found = save(pairs().select("a", "b"), "join-pairs")
+        if not found.isEmpty():
+            more = save(verified(found, docs, first_docs), "join-links")
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = connected_components(links)
 
     grouped = first_docs.join(labels, first_docs["class"] == labels["node"], "left").select(
         "class", "doc_id", "copies", F.coalesce("component", "class").alias("component"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("n_group"))
-    ids = grouped.join(ids.where("n_group > 1"), "component").select("class", "component", "component_id", "n_group")
+    ids = grouped.join(save(ids.where("n_group > 1"), "join-ids"), "component").select("class", "component", "component_id", "n_group")
     return every.select("doc_id", "row", "n", "class").join(ids, "class", "left").select(
         "doc_id", "row", F.col("n").alias("n_shingles"), "class", "component",
         F.when(F.col("n_group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -26,14 +26,15 @@ are one document; ties on the first occurrence go to the smaller text hash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import FILTER_BITS, WordHashes, filter_bits, flag_rows, in_filter, mix64, save, table, word_hash_array
+from loglake.llm.common import FILTER_BITS, filter_bits, flag_rows, gram_hashes, hash_words, in_filter, mix64, save, slices, table
 from loglake.llm.components import connected_components
 from loglake.llm.ngram_join import can_link, coarse_counts, tree_pairs
 
@@ -65,44 +66,43 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 BANDS = tune_bands()
 
 
-def cut(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a text and the paragraphs' bounds in words (each end is the next start)."""
-    hashes: list[np.ndarray] = []
+def bounds_of(ends: Iterable[int], hashes: np.ndarray) -> np.ndarray:
+    """The paragraphs' bounds in words, from the words where sentences end."""
     bounds = [0]
-    n = 0
-    words: list[bytes] = []
-    for piece in text.encode().translate(FOLD).split(b"\n") if text else ():
-        found = piece.split()
-        if not found:
-            continue
-        words += found
-        n += len(found)
-        if len(found) > CUT_ABOVE:
-            last = n - len(found)
-            for k, w in enumerate(found[:-1], last + 1):
-                if k - last >= CUT_EVERY and known[w] % CUT_EVERY == 0:
+    last = 0
+    for n in ends:
+        if n - last > CUT_ABOVE:
+            piece = last
+            for k in (np.flatnonzero(hashes[last:n - 1] % np.uint64(CUT_EVERY) == 0) + last + 1).tolist():
+                if k - piece >= CUT_EVERY:
                     bounds.append(k)
-                    last = k
+                    piece = k
         if n - bounds[-1] >= JOIN_BELOW:
             bounds.append(n)
-    if bounds[-1] != n:
-        bounds.append(n)
-    hashes = word_hash_array(words, known)
-    return hashes, np.array(bounds, np.int64)
+        last = n
+    if bounds[-1] != last:
+        bounds.append(last)
+    return np.array(bounds, np.int64)
 
 
-def paragraphs(text: str | None, known: WordHashes) -> dict[str, np.ndarray] | None:
-    """Arrays over the paragraphs of MIN_PARAGRAPH words: start, end (words), class, bands, and the shingles."""
-    h, bounds = cut(text, known)
+def paragraphs(texts: list[str | None]) -> Iterator[dict[str, np.ndarray] | None]:
+    """For each text, arrays over its paragraphs of MIN_PARAGRAPH words: start, end (words), class, bands; and the shingles."""
+    raws = [t.encode().translate(FOLD) if t else b"" for t in texts]
+    words, counts = hash_words(raws)
+    first = 0
+    for raw, total in zip(raws, counts.tolist()):
+        h = words[first:first + total]
+        first += total
+        ends = accumulate(n for p in raw.split(b"\n") if (n := len(p.split())))
+        yield _paragraphs(h, bounds_of(ends, h)) if total >= MIN_PARAGRAPH else None
+
+
+def _paragraphs(h: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray] | None:
     starts, ends = bounds[:-1], bounds[1:]
     big = ends - starts >= MIN_PARAGRAPH
     if not big.any():
         return None
-    grams = np.zeros(len(h) - WIDTH + 1, np.uint64)
-    for i in range(WIDTH):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - WIDTH + 1 + i]
-        grams ^= grams >> np.uint64(29)
-    grams = mix64(grams)
+    grams = gram_hashes(h, WIDTH)
     starts, ends = starts[big], ends[big]
     # Ranges of shingles wholly inside a paragraph: [start, end - WIDTH + 1).
     edges = np.column_stack((starts, ends - WIDTH + 1)).ravel()
@@ -117,11 +117,10 @@ def shared_bands(docs: DataFrame) -> DataFrame:
     """band of every band value found in two or more documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             bands, keys = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (p := paragraphs(text, known)) is not None:
+            for key, p in zip(b.column(0).to_pylist(), paragraphs(b.column(1).to_pylist())):
+                if p is not None:
                     bands.append(np.unique(p["bands"]))
                     keys.append(np.full(len(bands[-1]), key, np.int64))
             if bands:
@@ -136,11 +135,9 @@ def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits(bands.select(F.pmod("band", F.lit(FILTER_BITS)).alias("at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for doc_id, row, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                p = paragraphs(text, known)
+            for doc_id, row, key, p in zip(*(b.column(c).to_pylist() for c in range(3)), paragraphs(b.column(3).to_pylist())):
                 if p is None:
                     continue
                 hit = in_filter(shared.value, p["bands"] % FILTER_BITS).any(axis=1)
@@ -180,14 +177,15 @@ def repeating(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text").alias("key"), "text")
     bands = save(shared_bands(docs), "dedup-bands")
     found = save(candidates(docs, bands), "dedup-paragraphs")
-    sets = save(found.select("class", "n", "counts", "hashes").dropDuplicates(["class"]), "dedup-sets")
+    sets = save(found.select("class", "n", "counts", "hashes", F.array_sort("bands").alias("first")).dropDuplicates(["class"]), "dedup-sets")
     cells = save(found.select(F.explode("bands").alias("cell"), "class").distinct()
                  .join(bands.withColumnRenamed("band", "cell"), "cell", "left_semi"), "dedup-cells")
     hubs = cells.groupBy("cell").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a <> top").select("cell", "a")
+    hubs = save(hubs, "dedup-hubs")  # a join of two exchanges, whose hot keys Spark can split
     pairs = cells.join(hubs, "cell").where("class <> a").select("a", F.col("class").alias("b")).distinct()
     links = save(verified(pairs, sets.select("class", "hashes")), "dedup-links")
     labels = connected_components(links)
-    across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts")), "dedup-across")
+    across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts", "first")), "dedup-across")
     if not across.isEmpty():
         labels = connected_components(links.union(save(verified(across, sets.select("class", "hashes")), "dedup-more")))
     placed = (found.join(labels, found["class"] == labels["node"], "left")
@@ -196,6 +194,7 @@ def repeating(docs: DataFrame) -> DataFrame:
               .agg(F.min("key").alias("lo"), F.max("key").alias("hi"),
                    F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")).alias("first"))
               .where("lo <> hi").select("component", "first"))
+    groups = save(groups, "dedup-groups")
     return placed.join(groups, "component").select(
         "doc_id", "row", "start", "end", "component",
         (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))).alias("first"))
