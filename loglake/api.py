@@ -9,55 +9,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from loglake import schema as S
 from loglake.operators import alerts as AL
 from loglake.operators import cost as CO
 from loglake.operators.sql import run_sql
+from loglake.plans.inspect import cached_bytes, run_measured
+from loglake.sources.files import snapshot
 from loglake.sources.lake import read_logs, registered_only
+from loglake.sources.tables import get_domains
 from loglake.session import ensure_utc
 
 
 class LogLake:
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
-                 domains: list[str] | None = None, cache_ttl: float = 300.0):
+                 domains: list[str] | None = None, cache_ttl: float = 300.0, history_path: str | None = None,
+                 cache_bytes: int = S.CACHE_MAX_BYTES, table: tuple[str, str] | None = None):
         # A session of its own (same SparkContext): its ``logs`` temp view and
         # settings never clash with the caller's or another LogLake's.
         self.spark = ensure_utc(spark.newSession())
-        self.path, self.fmt, self.domains = path, fmt, domains
-        self.history = CO.QueryHistory()
-        self.cache = CO.ResultCache(cache_ttl)
-
-    def logs(self) -> DataFrame:
-        df = read_logs(self.spark, self.path, self.fmt)
+        self.path, self.fmt = path, fmt
+        # ``table`` (database, name): the registered domains are its property.
+        self.domains = get_domains(self.spark, *table) if table and domains is None else domains
+        self.history = CO.QueryHistory(self.spark, history_path or path.rstrip("/") + "-history")
+        self.cache = CO.ResultCache(cache_ttl, max_bytes=cache_bytes)
+
+    def logs(self, options: dict | None = None) -> DataFrame:
+        df = read_logs(self.spark, self.path, self.fmt, options=options)
         return registered_only(df, self.domains) if self.domains is not None else df
 
-    def _snapshot(self) -> str | None:
-        """The lake's version stamp (bumped by every loglake write): a write
-        changes the cache key without listing the lake's files."""
-        from loglake.sources.lake import lake_version
-        return lake_version(self.spark, self.path)
-
     def query(self, sql: str, args: dict | None = None) -> DataFrame:
         """Run SQL over ``logs``; record the bytes its scans selected and the
         cost; serve repeats from the cache for ``cache_ttl`` seconds (a hit is
-        free and not recorded). The result is persisted and computed once."""
-        from loglake.plans.inspect import run_measured
-
-        key = (sql, tuple(sorted((args or {}).items())), self._snapshot())
+        free and not recorded). A hit needs the same files in the lake, whoever wrote
+        them. Results above the cache's bytes are not kept."""
+        key = (sql, tuple(sorted((args or {}).items())), snapshot(self.spark, self.path, self.fmt))
         hit = self.cache.get(key)
         if hit is not None:
             return hit
-        df = self.cache.put(key, run_sql(self.spark, self.logs(), sql, args))
+        # A read of its own: Spark must not answer it from another result it holds.
+        df = run_sql(self.spark, self.logs({"loglake.read": uuid.uuid4().hex}), sql, args).persist()
         self.history.append(sql, run_measured(df)["scanned_bytes"])
-        return df
+        return self.cache.put(key, df, cached_bytes(df))
 
     def cost_totals(self) -> DataFrame:
-        return CO.cost_totals(self.history.frame(self.spark))
+        return CO.cost_totals(self.history.frame())
 
     def cost_report(self) -> DataFrame:
-        return CO.cost_report(self.history.frame(self.spark))
+        return CO.cost_report(self.history.frame())
 
     def check_alerts(self, rules: DataFrame, as_of=None, keyword_mode: str = "contains") -> DataFrame:
         import datetime as _dt

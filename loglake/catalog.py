@@ -20,7 +20,9 @@ from loglake.operators import cost as CO
 from loglake.operators import ingest as I
 from loglake.operators import queries as Q
 from loglake.operators import retention as RT
+from loglake.sources import files as FL
 from loglake.sources import lake as L
+from loglake.sources import tables as TB
 from loglake.sources.envelopes import read_envelopes
 from loglake.streaming import alerts as SA
 from loglake.streaming import ingest as SI
@@ -182,34 +184,51 @@ def _decoded(spark, sf_dir):
 
 
 INGEST_COLS = "domain, log_group, log_stream, \"timestamp\", message"
+# Rows the envelope files hold: all logs and the odd but valid records (FX.odd_records).
+_T = "make_timestamp(t * 1000)"
+_ODD = f"""strftime({_T}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "timestamp", message,
+           strftime({_T}, '%Y') AS year, strftime({_T}, '%m') AS month, strftime({_T}, '%d') AS day"""
+INGEST_CTE = f"""first AS (SELECT log_group, domain, min(epoch_ms) AS t FROM logs GROUP BY log_group, domain),
+ingested AS (
+  SELECT domain, log_group, log_stream, "timestamp", message, year, month, day FROM logs
+  UNION ALL SELECT 'unknown', '', '', {_ODD} FROM first, (SELECT '' AS message)
+  UNION ALL SELECT domain, log_group, 's', {_ODD} FROM first, (VALUES ('fraction'), ('padded')) AS v(message))"""
 
 
-@register("decode_envelopes", with_logs(f"SELECT {INGEST_COLS} FROM logs"))
+def with_ingested(sql: str) -> str:
+    return f"WITH {LOGS_CTE},\n{INGEST_CTE}\n{sql}"
+
+
+@register("decode_envelopes", with_ingested(f"SELECT {INGEST_COLS} FROM ingested"))
 def _decode_envelopes(spark, sf_dir):
     rows, _ = _decoded(spark, sf_dir)
     return Q.display(rows.select("domain", "log_group", "log_stream", "timestamp", "message"))
 
 
-@register("disposition_counts", with_logs("""
-    SELECT 'Ok' AS disposition, count(*) AS records FROM logs
-    UNION ALL SELECT 'Dropped', count(DISTINCT log_group) FROM logs
-    UNION ALL SELECT 'ProcessingFailed', count(*) FROM (SELECT DISTINCT log_group, log_stream FROM logs)"""))
+DISPOSITION_SQL = """
+    SELECT 'Ok' AS disposition, count(*) AS records FROM ingested
+    UNION ALL SELECT 'Dropped', 2 * count(*) FROM first
+    UNION ALL SELECT 'ProcessingFailed', (SELECT count(*) FROM (SELECT DISTINCT log_group, log_stream FROM logs))
+                                         + 4 * (SELECT count(*) FROM first)"""
+
+
+@register("disposition_counts", with_ingested(DISPOSITION_SQL))
 def _disposition_counts(spark, sf_dir):
     _, parsed = _decoded(spark, sf_dir)
     return I.disposition_counts(parsed)
 
 
-@register("derive_partitions", with_logs(
-    "SELECT domain, log_group, message, year, month, day FROM logs"))
+@register("derive_partitions", with_ingested(
+    "SELECT domain, log_group, message, year, month, day FROM ingested"))
 def _derive_partitions(spark, sf_dir):
     rows, _ = _decoded(spark, sf_dir)
     return rows.select("domain", "log_group", "message", "year", "month", "day")
 
 
-@register("to_json_line", with_logs(
+@register("to_json_line", with_ingested(
     """SELECT CAST(json_object('domain', domain, 'log_group', log_group, 'log_stream', log_stream,
                            'timestamp', "timestamp", 'message', message) AS VARCHAR) AS value
-       FROM logs"""))
+       FROM ingested"""))
 def _to_json_line(spark, sf_dir):
     rows, _ = _decoded(spark, sf_dir)
     return I.to_json_line(rows)
@@ -253,7 +272,8 @@ def _scan_parquet(spark, sf_dir):
 
 @register("scan_json", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
 def _scan_json(spark, sf_dir):
-    return _full_table(FX.lake(spark, sf_dir, "json"))
+    FX.lake(spark, sf_dir, "json")
+    return _full_table(L.read_logs(spark, FX.lake_path(spark, sf_dir, "json"), "json", case_insensitive=False))
 
 
 @register("scan_json_any_case", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
@@ -263,26 +283,35 @@ def _scan_json_any_case(spark, sf_dir):
                                    case_insensitive=True))
 
 
-@register("scan_bare_layout", with_logs(
-    f"SELECT {TABLE_SELECT} FROM logs WHERE domain IN ('payment', 'auth')"))
+@register("scan_bare_layout", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
 def _scan_bare_layout(spark, sf_dir):
     from loglake.session import ensure_utc
 
     ensure_utc(spark)
-    df = L.read_bare_layout(spark, FX.bare_lake_path(spark, sf_dir), "json")
-    return _full_table(df.where(F.col("domain").isin("payment", "auth")))
+    return _full_table(L.read_bare_layout(spark, FX.bare_lake_path(spark, sf_dir), "json"))
+
+
+@register("scan_bare_layout_pruned", with_logs(
+    f"""SELECT {TABLE_SELECT} FROM logs WHERE domain IN ('payment', 'auth')
+        AND year || '-' || month || '-' || day BETWEEN '2024-01-10' AND '2024-01-20'"""))
+def _scan_bare_layout_pruned(spark, sf_dir):
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    return _full_table(L.read_bare_layout(spark, FX.bare_lake_path(spark, sf_dir), "json",
+                                          ["payment", "auth"], ("2024-01-10", "2024-01-20")))
 
 
 def _roundtrip(spark, sf_dir, fmt):
     rows, _ = _decoded(spark, sf_dir)
-    path = FX.derived_path(spark, sf_dir, f"ingested_{fmt}")
-    FX.materialise(spark, path, lambda p: L.write_logs(rows, p, fmt, mode="overwrite"))
+    path = FX.result_path(spark, f"ingested_{fmt}")
+    L.write_logs(rows, path, fmt, mode="overwrite")
     back = L.read_logs(spark, path, fmt)
     return Q.display(back.select("domain", "log_group", "log_stream", "timestamp", "message",
                                  "year", "month", "day"))
 
 
-_RT_SQL = with_logs(f"SELECT {INGEST_COLS}, year, month, day FROM logs")
+_RT_SQL = with_ingested(f"SELECT {INGEST_COLS}, year, month, day FROM ingested")
 
 
 @register("roundtrip_json", _RT_SQL)
@@ -311,10 +340,14 @@ def _partition_rows(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"))
 
 
-@register("partition_inventory")
+@register("partition_inventory", with_logs(
+    """SELECT domain, year, month, day, count(*) AS rows, true AS has_files
+       FROM logs GROUP BY domain, year, month, day"""))
 def _partition_inventory(spark, sf_dir):
-    FX.lake(spark, sf_dir, "parquet")
-    return L.partition_inventory(spark, FX.lake_path(spark, sf_dir, "parquet"), "parquet")
+    """The file listing next to the rows; a test checks files and bytes by a walk."""
+    found = FL.partition_inventory(spark, FX.lake_path(spark, sf_dir, "parquet"), "parquet")
+    return _partition_rows(spark, sf_dir).join(found, list(S.PARTITION_COLUMNS), "full").select(
+        *S.PARTITION_COLUMNS, "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("has_files"))
 
 
 @register("sql_passthrough", with_logs(
@@ -338,7 +371,7 @@ def _sql_str(v) -> str:
 
 
 def _sql_num(v) -> str:
-    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
 _BASE_RULES_SQL = "SELECT * FROM (VALUES " + ", ".join(
@@ -353,21 +386,24 @@ derived_rules AS (
          CAST(1440.0 AS DOUBLE) AS period_minutes
   FROM (SELECT DISTINCT domain, level FROM logs WHERE level IS NOT NULL)),
 rules AS (
-  SELECT * FROM base_rules WHERE name NOT IN (SELECT name FROM derived_rules)
-  UNION ALL SELECT * FROM derived_rules),
+  SELECT * FROM (
+    SELECT * FROM base_rules WHERE name NOT IN (SELECT name FROM derived_rules)
+    UNION ALL SELECT * FROM derived_rules)
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY domain, level NULLS FIRST, keyword NULLS FIRST, threshold, period_minutes) = 1),
 checked AS (
   SELECT *, CASE
     WHEN name IS NULL OR name = '' THEN 'name is required'
     WHEN domain IS NULL OR domain = '' THEN 'domain is required'
     WHEN threshold IS NULL OR threshold < 0 THEN 'threshold must be a number >= 0'
-    WHEN period_minutes IS NULL OR period_minutes <= 0 THEN 'period_minutes must be a number > 0'
+    WHEN period_minutes IS NULL OR isnan(period_minutes) OR period_minutes * 60000 < 1 THEN 'period_minutes must be a number > 0'
+    WHEN period_minutes > 5256000.0 THEN 'period_minutes must be at most ten years'
   END AS error FROM rules),
 hits AS (
   SELECT r.name, count(*) AS cnt FROM logs l JOIN checked r
     ON r.error IS NULL AND l.domain = r.domain
    AND (NULLIF(trim(r.level), '') IS NULL OR l.level = r.level)
    AND (NULLIF(trim(r.keyword), '') IS NULL OR contains(l.message, r.keyword))
-   AND l.ts_ms >= {AS_OF_TS} - to_microseconds(CAST(r.period_minutes * 60000000 AS BIGINT))
+   AND l.ts_ms >= {AS_OF_TS} - to_microseconds(TRY_CAST(r.period_minutes * 60000000 AS BIGINT))
   GROUP BY r.name),
 status AS (
   SELECT r.name, r.domain, r.level, r.keyword, r.threshold, r.period_minutes,
@@ -435,6 +471,21 @@ def _rules_upsert(spark, sf_dir):
     return _rules(spark, sf_dir)
 
 
+_REMOVED = "SELECT DISTINCT domain || '-error-daily' AS name FROM logs"
+
+
+@register("rules_remove", with_rules(
+    f"SELECT name, domain, level, keyword, threshold, period_minutes FROM rules WHERE name NOT IN ({_REMOVED})"))
+def _rules_remove(spark, sf_dir):
+    names = FX.logs(spark, sf_dir).select(F.concat("domain", F.lit("-error-daily")).alias("name")).distinct()
+    return AL.remove_rules(_rules(spark, sf_dir), names)
+
+
+@register("rules_list", with_rules("SELECT name, domain, level, keyword, threshold, period_minutes, error FROM checked"))
+def _rules_list(spark, sf_dir):
+    return AL.list_rules(_rules(spark, sf_dir))
+
+
 @register("rules_invalid", with_rules("SELECT name, error FROM checked WHERE error IS NOT NULL"))
 def _rules_invalid(spark, sf_dir):
     return AL.invalid_rules(_rules(spark, sf_dir))
@@ -500,7 +551,8 @@ HIST_CTE = """hist AS (
   SELECT 'SELECT * FROM logs WHERE domain = ''' || domain || ''' AND year = ''' || year
            || ''' AND month = ''' || month || ''' AND day = ''' || day || '''' AS sql,
          CAST(sum(coalesce(strlen(level), 0) + coalesce(strlen(service), 0) + coalesce(strlen(message), 0)
-                  + coalesce(strlen(trace_id), 0) + 24) AS BIGINT) AS scanned_bytes,
+                  + coalesce(strlen(trace_id), 0) + coalesce(strlen(log_group), 0)
+                  + coalesce(strlen(log_stream), 0) + 24) AS BIGINT) AS scanned_bytes,
          strftime(max(ts_ms), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "timestamp"
   FROM logs GROUP BY domain, year, month, day),
 priced AS (SELECT *, CAST(scanned_bytes AS DOUBLE) * (5.0 / 1099511627776.0) AS cost FROM hist)"""
@@ -537,74 +589,264 @@ def _cost_report(spark, sf_dir):
     return CO.cost_report(_history(spark, sf_dir))
 
 
-@register("retention_plan", with_logs(
-    f"""SELECT domain, year, month, day, age_days,
+@register("query_history", with_logs(
+    """SELECT row_number() OVER (ORDER BY domain) AS n,
+         'SELECT count(*) AS cnt FROM logs WHERE domain = ''' || domain || '''' AS sql, true AS charged
+       FROM (SELECT DISTINCT domain FROM logs)"""))
+def _query_history(spark, sf_dir):
+    """Real queries through the facade, one per domain and each twice: the history
+    has every first run in order, with the bytes its scan read; repeats are free."""
+    from loglake.api import LogLake
+
+    path = FX.lake_path(spark, sf_dir, "parquet")
+    lake = LogLake(spark, path, history_path=FX.result_path(spark, "history"))
+    domains = FL.list_files(spark, path).select("domain").distinct().orderBy("domain")
+    for r in domains.collect():  # the lake's few top-level directories
+        sql = f"SELECT count(*) AS cnt FROM logs WHERE domain = '{r['domain']}'"
+        lake.query(sql)
+        lake.query(sql)
+    return lake.history.frame().select("n", "sql", (F.col("scanned_bytes") > 0).alias("charged"))
+
+
+TIER_SQL = f"""SELECT domain, year, month, day, age_days,
          CASE WHEN age_days >= {FX.RETENTION_DAYS} THEN 'expired'
               WHEN age_days >= {FX.ARCHIVE_DAYS} THEN 'archive' ELSE 'hot' END AS tier
        FROM (SELECT DISTINCT domain, year, month, day,
                CAST(date_diff('day', make_date(CAST(year AS BIGINT), CAST(month AS BIGINT), CAST(day AS BIGINT)),
-                              DATE '{AS_OF[:10]}') AS INTEGER) AS age_days FROM logs)"""))
+                              DATE '{AS_OF[:10]}') AS INTEGER) AS age_days FROM logs)"""
+
+
+@register("retention_plan", with_logs(TIER_SQL))
 def _retention_plan(spark, sf_dir):
-    return RT.retention_plan(parquet_lake(spark, sf_dir), AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
+    listing = FL.list_files(spark, FX.lake_path(spark, sf_dir, "parquet"))
+    return RT.retention_plan(listing, AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
+
+
+def _aged_lake(spark, sf_dir):
+    """A lake of its own and its archive after retention ran, late rows came, and it ran again."""
+    base = FX.result_path(spark, "retention")
+    hot, cold = f"{base}/hot", f"{base}/archive"
+    logs = FX.logs(spark, sf_dir)
+    late = F.col("event_id") % 10 == 3
+    for part in (logs.where(~late), logs.where(late)):
+        L.write_logs(part, hot, "parquet")
+        plan = RT.retention_plan(FL.list_files(spark, hot), AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
+        RT.apply_retention(spark, hot, plan, archive_root=cold, dry_run=False)
+    return hot, cold
+
+
+@register("retention_apply", with_logs(
+    f"""SELECT {TABLE_SELECT} FROM logs l JOIN ({TIER_SQL}) p USING (domain, year, month, day) WHERE tier = 'hot'"""))
+def _retention_apply(spark, sf_dir):
+    return _full_table(L.read_logs(spark, _aged_lake(spark, sf_dir)[0]))
 
 
-@register("scan_bytes")
+@register("archive_scan", with_logs(
+    f"""SELECT {TABLE_SELECT} FROM logs l JOIN ({TIER_SQL}) p USING (domain, year, month, day) WHERE tier = 'archive'"""))
+def _archive_scan(spark, sf_dir):
+    return _full_table(L.read_logs(spark, _aged_lake(spark, sf_dir)[1]))
+
+
+@register("archive_expire", with_logs(
+    f"""SELECT domain, count(*) AS cnt FROM logs l JOIN ({TIER_SQL}) p USING (domain, year, month, day)
+        WHERE tier = 'archive' AND age_days < 10 GROUP BY domain"""))
+def _archive_expire(spark, sf_dir):
+    cold = _aged_lake(spark, sf_dir)[1]
+    RT.expire_archive(spark, cold, AS_OF, 10, dry_run=False)
+    return L.read_logs(spark, cold).groupBy("domain").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("retention_off", with_logs(f"SELECT * FROM ({TIER_SQL}) WHERE false"))
+def _retention_off(spark, sf_dir):
+    return RT.retention_plan(FL.list_files(spark, FX.lake_path(spark, sf_dir, "parquet")), AS_OF, None)
+
+
+@register("scan_bytes", with_logs(
+    """SELECT 'payment 2024-01-15' AS scope, count(*) > 0 AS reads_files, false AS reads_all FROM logs
+        WHERE domain = 'payment' AND year = '2024' AND month = '01' AND day = '15'
+       UNION ALL SELECT 'whole lake', true, true"""))
 def _scan_bytes(spark, sf_dir):
-    """Files and bytes a domain-day query reads, pruned, next to the whole lake."""
-    lk = parquet_lake(spark, sf_dir)
-    pruned = CO.files_scanned(lk.where((F.col("domain") == "payment") & (F.col("year") == "2024")
-                                       & (F.col("month") == "01") & (F.col("day") == "15")))
-    full = CO.files_scanned(lk)
-    return (pruned.select(F.lit("payment 2024-01-15").alias("scope"), "*")
-            .unionByName(full.select(F.lit("whole lake").alias("scope"), "*")))
+    """Bytes a domain-day query reads, next to the whole lake; a test checks them by a walk."""
+    path = FX.lake_path(spark, sf_dir, "parquet")
+    day = (F.col("domain") == "payment") & (F.col("year") == "2024") & (F.col("month") == "01") & (F.col("day") == "15")
+    total = FL.scan_estimate(spark, path).select(F.col("scanned_bytes").alias("total"))
+    both = (FL.scan_estimate(spark, path, predicate=day).select(F.lit("payment 2024-01-15").alias("scope"), "*")
+            .unionByName(FL.scan_estimate(spark, path).select(F.lit("whole lake").alias("scope"), "*")))
+    return both.join(total, F.col("scanned_bytes") <= F.col("total")).select(  # a total of one row
+        "scope", (F.col("scanned_bytes") > 0).alias("reads_files"), (F.col("scanned_bytes") == F.col("total")).alias("reads_all"))
+
+
+# ---- A / C: catalog table, saved results, checks ---------------------------------------
+
+
+def _table_name() -> tuple[str, str]:
+    import uuid
+
+    return "loglake_check", f"logs_{uuid.uuid4().hex[:12]}"
+
+
+@register("table_scan", with_ingested(f"SELECT {INGEST_COLS}, year, month, day FROM ingested"))
+def _table_scan(spark, sf_dir):
+    """A catalog table over a streamed lake."""
+    lake_p, _, _ = _streamed_lake(spark, sf_dir)
+    name = _table_name()
+    TB.create_log_table(spark, *name, lake_p)
+    return Q.display(TB.read_table(spark, *name, registered_only=False).select(
+        "domain", "log_group", "log_stream", "timestamp", "message", "year", "month", "day"))
+
+
+@register("mixed_lake", with_ingested(
+    """SELECT domain, count(*) AS cnt FROM (SELECT domain FROM ingested UNION ALL SELECT domain FROM logs) GROUP BY domain"""))
+def _mixed_lake(spark, sf_dir):
+    """A stream and a batch writer on one path, read through the path and a table."""
+    lake_p, _, _ = _streamed_lake(spark, sf_dir)
+    L.write_logs(FX.logs(spark, sf_dir), lake_p, "parquet")
+    name = _table_name()
+    TB.create_log_table(spark, *name, lake_p)
+    by_table = Q.count_by_domain(TB.read_table(spark, *name, registered_only=False))
+    return by_table.join(Q.count_by_domain(L.read_logs(spark, lake_p)), ["domain", "cnt"], "left_semi")
+
+
+@register("table_lifecycle", with_logs(
+    f"SELECT domain, count(*) AS cnt FROM logs WHERE domain IN ({', '.join(repr(d) for d in FX.DOMAINS[:3])}) GROUP BY domain"))
+def _table_lifecycle(spark, sf_dir):
+    """Create, list, drop (data stays), recreate with other registered domains, read those."""
+    path, name = FX.lake_path(spark, sf_dir, "parquet"), _table_name()
+    TB.create_log_table(spark, *name, path, domains=FX.DOMAINS)
+    TB.create_log_table(spark, *name, path)
+    assert name[1] in TB.list_tables(spark, name[0])
+    TB.drop_log_table(spark, *name)
+    TB.recreate_log_table(spark, *name, path, domains=FX.DOMAINS)
+    TB.set_domains(spark, *name, FX.DOMAINS[:3])
+    return Q.count_by_domain(TB.read_table(spark, *name))
+
+
+@register("table_sync", with_logs("SELECT domain, count(*) AS cnt FROM logs GROUP BY domain"))
+def _table_sync(spark, sf_dir):
+    """Partitions that are written after the table was made, registered by a sync."""
+    path, name = FX.result_path(spark, "sync"), _table_name()
+    logs = FX.logs(spark, sf_dir)
+    L.write_logs(logs.where("event_id % 2 = 0"), path)
+    TB.create_log_table(spark, *name, path)
+    L.write_logs(logs.where("event_id % 2 = 1"), path)
+    TB.sync_partitions(spark, *name)
+    return Q.count_by_domain(TB.read_table(spark, *name, registered_only=False))
+
+
+@register("saved_result", with_logs("SELECT domain, level, count(*) AS cnt FROM logs GROUP BY domain, level"))
+def _saved_result(spark, sf_dir):
+    path = FX.result_path(spark, "saved")
+    L.save_result(parquet_lake(spark, sf_dir).groupBy("domain", "level").agg(F.count(F.lit(1)).alias("cnt")), path)
+    return spark.read.option("header", True).schema("domain string, level string, cnt long").csv(path)
+
+
+@register("quarantine_batch", with_ingested(
+    """SELECT reason, count(*) AS cnt FROM (
+         SELECT 'not gzip or not UTF-8' AS reason FROM (SELECT DISTINCT log_group, log_stream FROM logs)
+         UNION ALL SELECT 'not JSON' FROM first, (SELECT unnest(range(4)))) GROUP BY reason"""))
+def _quarantine_batch(spark, sf_dir):
+    _, parsed = _decoded(spark, sf_dir)
+    path = FX.result_path(spark, "quarantine")
+    L.write_quarantine(parsed, path)
+    return (spark.read.schema("record_id string, data string, reason string").json(path)
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+@register("safe_literals", with_logs(
+    """SELECT level, count(*) AS cnt FROM logs WHERE message LIKE '%"k"%' AND domain <> 'x'' OR ''1''=''1' GROUP BY level"""))
+def _safe_literals(spark, sf_dir):
+    from loglake.operators.sql import run_sql
+
+    return run_sql(spark, parquet_lake(spark, sf_dir),
+                   "SELECT level, count(*) AS cnt FROM logs WHERE message LIKE :m AND domain <> :d GROUP BY level",
+                   {"m": '%"k"%', "d": "x' OR '1'='1"})
+
+
+@register("empty_result", with_logs("SELECT domain, level, count(*) AS cnt FROM logs WHERE domain = 'none' GROUP BY domain, level"))
+def _empty_result(spark, sf_dir):
+    return Q.count_by_level(parquet_lake(spark, sf_dir), "none").select("domain", "level", "cnt")
+
+
+@register("pruning_check", with_logs(
+    """SELECT 'domain' AS query, true AS pruned, count(*) AS cnt FROM logs WHERE domain = 'user'
+       UNION ALL SELECT 'not null', false, count(*) FROM logs
+       UNION ALL SELECT 'one of two', false, count(*) + count(*) FILTER (WHERE domain = 'user') FROM logs"""))
+def _pruning_check(spark, sf_dir):
+    import warnings
+
+    from loglake.plans.inspect import check_pruned
+
+    logs = parquet_lake(spark, sf_dir).select("domain", "level")
+    user = logs.where("domain = 'user'")
+    out = None
+    for name, df in (("domain", user), ("not null", logs.where("domain IS NOT NULL")), ("one of two", logs.unionByName(user))):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            pruned = check_pruned(df)
+        row = df.agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(name).alias("query"), F.lit(pruned).alias("pruned"), "cnt")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("compacted_lake", with_logs(f"SELECT {TABLE_SELECT} FROM logs"))
+def _compacted_lake(spark, sf_dir):
+    """A lake of several small writes after its closed days were compacted."""
+    path = FX.result_path(spark, "compacted")
+    logs = FX.logs(spark, sf_dir)
+    for k in range(3):
+        L.write_logs(logs.where(F.col("event_id") % 3 == k), path)
+    RT.compact(spark, path, AS_OF[:10])
+    return _full_table(L.read_logs(spark, path))
 
 
 # ---- L: streaming ---------------------------------------------------------------------
 
 
 def _streamed_lake(spark, sf_dir):
-    """Run the streaming ingest once over the envelope files (availableNow)."""
+    """Run the streaming ingest once over the envelope files (availableNow):
+    lake, quarantine and audit paths."""
     from loglake.session import ensure_utc
 
     ensure_utc(spark)
     src = FX.envelopes_path(spark, sf_dir)
-    base = FX.derived_path(spark, sf_dir, "stream_ingest")
-    lake_p, q_p, ck = base + "/lake", base + "/quarantine", base + "/_checkpoint"
-
-    def run(_):
-        q = SI.start_ingest(spark, src, lake_p, ck, lambda: FX.connections(spark),
-                            quarantine_path=q_p, trigger={"availableNow": True})
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-
-    FX.materialise(spark, base, run)
-    return L.read_logs(spark, lake_p, "parquet"), q_p
+    base = FX.result_path(spark, "stream_ingest")
+    q = SI.start_ingest(spark, src, base + "/lake", base + "/_checkpoint", lambda: FX.connections(spark),
+                        quarantine_path=base + "/quarantine", trigger={"availableNow": True}, audit_path=base + "/audit")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return base + "/lake", base + "/quarantine", base + "/audit"
 
 
 @register("stream_ingest", _RT_SQL)
 def _stream_ingest(spark, sf_dir):
-    lk, _ = _streamed_lake(spark, sf_dir)
+    lk = L.read_logs(spark, _streamed_lake(spark, sf_dir)[0])
     return Q.display(lk.select("domain", "log_group", "log_stream", "timestamp", "message",
                                "year", "month", "day"))
 
 
-@register("stream_quarantine", with_logs(
+@register("stream_audit", with_ingested(DISPOSITION_SQL))
+def _stream_audit(spark, sf_dir):
+    audit = SI.read_audit(spark, _streamed_lake(spark, sf_dir)[2])
+    return audit.groupBy("disposition").agg(F.sum("records").cast("long").alias("records"))
+
+
+@register("stream_quarantine", with_ingested(
     """SELECT DISTINCT 'truncated:' || log_group || ':' || log_stream || ':' || CAST(min(event_id // 256)
          OVER (PARTITION BY log_group, log_stream) AS VARCHAR) AS record_id,
-         'not gzip or not UTF-8' AS reason FROM logs"""))
+         'not gzip or not UTF-8' AS reason FROM logs
+       UNION ALL SELECT kind || ':' || log_group, 'not JSON'
+         FROM first, (VALUES ('trailing'), ('twice'), ('quotes'), ('array')) AS k(kind)"""))
 def _stream_quarantine(spark, sf_dir):
-    _, q_p = _streamed_lake(spark, sf_dir)
-    return spark.read.schema("record_id string, data string, reason string, ingest_batch int") \
-        .json(q_p).select("record_id", "reason")
+    return SI.read_quarantine(spark, _streamed_lake(spark, sf_dir)[1]).select("record_id", "reason")
 
 
 WINDOW_SQL = """SELECT name, strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_start,
          strftime(make_timestamp(s + span), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_end,
          cnt, threshold, cnt > threshold AS exceeded
-  FROM (SELECT r.name, r.threshold, CAST(r.period_minutes * 60000000 AS BIGINT) AS span,
-               CAST(floor(epoch_us(l.ts_ms) / CAST(r.period_minutes * 60000000 AS BIGINT)) AS BIGINT)
-                 * CAST(r.period_minutes * 60000000 AS BIGINT) AS s,
+  FROM (SELECT r.name, r.threshold, TRY_CAST(r.period_minutes * 60000000 AS BIGINT) AS span,
+               CAST(floor(epoch_us(l.ts_ms) / TRY_CAST(r.period_minutes * 60000000 AS BIGINT)) AS BIGINT)
+                 * TRY_CAST(r.period_minutes * 60000000 AS BIGINT) AS s,
                count(*) AS cnt
         FROM logs l JOIN checked r
           ON r.error IS NULL AND l.domain = r.domain
@@ -625,22 +867,18 @@ STREAM_WINDOW_SQL = WINDOW_SQL.replace(
 
 @register("stream_alerts", with_rules(STREAM_WINDOW_SQL))
 def _stream_alerts(spark, sf_dir):
-    """Closed windows from the streaming alert job over the lake files."""
+    """Closed windows from the streaming alert job over the lake files, which come in
+    no order of time and a fifth of them per micro-batch."""
     from loglake.session import ensure_utc
 
     ensure_utc(spark)
     lake_p = FX.lake_path(spark, sf_dir, "parquet")
-    base = FX.derived_path(spark, sf_dir, "stream_alerts")
-    out, ck = base + "/out", base + "/_checkpoint"
-
-    def run(_):
-        stream = spark.readStream.schema(S.LOGS_PARQUET).parquet(lake_p)
-        q = SA.start_alerts(SA.stream_alerts(stream, _rules(spark, sf_dir), watermark="0 seconds"),
-                            out, ck, trigger={"availableNow": True},
-                            state_partitions=spark.sparkContext.defaultParallelism)
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-
-    FX.materialise(spark, base, run)
-    return spark.read.parquet(out)
+    base = FX.result_path(spark, "stream_alerts")
+    files = FL.list_files(spark, lake_p).count()
+    rules = _rules(spark, sf_dir)
+    stream = (spark.readStream.schema(S.LOGS_PARQUET).option("maxFilesPerTrigger", max(1, -(-files // 5))).parquet(lake_p))
+    q = SA.start_alerts(stream, lambda: rules, base + "/out", base + "/_checkpoint", trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return SA.closed_windows(spark, base + "/out")

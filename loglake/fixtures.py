@@ -10,14 +10,15 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
-from loglake.functions.codec import gzip_base64
+from loglake.functions.codec import gzip_base64, gzip_base64_padded
 from loglake.operators.joins import local_table
-from loglake.session import ensure_utc, path_exists, scratch_path, write_text
+from loglake.session import ensure_utc, path_exists, path_status, scratch_path, write_text
 
 # ---- fixed values ----------------------------------------------------------
 # Registered domains (the default domain set).
@@ -54,6 +55,9 @@ BASE_RULES = [
     ("zero-period", "order", None, None, 5.0, 0.0),
     ("no-domain", "", "ERROR", None, 1.0, 60.0),
     ("payment-error-daily", "payment", "ERROR", None, 5.0, 1440.0),
+    ("endless-period", "user", None, None, 1.0, float("inf")),
+    ("twice-named", "auth", "INFO", None, 2.0, 1440.0),
+    ("twice-named", "auth", "WARN", None, 2.0, 1440.0),
 ]
 # ---------------------------------------------------------------------------
 
@@ -143,9 +147,8 @@ def encode_envelopes(lg: DataFrame, with_faults: bool = True) -> DataFrame:
     """Delivery records (record_id, data) carrying every row of ``lg``.
 
     Envelopes hold at most EVENTS_PER_ENVELOPE events, so no group grows with
-    a hot log group. With ``with_faults`` each log group also sends one
-    control message (Dropped) and each stream one truncated payload
-    (ProcessingFailed).
+    a hot log group. With ``with_faults`` each stream sends one truncated payload
+    and each log group one record of every kind in ``odd_records``.
     """
     chunk = F.floor(F.col("event_id") / EVENTS_PER_ENVELOPE)
     env = (lg.groupBy("log_group", "log_stream", chunk.alias("chunk"))
@@ -158,21 +161,47 @@ def encode_envelopes(lg: DataFrame, with_faults: bool = True) -> DataFrame:
         gzip_base64(_envelope_json(F.col("log_group"), F.col("log_stream"), F.col("events"))).alias("data"))
     if not with_faults:
         return data
-    control = (lg.groupBy("log_group").agg(F.min("epoch_ms").alias("t"))
-               .select(F.concat_ws(":", F.lit("control"), "log_group").alias("record_id"),
-                       gzip_base64(_envelope_json(
-                           F.lit(""), F.lit(""),
-                           F.array(F.struct(F.lit("").alias("id"), F.col("t").alias("timestamp"),
-                                            F.lit("CONTROL MESSAGE: checking health of destination")
-                                            .alias("message"))),
-                           message_type="CONTROL_MESSAGE")).alias("data")))
     truncated = (env.groupBy("log_group", "log_stream").agg(F.min("chunk").alias("chunk"))
                  .join(data.withColumnRenamed("record_id", "rid"),
                        F.col("rid") == F.concat_ws(":", "log_group", "log_stream",
                                                    F.col("chunk").cast("string")))
                  .select(F.concat_ws(":", F.lit("truncated"), "rid").alias("record_id"),
                          F.substring("data", 1, 40).alias("data")))
-    return data.unionByName(control).unionByName(truncated)
+    return data.unionByName(truncated).unionByName(odd_records(lg))
+
+
+def odd_records(lg: DataFrame) -> DataFrame:
+    """Per log group, with t its first event time: a control message and an envelope
+    without events (Dropped); text behind the envelope, two envelopes, single quotes and an
+    array root (ProcessingFailed); missing fields, a timestamp with a fraction and zero
+    padding behind the payload (Ok, one event each)."""
+    first = lg.groupBy("log_group").agg(F.min("epoch_ms").alias("t"))
+    group, stream = F.col("log_group"), F.lit("s")
+
+    def event(message):
+        return F.array(F.struct(F.lit("1").alias("id"), F.col("t").alias("timestamp"), F.lit(message).alias("message")))
+
+    def envelope(message):
+        return _envelope_json(group, stream, event(message))
+
+    bad = envelope("bad")
+    texts = {
+        "control": _envelope_json(F.lit(""), F.lit(""), event("CONTROL MESSAGE: checking health of destination"),
+                                  message_type="CONTROL_MESSAGE"),
+        "empty": _envelope_json(group, stream, F.slice(event("x"), 1, 0)),
+        "trailing": F.concat(bad, F.lit(" junk")),
+        "twice": F.concat(bad, bad),
+        "quotes": F.replace(bad, F.lit('"'), F.lit("'")),
+        "array": F.concat(F.lit("["), bad, F.lit("]")),
+        "missing": F.to_json(F.struct(F.lit(S.DATA_MESSAGE).alias("messageType"),
+                                      F.array(F.struct(F.col("t").alias("timestamp"))).alias("logEvents"))),
+        "fraction": F.regexp_replace(envelope("fraction"), r'"timestamp":(-?\d+)', '"timestamp":$1.0'),
+        "padded": envelope("padded"),
+    }
+    each = first.select("log_group", F.explode(F.create_map(
+        *[x for k, v in texts.items() for x in (F.lit(k), v)])).alias("kind", "text"))
+    data = F.when(F.col("kind") == "padded", gzip_base64_padded("text")).otherwise(gzip_base64("text"))
+    return each.select(F.concat_ws(":", "kind", "log_group").alias("record_id"), data.alias("data"))
 
 
 # ---- materialised lakes ----------------------------------------------------
@@ -195,30 +224,22 @@ def _code_hash() -> str:
     return _CODE_HASH[0]
 
 
-def _fingerprint(sf_dir: str, *names: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    h.update(_code_hash().encode())
+def _fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    root = sf_dir.rstrip("/")
+    h = hashlib.sha1(f"{root}:{_code_hash()}".encode())
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{n}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(n.encode())
+        h.update(f"{n}:{path_status(spark, f'{root}/{n}.parquet')}".encode())
     return h.hexdigest()[:16]
 
 
-# Kinds of derived data that are inputs (shared by every run) rather than
-# results of a query under test. Results are scoped by RUN_SCOPE, which the
-# bench sets per run so each timing does the work instead of reusing it.
-SHARED_KINDS = ("lake_parquet", "lake_json", "lake_bare", "envelopes_json")
-RUN_SCOPE = os.environ.get("LOGLAKE_RUN_SCOPE", "")
+def derived_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Where an input derived from the tables is kept for later queries."""
+    return scratch_path(spark, _fingerprint(spark, sf_dir, "events"), kind)
 
 
-def derived_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    scope = "" if kind in SHARED_KINDS or not RUN_SCOPE else RUN_SCOPE
-    parts = [_fingerprint(sf_dir, "events")] + ([scope] if scope else []) + [kind]
-    return scratch_path(spark, *parts)
+def result_path(spark: SparkSession, kind: str) -> str:
+    """A new path for what a query under test writes: its work is never reused."""
+    return scratch_path(spark, "results", f"{kind}-{uuid.uuid4().hex}")
 
 
 def materialise(spark: SparkSession, path: str, build) -> str:

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 import base64
 import gzip
+import json
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,31 +17,36 @@ def _gunzip_one(b):
     if b is None:
         return None
     try:
-        # wbits 16+MAX_WBITS: gzip container; concatenated members are read
-        # in full, as Python's gzip.decompress does.
-        d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-        out = d.decompress(b)
-        while d.unused_data:
-            rest = d.unused_data
-            d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-            out += d.decompress(rest)
-        if not d.eof:
-            return None
-        return out.decode("utf-8")
-    except (zlib.error, UnicodeDecodeError, EOFError):
+        # Concatenated members are read in full and zero padding behind the
+        # last is skipped, as the gzip container allows.
+        return gzip.decompress(b).decode("utf-8")
+    except (zlib.error, OSError, UnicodeDecodeError, EOFError):
         return None
 
 
-@F.pandas_udf(T.StringType())
-def gunzip_utf8(blobs: pd.Series) -> pd.Series:
-    """gzip bytes -> UTF-8 text; null when not gzip or not UTF-8."""
-    return blobs.map(_gunzip_one)
+def _is_object(text):
+    """Whether the text is one strict JSON object and nothing else."""
+    if text is None:
+        return None
+    try:
+        return isinstance(json.loads(text), dict)
+    except (ValueError, RecursionError):
+        return False
 
 
-def _gzip_b64_one(s):
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("is_object", T.BooleanType())]))
+def gunzip_json(blobs: pd.Series) -> pd.DataFrame:
+    """gzip bytes -> UTF-8 text (null when not gzip or not UTF-8), and whether
+    it is exactly one JSON object. Spark's parser reads the first value of a text and
+    takes more than JSON, so strictness is tested here."""
+    text = blobs.map(_gunzip_one)
+    return pd.DataFrame({"text": text, "is_object": text.map(_is_object)}, dtype=object)
+
+
+def _gzip_b64_one(s, padding=b""):
     if s is None:
         return None
-    return base64.b64encode(gzip.compress(s.encode("utf-8"), mtime=0)).decode("ascii")
+    return base64.b64encode(gzip.compress(s.encode("utf-8"), mtime=0) + padding).decode("ascii")
 
 
 @F.pandas_udf(T.StringType())
@@ -51,6 +56,7 @@ def gzip_base64(texts: pd.Series) -> pd.Series:
     return texts.map(_gzip_b64_one)
 
 
-def decode_payload(data: Column) -> Column:
-    """base64 text -> gunzip -> UTF-8; null at the first step that fails."""
-    return gunzip_utf8(F.try_to_binary(data, F.lit("base64")))
+@F.pandas_udf(T.StringType())
+def gzip_base64_padded(texts: pd.Series) -> pd.Series:
+    """The same with zero bytes behind the gzip data, as some writers leave."""
+    return texts.map(lambda s: _gzip_b64_one(s, bytes(8)))

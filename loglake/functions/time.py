@@ -14,22 +14,11 @@ MIN_EPOCH_MS = -62135596800000
 MAX_EPOCH_MS = 253402300799999
 
 
-def epoch_ms_to_ts(c: Column) -> Column:
-    return F.timestamp_millis(c)
-
-
 def iso_text(ts: Column) -> Column:
     """Millisecond ISO-8601 text in UTC, e.g. 2024-01-02T03:04:05.678Z."""
     return F.date_format(ts, ISO_FORMAT)
 
 
-def partition_columns(ts: Column) -> list[Column]:
-    """Zero-padded text year / month / day of an event time (UTC)."""
-    return [F.date_format(ts, "yyyy").alias("year"),
-            F.date_format(ts, "MM").alias("month"),
-            F.date_format(ts, "dd").alias("day")]
-
-
 def parse_as_of(as_of) -> _dt.datetime:
     if isinstance(as_of, _dt.datetime):
         return as_of.replace(tzinfo=None) if as_of.tzinfo is None else \

@@ -1,11 +1,13 @@
 """Threshold alerts: every rule counted in one scan of the logs.
 
-The plan: prune the logs to the rules' domains and to the oldest window
-start (partition + row-group pruning), then a broadcast hash join on
-``domain`` with the per-rule level / keyword / window predicate as the
-residual, then a count per rule (partial aggregation before the shuffle, so
-only one row per rule and task crosses the network). Rules with no match
-report 0; invalid rules report status ERROR.
+The plan: prune the logs to the oldest window start (partition + row-group
+pruning), then one equi-join on ``(domain, level)`` with the per-rule keyword
+and window predicate as the residual, then a count per rule (partial aggregation before the
+shuffle, so only one row per rule and task crosses the network). A rule without
+a level meets the second copy of each row, whose level is ``*``. Spark chooses
+the join from the sizes it knows; there is one plan for any number of rules.
+Rules with no match report 0; invalid rules report status ERROR and leave the
+others alone.
 """
 
 from __future__ import annotations
@@ -17,23 +19,35 @@ from pyspark.sql import functions as F
 
 from loglake.functions.text import keyword_match
 from loglake.functions.time import date_bound, parse_as_of, ts_literal
-from loglake.operators.joins import MAX_BROADCAST_ROWS, local_table, small_table
 
 OK_STATUS, EXCEEDED, ERROR = "OK", "EXCEEDED", "ERROR"
+#: Longest period a rule may have: ten years.
+MAX_PERIOD_MINUTES = 5_256_000.0
+#: Rules named in one notification.
+PAYLOAD_LINES = 1000
+ANY_LEVEL = "*"
+_RULE = ("domain", "level", "keyword", "threshold", "period_minutes")
 
 
 def _blank_to_null(c: str):
     return F.when(F.trim(F.col(c)) == "", F.lit(None)).otherwise(F.col(c))
 
 
+def unique_rules(rules: DataFrame) -> DataFrame:
+    """One row per name: of rules that share a name, the smallest row."""
+    return (rules.groupBy("name").agg(F.min(F.struct(*_RULE)).alias("_r"))
+            .select("name", *[F.col("_r")[c].alias(c) for c in _RULE]).select(*rules.columns))
+
+
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Add ``error``: why a rule cannot run, or null."""
+    period = F.col("period_minutes")
     err = (F.when(F.col("name").isNull() | (F.col("name") == ""), F.lit("name is required"))
            .when(F.col("domain").isNull() | (F.col("domain") == ""), F.lit("domain is required"))
-           .when(F.col("threshold").isNull() | (F.col("threshold") < 0),
+           .when(F.col("threshold").isNull() | F.isnan("threshold") | (F.col("threshold") < 0),
                  F.lit("threshold must be a number >= 0"))
-           .when(F.col("period_minutes").isNull() | (F.col("period_minutes") <= 0),
-                 F.lit("period_minutes must be a number > 0")))
+           .when(period.isNull() | F.isnan(period) | (period * 60_000 < 1), F.lit("period_minutes must be a number > 0"))
+           .when(period > MAX_PERIOD_MINUTES, F.lit("period_minutes must be at most ten years")))
     return rules.withColumn("error", err)
 
 
@@ -46,88 +60,58 @@ def _as_of_micros(as_of) -> int:
     return int(t.timestamp()) * 1_000_000 + t.microsecond
 
 
-def _rule_side(valid: DataFrame, as_of) -> DataFrame:
-    micros = _as_of_micros(as_of)
-    return valid.select(
-        "name", F.col("domain").alias("r_domain"), _blank_to_null("level").alias("r_level"),
-        _blank_to_null("keyword").alias("r_keyword"),
-        F.timestamp_micros(F.lit(micros) - (F.col("period_minutes") * 60_000_000).cast("long"))
-        .alias("r_lower"))
+def rule_side(rules: DataFrame) -> DataFrame:
+    """Valid rules as the join needs them; the level of a rule without one is ``*``."""
+    return validate_rules(unique_rules(rules)).where(F.col("error").isNull()).select(
+        "name", F.col("domain").alias("r_domain"), F.coalesce(_blank_to_null("level"), F.lit(ANY_LEVEL)).alias("r_level"),
+        _blank_to_null("keyword").alias("r_keyword"), "threshold", "period_minutes")
 
 
-def _count_hits(logs: DataFrame, valid_rows: list, schema, as_of, keyword_mode: str) -> DataFrame:
-    """(name, cnt) for valid rules held on the driver (proven small)."""
-    spark = logs.sparkSession
-    if not valid_rows:
-        return local_table(spark, [], "name string, cnt long")
-    longest = max(float(r["period_minutes"]) for r in valid_rows)
-    domains = sorted({r["domain"] for r in valid_rows})
-    lower = parse_as_of(as_of) - _dt.timedelta(minutes=longest)
-    scoped = logs.where(F.col("domain").isin(domains) & date_bound(lower)
-                        & (F.col("timestamp") >= ts_literal(lower)))
-    cond = ((F.col("domain") == F.col("r_domain"))
-            & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level")))
-            & (F.col("timestamp") >= F.col("r_lower")))
-    cols = ["domain", "level", "timestamp"]
-    # The message column (the widest) is read only if some rule needs it.
-    if any((r["keyword"] or "").strip() for r in valid_rows):
-        cond = cond & (F.col("r_keyword").isNull()
-                       | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
-        cols.append("message")
-    side = _rule_side(local_table(spark, [tuple(r[f.name] for f in schema.fields) for r in valid_rows],
-                                    schema), as_of)
-    return (scoped.select(*cols)
-            .join(F.broadcast(side), cond, "inner")
-            .groupBy("name").agg(F.count(F.lit(1)).alias("cnt")))
-
-
-def rule_counts(logs: DataFrame, rules: DataFrame, as_of,
-                keyword_mode: str = "contains", max_rules: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def match_rules(logs: DataFrame, side: DataFrame, keyword_mode: str, residual=None) -> DataFrame:
+    """Rows of logs with each rule they match.
+
+    The message column (the widest) is read only if some rule has a keyword.
+    """
+    has_keywords = not side.where(F.col("r_keyword").isNotNull()).isEmpty()
+    rows = logs.select("timestamp", "domain", F.explode(F.array(F.lit(ANY_LEVEL), "level")).alias("_level"),
+                       *(["message"] if has_keywords else []))
+    on = (F.col("domain") == F.col("r_domain")) & (F.col("_level") == F.col("r_level"))
+    if has_keywords:
+        on = on & (F.col("r_keyword").isNull() | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
+    if residual is not None:
+        on = on & residual
+    return rows.join(side, on, "inner")
+
+
+def rule_counts(logs: DataFrame, rules: DataFrame, as_of, keyword_mode: str = "contains") -> DataFrame:
     """(name, cnt): events per rule with ``timestamp >= as_of - period``.
 
     A blank level or keyword means "any". ``keyword_mode="like"`` gives the
-    wildcard behaviour of a raw LIKE pattern. The rule table is read once,
-    after a size check; a table beyond ``max_rules`` is split into
-    broadcast-sized chunks by name hash, one scan of the logs per chunk.
+    wildcard behaviour of a raw LIKE pattern. Rules that share a name count as one.
     """
-    spark = logs.sparkSession
-    checked = validate_rules(rules)
-    rows = checked.limit(max_rules + 1).collect()
-    schema = rules.schema
-    if len(rows) <= max_rules:
-        valid = [r for r in rows if r["error"] is None]
-        hits = _count_hits(logs, valid, schema, as_of, keyword_mode)
-        names = local_table(spark, [(r["name"],) for r in rows], "name string")
-    else:
-        n = checked.count()
-        k = -(-n // max_rules) * 2
-        hits = None
-        for i in range(k):
-            part = (checked.where(F.col("error").isNull() & (F.pmod(F.hash("name"), F.lit(k)) == i))
-                    .limit(max_rules + 1).collect())
-            if len(part) > max_rules:
-                raise ValueError("rule chunk above the broadcast bound; raise max_rules")
-            h = _count_hits(logs, part, schema, as_of, keyword_mode)
-            hits = h if hits is None else hits.unionByName(h)
-        names = checked.select("name")
-    # One row per rule on both sides: the counts are broadcast.
-    return (names.join(F.broadcast(hits), "name", "left")
-            .select("name", F.coalesce(F.col("cnt"), F.lit(0)).cast("long").alias("cnt")))
+    side = rule_side(rules).withColumn("r_lower", F.timestamp_micros(
+        F.lit(_as_of_micros(as_of)) - (F.col("period_minutes") * 60_000_000).cast("long")))
+    longest = side.agg(F.max("period_minutes")).first()[0] or 0.0
+    lower = parse_as_of(as_of) - _dt.timedelta(minutes=longest)
+    scoped = logs.where(date_bound(lower) & (F.col("timestamp") >= ts_literal(lower)))
+    hits = match_rules(scoped, side, keyword_mode, F.col("timestamp") >= F.col("r_lower")).groupBy("name").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    names = unique_rules(rules).select("name").alias("n")
+    return (names.join(hits.alias("h"), F.expr("n.name <=> h.name"), "left")
+            .select("n.name", F.coalesce(F.col("cnt"), F.lit(0)).cast("long").alias("cnt")))
 
 
 def alert_status(logs: DataFrame, rules: DataFrame, as_of,
                  keyword_mode: str = "contains") -> DataFrame:
     """Per rule: count, threshold and status (EXCEEDED when count is
     strictly above the threshold; ERROR for an invalid rule)."""
-    local = small_table(rules)
-    rules = local if local is not None else rules
     counts = rule_counts(logs, rules, as_of, keyword_mode)
-    checked = validate_rules(rules)
-    j = checked.join(F.broadcast(counts), "name", "left")
+    checked = validate_rules(unique_rules(rules))
+    j = checked.alias("r").join(counts.alias("c"), F.expr("r.name <=> c.name"), "left")
     status = (F.when(F.col("error").isNotNull(), F.lit(ERROR))
               .when(F.col("cnt") > F.col("threshold"), F.lit(EXCEEDED))
               .otherwise(F.lit(OK_STATUS)))
-    return j.select("name", "domain", "level", "keyword", "threshold", "period_minutes",
+    return j.select("r.name", "domain", "level", "keyword", "threshold", "period_minutes",
                     F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"),
                     status.alias("status"), "error")
 
@@ -143,27 +127,34 @@ def _num_text(c):
             .otherwise(F.col(c).cast("string"))
 
 
-def alert_payload(status: DataFrame) -> DataFrame:
-    """Zero or one row: the notification text for all breached rules, one
+def alert_payload(status: DataFrame, max_lines: int = PAYLOAD_LINES) -> DataFrame:
+    """No row without a breached rule, else one row: the notification text, one
     line per rule ``[name] domain / level: count events (threshold: t)``,
-    ``ALL`` when the rule has no level; lines sorted."""
+    ``ALL`` when the rule has no level; lines sorted. Above ``max_lines`` breached
+    rules there are several rows, each with about that many of the rules."""
     line = F.format_string("[%s] %s / %s: %s events (threshold: %s)", F.col("name"),
                            F.col("domain"), F.coalesce(_blank_to_null("level"), F.lit("ALL")),
                            F.col("cnt").cast("string"), _num_text("threshold"))
-    ex = status.where(F.col("status") == EXCEEDED)
-    agg = ex.agg(F.count(F.lit(1)).alias("exceeded"),
-                 F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    return agg.where(F.col("exceeded") > 0).select(
-        "exceeded",
-        F.concat(F.lit("Alert: "), F.col("exceeded").cast("string"), F.lit(" rule(s) exceeded\n"),
-                 F.col("lines")).alias("text"))
+    breached = status.where(F.col("status") == EXCEEDED)
+    total = breached.count()
+    pages = max(1, -(-total // max_lines))
+    agg = (breached.groupBy(F.pmod(F.xxhash64("name"), F.lit(pages)).alias("page"))
+           .agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines")))
+    return agg.select(
+        F.lit(total).cast("long").alias("exceeded"),
+        F.concat(F.lit(f"Alert: {total} rule(s) exceeded\n"), F.col("lines")).alias("text"))
+
+
+def list_rules(rules: DataFrame) -> DataFrame:
+    """The rules in use, one row per name, with why a rule cannot run."""
+    return validate_rules(unique_rules(rules))
 
 
 def upsert_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace rules by name, append the rest (new rows unique by name)."""
+    """Replace rules by name, append the rest; one row per name in the result."""
     new = new.select(*rules.columns)
-    return rules.join(new.select("name"), "name", "left_anti").select(*rules.columns) \
-                .unionByName(new)
+    kept = rules.alias("r").join(new.select("name").alias("n"), F.expr("r.name <=> n.name"), "left_anti").select(*rules.columns)
+    return unique_rules(kept.unionByName(new))
 
 
 def remove_rules(rules: DataFrame, names: DataFrame) -> DataFrame:

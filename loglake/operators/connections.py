@@ -15,6 +15,13 @@ def invalid_connections(new: DataFrame, domains: DataFrame) -> DataFrame:
                     F.format_string("unknown domain '%s'", F.col("domain")).alias("error")))
 
 
+def unique_connections(conns: DataFrame) -> DataFrame:
+    """One row per log group: of several, the smallest row."""
+    rest = [c for c in conns.columns if c != "log_group"]
+    return (conns.groupBy("log_group").agg(F.min(F.struct(*rest)).alias("_c"))
+            .select("log_group", *[F.col("_c")[c].alias(c) for c in rest]).select(*conns.columns))
+
+
 def upsert_connections(conns: DataFrame, new: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """One row per log group: a new row replaces the group's old one (its
     pattern and domain). With ``domains``, rows of unknown domains are
@@ -22,8 +29,8 @@ def upsert_connections(conns: DataFrame, new: DataFrame, domains: DataFrame | No
     if domains is not None:
         new = new.join(domains.select(F.col("name").alias("domain")), "domain", "left_semi")
     new = new.select(*conns.columns)
-    return conns.join(new.select("log_group"), "log_group", "left_anti") \
-                .select(*conns.columns).unionByName(new)
+    kept = conns.join(new.select("log_group"), "log_group", "left_anti").select(*conns.columns)
+    return unique_connections(kept.unionByName(new))
 
 
 def remove_connections(conns: DataFrame, to_remove: DataFrame) -> DataFrame:

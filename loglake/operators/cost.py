@@ -7,15 +7,17 @@ that table.
 
 from __future__ import annotations
 
+import datetime as _dt
 import time as _time
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.time import iso_text
+from loglake.operators.joins import local_table
 from loglake.operators.numbering import global_row_number
+from loglake.session import path_exists
 
 PREVIEW = S.SQL_PREVIEW_CHARS
 
@@ -24,23 +26,6 @@ def cost_of(bytes_col):
     return bytes_col.cast("double") * F.lit(S.USD_PER_BYTE)
 
 
-def files_scanned(df: DataFrame) -> DataFrame:
-    """(files, bytes) a file-source DataFrame reads, from its ``_metadata``.
-
-    ``df`` must be a (filtered) lake read: partition filters are already
-    applied, so only the surviving files are counted. Bytes are whole file
-    sizes, an upper bound for a column-pruned Parquet read.
-    """
-    per_file = df.select(F.col("_metadata.file_path").alias("f"),
-                         F.col("_metadata.file_size").alias("b")).groupBy("f").agg(F.max("b").alias("b"))
-    return per_file.agg(F.count(F.lit(1)).alias("files"),
-                        F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("scanned_bytes"))
-
-
-def with_cost(history: DataFrame) -> DataFrame:
-    return history.withColumn("cost", cost_of(F.col("scanned_bytes")))
-
-
 def cost_totals(history: DataFrame) -> DataFrame:
     """Queries, bytes, MB (2 decimals) and USD (6 decimals); zeros when the
     history is empty. Cost comes from total bytes, so no float sum order."""
@@ -52,9 +37,11 @@ def cost_totals(history: DataFrame) -> DataFrame:
 
 
 def cost_report(history: DataFrame) -> DataFrame:
-    """One line per query in time order: number, time to the second, SQL cut
-    at 50 characters (+ "..."), MB and USD."""
-    numbered = global_row_number(history, [F.col("timestamp").asc(), F.col("sql").asc()])
+    """One line per query in the order they ran: number, time to the second,
+    SQL cut at 50 characters (+ "..."), MB and USD. The number comes from the history;
+    one without numbers is numbered by time (all of it, to the millisecond) and SQL."""
+    numbered = history if "n" in history.columns else global_row_number(
+        history, [F.col("timestamp").asc(), F.col("sql").asc()])
     preview = F.when(F.length("sql") > PREVIEW,
                      F.concat(F.substring("sql", 1, PREVIEW), F.lit("..."))).otherwise(F.col("sql"))
     return numbered.select(
@@ -68,7 +55,9 @@ def partition_scan_estimates(logs: DataFrame) -> DataFrame:
     the logical bytes its rows hold (UTF-8 lengths of the text columns plus
     24 for the ISO time) and the time of its newest row."""
     L = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    row_bytes = L("level") + L("service") + L("message") + L("trace_id") + F.lit(24)
+    row_bytes = F.lit(24)
+    for c in S.DATA_COLUMNS[1:]:
+        row_bytes = row_bytes + L(c)
     agg = logs.groupBy(*S.PARTITION_COLUMNS).agg(
         F.sum(row_bytes).cast("long").alias("scanned_bytes"),
         F.max("timestamp").alias("_last"))
@@ -82,17 +71,28 @@ def partition_scan_estimates(logs: DataFrame) -> DataFrame:
 
 # ---- driver-side session objects ------------------------------------------------
 
-@dataclass
 class QueryHistory:
-    """Append-only record of the queries a session ran (one row each)."""
-    rows: list = field(default_factory=list)
+    """The queries that ran, as a table: one appended row each, numbered in run order.
+
+    One writer at a time; what earlier sessions appended is read back and counted on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        last = self.frame().agg(F.max("n")).first()[0] if path_exists(spark, self.path) else None
+        self.last = last or 0
 
     def append(self, sql: str, scanned_bytes: int, when: str | None = None) -> None:
-        when = when or _time.strftime("%Y-%m-%dT%H:%M:%S.000Z", _time.gmtime())
-        self.rows.append((sql, int(scanned_bytes), scanned_bytes * S.USD_PER_BYTE, when))
+        now = _dt.datetime.now(_dt.timezone.utc)
+        when = when or now.strftime("%Y-%m-%dT%H:%M:%S.") + f"{now.microsecond // 1000:03d}Z"
+        self.last += 1
+        row = (self.last, sql, int(scanned_bytes), scanned_bytes * S.USD_PER_BYTE, when)
+        local_table(self.spark, [row], S.HISTORY).write.mode("append").json(self.path)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, S.HISTORY)
+    def frame(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return local_table(self.spark, [], S.HISTORY)
+        return self.spark.read.schema(S.HISTORY).json(self.path)
 
 
 class ResultCache:
@@ -100,26 +100,29 @@ class ResultCache:
 
     Key = (SQL text, source snapshot), so a new file in the lake or another
     table never serves a stale result. A hit costs nothing and is not added
-    to the history. Entries hold persisted DataFrames; expiry unpersists.
+    to the history. Entries hold persisted DataFrames; expiry unpersists. A
+    result is kept only if it and those kept already stay within ``max_bytes``.
     """
 
-    def __init__(self, ttl: float = S.CACHE_TTL_SECONDS, clock=_time.monotonic):
-        self.ttl, self.clock, self._entries = ttl, clock, {}
+    def __init__(self, ttl: float = S.CACHE_TTL_SECONDS, clock=_time.monotonic, max_bytes: int = S.CACHE_MAX_BYTES):
+        self.ttl, self.clock, self.max_bytes, self._entries = ttl, clock, max_bytes, {}
 
     def purge(self) -> None:
         now = self.clock()
-        for k in [k for k, (t, _) in self._entries.items() if now - t > self.ttl]:
-            _, df = self._entries.pop(k)
-            df.unpersist()
+        for k in [k for k, (t, _, _) in self._entries.items() if now - t > self.ttl]:
+            self._entries.pop(k)[1].unpersist()
 
     def get(self, key):
         self.purge()
         hit = self._entries.get(key)
         return None if hit is None else hit[1]
 
-    def put(self, key, df: DataFrame) -> DataFrame:
-        df = df.persist()
-        self._entries[key] = (self.clock(), df)
+    def put(self, key, df: DataFrame, size: int = 0) -> DataFrame:
+        """Keep a persisted result of ``size`` bytes, or unpersist it if it does not fit."""
+        self.purge()
+        if size + sum(e[2] for e in self._entries.values()) > self.max_bytes:
+            return df.unpersist()
+        self._entries[key] = (self.clock(), df, size)
         return df
 
     def __len__(self) -> int:

@@ -4,8 +4,8 @@ records(record_id, data) -> decode (base64, gunzip, UTF-8) -> parse the
 envelope -> disposition per record (Ok / Dropped / ProcessingFailed) ->
 explode events -> map the log group to a domain -> log rows with event-time
 partition keys. Everything except gunzip is JVM-side; nothing is grouped or
-shuffled: each record is handled where it is read, and the one join is a
-size-checked broadcast of the connections table.
+shuffled: each record is handled where it is read, and the one join, with the
+connections table, is a broadcast as long as Spark knows that table to be small.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglake import schema as S
-from loglake.functions.codec import gunzip_utf8
+from loglake.functions.codec import gunzip_json
 from loglake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS, iso_text
-from loglake.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, local_table
+from loglake.operators.connections import unique_connections
 
-_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
+_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT,
+              "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -33,37 +34,32 @@ def parse_records(records: DataFrame) -> DataFrame:
     """
     binary = F.try_to_binary(F.col("data"), F.lit("base64"))
     df = records.select("*", binary.alias("_bin"))
-    df = df.select("*", gunzip_utf8(F.col("_bin")).alias("payload"))
-    df = df.select("*", F.from_json("payload", S.ENVELOPE, _JSON_OPTS).alias("env"))
+    df = df.select("*", gunzip_json(F.col("_bin")).alias("_g"))
+    df = df.select("*", F.col("_g.text").alias("payload"),
+                   F.from_json(F.when(F.col("_g.is_object"), F.col("_g.text")), S.ENVELOPE, _JSON_OPTS).alias("env"))
     mt = F.col("env.messageType")
     events = F.coalesce(F.col("env.logEvents"), F.array())
     bad_event = F.exists(events, lambda e: e.isNull() | e["timestamp"].isNull()
                          | (e["timestamp"] < F.lit(MIN_EPOCH_MS))
                          | (e["timestamp"] > F.lit(MAX_EPOCH_MS)))
-    # A known non-data type is dropped before its events are looked at, but
-    # only if the payload is valid JSON: text broken after the type field
-    # fails, as a strict parser would. The validity test (a second parse)
-    # runs only for such rows.
-    corrupt = F.col(f"env.{S.CORRUPT}")
-    other_type = mt.isNotNull() & (mt != S.DATA_MESSAGE) & (
-        corrupt.isNull() | F.json_object_keys(F.col("payload")).isNotNull())
-    disposition = (
-        F.when(F.col("_bin").isNull(), F.lit(S.FAILED))
-        .when(F.col("payload").isNull(), F.lit(S.FAILED))
-        .when(other_type, F.lit(S.DROPPED))
-        .when(F.col("env").isNull() | F.col(f"env.{S.CORRUPT}").isNotNull(), F.lit(S.FAILED))
-        .when(mt.isNull(), F.lit(S.DROPPED))
-        .when(F.size(events) == 0, F.lit(S.DROPPED))
-        .when(bad_event, F.lit(S.FAILED))
-        .otherwise(F.lit(S.OK)))
-    reason = (
-        F.when(F.col("_bin").isNull(), F.lit("not base64"))
-        .when(F.col("payload").isNull(), F.lit("not gzip or not UTF-8"))
-        .when(other_type, F.concat(F.lit("message type "), mt))
-        .when(F.col("env").isNull() | F.col(f"env.{S.CORRUPT}").isNotNull(), F.lit("not JSON"))
-        .when(mt.isNull(), F.lit("no message type"))
-        .when(F.size(events) == 0, F.lit("no log events"))
-        .when(bad_event, F.lit("event without a valid timestamp")))
+    # A known non-data type is dropped before its events are looked at; the
+    # payload is known to be one JSON object by then.
+    other_type = mt.isNotNull() & (mt != S.DATA_MESSAGE)
+    not_json = ~F.coalesce(F.col("_g.is_object"), F.lit(False))
+    not_envelope = F.col("env").isNull() | F.col(f"env.{S.CORRUPT}").isNotNull()
+    cases = [
+        (F.col("_bin").isNull(), S.FAILED, F.lit("not base64")),
+        (F.col("payload").isNull(), S.FAILED, F.lit("not gzip or not UTF-8")),
+        (not_json, S.FAILED, F.lit("not JSON")),
+        (other_type, S.DROPPED, F.concat(F.lit("message type "), mt)),
+        (not_envelope, S.FAILED, F.lit("not JSON")),
+        (mt.isNull(), S.DROPPED, F.lit("no message type")),
+        (F.size(events) == 0, S.DROPPED, F.lit("no log events")),
+        (bad_event, S.FAILED, F.lit("event without a valid timestamp"))]
+    disposition, reason = F, F
+    for cond, outcome, why in cases:
+        disposition, reason = disposition.when(cond, F.lit(outcome)), reason.when(cond, why)
+    disposition = disposition.otherwise(F.lit(S.OK))
     return df.select(*[c for c in records.columns], "payload", "env",
                      disposition.alias("disposition"), reason.alias("reason"))
 
@@ -93,24 +89,15 @@ def explode_events(parsed: DataFrame) -> DataFrame:
                        F.coalesce(F.col("env.logStream"), F.lit("")).alias("log_stream"),
                        F.explode(ok_events).alias("e"))
     return ev.select("record_id", "log_group", "log_stream",
-                     F.col("e.timestamp").alias("epoch_ms"),
+                     F.col("e.timestamp").cast("long").alias("epoch_ms"),
                      F.coalesce(F.col("e.message"), F.lit("")).alias("message"))
 
 
 def map_domain(rows: DataFrame, connections: DataFrame) -> DataFrame:
     """Left lookup of ``log_group`` in the connections table; unmapped
-    groups get ``unknown``. The table is deduplicated per group and
-    broadcast only after a size check."""
-    pairs = connections.select("log_group", "domain").limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(pairs) <= MAX_BROADCAST_ROWS:
-        best: dict = {}
-        for g, d in pairs:
-            if d is not None and (g not in best or d < best[g]):
-                best[g] = d
-        conn = F.broadcast(local_table(rows.sparkSession, sorted(best.items()),
-                                         "log_group string, _domain string"))
-    else:
-        conn = connections.groupBy("log_group").agg(F.min("domain").alias("_domain"))
+    (and null) groups get ``unknown``. Of several domains for a group the smallest
+    counts. Spark broadcasts the table when its size is small."""
+    conn = connections.groupBy("log_group").agg(F.min("domain").alias("_domain"))
     out = rows.join(conn, "log_group", "left")
     return out.withColumn("domain", F.coalesce(F.col("_domain"), F.lit(S.UNKNOWN_DOMAIN))) \
               .drop("_domain")
@@ -153,9 +140,9 @@ def subscription_filter(events: DataFrame, connections: DataFrame) -> DataFrame:
     """Events a subscription delivers: only connected groups, and only
     messages containing the group's pattern (``""`` keeps all). The domain
     is the connection's."""
-    conn = broadcast_if_small(connections.select(
+    conn = unique_connections(connections).select(
         "log_group", F.coalesce("filter_pattern", F.lit("")).alias("filter_pattern"),
-        F.col("domain").alias("_domain")))
+        F.col("domain").alias("_domain"))
     j = events.join(conn, "log_group", "inner")
     keep = (F.col("filter_pattern") == "") | F.contains(F.col("message"), F.col("filter_pattern"))
     return j.where(keep).drop("domain", "filter_pattern").withColumnRenamed("_domain", "domain")

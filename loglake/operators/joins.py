@@ -1,22 +1,16 @@
-"""Join helpers: broadcast only behind a size check; small local tables."""
+"""Small driver-side tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A dimension broadcast to every task must stay small: rules, connections
-# and domains are config tables of tens to thousands of rows.
-MAX_BROADCAST_ROWS = 100_000
-
 
 def local_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """A small driver-side table shipped to Spark as one Arrow batch.
 
     Built through pandas + Arrow it plans as a local relation: reading it
-    needs no Python worker and no job, so size checks, bounds and the
-    broadcast of config tables stay cheap. Columns are kept as Python
+    needs no Python worker and no job, and Spark knows its size. Columns are kept as Python
     objects so nulls stay nulls.
     """
     import pandas as pd
@@ -27,23 +21,3 @@ def local_table(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     pdf = pd.DataFrame.from_records([tuple(r) for r in rows], columns=names)
     pdf = pdf.astype(object).where(pdf.notna(), None) if len(pdf) else pdf
     return spark.createDataFrame(pdf, schema)
-
-
-def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """A local copy of ``df`` when it has at most ``max_rows`` rows, else None.
-
-    Reads at most ``max_rows + 1`` rows once; later uses of the copy (size
-    checks, bounds, broadcast) cost no further job on the source.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return local_table(df.sparkSession, [tuple(r) for r in rows], df.schema)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast`` of a local copy when ``df`` is within ``max_rows``;
-    otherwise ``df`` itself, and Spark plans a shuffle join (AQE splits
-    skewed keys)."""
-    local = small_table(df, max_rows)
-    return F.broadcast(local) if local is not None else df

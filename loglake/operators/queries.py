@@ -111,8 +111,3 @@ def recent_logs(logs: DataFrame, as_of, minutes: float, domain: str | None = Non
     if level is not None:
         cond = cond & (F.col("level") == level)
     return display(logs.where(cond))
-
-
-def with_date_bound(logs: DataFrame, lower) -> DataFrame:
-    """Add the partition predicate implied by a lower time bound."""
-    return logs.where(date_bound(lower))

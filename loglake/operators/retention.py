@@ -1,12 +1,22 @@
-"""Retention: age partitions by their date, plan tiers, apply the plan."""
+"""Retention: age partitions by their date, plan tiers, apply the plan.
+
+Plans come from the file listing; no log row is read for them. Applying one
+works on the files listed at its start: these are copied (archive tier) and
+then deleted, so a row that arrives meanwhile is in neither list and stays.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.time import parse_as_of, partition_date
+from loglake.session import path_exists, scratch_path, write_text
+from loglake.sources.files import delete_files, list_files
+from loglake.sources.lake import bump_version, read_logs, write_logs
 
 HOT, ARCHIVE, EXPIRED = "hot", "archive", "expired"
 
@@ -16,7 +26,8 @@ def retention_plan(partitions: DataFrame, as_of, retention_days: int | None,
     """Per partition: age in days and tier. ``age >= retention_days`` is
     expired; ``age >= archive_days`` is archive; else hot. No retention
     setting: an empty plan (nothing is aged). ``schema.DEFAULT_RETENTION_DAYS``
-    is the customary value when a caller wants the default."""
+    is the customary value when a caller wants the default. ``partitions`` has
+    the partition columns: a file listing, an inventory, or rows."""
     parts = partitions.select(*S.PARTITION_COLUMNS).distinct()
     if retention_days is None:
         return parts.limit(0).select(*S.PARTITION_COLUMNS, F.lit(0).alias("age_days"),
@@ -30,38 +41,101 @@ def retention_plan(partitions: DataFrame, as_of, retention_days: int | None,
     return parts.select(*S.PARTITION_COLUMNS, age.alias("age_days"), tier.alias("tier"))
 
 
-def partition_dirs(root: str, plan_rows) -> list[str]:
-    return [f"{root.rstrip('/')}/domain={r['domain']}/year={r['year']}/month={r['month']}/day={r['day']}"
-            for r in plan_rows]
+def _same_day(left: str, right: str):
+    return F.expr(" AND ".join(f"{left}.{c} <=> {right}.{c}" for c in S.PARTITION_COLUMNS))
+
+
+def planned_files(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """path, bytes, keys and tier of the files that a plan moves or removes."""
+    todo = plan.where(F.col("tier") != HOT)
+    return (list_files(spark, root, fmt).alias("f").join(todo.alias("p"), _same_day("f", "p"))
+            .select("f.*", "p.tier"))
 
 
 def apply_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "parquet",
-                    archive_root: str | None = None, dry_run: bool = True) -> list[str]:
-    """Carry out a plan on a Hive-layout lake. Returns the directories acted on.
-
-    Archive tier: all archive partitions are copied under ``archive_root``
-    (same layout) in one Spark job, a semi-join of the lake with the
-    broadcast plan rows (dynamic partition pruning reads only those
-    partitions); then the hot copies are removed. Expired: removed.
-    ``dry_run`` only lists. The plan has one row per partition, so its
-    non-hot rows are collected to drive the directory deletes.
+                    archive_root: str | None = None, dry_run: bool = True) -> DataFrame:
+    """Carry out a plan on a lake. Returns the files acted on, with their tier.
+
+    Archive tier: rows of the listed files are appended under ``archive_root``
+    in the same layout, then the files are deleted; without ``archive_root`` a plan
+    with archive rows is refused. Expired: deleted. ``dry_run`` only lists. Every step can be
+    run again after a failure: copies replace themselves, deletes are repeatable.
+    """
+    found = planned_files(spark, root, plan, fmt)
+    if dry_run:
+        return found
+    manifest = scratch_path(spark, "retention", uuid.uuid4().hex)
+    found.write.parquet(manifest)
+    found = spark.read.schema(found.schema).parquet(manifest)
+    archive = found.where(F.col("tier") == ARCHIVE)
+    if not archive.isEmpty():
+        if not archive_root:
+            raise ValueError("the plan has an archive tier but no archive_root is given; nothing was changed")
+        copy_files(spark, root, archive, archive_root, fmt)
+    if not found.isEmpty():
+        delete_files(found)
+        bump_version(spark, root)
+    return found
+
+
+def copy_files(spark: SparkSession, root: str, files: DataFrame, target: str, fmt: str = "parquet",
+               key: Column | str | None = None) -> None:
+    """Add the rows of the listed files of a lake to another one.
+
+    By default the copies are named after the file they come from: a copy made
+    again replaces itself, and later files of the same day get other names.
     """
-    from loglake.sources.lake import bump_version, read_logs, write_logs
-
-    todo = plan.where(F.col("tier") != HOT).select(*S.PARTITION_COLUMNS, "tier").collect()
-    acted = [f"{r['tier']}:{d}" for r, d in zip(todo, partition_dirs(root, todo))]
-    if dry_run or not todo:
-        return acted
-    archive = [r for r in todo if r["tier"] == ARCHIVE]
-    if archive and archive_root:
-        from loglake.operators.joins import broadcast_if_small
-        keys = broadcast_if_small(plan.where(F.col("tier") == ARCHIVE).select(*S.PARTITION_COLUMNS))
-        rows = read_logs(spark, root, fmt).join(keys, S.PARTITION_COLUMNS, "left_semi")
-        write_logs(rows, archive_root, fmt, mode="overwrite")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for d in partition_dirs(root, todo):
-        p = jvm.org.apache.hadoop.fs.Path(d)
-        p.getFileSystem(conf).delete(p, True)
+    rows = read_logs(spark, root, fmt, keep_key=True, keep_file=True)
+    listed = files.select(*S.LAYOUT_COLUMNS, F.regexp_extract("path", "[^/]+$", 0).alias("file_name"))
+    same = " AND ".join(f"r.{c} <=> f.{c}" for c in (*S.LAYOUT_COLUMNS, "file_name"))
+    picked = rows.alias("r").join(listed.alias("f"), F.expr(same), "left_semi")
+    write_logs(picked, target, fmt, ingest_key=key if key is not None else F.concat(
+        F.lit("archive-"), F.regexp_replace("file_name", r"\..*$", "")))
+
+
+def expire_archive(spark: SparkSession, archive_root: str, as_of, retention_days: int, fmt: str = "parquet",
+                   dry_run: bool = True) -> DataFrame:
+    """Delete archived files whose day is past retention."""
+    plan = retention_plan(list_files(spark, archive_root, fmt), as_of, retention_days)
+    return apply_retention(spark, archive_root, plan, fmt, dry_run=dry_run)
+
+
+def compact(spark: SparkSession, root: str, before_day: str, fmt: str = "parquet", min_files: int = 2) -> int:
+    """Rewrite the files of each closed day (before ``before_day``, ISO) as few files.
+
+    Returns how many files were replaced. The files to replace are noted first,
+    then their rows are written under one new key, then they are deleted. Between these
+    two steps readers see both copies; a run that died in between is finished, or its
+    unfinished copy removed, by the next one. Run it where no reader is, or at a quiet hour.
+    """
+    state = f"{root.rstrip('/')}-state/compaction"
+    _finish_compaction(spark, root, state, fmt)
+    day = F.concat_ws("-", "year", "month", "day")
+    files = list_files(spark, root, fmt).where(day < F.lit(before_day))
+    many = files.groupBy(*S.PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)
+    files = files.alias("f").join(many.alias("p"), _same_day("f", "p"), "left_semi")
+    key = f"compact-{uuid.uuid4().hex}"
+    manifest = files.withColumn("new_key", F.lit(key))
+    manifest.write.mode("overwrite").parquet(f"{state}/files")
+    files = spark.read.schema(manifest.schema).parquet(f"{state}/files")
+    n = files.count()
+    if n:
+        write_text(spark, f"{state}/OPEN", key)
+        copy_files(spark, root, files, root, fmt, key=key)
+        write_text(spark, f"{state}/WRITTEN-{key}", key)
+        _finish_compaction(spark, root, state, fmt)
+    return n
+
+
+def _finish_compaction(spark: SparkSession, root: str, state: str, fmt: str) -> None:
+    from loglake.session import read_text
+
+    key = read_text(spark, f"{state}/OPEN")
+    if not key:
+        return
+    if path_exists(spark, f"{state}/WRITTEN-{key}"):
+        delete_files(spark.read.parquet(f"{state}/files").where(F.col("new_key") == key))
+    else:
+        delete_files(list_files(spark, root, fmt).where(F.col(S.INGEST_KEY) == key))
+    write_text(spark, f"{state}/OPEN", "")
     bump_version(spark, root)
-    return acted

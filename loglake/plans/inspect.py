@@ -9,6 +9,8 @@ import warnings
 
 from pyspark.sql import DataFrame
 
+from loglake.session import scoped_conf
+
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     buf = io.StringIO()
@@ -19,16 +21,24 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
 
 def partition_filters(df: DataFrame) -> list[str]:
     """The PartitionFilters of every file scan in the plan (empty lists
-    included)."""
-    return re.findall(r"PartitionFilters: \[(.*?)\]", plan_text(df, "simple"))
+    included), in full length."""
+    with scoped_conf(df.sparkSession, {"spark.sql.maxMetadataStringLength": "1000000", "spark.sql.debug.maxToStringFields": "10000"}):
+        text = plan_text(df, "simple")
+    return re.findall(r"PartitionFilters: \[(.*?)\], (?:PushedFilters|ReadSchema|Location|DataFilters)", text)
+
+
+def prunes_on(filters: str, on: str) -> bool:
+    """Whether a scan's filters say more about ``on`` than that it is not null."""
+    return re.search(rf"\b{re.escape(on)}#\d+", re.sub(rf"isnotnull\({re.escape(on)}#\d+\)", "", filters)) is not None
 
 
 def check_pruned(df: DataFrame, on: str = "domain", strict: bool = False) -> bool:
-    """Warn (or raise when ``strict``) if no scan filters on partition key
+    """Warn (or raise when ``strict``) unless every scan filters on partition key
     ``on`` — the "always include a domain predicate" advice as a check."""
-    ok = any(on in f for f in partition_filters(df))
+    scans = partition_filters(df)
+    ok = bool(scans) and all(prunes_on(f, on) for f in scans)
     if not ok:
-        msg = f"query does not prune on partition column {on!r}: every {on} is read"
+        msg = f"query does not prune on partition column {on!r}: some scan reads every {on}"
         if strict:
             raise ValueError(msg)
         warnings.warn(msg, stacklevel=2)
@@ -41,8 +51,8 @@ def join_strategies(df: DataFrame) -> list[str]:
 
 
 # ---- scan metrics after execution -------------------------------------------------
-# The only use of Spark's private JVM bridge (``_jdf``): Python has no public
-# handle on a query's SQL metrics. Kept here, in one place.
+# Python has no public handle on a query's SQL metrics, so these two functions use
+# Spark's private bridge (``_jdf``). The other use is session.py's, for files.
 
 def _walk(p, out: list) -> list:
     name = p.getClass().getSimpleName()
@@ -73,3 +83,8 @@ def run_measured(df: DataFrame) -> dict:
     return {"files": sum(s.get("numFiles", 0) for s in scans),
             "scanned_bytes": sum(s.get("filesSize", 0) for s in scans),
             "scans": len(scans)}
+
+
+def cached_bytes(df: DataFrame) -> int:
+    """Bytes that a persisted and computed result takes."""
+    return int(str(df._jdf.queryExecution().withCachedData().stats().sizeInBytes()))

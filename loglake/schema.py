@@ -10,6 +10,11 @@ DATA_COLUMNS = ["timestamp", "level", "service", "message", "trace_id",
                 "log_group", "log_stream"]
 PARTITION_COLUMNS = ["domain", "year", "month", "day"]
 TABLE_COLUMNS = DATA_COLUMNS + PARTITION_COLUMNS
+# The last directory level of the lake: which write a file belongs to.
+INGEST_KEY = "ingest_key"
+LAYOUT_COLUMNS = PARTITION_COLUMNS + [INGEST_KEY]
+# Prefix the delivery stream gives to its failures in the bare layout.
+ERRORS_PREFIX = "errors"
 
 # Text form of a timestamp everywhere: millisecond ISO-8601 in UTC.
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -26,10 +31,14 @@ BYTES_PER_MB = 1024.0 * 1024.0
 
 # Result cache lifetime in seconds.
 CACHE_TTL_SECONDS = 300
+# Bytes of results that one session keeps at most.
+CACHE_MAX_BYTES = 256 << 20
 # Characters of SQL shown per line of the cost report (longer ones get "...").
 SQL_PREVIEW_CHARS = 50
 # Delivery buffer: flush every 300 s (the streaming trigger interval).
 FLUSH_SECONDS = 300
+# Delivery buffer: files of at least this size (MB).
+TARGET_FILE_MB = 64
 # Default retention when a caller asks for the default (days).
 DEFAULT_RETENTION_DAYS = 90
 # ---------------------------------------------------------------------------
@@ -38,7 +47,7 @@ _s = T.StringType()
 
 LOG_EVENT = T.StructType([
     T.StructField("id", _s),
-    T.StructField("timestamp", T.LongType()),
+    T.StructField("timestamp", T.DoubleType()),
     T.StructField("message", _s),
 ])
 
@@ -57,7 +66,7 @@ DELIVERY_RECORD = T.StructType([
     T.StructField("data", _s),
 ])
 
-PARTITION_FIELDS = [T.StructField(c, _s) for c in PARTITION_COLUMNS]
+PARTITION_FIELDS = [T.StructField(c, _s) for c in LAYOUT_COLUMNS]
 
 # Parquet lake: real timestamp (row-group min/max prune time predicates).
 LOGS_PARQUET = T.StructType(
@@ -93,6 +102,7 @@ DOMAINS = T.StructType([
 ])
 
 HISTORY = T.StructType([
+    T.StructField("n", T.LongType()),
     T.StructField("sql", _s),
     T.StructField("scanned_bytes", T.LongType()),
     T.StructField("cost", T.DoubleType()),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,48 +66,43 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "loglake", *[p.strip("/") for p in parts]])
 
 
-def local_path(path: str) -> str | None:
-    """Filesystem path for ``file:`` / bare paths, else None."""
-    if path.startswith("file:"):
-        return path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:]
-    if "://" in path:
-        return None
-    return path
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its filesystem as Spark resolves them: a path without a
+    scheme is on the default filesystem, wherever that is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    lp = local_path(path)
-    if lp is not None:
-        return os.path.exists(lp)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _hadoop(spark, path)
     return bool(fs.exists(p))
 
 
+def path_status(spark: SparkSession, path: str) -> str:
+    """Sizes and modification times of a file, or of the files in a folder."""
+    p, fs = _hadoop(spark, path)
+    if not fs.exists(p):
+        return ""
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p)))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small marker file (local path or any Hadoop filesystem)."""
-    lp = local_path(path)
-    if lp is not None:
-        os.makedirs(os.path.dirname(lp) or ".", exist_ok=True)
-        with open(lp, "w") as f:
-            f.write(text)
-        return
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    """Write a small marker file."""
+    p, fs = _hadoop(spark, path)
+    out = fs.create(p, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    if not path_exists(spark, path):
+    p, fs = _hadoop(spark, path)
+    if not fs.exists(p):
         return None
-    lp = local_path(path)
-    if lp is not None:
-        with open(lp) as f:
-            return f.read()
-    return "".join(r.value for r in spark.read.text(path).collect())
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @contextlib.contextmanager

@@ -1,13 +1,17 @@
-"""The ``logs`` lake on files: writers, readers, inventory.
+"""The ``logs`` lake on files: writers and readers of one layout.
 
-Layout written: Hive style ``domain=x/year=yyyy/month=MM/day=dd/`` (so Spark
-prunes partitions from the path). Layout also read: the bare
-``x/yyyy/MM/dd/`` form, keys taken from the file path.
+Every writer, batch, stream, archive or compaction, lays files out Hive style as
+``domain=x/year=yyyy/month=MM/day=dd/ingest_key=k/``; readers and the catalog
+table declare the same five levels. ``ingest_key`` names the write a file belongs
+to: a write that runs again replaces its own directories and no others. Also
+read: the bare ``x/yyyy/MM/dd/`` form, keys taken from the file path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
@@ -23,17 +27,21 @@ PARQUET_WRITE_CONF = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS
 # near the advisory size instead of one file per task per partition.
 MAX_RECORDS_PER_FILE = 2_000_000
 
+# Key of writes that replace whole days (mode="overwrite").
+MAIN_KEY = "main"
+
 
-def _table_frame(df: DataFrame) -> DataFrame:
+def _table_frame(df: DataFrame, key: str | None = None) -> DataFrame:
     cols = []
     for c in S.TABLE_COLUMNS:
         cols.append(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c))
-    return df.select(*cols)
+    return df.select(*cols, *([F.col(key).alias(S.INGEST_KEY)] if key else []))
 
 
 def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
                max_records_per_file: int = MAX_RECORDS_PER_FILE, options: dict | None = None,
-               target_file_mb: int | None = None) -> None:
+               target_file_mb: int | None = S.TARGET_FILE_MB,
+               ingest_key: Column | str | None = None) -> Column | str:
     """Write rows with the table columns, partitioned by domain and date.
 
     ``REBALANCE(domain, year, month, day)`` is one shuffle that groups rows
@@ -41,16 +49,23 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
     advisory-size tasks instead of one, so a skewed partition costs more
     files, not one straggler. ``target_file_mb`` sets AQE's advisory
     partition size for this write only (files come out near that size);
-    unset, the session's value applies. ``mode="overwrite"`` uses dynamic partition
-    overwrite: only the partitions present in ``df`` are replaced, so a
-    replayed batch rewrites its own days and nothing else.
+    None leaves the session's.
+
+    Rows go under ``ingest_key`` (returned), by dynamic partition overwrite:
+    the days in ``df`` lose what the same key wrote before and nothing else. By
+    default ``mode="append"`` takes a new key, and ``mode="overwrite"`` one fixed
+    key, so that it replaces the days that an earlier overwrite wrote.
     """
+    key = ingest_key
+    if key is None:
+        key = MAIN_KEY if mode == "overwrite" else f"batch-{uuid.uuid4().hex}"
+    keyed = df.withColumn("_key", F.lit(key) if isinstance(key, str) else key)
     # Rows inside each file are ordered by time: the writer sorts by the
     # partition keys anyway, and the extra key gives Parquet row groups tight
     # min/max ranges, so "last N minutes" predicates skip most of a day.
-    out = (_table_frame(df).hint("rebalance", *S.PARTITION_COLUMNS)
-           .sortWithinPartitions(*S.PARTITION_COLUMNS, "timestamp"))
-    w = (out.write.partitionBy(*S.PARTITION_COLUMNS).mode(mode)
+    out = (_table_frame(keyed, "_key").hint("rebalance", *S.PARTITION_COLUMNS)
+           .sortWithinPartitions(*S.LAYOUT_COLUMNS, "timestamp"))
+    w = (out.write.partitionBy(*S.LAYOUT_COLUMNS).mode("overwrite")
          .option("maxRecordsPerFile", max_records_per_file)
          .option("partitionOverwriteMode", "dynamic"))
     for k, v in (options or {}).items():
@@ -66,13 +81,13 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
         else:
             raise ValueError(f"unknown format {fmt!r}")
     bump_version(df.sparkSession, path)
+    return key
 
 
 def bump_version(spark: SparkSession, path: str) -> str:
     """Stamp the lake with a new version after a write: one small file at the
     root, so readers can tell "changed?" without listing every file."""
     import time
-    import uuid
 
     v = f"{time.time_ns()}-{uuid.uuid4().hex}"
     from loglake.session import write_text
@@ -90,57 +105,67 @@ def save_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def read_logs(spark: SparkSession, path: str, fmt: str = "parquet",
-              case_insensitive: bool = False, keep_corrupt: bool = False) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", case_insensitive: bool = True,
+              keep_corrupt: bool = False, keep_key: bool = False, keep_file: bool = False,
+              options: dict | None = None) -> DataFrame:
     """The lake as a DataFrame with the explicit table schema.
 
-    Partition keys stay text (``03`` is not turned into 3). JSON keeps broken
-    lines in ``_corrupt_record`` when ``keep_corrupt``; its ``timestamp`` text
-    is cast with ``try_cast`` so a bad value is null, never an error.
-    ``case_insensitive`` (JSON only) matches keys in any letter case at the
-    price of reading whole lines.
+    Partition keys stay text (``03`` is not turned into 3). JSON keys match in
+    any letter case, as the catalog table of the reference has it: canonical lines cost
+    one parse, lines with other keys one more. ``case_insensitive=False`` takes
+    exact keys only. JSON keeps broken lines in ``_corrupt_record`` when
+    ``keep_corrupt``; its ``timestamp`` text is cast with ``try_cast`` so a bad
+    value is null, never an error. ``keep_key`` keeps ``ingest_key``, ``keep_file``
+    adds ``file_name``.
     """
+    reader = spark.read.options(**(options or {}))
+    columns = [*S.TABLE_COLUMNS, *([S.CORRUPT] if keep_corrupt and fmt == "json" else []), *([S.INGEST_KEY] if keep_key else []),
+               *(["file_name"] if keep_file else [])]
+    source = [F.col("_metadata.file_name").alias("file_name")] if keep_file else []
     if fmt == "parquet":
-        return spark.read.schema(S.LOGS_PARQUET).parquet(path)
+        return reader.schema(S.LOGS_PARQUET).parquet(path).select("*", *source).select(*columns)
     if fmt != "json":
         raise ValueError(f"unknown format {fmt!r}")
     if case_insensitive:
-        raw = spark.read.schema(
-            "value string, domain string, year string, month string, day string").text(path)
-        # Exact keys first (one code-generated parse). Only where that left a
-        # column null are the line's keys lower-cased and searched; coalesce
-        # evaluates that fallback lazily, so canonical lines never pay for it.
-        exact = F.from_json("value", ", ".join(f"`{c}` string" for c in S.DATA_COLUMNS))
-
-        def any_case(name):
-            kv = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
-                             lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-            hit = F.filter(kv, lambda e: e["k"] == F.lit(name))
-            return F.try_element_at(hit, F.lit(1))["v"]
-
-        raw = raw.select(exact.alias("_x"), "value", *S.PARTITION_COLUMNS)
-        picked = [F.coalesce(F.col("_x")[c], any_case(c)).alias(c) for c in S.DATA_COLUMNS]
-        df = raw.select(*picked, F.lit(None).cast("string").alias(S.CORRUPT),
-                        *S.PARTITION_COLUMNS)
+        df = _any_case(reader.schema(", ".join(["value string", *(f"{c} string" for c in S.LAYOUT_COLUMNS)])).text(path).select("*", *source))
     else:
-        df = (spark.read.schema(S.LOGS_JSON)
+        df = (reader.schema(S.LOGS_JSON)
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", S.CORRUPT)
-              .json(path))
-    df = df.withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP)"))
-    return df if keep_corrupt else df.drop(S.CORRUPT)
+              .json(path).select("*", *source))
+    return df.withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP)")).select(*columns)
+
+
+def _any_case(raw: DataFrame) -> DataFrame:
+    """JSON lines in column ``value`` as table columns, keys in any letter case."""
+    exact = F.from_json("value", ", ".join(f"`{c}` string" for c in [*S.DATA_COLUMNS, S.CORRUPT]),
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT})
+    # Only a line with a capital in some key is parsed again, once, as a map.
+    other = F.when(F.col("value").rlike(r'"[^"]*[A-Z][^"]*"\s*:'), F.from_json("value", "map<string,string>"))
+    entries = F.transform(F.map_entries(other), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    raw = raw.where(F.trim("value") != "").select(exact.alias("_x"), entries.alias("_e"), *[c for c in raw.columns if c != "value"])
+
+    def pick(name):
+        hit = F.filter("_e", lambda e: (e["k"] == F.lit(name)) & e["v"].isNotNull())
+        return F.coalesce(F.col("_x")[name], F.try_element_at(hit, F.lit(1))["v"]).alias(name)
+
+    return raw.select(*[pick(c) for c in S.DATA_COLUMNS], F.col("_x")[S.CORRUPT].alias(S.CORRUPT),
+                      *[c for c in raw.columns if c not in ("_x", "_e")])
 
 
 _BARE = r"/([^/=]+)/([0-9]{4})/([0-9]{2})/([0-9]{2})/[^/]*$"
 
 
-def read_bare_layout(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_bare_layout(spark: SparkSession, path: str, fmt: str = "json", domains: list[str] | None = None,
+                     dates: tuple[str, str] | None = None) -> DataFrame:
     """Read ``{domain}/{yyyy}/{MM}/{dd}/file`` with the keys from the path.
 
     Spark does not discover such keys, so files are listed recursively and
     the keys are cut from ``_metadata.file_path``. A filter on the derived
     keys is a filter on file metadata: Spark applies it to the file listing
-    and never opens the other files.
+    and never opens the other files. ``domains`` and ``dates`` (first and last day,
+    ISO) are such filters; without ``domains`` all are read, but for the prefix
+    that failed records go to.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if fmt == "json":
@@ -155,6 +180,9 @@ def read_bare_layout(spark: SparkSession, path: str, fmt: str = "json") -> DataF
     df = df.select(*[F.col(c) for c in S.DATA_COLUMNS],
                    *[F.regexp_extract(fp, _BARE, i + 1).alias(k)
                      for i, k in enumerate(S.PARTITION_COLUMNS)])
+    df = df.where(F.col("domain").isin(list(domains)) if domains is not None else F.col("domain") != S.ERRORS_PREFIX)
+    if dates is not None:
+        df = df.where(F.concat_ws("-", "year", "month", "day").between(*dates))
     if fmt == "json":
         df = df.withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP)"))
     return df
@@ -162,47 +190,43 @@ def read_bare_layout(spark: SparkSession, path: str, fmt: str = "json") -> DataF
 
 def write_bare_layout(df: DataFrame, path: str) -> None:
     """Write JSON Lines under ``{domain}/{yyyy}/{MM}/{dd}/`` (the layout a
-    delivery stream produces). Each task writes its rows of each partition
-    to one file named by task partition, so a retried task overwrites its
-    own file. The filesystem is resolved by Arrow (local, HDFS, S3)."""
+    delivery stream produces).
+
+    Spark's partitioned writer names its directories ``key=value``, so tasks write
+    these files themselves: each to a name of its attempt, moved to
+    its final name once complete, so a task that runs twice, or dies half-way, leaves
+    one whole file. The filesystem is resolved by Arrow (local, HDFS, S3)."""
     out = _table_frame(df).withColumn("timestamp", F.date_format("timestamp", S.ISO_FORMAT))
-    out = out.hint("rebalance", *S.PARTITION_COLUMNS)
+    out = out.hint("rebalance", *S.PARTITION_COLUMNS).select(
+        F.concat_ws("/", *S.PARTITION_COLUMNS).alias("folder"),
+        F.to_json(F.struct(*S.DATA_COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
     root = path.rstrip("/")
 
     def write_part(it):
-        import json
-
         import pandas as pd
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+        task = TaskContext.get()
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
         streams: dict = {}
-        counts: dict = {}
-        try:
-            # Each Arrow batch is written out at once: memory stays one batch,
-            # with one open file per partition key this task holds.
-            for pdf in it:
-                for key, g in pdf.groupby(S.PARTITION_COLUMNS, sort=False, dropna=False):
-                    if key not in streams:
-                        folder = f"{base}/{key[0]}/{key[1]}/{key[2]}/{key[3]}"
-                        fs.create_dir(folder, recursive=True)
-                        streams[key] = fs.open_output_stream(f"{folder}/part-{pid:05d}.json")
-                        counts[key] = 0
-                    lines = [json.dumps(rec, ensure_ascii=False)
-                             for rec in g[S.DATA_COLUMNS].to_dict("records")]
-                    streams[key].write(("\n".join(lines) + "\n").encode("utf-8"))
-                    counts[key] += len(lines)
-        finally:
-            for st in streams.values():
-                st.close()
-        yield pd.DataFrame([("/".join(k), n) for k, n in counts.items()],
-                           columns=["partition", "rows"])
+        # Each Arrow batch is written out at once: memory stays one batch,
+        # with one open file per partition key this task holds.
+        for pdf in it:
+            for folder, g in pdf.groupby("folder", sort=False):
+                if folder not in streams:
+                    fs.create_dir(f"{base}/{folder}", recursive=True)
+                    final = f"{base}/{folder}/part-{task.partitionId():05d}.json"
+                    temp = f"{base}/{folder}/_part-{task.partitionId():05d}-{task.taskAttemptId()}"
+                    streams[folder] = (fs.open_output_stream(temp), temp, final)
+                streams[folder][0].write(("\n".join(g["line"]) + "\n").encode())
+        for stream, temp, final in streams.values():
+            stream.close()
+            fs.move(temp, final)
+        yield pd.DataFrame({"files": [len(streams)]})
 
     # The noop sink runs the writers without bringing anything back.
-    (out.mapInPandas(write_part, "partition string, rows long")
-     .write.format("noop").mode("overwrite").save())
+    out.mapInPandas(write_part, "files long").write.format("noop").mode("overwrite").save()
 
 
 def write_quarantine(records: DataFrame, path: str, mode: str = "append") -> None:
@@ -214,21 +238,6 @@ def write_quarantine(records: DataFrame, path: str, mode: str = "append") -> Non
     failed.write.mode(mode).json(path)
 
 
-def partition_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Files, bytes and rows per (domain, year, month, day).
-
-    One pass over file metadata and row counts; bytes are whole file sizes.
-    """
-    df = read_logs(spark, path, fmt)
-    per_file = (df.select(*S.PARTITION_COLUMNS, F.col("_metadata.file_path").alias("f"),
-                          F.col("_metadata.file_size").alias("b"))
-                .groupBy(*S.PARTITION_COLUMNS, "f").agg(F.first("b").alias("b"),
-                                                        F.count(F.lit(1)).alias("n")))
-    return (per_file.groupBy(*S.PARTITION_COLUMNS)
-            .agg(F.count("f").alias("files"), F.sum("b").alias("bytes"),
-                 F.sum("n").alias("rows")))
-
-
 def registered_only(logs: DataFrame, domains: list[str]) -> DataFrame:
     """Restrict to registered domains (a partition filter)."""
     return logs.where(F.col("domain").isin(list(domains)))

@@ -16,7 +16,7 @@ _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 _COLUMNS = ("`timestamp` TIMESTAMP, level STRING, service STRING, message STRING, "
             "trace_id STRING, log_group STRING, log_stream STRING, "
-            "domain STRING, year STRING, month STRING, day STRING")
+            "domain STRING, year STRING, month STRING, day STRING, ingest_key STRING")
 
 
 def _ident(*parts: str) -> str:
@@ -38,7 +38,7 @@ def create_log_table(spark: SparkSession, db: str, table: str, path: str, fmt: s
         props = f" TBLPROPERTIES ('{DOMAINS_PROPERTY}' = '{','.join(_check_domains(domains))}')"
     opts = " OPTIONS ('timestampFormat' = \"yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]\")" if fmt == "json" else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {_ident(db, table)} ({_COLUMNS}) USING {fmt}{opts} "
-              f"PARTITIONED BY (domain, year, month, day) LOCATION '{_path(path)}'{props}")
+              f"PARTITIONED BY (domain, year, month, day, ingest_key) LOCATION '{_path(path)}'{props}")
     sync_partitions(spark, db, table)
 
 
@@ -88,8 +88,15 @@ def get_domains(spark: SparkSession, db: str, table: str) -> list[str] | None:
 
 def read_table(spark: SparkSession, db: str, table: str, registered_only: bool = True) -> DataFrame:
     """The table; with ``registered_only`` rows of unregistered domains (e.g.
-    ``unknown``) are filtered out by a partition predicate."""
-    df = spark.table(f"{_ident(db, table)}")
+    ``unknown``) are filtered out by a partition predicate. A JSON table is
+    read at its location, where keys match in any letter case."""
+    from loglake.sources.lake import read_logs
+
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_ident(db, table)}").collect()}
+    if about.get("Provider", "").lower() == "json":
+        df = read_logs(spark, about["Location"], "json")
+    else:
+        df = spark.table(f"{_ident(db, table)}").drop("ingest_key")
     doms = get_domains(spark, db, table) if registered_only else None
     return df.where(F.col("domain").isin(doms)) if doms is not None else df
 

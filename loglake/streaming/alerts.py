@@ -1,111 +1,79 @@
-"""Alerts as a stream: rule counts per event-time window.
-
-``window()`` needs a constant length, so the rule table (small, checked) is
-split by distinct period and each period gets its own windowed aggregate;
-the branches are unioned. Windows are emitted in append mode once the
-watermark passes their end, i.e. when the window is final.
+"""Alerts over a stream: rule counts per event-time window.
+
+Each micro-batch is joined once with the rules and adds its counts per (rule,
+window) as files of its own key, next to the largest event time it saw. A window's
+count is the sum over batches, so files may come in any order and a late event is
+still counted; a batch that runs again replaces its own counts. A window is closed
+once the largest event time, less ``delay_minutes``, has passed its end.
+Nothing is held in memory between batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from loglake.functions.text import keyword_match
+from loglake import schema as S
 from loglake.functions.time import iso_text
-from loglake.operators.alerts import _blank_to_null, validate_rules
-from loglake.operators.joins import small_table
-
-
-def _rule_side(rules: DataFrame) -> DataFrame:
-    return validate_rules(rules).where(F.col("error").isNull()).select(
-        "name", F.col("domain").alias("r_domain"), _blank_to_null("level").alias("r_level"),
-        _blank_to_null("keyword").alias("r_keyword"), "threshold", "period_minutes")
-
-
-def _match(keyword_mode: str, with_keywords: bool = True):
-    cond = ((F.col("domain") == F.col("r_domain"))
-            & (F.col("r_level").isNull() | (F.col("level") == F.col("r_level"))))
-    if with_keywords:
-        cond = cond & (F.col("r_keyword").isNull()
-                       | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
-    return cond
-
-
-def _needs_message(side: DataFrame) -> bool:
-    """Read the (wide) message column only when some rule has a keyword."""
-    return side.where(F.col("r_keyword").isNotNull()).limit(1).count() > 0
-
-
-def stream_alerts(logs_stream: DataFrame, rules: DataFrame, watermark: str = "10 minutes",
-                  slide_minutes: float | None = None, keyword_mode: str = "contains") -> DataFrame:
-    """Streaming DataFrame of (name, window_start, window_end, cnt,
-    threshold, exceeded); tumbling windows unless ``slide_minutes``."""
-    side = small_table(_rule_side(rules))
-    if side is None:
-        raise ValueError("rule table above the broadcast bound")
-    periods = sorted({r["period_minutes"] for r in side.select("period_minutes").collect()})
-    kw = _needs_message(side)
-    events = logs_stream.withWatermark("timestamp", watermark).select(
-        "timestamp", "domain", "level", *(["message"] if kw else []))
-    branches = []
-    for p in periods:
-        rs = F.broadcast(side.where(F.col("period_minutes") == F.lit(p)))
-        length = f"{int(p * 60)} seconds"
-        slide = f"{int((slide_minutes or p) * 60)} seconds"
-        b = (events.join(rs, _match(keyword_mode, kw), "inner")
-             .groupBy(F.window("timestamp", length, slide).alias("w"), "name", "threshold")
-             .agg(F.count(F.lit(1)).alias("cnt")))
-        branches.append(b)
-    if not branches:
-        raise ValueError("no valid rules")
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
-    return out.select("name", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      F.col("cnt").cast("long").alias("cnt"), "threshold",
-                      (F.col("cnt") > F.col("threshold")).alias("exceeded"))
+from loglake.operators.alerts import match_rules, rule_side
+from loglake.streaming.ingest import batch_key, stream_name
 
+PARTIAL = "name string, s long, span long, threshold double, cnt long"
+PROGRESS = "last long"
 
-def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contains") -> DataFrame:
-    """Batch twin of :func:`stream_alerts` (tumbling windows): one pass, the
-    window start computed per row from the rule's own period."""
-    local = small_table(_rule_side(rules))
-    if local is None:
-        raise ValueError("rule table above the broadcast bound")
-    kw = _needs_message(local)
-    side = F.broadcast(local)
-    j = logs.select("timestamp", "domain", "level", *(["message"] if kw else [])).join(
-        side, _match(keyword_mode, kw), "inner")
+
+def window_partials(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contains") -> DataFrame:
+    """(name, s, span, threshold, cnt): tumbling windows of each rule's own period, in microseconds."""
     span = (F.col("period_minutes") * 60_000_000).cast("long")
     micros = F.unix_micros("timestamp")
-    start_us = micros - F.pmod(micros, span)  # exact integer floor to the window
-    agg = (j.groupBy("name", "threshold", start_us.alias("s"), span.alias("span"))
-           .agg(F.count(F.lit(1)).alias("cnt")))
-    return agg.select("name", iso_text(F.timestamp_micros("s")).alias("window_start"),
-                      iso_text(F.timestamp_micros(F.col("s") + F.col("span"))).alias("window_end"),
-                      F.col("cnt").cast("long").alias("cnt"), "threshold",
-                      (F.col("cnt") > F.col("threshold")).alias("exceeded"))
-
-
-def start_alerts(alerts: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None,
-                 state_partitions: int | None = None):
-    """Write closed windows to files (exactly-once file sink).
-
-    ``state_partitions`` fixes the number of state-store partitions of a new
-    query (Spark records it in the checkpoint at the first start; later
-    restarts keep it). The session setting is restored right after start.
-    """
-    spark = alerts.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    if state_partitions:
-        spark.conf.set(key, str(state_partitions))
+    start = micros - F.pmod(micros, span)  # exact integer floor to the window
+    return (match_rules(logs, rule_side(rules), keyword_mode)
+            .groupBy("name", start.alias("s"), span.alias("span"), "threshold")
+            .agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+
+
+def _windows(partials: DataFrame) -> DataFrame:
+    return (partials.groupBy("name", "s", "span", "threshold").agg(F.sum("cnt").cast("long").alias("cnt"))
+            .select("name", iso_text(F.timestamp_micros("s")).alias("window_start"),
+                    iso_text(F.timestamp_micros(F.col("s") + F.col("span"))).alias("window_end"),
+                    "cnt", "threshold", (F.col("cnt") > F.col("threshold")).alias("exceeded")))
+
+
+def window_counts(logs: DataFrame, rules: DataFrame, keyword_mode: str = "contains") -> DataFrame:
+    """Rule counts per window over all logs, in one pass."""
+    return _windows(window_partials(logs, rules, keyword_mode))
+
+
+def alert_batch(logs: DataFrame, batch_id: int, rules: Callable[[], DataFrame], out_path: str, stream: str,
+                keyword_mode: str = "contains") -> None:
+    """Write one micro-batch's counts and its largest event time."""
+    key = F.lit(batch_key(stream, batch_id)).alias(S.INGEST_KEY)
+    logs = logs.persist()
     try:
-        return (alerts.withColumn("window_start", iso_text(F.col("window_start")))
-                .withColumn("window_end", iso_text(F.col("window_end")))
-                .writeStream.format("parquet").outputMode("append")
-                .option("checkpointLocation", checkpoint)
-                .trigger(**(trigger or {"processingTime": "60 seconds"})).start(out_path))
+        for name, df in (("partials", window_partials(logs, rules(), keyword_mode)),
+                         ("progress", logs.agg(F.max(F.unix_micros("timestamp")).alias("last")))):
+            (df.select("*", key).write.partitionBy(S.INGEST_KEY).mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").parquet(f"{out_path}/{name}"))
     finally:
-        spark.conf.set(key, old)
+        logs.unpersist()
+
+
+def start_alerts(logs_stream: DataFrame, rules: Callable[[], DataFrame], out_path: str, checkpoint: str,
+                 trigger: dict | None = None, stream: str | None = None, keyword_mode: str = "contains") -> StreamingQuery:
+    """Count windows continuously; the rules are read in every batch."""
+    name = stream or stream_name(checkpoint)
+    return (logs_stream.writeStream
+            .foreachBatch(lambda df, bid: alert_batch(df, bid, rules, out_path, name, keyword_mode))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+
+
+def closed_windows(spark: SparkSession, out_path: str, delay_minutes: float = 0.0) -> DataFrame:
+    """Closed windows of what :func:`start_alerts` has counted so far."""
+    partials = spark.read.schema(PARTIAL).parquet(f"{out_path}/partials")
+    last = spark.read.schema(PROGRESS).parquet(f"{out_path}/progress").agg(F.max("last")).first()[0] or 0
+    bound = last - int(delay_minutes * 60_000_000)
+    return _windows(partials.where(F.col("s") + F.col("span") <= F.lit(bound)))

@@ -9,6 +9,8 @@ def test_connections(spark):
     up = {r["log_group"]: (r["filter_pattern"], r["domain"])
           for r in CN.upsert_connections(conns, moved, doms).collect()}
     assert up == {"/ecs/a": ("WARN", "order"), "/ecs/b": ("ERROR", "order")}
+    twice = spark.createDataFrame([("/ecs/n", "", "user"), ("/ecs/n", "", "order")], S.CONNECTIONS)
+    assert [r["domain"] for r in CN.upsert_connections(conns.limit(0), twice, doms).collect()] == ["order"]
     bad = CN.invalid_connections(moved, doms).collect()
     assert [(r["log_group"], r["error"]) for r in bad] == [("/ecs/c", "unknown domain 'nope'")]
     wrong = spark.createDataFrame([("/ecs/b", "user"), ("/ecs/a", "user")], "log_group string, domain string")

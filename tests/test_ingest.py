@@ -1,5 +1,8 @@
 """Transform edge cases (hand-made envelopes)."""
 
+import base64
+import json
+
 from pyspark.sql import functions as F
 
 from helpers import b64gz, envelope
@@ -34,6 +37,12 @@ def test_dispositions(spark):
         ("control_broken", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":"oops"}')),
         ("control_truncated", b64gz('{"messageType":"CONTROL_MESSAGE","logEvents":[{"id":')),
         ("empty_text", b64gz("")),
+        ("trailing", b64gz(json.dumps(envelope(events=ev)) + " junk")),
+        ("twice", b64gz(json.dumps(envelope(events=ev)) * 2)),
+        ("single_quotes", b64gz(str(envelope(events=[{"timestamp": 1706659200000}])))),
+        ("array", b64gz(json.dumps([envelope(events=ev)]))),
+        ("padded", base64.b64encode(base64.b64decode(b64gz(envelope(events=ev))) + bytes(8)).decode()),
+        ("fraction", b64gz(json.dumps(envelope(events=ev)).replace("1706659200000", "1706659200000.0"))),
     ]
     rows, d = _run(spark, records)
     assert d["ok"][0] == S.OK
@@ -53,7 +62,10 @@ def test_dispositions(spark):
     # Broken JSON fails even when its type field was read before the break.
     assert d["control_truncated"] == (S.FAILED, "not JSON")
     assert d["empty_text"] == (S.FAILED, "not JSON")
-    assert rows.count() == 1
+    for kind in ("trailing", "twice", "single_quotes", "array"):
+        assert d[kind] == (S.FAILED, "not JSON"), kind
+    assert d["padded"][0] == d["fraction"][0] == S.OK
+    assert [str(r["timestamp"]) for r in rows.collect()] == ["2024-01-31 00:00:00"] * 3
 
 
 def test_rows_defaults_and_mapping(spark):
@@ -107,7 +119,9 @@ def test_map_domain_is_broadcast(spark):
     conns = spark.createDataFrame(CONN, S.CONNECTIONS)
     from loglake.plans.inspect import join_strategies
     out = I.map_domain(rows, conns)
-    assert join_strategies(out) == ["BroadcastHashJoin"]
+    assert I.map_domain(spark.createDataFrame([(None,)], "log_group string"), conns.union(
+        spark.createDataFrame([(None, "", "user")], S.CONNECTIONS))).first()["domain"] == "unknown"
+    assert len(join_strategies(out)) == 1
     got = dict(out.groupBy("domain").count().collect())
     assert got == {"order": 50, "unknown": 50}
 

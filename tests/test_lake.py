@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglake import fixtures as FX
 from loglake import schema as S
 from loglake.plans.inspect import check_pruned, partition_filters, run_measured
+from loglake.sources import files as FL
 from loglake.sources import lake as L
 
 
@@ -45,10 +46,13 @@ def test_json_corrupt_lines_and_letter_case(spark, tmp_path):
              json.dumps({"timestamp": "not a time", "message": "c"})]
     (d / "part-0.json").write_text("\n".join(lines) + "\n")
     root = str(tmp_path)
-    strict = L.read_logs(spark, root, "json", keep_corrupt=True).collect()
-    assert sum(1 for r in strict if r[S.CORRUPT] is not None) == 1
-    assert {r["month"] for r in strict} == {"03"}
-    ci = {r["message"]: r for r in L.read_logs(spark, root, "json", case_insensitive=True).collect()}
+    for any_case in (False, True):
+        rows = L.read_logs(spark, root, "json", case_insensitive=any_case, keep_corrupt=True).collect()
+        assert sum(1 for r in rows if r[S.CORRUPT] is not None) == 1 and len(rows) == 4
+        assert {r["month"] for r in rows} == {"03"}
+    read = L.read_logs(spark, root, "json")  # any letter case is the default
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+    ci = {r["message"]: r for r in read.collect()}
     assert ci["b"]["level"] == "WARN" and ci["b"]["timestamp"] is not None
     assert ci["c"]["timestamp"] is None
 
@@ -68,9 +72,9 @@ def test_quarantine_and_inventory(spark, sf, tmp_path):
     L.write_quarantine(parse_records(recs), str(tmp_path / "q"))
     got = spark.read.json(str(tmp_path / "q")).collect()
     assert sorted(r["record_id"] for r in got) == ["r1", "r2"] and all(r["data"] for r in got)
-    inv = L.partition_inventory(spark, FX.lake_path(spark, sf), "parquet")
-    tot = inv.agg(F.sum("rows"), F.sum("files"), F.min("bytes")).first()
-    assert tot[0] == FX.logs(spark, sf).count() and tot[1] >= inv.count() and tot[2] > 0
+    inv = FL.partition_inventory(spark, FX.lake_path(spark, sf), "parquet")
+    tot = inv.agg(F.sum("files"), F.min("bytes")).first()
+    assert tot[0] >= inv.count() and tot[1] > 0
 
 
 def test_hot_partition_is_split(spark, tmp_path):
@@ -89,8 +93,8 @@ def test_hot_partition_is_split(spark, tmp_path):
                        F.date_format("timestamp", "MM").alias("month"),
                        F.date_format("timestamp", "dd").alias("day"))
         p = str(tmp_path / "skew")
-        L.write_logs(df, p, "parquet", mode="overwrite")
-        hot = os.path.join(p, "domain=payment", "year=2024", "month=01", "day=31")
+        L.write_logs(df, p, "parquet", mode="overwrite", target_file_mb=None)
+        hot = os.path.join(p, "domain=payment", "year=2024", "month=01", "day=31", "ingest_key=main")
         files = [f for f in os.listdir(hot) if f.endswith(".parquet")]
         assert len(files) > 1
         assert L.read_logs(spark, p).count() == n
@@ -147,8 +151,6 @@ def test_file_cut_and_empty_result_schema(spark, sf, tmp_path):
 
 def test_inventory_and_scan_bytes_against_filesystem(spark, sf):
     """The two rows-only queries, checked by brute force on the files."""
-    import __spark_entry__ as E
-
     root = FX.lake_path(spark, sf, "parquet")
     walk = {}
     for d, _, files in os.walk(root):
@@ -156,13 +158,20 @@ def test_inventory_and_scan_bytes_against_filesystem(spark, sf):
         data = [f for f in files if f.endswith(".parquet")]
         if data:
             key = (parts["domain"], parts["year"], parts["month"], parts["day"])
-            walk[key] = (len(data), sum(os.path.getsize(os.path.join(d, f)) for f in data))
+            n, size = walk.get(key, (0, 0))
+            walk[key] = (n + len(data), size + sum(os.path.getsize(os.path.join(d, f)) for f in data))
     inv = {(r["domain"], r["year"], r["month"], r["day"]): (r["files"], r["bytes"])
-           for r in E.queries()["partition_inventory"](spark, sf).collect()}
+           for r in FL.partition_inventory(spark, root).collect()}
     assert inv == walk
-    sb = {r["scope"]: (r["files"], r["scanned_bytes"]) for r in E.queries()["scan_bytes"](spark, sf).collect()}
-    assert sb["payment 2024-01-15"] == walk[("payment", "2024", "01", "15")]
-    assert sb["whole lake"] == (sum(v[0] for v in walk.values()), sum(v[1] for v in walk.values()))
+    day = (F.col("domain") == "payment") & (F.col("year") == "2024") & (F.col("month") == "01") & (F.col("day") == "15")
+    assert tuple(FL.scan_estimate(spark, root, predicate=day).first()) == walk[("payment", "2024", "01", "15")]
+    whole = tuple(FL.scan_estimate(spark, root).first())
+    assert whole == (sum(v[0] for v in walk.values()), sum(v[1] for v in walk.values()))
+    # The estimate is what a query reads, data filters or not.
+    for df in (FX.lake(spark, sf).where(day).groupBy("level").count(),
+               FX.lake(spark, sf).where(day & (F.col("level") == "ERROR")).groupBy("level").count()):
+        m = run_measured(df)
+        assert (m["files"], m["scanned_bytes"]) == walk[("payment", "2024", "01", "15")]
 
 
 def test_check_pruned_flags_unpruned_queries(spark, sf):
@@ -191,3 +200,51 @@ def test_bare_layout_rewrite_is_idempotent(spark, sf, tmp_path):
     second = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs)
     assert first == second
     assert L.read_bare_layout(spark, root, "json").count() == lg.count()
+
+
+def test_check_pruned_is_exact(spark, sf):
+    import warnings
+
+    lake = FX.lake(spark, sf, "parquet")
+    user = lake.where("domain = 'user'")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert not check_pruned(lake.where("domain IS NOT NULL"))
+        assert not check_pruned(user.unionByName(lake))
+        many = lake.where(F.col("domain").isin([f"d{i:03d}" for i in range(300)]))
+        assert check_pruned(many) and check_pruned(user.unionByName(user.where("level = 'ERROR'")))
+
+
+def test_bare_layout_leaves_failures_out(spark, tmp_path):
+    for domain in ("user", S.ERRORS_PREFIX):
+        d = tmp_path / domain / "2024" / "03" / "05"
+        d.mkdir(parents=True)
+        (d / "part-0.json").write_text('{"message": "m", "timestamp": "2024-03-05T00:00:00.000Z"}\n')
+    read = L.read_bare_layout(spark, str(tmp_path))
+    assert [r["domain"] for r in read.collect()] == ["user"]
+    assert L.read_bare_layout(spark, str(tmp_path), dates=("2024-03-06", "2024-03-07")).count() == 0
+    assert L.read_bare_layout(spark, str(tmp_path), domains=[S.ERRORS_PREFIX]).count() == 1
+
+
+def test_listing_reads_no_rows_and_undoes_escapes(spark, tmp_path):
+    from loglake.plans.inspect import plan_text
+
+    root = str(tmp_path / "lake")
+    rows = spark.createDataFrame([("a:b", "2024", "01", "02", "m+%x")], "domain string, year string, month string, day string, message string")
+    L.write_logs(rows.withColumn("timestamp", F.lit("2024-01-02").cast("timestamp")), root, ingest_key="k")
+    files = FL.list_files(spark, root)
+    assert [tuple(r)[2:] for r in files.collect()] == [("a:b", "2024", "01", "02", "k")]
+    assert "content" not in plan_text(files, "simple").split("ReadSchema")[1]
+    assert FL.delete_files(files) == 1 and FL.list_files(spark, root).count() == 0
+    assert FL.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_writes_of_different_keys_add_up_and_equal_keys_replace(spark, sf, tmp_path):
+    lg, root = FX.logs(spark, sf), str(tmp_path / "lake")
+    n = lg.count()
+    for _ in range(2):
+        L.write_logs(lg, root, ingest_key="a")
+    L.write_logs(lg, root, ingest_key="b")
+    L.write_logs(lg, root)
+    assert L.read_logs(spark, root).count() == 3 * n
+    assert FL.snapshot(spark, root) != FL.snapshot(spark, FX.lake_path(spark, sf))

@@ -1,7 +1,11 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from loglake import fixtures as FX
 from loglake.operators import retention as RT
+from loglake.sources.files import list_files
 from loglake.sources.lake import read_logs, write_logs
 
 
@@ -24,9 +28,13 @@ def test_apply(spark, sf, tmp_path):
     root, arch = str(tmp_path / "hot"), str(tmp_path / "archive")
     write_logs(FX.logs(spark, sf), root, "parquet", mode="overwrite")
     before = read_logs(spark, root).count()
-    plan = RT.retention_plan(read_logs(spark, root), FX.AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
-    dry = RT.apply_retention(spark, root, plan, dry_run=True)
-    assert dry and all(os.path.isdir(d.split(":", 1)[1]) for d in dry)
+    plan = RT.retention_plan(list_files(spark, root), FX.AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS).cache()
+    assert plan.exceptAll(RT.retention_plan(read_logs(spark, root), FX.AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)).count() == 0
+    dry = RT.apply_retention(spark, root, plan, dry_run=True).collect()
+    assert dry and all(os.path.exists(r["path"].removeprefix("file:")) for r in dry)
+    with pytest.raises(ValueError, match="archive_root"):
+        RT.apply_retention(spark, root, plan, dry_run=False)
+    assert read_logs(spark, root).count() == before
     tiers = {r["tier"]: r["n"] for r in plan.groupBy("tier").count().withColumnRenamed("count", "n").collect()}
     assert set(tiers) == {"hot", "archive", "expired"}
     archived_rows = read_logs(spark, root).join(plan.where("tier = 'archive'"),
@@ -53,3 +61,79 @@ def test_plan_brute_force(spark):
         age = (as_of - d).days
         tier = "expired" if age >= 30 else "archive" if age >= 10 else "hot"
         assert got[(f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")] == (age, tier)
+
+
+def _day(spark, day, texts, domain="user"):
+    rows = [(f"2024-01-{day} 00:00:00", domain, "2024", "01", day, t) for t in texts]
+    df = spark.createDataFrame(rows, "ts string, domain string, year string, month string, day string, message string")
+    return df.withColumn("timestamp", F.to_timestamp("ts"))
+
+
+def test_late_rows_after_archiving_are_kept(spark, tmp_path):
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+
+    def age():
+        plan = RT.retention_plan(list_files(spark, hot), "2024-01-31", 90, 7)
+        RT.apply_retention(spark, hot, plan, archive_root=cold, dry_run=False)
+
+    write_logs(_day(spark, "20", ["a", "b"]), hot, mode="overwrite")
+    age()
+    write_logs(_day(spark, "20", ["late"]), hot, mode="overwrite")  # the same key and day again
+    age()
+    assert sorted(r["message"] for r in read_logs(spark, cold).collect()) == ["a", "b", "late"]
+    assert list_files(spark, hot).count() == 0
+
+
+def test_a_copy_made_again_replaces_itself(spark, tmp_path):
+    """As after a run that died between the copy and the deletes."""
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    write_logs(_day(spark, "20", ["a", "b"]), hot)
+    files = list_files(spark, hot)
+    for _ in range(2):
+        RT.copy_files(spark, hot, files, cold)
+    assert read_logs(spark, cold).count() == 2
+
+
+def test_escaped_names_and_archive_expiry(spark, tmp_path):
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    write_logs(_day(spark, "01", ["old"], "a:b"), hot)
+    write_logs(_day(spark, "20", ["kept"], "a:b"), hot)
+    RT.apply_retention(spark, hot, RT.retention_plan(list_files(spark, hot), "2024-01-31", 30, 7), archive_root=cold, dry_run=False)
+    assert list_files(spark, hot).count() == 0
+    assert [r["message"] for r in read_logs(spark, cold).collect()] == ["kept"]
+    RT.expire_archive(spark, cold, "2024-01-31", 11, dry_run=False)
+    assert list_files(spark, cold).count() == 0
+
+
+def test_compaction(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    for k in range(6):
+        write_logs(_day(spark, "10", [f"m{k}"]), root)
+        write_logs(_day(spark, "30", [f"n{k}"]), root)
+    want = sorted(r["message"] for r in read_logs(spark, root).collect())
+    assert RT.compact(spark, root, "2024-01-30") == 6
+    assert sorted(r["message"] for r in read_logs(spark, root).collect()) == want
+    days = {r["day"]: r["n"] for r in list_files(spark, root).groupBy("day").count().withColumnRenamed("count", "n").collect()}
+    assert days == {"10": 1, "30": 6}
+    assert RT.compact(spark, root, "2024-01-30") == 0
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_compaction_that_died_is_finished(spark, tmp_path, monkeypatch, written):
+    root = str(tmp_path / "lake")
+    for k in range(3):
+        write_logs(_day(spark, "10", [f"m{k}"]), root)
+    real = RT._finish_compaction
+    if written:  # dies before the deletes
+        calls = iter([real, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))])
+        monkeypatch.setattr(RT, "_finish_compaction", lambda *a: next(calls)(*a))
+    else:  # dies after the copy, before it is known to be whole
+        write = RT.write_text
+        monkeypatch.setattr(RT, "write_text", lambda s, p, t: write(s, p, t) if "WRITTEN" not in p else (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        RT.compact(spark, root, "2024-01-30")
+    monkeypatch.undo()
+    assert read_logs(spark, root).count() == 6
+    RT.compact(spark, root, "2024-01-30")
+    assert sorted(r["message"] for r in read_logs(spark, root).collect()) == ["m0", "m1", "m2"]
+    assert list_files(spark, root).count() == 1

@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from loglake import fixtures as FX
 from loglake import schema as S
-from loglake.sources.lake import read_logs
+from loglake.operators.ingest import transform
+from loglake.sources.lake import read_logs, write_logs
 from loglake.streaming import alerts as SA
 from loglake.streaming import ingest as SI
 
@@ -15,20 +16,19 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf, tmp_path):
     run.awaitTermination()
     assert run.exception() is None
     got = read_logs(spark, lake)
-    want = FX.logs(spark, sf)
+    want = transform(spark.read.schema(S.DELIVERY_RECORD).json(src), FX.connections(spark))[0]
     key = ["domain", "log_group", "message", "year", "month", "day"]
     assert got.select(*key).exceptAll(want.select(*key)).count() == 0
     assert got.count() == want.count()
     # Replaying batch 0 (as after a crash) must not duplicate it.
     recs = spark.read.schema(S.DELIVERY_RECORD).json(src).orderBy("record_id").limit(5).cache()
     replay = str(tmp_path / "replay")
-    from loglake.operators.ingest import transform
     once = transform(recs, FX.connections(spark))[0].count()
     SI.ingest_batch(recs, 3, lambda: FX.connections(spark), replay, None)
     SI.ingest_batch(recs, 4, lambda: FX.connections(spark), replay, None)
     SI.ingest_batch(recs, 3, lambda: FX.connections(spark), replay, None)
-    back = read_logs(spark, replay)
-    assert back.where(F.col("ingest_batch") == 3).count() == once
+    back = read_logs(spark, replay, keep_key=True)
+    assert back.where(F.col("ingest_key") == SI.batch_key("stream", 3)).count() == once
     assert back.count() == 2 * once
     assert spark.read.json(q).count() > 0
 
@@ -38,12 +38,11 @@ def test_stream_alerts_match_batch_closed_windows(spark, sf, tmp_path):
 
     lake_p = FX.lake_path(spark, sf)
     rules = upsert_rules(FX.base_rules(spark), FX.derived_rules(FX.logs(spark, sf)))
-    stream = spark.readStream.schema(S.LOGS_PARQUET).parquet(lake_p)
+    stream = spark.readStream.schema(S.LOGS_PARQUET).option("maxFilesPerTrigger", 50).parquet(lake_p)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    q = SA.start_alerts(SA.stream_alerts(stream, rules, watermark="0 seconds"), out, ck,
-                        trigger={"availableNow": True})
+    q = SA.start_alerts(stream, lambda: rules, out, ck, trigger={"availableNow": True})
     q.awaitTermination()
-    got = spark.read.parquet(out)
+    got = SA.closed_windows(spark, out)
     batch = SA.window_counts(FX.lake(spark, sf), rules)
     last = FX.lake(spark, sf).agg(F.max("timestamp")).first()[0]
     closed = batch.where(F.to_timestamp("window_end") <= F.lit(last))
@@ -88,9 +87,75 @@ def test_connections_reread_per_batch_and_late_rows(spark, tmp_path):
     write_records("b.json", [("b", b64gz(envelope(group="/ecs/new", events=ev2)))])
     q = run()
     q.awaitTermination()
-    got = {r["message"]: (r["domain"], r["day"], r["ingest_batch"])
-           for r in read_logs(spark, lake).collect()}
+    got = {r["message"]: (r["domain"], r["day"], r["ingest_key"])
+           for r in read_logs(spark, lake, keep_key=True).collect()}
     assert got["first"][:2] == ("unknown", "05")
     assert got["late"][:2] == ("auth", "02")
     assert got["late"][2] > got["first"][2]
     assert os.path.isdir(os.path.join(lake, "domain=auth", "year=2024", "month=01", "day=02"))
+
+
+def _records(spark, n, text="m"):
+    from helpers import b64gz, envelope
+
+    rows = [(f"{text}{i}", b64gz(envelope(group="/ecs/new", events=[{"id": "1", "timestamp": 1704412800000, "message": f"{text}{i}"}])))
+            for i in range(n)]
+    return spark.createDataFrame(rows, S.DELIVERY_RECORD)
+
+
+def test_streams_fresh_checkpoints_and_batch_writes_add_up(spark, tmp_path):
+    from loglake.sources import tables as TB
+
+    lake = str(tmp_path / "lake")
+    conns = lambda: FX.connections(spark)
+    for k in range(2):  # two streams, and one of them from a fresh checkpoint
+        src = str(tmp_path / f"src{k}")
+        _records(spark, 3, f"s{k}-").coalesce(1).write.json(src)
+        for ck in ("ck", "fresh")[:k + 1]:
+            SI.start_ingest(spark, src, lake, str(tmp_path / f"{ck}{k}"), conns, trigger={"availableNow": True}).awaitTermination()
+    write_logs(transform(_records(spark, 2, "batch"), conns())[0], lake)
+    got = read_logs(spark, lake).groupBy("message").count().collect()
+    assert {r["message"]: r["count"] for r in got} == {
+        **{f"s0-{i}": 1 for i in range(3)}, **{f"s1-{i}": 2 for i in range(3)}, "batch0": 1, "batch1": 1}
+    TB.create_log_table(spark, "streamdb", "logs", lake)
+    assert TB.read_table(spark, "streamdb", "logs").count() == 11
+    TB.drop_log_table(spark, "streamdb", "logs", drop_database=True)
+
+
+def test_replay_after_a_mapping_change_moves_nothing(spark, tmp_path):
+    lake, state = str(tmp_path / "lake"), str(tmp_path / "state")
+    one = spark.createDataFrame([("/ecs/new", "", "auth")], S.CONNECTIONS)
+    other = spark.createDataFrame([("/ecs/new", "", "user")], S.CONNECTIONS)
+    for conns in (one, other):
+        SI.ingest_batch(_records(spark, 4), 0, lambda c=conns: c, lake, None, state_path=state)
+    assert [tuple(r) for r in read_logs(spark, lake).groupBy("domain").count().collect()] == [("auth", 4)]
+
+
+def test_audit_and_file_counts_over_many_batches(spark, tmp_path):
+    from loglake.operators.retention import compact
+    from loglake.sources.files import list_files
+
+    src, lake, audit = str(tmp_path / "src"), str(tmp_path / "lake"), str(tmp_path / "audit")
+    for k in range(20):
+        _records(spark, 2, f"b{k}-").coalesce(1).write.mode("append").json(src)
+    SI.start_ingest(spark, src, lake, str(tmp_path / "ck"), lambda: FX.connections(spark), trigger={"availableNow": True},
+                    max_files_per_trigger=1, audit_path=audit).awaitTermination()
+    assert list_files(spark, lake).count() == 20  # one file a batch: all rows are of one day
+    assert SI.read_audit(spark, audit).groupBy("disposition").agg(F.sum("records")).collect()[0][1] == 40
+    assert compact(spark, lake, "2024-01-06") == 20
+    assert list_files(spark, lake).count() == 1 and read_logs(spark, lake).count() == 40
+
+
+def test_alert_windows_of_fractions_late_rows_and_replays(spark, tmp_path):
+    rules = spark.createDataFrame([("short", "auth", None, None, 0.0, 0.01), ("minute", "auth", "ERROR", None, 1.0, 1.0),
+                                   ("endless", "auth", None, None, 0.0, float("inf"))], S.RULES)
+    row = lambda ms, level="ERROR": (ms, "auth", level, "m")
+    frame = lambda rows: spark.createDataFrame(rows, "ms long, domain string, level string, message string").select(
+        F.timestamp_millis("ms").alias("timestamp"), "domain", "level", "message")
+    out, t = str(tmp_path / "out"), 1_704_412_800_000
+    SA.alert_batch(frame([row(t + 30_000), row(t + 200_000)]), 0, lambda: rules, out, "s")
+    for _ in range(2):  # late rows, and their batch again
+        SA.alert_batch(frame([row(t + 10), row(t + 20, "WARN"), row(t + 700)]), 1, lambda: rules, out, "s")
+    got = {(r["name"], r["window_start"][17:]): (r["cnt"], r["exceeded"]) for r in SA.closed_windows(spark, out).collect()}
+    assert got == {("minute", "00.000Z"): (3, True), ("short", "00.000Z"): (2, True), ("short", "00.600Z"): (1, True), ("short", "30.000Z"): (1, True)}
+    assert SA.closed_windows(spark, out, delay_minutes=10).count() == 0
