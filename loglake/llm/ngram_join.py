@@ -19,7 +19,8 @@ groups, and a class is the point of its group counts, at two resolutions:
 Links only need to span components, so four rounds look for them, each among
 pairs that no earlier round has connected: each point against the smallest point
 of its cells with which it shares most of them; then against those of all its cells;
-then trees of three points or more are joined, first for FEW partners of each point, then in full. Trees of more than CELL_ROWS
+then in one of FEW_CELLS trees of three points or more each point against its FEW most
+promising partners; last, all these trees are joined in full. Trees of more than CELL_ROWS
 points are dealt out as pairs of sub-trees, so no task holds an unbounded cell. A pair
 that meets in several trees is handed on by the first only, as far as the FIRST smallest
 cells of both points tell.
@@ -66,6 +67,7 @@ SKETCH_SLICE = 1 << 16
 FAN = 64
 FIRST = 4
 FEW = 4
+FEW_CELLS = 8
 HOT_MIN = 16
 COARSE_MIN, COARSE_MAX = 8, 16384
 CELL_ROWS = 4096
@@ -123,6 +125,17 @@ def fold(counts: np.ndarray, size: int) -> np.ndarray:
     return counts if counts.shape[-1] == size else counts.reshape(*counts.shape[:-1], -1, size).sum(-2, dtype=np.int32)
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to compare two sets, a quarter less to move."""
+    return (hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def can_link(n_a: int, n_b: int, overlap: int) -> bool:
     """Whether overlap / (n_a + n_b - overlap) can reach the threshold."""
     return 100 * overlap >= PERCENT * (n_a + n_b - overlap)
@@ -303,7 +316,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
         for b in slices(b.filter(pa.array(in_filter(bits.value, b.column(0).to_numpy()), pa.bool_())) for b in batches):
             sets = [h for h in map(distinct_sorted, shingles(b.column(1).to_pylist())) if len(h)]
             kinds = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(list(map(pack, sets)), pa.binary())],
                                              ["class", "hashes"])
 
     # What the filter lets through without need finds no pair; both joins read one exchange.
@@ -313,7 +326,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
         for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack(x), unpack(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(can_link(len(x), len(y), both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -388,10 +401,11 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int
                 ids, components, sizes, raw, parts, first = zip(*tree)
                 apart = np.array(parts) if key[1] != key[2] else None
                 index = CountTree(np.array(sizes), [read_counts(x) for x in raw], np.array(components))
-                # A smaller common cell has the pair as well.
-                pairs = (p for p in index.pairs(apart) if not any(c < key[0] for c in first[p[0]] if c in first[p[1]]))
+                pairs = index.pairs(apart)
                 if few is not None:
                     pairs = most_promising(pairs, few)
+                else:  # A smaller common cell has the pair as well.
+                    pairs = (p for p in pairs if not any(c < key[0] for c in first[p[0]] if c in first[p[1]]))
                 for i, j, _ in pairs:
                     found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
             tree.clear()
@@ -440,7 +454,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     links = save(verified(save(best, "join-best"), docs, first_docs), "join-links")
     labels = connected_components(links)
     crowded = shared.where("k > 2").select("cell", "class")
-    for pairs in (lambda: across(to_hub, labels), lambda: tree_pairs(crowded, labels, known, FEW), lambda: tree_pairs(crowded, labels, known)):
+    some = crowded.where(F.col("cell") % FEW_CELLS == 0)
+    for pairs in (lambda: across(to_hub, labels), lambda: tree_pairs(some, labels, known, FEW), lambda: tree_pairs(crowded, labels, known)):
         found = save(pairs().select("a", "b"), "join-pairs")
         if not found.isEmpty():
             more = save(verified(found, docs, first_docs), "join-links")
