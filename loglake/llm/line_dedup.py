@@ -11,7 +11,8 @@ no content is lost altogether.
 
 A line follows a template if all segments are constant, or if one is
 generalised and at least MIN_CONSTANT tokens are constant. Lines of fewer
-than MIN_TOKENS tokens are kept: their coincidences say nothing.
+than MIN_TOKENS tokens without a digit are kept: their coincidences say nothing,
+and rows of numbers are all alike.
 
 The tree's nodes are 64-bit hashes, so only hashes are shuffled; counts are
 pre-aggregated (the smallest and largest document of a node), and the joins of
@@ -45,7 +46,7 @@ def row_key():
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """One row per line of MIN_TOKENS tokens: doc_id, key, pos, nodes (hash and length of each segment)."""
+    """One row per line of MIN_TOKENS plain tokens: doc_id, key, pos, nodes (hash and length of each segment)."""
     # Few lines have a digit: the pattern that masks variable fields runs on those only.
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))
     lines = (docs.select("doc_id", row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -59,7 +60,7 @@ def tree_lines(docs: DataFrame) -> DataFrame:
                               (end - start).alias("size")))
     # A generator of no or one row instead of a filter, which would be pushed
     # below the projection and cut every line twice.
-    return lines.select("doc_id", "key", "pos", F.explode(F.when(F.size("t") >= MIN_TOKENS, F.array(F.array(*nodes)))).alias("nodes"))
+    return lines.select("doc_id", "key", "pos", F.explode(F.when(F.size(F.array_remove("t", "<*>")) >= MIN_TOKENS, F.array(F.array(*nodes)))).alias("nodes"))
 
 
 def recurring(rows: DataFrame, column: str) -> DataFrame:
@@ -146,7 +147,7 @@ t AS (SELECT doc_id, h, pos, list_transform(regexp_extract_all(line, '[^{SPACE}]
              lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
 n AS (SELECT doc_id, h, pos, i, len(t) AS n, t[1:{LEAD}] AS head,
              t[{LEAD} + 1 + ((len(t) - {LEAD}) * i) // {SEGMENTS}:{LEAD} + ((len(t) - {LEAD}) * (i + 1)) // {SEGMENTS}] AS part
-      FROM t, (SELECT unnest(range({SEGMENTS})) AS i) WHERE len(t) >= {MIN_TOKENS}),
+      FROM t, (SELECT unnest(range({SEGMENTS})) AS i) WHERE len(list_filter(t, lambda x: x <> '<*>')) >= {MIN_TOKENS}),
 f AS (SELECT * FROM n WINDOW w AS (PARTITION BY n, head, i, part)
       QUALIFY min(doc_id || '/' || h) OVER w <> max(doc_id || '/' || h) OVER w),
 m AS (SELECT doc_id, h, pos, (any_value(n), any_value(head), list((i, part) ORDER BY i)) AS template

@@ -45,7 +45,7 @@ JOIN_BELOW = 5  # words: shorter sentences join the next one
 CUT_ABOVE = 32  # words: longer sentences are cut
 CUT_EVERY = 8  # words that end a piece of a long sentence: one in so many
 MIN_PARAGRAPH = 6
-MIN_WORDS = 30
+MIN_WORDS = 25
 GAP = 6
 
 #: A-Z to a-z, sentence ends to line ends, other ASCII marks to spaces.
@@ -77,7 +77,8 @@ def bounds_of(ends: Iterable[int], hashes: np.ndarray) -> np.ndarray:
                 if k - piece >= CUT_EVERY:
                     bounds.append(k)
                     piece = k
-        if n - bounds[-1] >= JOIN_BELOW:
+        # What a long sentence leaves is not joined, so that the next one starts afresh.
+        if n - bounds[-1] >= JOIN_BELOW or n - last > CUT_ABOVE and n > bounds[-1]:
             bounds.append(n)
         last = n
     if bounds[-1] != last:

@@ -24,6 +24,6 @@ def words():
 
     def make(n, seed=0, size=5000):
         r = random.Random(seed)
-        return [f"w{r.randrange(size)}x" for _ in range(n)]
+        return ["w" + "".join(chr(97 + int(d)) for d in str(r.randrange(size))) + "x" for _ in range(n)]
 
     return make
