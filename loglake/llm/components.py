@@ -30,3 +30,24 @@ def connected_components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "component")
         if step.where("was <> component").isEmpty():
             return labels
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose ends are in different components, with these as _a and _b."""
+    for side in "ab":
+        label = labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        pairs = pairs.join(label, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs.where("_a <> _b")
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after links (a, b) between labelled or new nodes have been added.
+
+    Only what the links connect anew is searched, component by component.
+    """
+    merged = connected_components(across(links, labels).select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    new = (links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+           .select("node", F.col("node").alias("component")))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return save(labels.unionByName(new).join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")),
+                "component-labels")

@@ -57,7 +57,7 @@ from loglake.llm.common import (
     slices,
     table,
 )
-from loglake.llm.components import connected_components
+from loglake.llm.components import across, connected_components, merge_components
 
 WIDTH = 5
 PERCENT = 80
@@ -69,7 +69,7 @@ FIRST = 4
 FEW = 4
 FEW_CELLS = 8
 HOT_MIN = 16
-COARSE_MIN, COARSE_MAX = 8, 16384
+COARSE_MIN, COARSE_MAX = 64, 16384
 CELL_ROWS = 4096
 LEAF = 16
 
@@ -98,8 +98,8 @@ def first_groups(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def coarse_counts(hashes: np.ndarray) -> bytes:
-    """Counts in 2**k groups of one and a half to three shingles each. Two groups share a byte,
-    unless a count is too large for that: the first byte is the bits of a count."""
+    """Counts in 2**k groups of three shingles at most. Two groups share a byte, unless a
+    count is too large for that: the first byte is the bits of a count."""
     size = COARSE_MIN
     while size * 3 < len(hashes) and size < COARSE_MAX:
         size *= 2
@@ -431,14 +431,6 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) whose ends are in different components."""
-    for side in "ab":
-        label = labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-        pairs = pairs.join(label, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    return pairs.where("_a <> _b").drop("_a", "_b")
-
-
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, class, component (of classes), component_id for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -451,8 +443,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     to_hub = shared.where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     to_hub = save(may_link(to_hub, known), "join-hub-pairs")
     best = to_hub.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = save(verified(save(best, "join-best"), docs, first_docs), "join-links")
-    labels = connected_components(links)
+    labels = connected_components(save(verified(save(best, "join-best"), docs, first_docs), "join-links"))
     crowded = shared.where("k > 2").select("cell", "class")
     some = crowded.where(F.col("cell") % FEW_CELLS == 0)
     for pairs in (lambda: across(to_hub, labels), lambda: tree_pairs(some, labels, known, FEW), lambda: tree_pairs(crowded, labels, known)):
@@ -460,8 +451,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         if not found.isEmpty():
             more = save(verified(found, docs, first_docs), "join-links")
             if not more.isEmpty():
-                links = links.union(more)
-                labels = connected_components(links)
+                labels = merge_components(labels, more)
 
     grouped = first_docs.join(labels, first_docs["class"] == labels["node"], "left").select(
         "class", "doc_id", "copies", F.coalesce("component", "class").alias("component"))

@@ -16,7 +16,7 @@ but for the rare case of very long sentences at both its ends.
 Skew: bands are pre-aggregated (smallest and largest document); paragraphs
 whose bands no other document has are dropped where they are made, by a
 fixed-size filter; a band's classes are compared with its smallest class
-first, then, across components only, in trees that are dealt out in parts.
+first, then, across components only, in trees that are dealt out in parts: a few of each, then all.
 
 Defined cases: null and empty texts, and texts without a paragraph of
 MIN_PARAGRAPH words, have no passage; repeated rows (same doc_id and text)
@@ -34,9 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import FILTER_BITS, filter_bits, flag_rows, gram_hashes, hash_words, in_filter, mix64, save, slices, table
-from loglake.llm.components import connected_components
-from loglake.llm.ngram_join import can_link, coarse_counts, tree_pairs
+from loglake.llm.common import (
+    FILTER_BITS,
+    distinct_sorted,
+    filter_bits,
+    flag_rows,
+    gram_hashes,
+    hash_words,
+    in_filter,
+    mix64,
+    save,
+    slices,
+    table,
+)
+from loglake.llm.components import connected_components, merge_components
+from loglake.llm.ngram_join import FEW, can_link, coarse_counts, pack, tree_pairs, unpack
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -45,6 +57,7 @@ JOIN_BELOW = 5  # words: shorter sentences join the next one
 CUT_ABOVE = 32  # words: longer sentences are cut
 CUT_EVERY = 8  # words that end a piece of a long sentence: one in so many
 MIN_PARAGRAPH = 6
+SECOND = 25  # bits that the second flag of a band leaves out
 MIN_WORDS = 25
 GAP = 6
 
@@ -133,7 +146,9 @@ def shared_bands(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """Paragraphs with a band that (nearly surely) another document has."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(bands.select(F.pmod("band", F.lit(FILTER_BITS)).alias("at"))))
+    # Two flags a band: one passage in a hundred or so comes without need.
+    flags = F.explode(F.array(F.pmod("band", F.lit(FILTER_BITS)), F.pmod(F.shiftright("band", SECOND), F.lit(FILTER_BITS))))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(bands.select(flags.alias("at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -141,18 +156,31 @@ def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
             for doc_id, row, key, p in zip(*(b.column(c).to_pylist() for c in range(3)), paragraphs(b.column(3).to_pylist())):
                 if p is None:
                     continue
-                hit = in_filter(shared.value, p["bands"] % FILTER_BITS).any(axis=1)
+                hit = (in_filter(shared.value, p["bands"] % FILTER_BITS) & in_filter(shared.value, (p["bands"] >> SECOND) % FILTER_BITS)).any(axis=1)
                 for i in np.flatnonzero(hit):
                     s, e = int(p["start"][i]), int(p["end"][i])
-                    grams = np.unique(p["grams"][s:e - WIDTH + 1])
-                    rows.append((doc_id, row, key, s, e, int(p["class"][i]), p["bands"][i], len(grams), coarse_counts(grams), grams.tobytes()))
-            kinds = (pa.int64(),) * 6 + (pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+                    rows.append((doc_id, row, key, s, e, int(p["class"][i]), p["bands"][i], pack(distinct_sorted(p["grams"][s:e - WIDTH + 1]))))
+            kinds = (pa.int64(),) * 6 + (pa.list_(pa.int64()), pa.binary())
             columns = zip(*rows) if rows else ((),) * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             ["doc_id", "row", "key", "start", "end", "class", "bands", "n", "counts", "hashes"])
+                                             ["doc_id", "row", "key", "start", "end", "class", "bands", "hashes"])
 
     return docs.select("doc_id", "row", "key", "text").mapInArrow(
-        run, "doc_id long, row long, key long, start long, end long, class long, bands array<long>, n long, counts binary, hashes binary")
+        run, "doc_id long, row long, key long, start long, end long, class long, bands array<long>, hashes binary")
+
+
+def described(sets: DataFrame) -> DataFrame:
+    """class, hashes, first (its bands in order), n, counts of classes that must be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [unpack(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(list(map(len, found)), pa.int64()), pa.array([coarse_counts(x << np.uint64(16)) for x in found], pa.binary())],
+                ["class", "hashes", "first", "n", "counts"])
+
+    return sets.select("class", "hashes", F.array_sort("bands").alias("first")).mapInArrow(
+        run, "class long, hashes binary, first array<long>, n long, counts binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,7 +190,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack(x), unpack(y)
                 keep.append(can_link(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -178,17 +206,22 @@ def repeating(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text").alias("key"), "text")
     bands = save(shared_bands(docs), "dedup-bands")
     found = save(candidates(docs, bands), "dedup-paragraphs")
-    sets = save(found.select("class", "n", "counts", "hashes", F.array_sort("bands").alias("first")).dropDuplicates(["class"]), "dedup-sets")
-    cells = save(found.select(F.explode("bands").alias("cell"), "class").distinct()
-                 .join(bands.withColumnRenamed("band", "cell"), "cell", "left_semi"), "dedup-cells")
+    cells = found.select(F.explode("bands").alias("cell"), "class").distinct()
     hubs = cells.groupBy("cell").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a <> top").select("cell", "a")
     hubs = save(hubs, "dedup-hubs")  # a join of two exchanges, whose hot keys Spark can split
-    pairs = cells.join(hubs, "cell").where("class <> a").select("a", F.col("class").alias("b")).distinct()
-    links = save(verified(pairs, sets.select("class", "hashes")), "dedup-links")
-    labels = connected_components(links)
-    across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts", "first")), "dedup-across")
-    if not across.isEmpty():
-        labels = connected_components(links.union(save(verified(across, sets.select("class", "hashes")), "dedup-more")))
+    cells = save(cells.join(hubs, "cell"), "dedup-cells")
+    # Only bands of several classes have anything to compare; most have one, of exact repeats.
+    compared = cells.select("class").distinct()
+    sets = flag_rows(found.select("class", "hashes", "bands"), compared, ["class"], "_compared").where("_compared").drop("_compared")
+    sets = save(described(sets.dropDuplicates(["class"])), "dedup-sets")
+    pairs = cells.where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    cells = cells.select("cell", "class")
+    labels = connected_components(save(verified(pairs, sets.select("class", "hashes")), "dedup-links"))
+    for few in (FEW, None):  # first some pairs of each, then all that lie in different components still
+        across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts", "first"), few), "dedup-across")
+        more = save(verified(across, sets.select("class", "hashes")), "dedup-links")
+        if not more.isEmpty():
+            labels = merge_components(labels, more)
     placed = (found.join(labels, found["class"] == labels["node"], "left")
               .select("doc_id", "row", "key", "start", "end", F.coalesce("component", "class").alias("component")))
     groups = (placed.groupBy("component")
@@ -207,8 +240,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A passage is a run of repeating paragraphs that are all first occurrences
     or all later ones; component is that of its first paragraph.
     """
-    runs = (repeating(docs).distinct().groupBy("doc_id", "row")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end", "component", "first"))).alias("p")))
+    runs = (repeating(docs).groupBy("doc_id", "row")
+            .agg(F.array_sort(F.collect_set(F.struct("start", "end", "component", "first"))).alias("p")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
