@@ -13,7 +13,6 @@ which the third stage keeps one; further columns of the documents pass through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loglake.llm import decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_dropout
 from loglake.llm.common import save, table

@@ -33,11 +33,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    """UTF-8 words ``[^\\x20\\x09-\\x0D]+`` (bytes.split cuts at just these)."""
-    return text.encode().split() if text else []
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (wraps around by design)."""
     x = x.astype(np.uint64, copy=True)

@@ -32,7 +32,7 @@ stored or shuffled.
 Defined cases: null and empty texts have no shingles and link with nothing;
 texts under five words are one shingle; repeated rows are copies; the component
 of documents without doc_id is the smallest known doc_id of their component.
-Shingles and classes are known by 64-bit hashes.
+Shingles and classes are known by 64-bit hashes, of which sets are compared by 48 bits.
 """
 
 from __future__ import annotations
