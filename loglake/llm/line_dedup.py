@@ -10,9 +10,13 @@ dropped everywhere but at its first occurrence (smallest doc_id and place), so
 no content is lost altogether.
 
 A line follows a template if all segments are constant, or if one is
-generalised and at least MIN_CONSTANT tokens are constant. Lines of fewer
-than MIN_TOKENS tokens without a digit are kept: their coincidences say nothing,
-and rows of numbers are all alike.
+generalised and at least MIN_CONSTANT tokens are constant.
+
+Short lines, of fewer than MIN_TOKENS tokens without a digit, coincide more
+easily, so they need more evidence: their whole line is the template, with no
+segment generalised, and it recurs in SHORT_DOCUMENTS documents, or in
+VARIABLE_DOCUMENTS if it has a variable field. Rows of numbers would be all
+alike once masked: a line of variable fields only is compared as it stands.
 
 The tree's nodes are 64-bit hashes, so only hashes are shuffled; counts are
 pre-aggregated (the smallest and largest document of a node), and the joins of
@@ -35,6 +39,8 @@ LEAD = 2
 SEGMENTS = 3
 MIN_TOKENS = 5
 MIN_CONSTANT = 8
+SHORT_DOCUMENTS = 3
+VARIABLE_DOCUMENTS = 10
 
 SPACE = r"\x20\x09-\x0D"
 #: A token with a digit, matched from its start so that long tokens stay linear.
@@ -46,11 +52,15 @@ def row_key():
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """One row per line of MIN_TOKENS plain tokens: doc_id, key, pos, nodes (hash and length of each segment)."""
+    """One row per line that is not blank: doc_id, key, pos, nodes (hash and length of each segment).
+
+    A short line has one node, its template; the length is the documents it must recur in.
+    """
     # Few lines have a digit: the pattern that masks variable fields runs on those only.
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))
+    tokens = lambda c: F.split(F.btrim(c, F.lit(" \t\x0b\f\r")), f"[{SPACE}]+")
     lines = (docs.select("doc_id", row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .select("doc_id", "key", "pos", F.split(F.btrim(masked, F.lit(" \t\x0b\f\r")), f"[{SPACE}]+").alias("t")))
+             .select("doc_id", "key", "pos", "line", tokens(masked).alias("t")))
     rest = F.size("t") - LEAD
     nodes = []
     for i in range(SEGMENTS):
@@ -58,9 +68,13 @@ def tree_lines(docs: DataFrame) -> DataFrame:
         part = F.slice("t", start + LEAD + 1, end - start)
         nodes.append(F.struct(F.xxhash64(F.size("t"), F.slice("t", 1, LEAD), F.lit(i), part).alias("node"),
                               (end - start).alias("size")))
+    plain = F.size(F.array_remove("t", "<*>"))
+    short = F.struct(F.xxhash64(F.lit("short"), F.when(plain > 0, F.col("t")).otherwise(tokens(F.col("line")))).alias("node"),
+                     F.when(plain == F.size("t"), SHORT_DOCUMENTS).otherwise(VARIABLE_DOCUMENTS).alias("size"))
     # A generator of no or one row instead of a filter, which would be pushed
     # below the projection and cut every line twice.
-    return lines.select("doc_id", "key", "pos", F.explode(F.when(F.size(F.array_remove("t", "<*>")) >= MIN_TOKENS, F.array(F.array(*nodes)))).alias("nodes"))
+    return lines.select("doc_id", "key", "pos", F.explode(
+        F.when(plain >= MIN_TOKENS, F.array(F.array(*nodes))).when(F.col("t")[0] != "", F.array(F.array(short)))).alias("nodes"))
 
 
 def recurring(rows: DataFrame, column: str) -> DataFrame:
@@ -72,7 +86,10 @@ def recurring(rows: DataFrame, column: str) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """key and the positions of the lines to drop, one row per document that loses lines."""
     lines = save(tree_lines(docs), "tree-lines")
-    nodes = lines.select("doc_id", "key", "pos", F.explode("nodes").alias("n")).select("doc_id", "key", "pos", "n.*")
+    nodes = (lines.where(F.size("nodes") == SEGMENTS).select("doc_id", "key", "pos", F.explode("nodes").alias("n"))
+             .select("doc_id", "key", "pos", "n.*"))
+    short = (lines.where(F.size("nodes") == 1)
+             .select("doc_id", "key", "pos", F.col("nodes")[0]["node"].alias("template"), F.col("nodes")[0]["size"].alias("least")))
     # Written first: a join of two exchanges, whose hot keys Spark can split.
     fixed = nodes.join(save(recurring(nodes, "node"), "recurring-nodes"), "node")
     # A repeated row repeats its lines; xor needs each node once.
@@ -85,8 +102,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
     again = (templates.groupBy("template").agg(first, F.min("key").alias("lo"), F.max("key").alias("hi"))
              .where("lo <> hi").select("template", "first"))
-    again = save(again, "recurring-templates")
-    return (templates.join(again, "template")
+    often = (short.groupBy("template", "least", "doc_id", "key").agg(F.min("pos").alias("pos"))
+             .groupBy("template", "least").agg(first, F.count(F.lit(1)).alias("n")).where("n >= least").select("template", "first"))
+    again = save(again.unionByName(often), "recurring-templates")
+    return (templates.unionByName(short.drop("least")).join(again, "template")
             .where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
             .groupBy("key").agg(F.collect_set("pos").alias("gone")))
 

@@ -25,6 +25,19 @@ def test_recurring_templates(make_docs, words):
     assert got[11][1] == got[12][1] == got[13][1] == got[14][1] == 0  # too short; rows of numbers
 
 
+def test_short_lines_need_more_documents(make_docs, words):
+    own = ["\n" + " ".join(words(20, s)) for s in range(12)]
+    texts = {i: ("All rights reserved." if i < 3 else "two only" if i < 5 else "x") + f"\nPage {i} of {i * 7}\n{i} {i + 1}\n2024 1\n\n \n{i % 9} 5" + own[i] for i in range(12)}
+    got = result(L.dedup_lines(make_docs(texts)))
+    head, last = [got[i][2].split("\n")[0] for i in range(12)], [got[i][2].split("\n") for i in range(12)]
+    assert head[0] == "All rights reserved." and "All rights reserved." not in got[1][2] + got[2][2]
+    assert head[3] == head[4] == "two only"  # two documents are too few
+    assert head[5] == "x" and not any("x" in x for x in last[6:])
+    assert "Page 0 of 0" in last[0] and not any("Page" in got[i][2] for i in range(1, 12))
+    assert "2024 1" in last[0] and not any("2024 1" in x for x in last[1:])
+    assert all(f"{i} {i + 1}" in last[i] and f"{i % 9} 5" in last[i] and " " in last[i] and "" in last[i] for i in range(12))  # rows of numbers, blank lines
+
+
 def test_copies_repeated_rows_and_long_texts(make_docs, words):
     text = "\n".join(" ".join(words(12, s)) for s in range(4000))
     docs = make_docs([(1, text), (2, text), (2, text), (3, "a b c d e f " * 50_000)])
