@@ -32,7 +32,7 @@ from loglake.llm.common import table
 MODEL = "piece_bpe_32k.model"
 SEED = 20_240
 DROPOUT = 0.1
-VARIANTS = 2
+VARIANTS = 3
 MEMO = 600_000
 MARK = "▁"
 NONE = 1 << 29

@@ -49,3 +49,10 @@ def test_round_trip_variation_and_edge_cases(spark, make_docs, words):
     assert rows[0]["ids"] != next(iter(S.encode(docs.where("doc_id = 0"), PATH, seed=1).collect()))["ids"]
     assert {x["doc_id"]: x["text"] for x in S.decode(encoded, PATH).collect()} == texts
     assert S.encode(make_docs({}), PATH).count() == 0
+
+
+def test_words_have_three_segmentations_at_least(model):
+    encoder = S.Encoder(model)
+    assert len({encoder.variant_of(i) for i in range(100)}) == encoder.variants >= 3
+    words = ["internationalisation", "understanding", "communication", "representation"]
+    assert any(len({tuple(encoder.encode(w, v)) for v in range(encoder.variants)}) >= 3 for w in words)
