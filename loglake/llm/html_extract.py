@@ -2,8 +2,9 @@
 
 A page becomes a tree of containers that hold text blocks. Every paragraph
 passes points for its length and commas to its ancestors, less with each level
-and discounted by the share of link text; the best container is kept, with the
-siblings that score well, widened to the article that holds it. Blocks inside
+and discounted by the share of link text; the best container is kept. In an
+article it is widened to the article, with the siblings that score well; on
+other pages all that stands around it is kept but for lists of links. Blocks inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
 and styles never count.
 
@@ -16,6 +17,7 @@ page_id and url pass through. No shuffle.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -177,6 +179,23 @@ def final_score(n: Node) -> float:
     return n.score * (1 - min(1.0, n.linked / max(1, n.length)))
 
 
+def around(best: Node) -> deque[Node | Block]:
+    """The best container, and in page order what stands beside it or beside an ancestor and is no list of links."""
+    kept: deque[Node | Block] = deque([best])
+    node = best
+    while node.parent:
+        at = node.parent.children.index(node)
+        kept.extendleft(c for c in reversed(node.parent.children[:at]) if few_links(c))
+        kept.extend(c for c in node.parent.children[at + 1:] if few_links(c))
+        node = node.parent
+    return kept
+
+
+def few_links(x: Node | Block) -> bool:
+    blocks = [b for b in (walk(x) if isinstance(x, Node) else [x]) if isinstance(b, Block)]
+    return sum(b.linked for b in blocks) < 0.25 * max(1, sum(len(b.text) for b in blocks))
+
+
 def main_blocks(root: Node) -> list[str]:
     nodes = add_scores(root)
     if not nodes:
@@ -188,6 +207,8 @@ def main_blocks(root: Node) -> list[str]:
         if node.tag in ARTICLE:
             top = node
         node = node.parent
+    if top.tag not in ARTICLE:
+        return [x.text for k in around(top) for x in walk(k) if isinstance(x, Block)]
     kept = [top]
     if top.parent:
         least = max(10.0, 0.2 * final_score(top))

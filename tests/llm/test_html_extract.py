@@ -20,6 +20,15 @@ def test_cases(html, want):
     assert H.extract(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<div class=story><h1>Title</h1><p>Lead</p><div class=body>{f'<p>{LONG}</p>' * 5}</div><p>End</p></div>", ["Title", "Lead", *[LONG] * 5, "End"]),
+    (f"<div><a href=x>Home</a> <a href=y>News</a></div><h1>Title</h1><div><div><pre>code</pre>{f'<p>{LONG}</p>' * 5}</div><div><p>last</p></div></div>"
+     "<ul><li><a href=z>Elsewhere</a></li></ul><div class=footer>no</div>", ["Title", "code", *[LONG] * 5, "last"]),
+])
+def test_pages_without_article(html, want):
+    assert H.extract(f"<body>{html}</body>").split("\n") == want
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 5000 + f"<p>{LONG}") == LONG
     text = H.extract("<article>" + "<p>word, word</p>" * 20_000 + "</article>")
