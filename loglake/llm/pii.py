@@ -1,7 +1,8 @@
 """Surrogates for personal data (operator 7).
 
 Entities (e-mail addresses, phone, card, account and social security numbers, IP addresses,
-secrets, names after an honorific) are found by patterns and checks, and
+secrets, names after an honorific and their words where they stand alone later in the document,
+capitalised and of two letters or more) are found by patterns and checks, and
 replaced by keyed surrogates of the same type and format: digits by
 digits, letters by letters of their script and case, a card number that passes
 its checksum by another that does, a name by a name of its gender and script.
@@ -67,8 +68,8 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
     rf"|\b(?P<title>{'|'.join(sorted(GENDER, key=len, reverse=True))})\b\.?[ ](?P<name>{_NAME}(?: {_NAME}){{0,2}})", re.IGNORECASE)
-#: Every entity has a digit, an @ or an honorific in it.
-LIKELY = re.compile(rf"\d{{3}}|\d\.\d|@|[A-Z]{{2}}\d\d|\b(?:{'|'.join(h for hs in HONORIFICS.values() for h in hs)})\b")
+#: Finds something in every text that PATTERN does: a digit, an @, an honorific, or a secret without digits.
+LIKELY = re.compile(rf"\d|@|\b(?:{'|'.join(GENDER)})\b|AKIA|gh[pousr]_|sk-|[a-f]{{64}}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -87,10 +88,30 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, type, canonical form, gender) in text order."""
     if not text or not LIKELY.search(text):
         return
+    found = list(matched(text))
+    names: dict[str, tuple[int, str, str]] = {}
+    for _, end, kind, canon, gender in found:
+        if kind in ("forename", "surname") and len(canon) > 1:
+            names.setdefault(canon, (end, kind, gender))
+    if names:
+        bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", re.IGNORECASE)
+        at = min(end for end, _, _ in names.values())
+        for start, end in [*(x[:2] for x in found if x[0] >= at), (len(text), len(text))]:
+            for m in bare.finditer(text, at, start):
+                first, kind, gender = names.get(m[0].lower(), (len(text), "", ""))
+                if m.start() >= first and m[0][0].isupper():
+                    found.append((*m.span(), kind, m[0].lower(), gender))
+            at = end
+        found.sort()
+    yield from found
+
+
+def matched(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """The entities that PATTERN finds."""
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if m["name"]:
-            gender, at = GENDER[m["title"].lower()], m.start("name")
+            gender, at = GENDER.get(m["title"].casefold(), "n"), m.start("name")
             for k, word in enumerate(words := m["name"].split(" ")):
                 last = k == len(words) - 1
                 # Surnames show no gender in most scripts; a sole name is a surname.
