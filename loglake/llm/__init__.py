@@ -5,6 +5,7 @@ from loglake.llm import (
     html_extract,
     line_dedup,
     ngram_join,
+    periodic_runs,
     pii,
     quality_neighbours,
     quality_rules,
@@ -24,5 +25,6 @@ QUERIES = {f.__name__: f for f in (
     decontaminate.op8_decontaminate,
     html_extract.op9_html_extract,
     quality_neighbours.op10_quality_neighbours,
+    periodic_runs.op13_periodic_runs,
 )}
 ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
