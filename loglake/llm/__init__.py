@@ -10,6 +10,7 @@ from loglake.llm import (
     quality_neighbours,
     quality_rules,
     sentencepiece_dropout,
+    simhash_join,
     substring_dedup,
     token_counts,
 )
@@ -25,6 +26,7 @@ QUERIES = {f.__name__: f for f in (
     decontaminate.op8_decontaminate,
     html_extract.op9_html_extract,
     quality_neighbours.op10_quality_neighbours,
+    simhash_join.op12_simhash,
     periodic_runs.op13_periodic_runs,
 )}
 ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
