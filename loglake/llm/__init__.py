@@ -3,6 +3,7 @@
 from loglake.llm import (
     decontaminate,
     html_extract,
+    lexical_search,
     line_dedup,
     ngram_join,
     periodic_runs,
@@ -26,7 +27,9 @@ QUERIES = {f.__name__: f for f in (
     decontaminate.op8_decontaminate,
     html_extract.op9_html_extract,
     quality_neighbours.op10_quality_neighbours,
+    lexical_search.op11_lexical_search,
     simhash_join.op12_simhash,
     periodic_runs.op13_periodic_runs,
 )}
-ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE,
+           "op11_lexical_search": lexical_search.ORACLE}
