@@ -32,4 +32,4 @@ QUERIES = {f.__name__: f for f in (
     periodic_runs.op13_periodic_runs,
 )}
 ORACLES = {"op4_quality_rules": quality_rules.ORACLE, "op5_line_dedup": line_dedup.ORACLE,
-           "op11_lexical_search": lexical_search.ORACLE}
+           "op11_lexical_search": lexical_search.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
