@@ -1,24 +1,28 @@
 """Retention: age partitions by their date, plan tiers, apply the plan.
 
 Plans come from the file listing; no log row is read for them. Applying one
-works on the files listed at its start: these are copied (archive tier) and
-then deleted, so a row that arrives meanwhile is in neither list and stays.
+works on the files listed at its start, which stand in a journal: these are copied
+whole (archive tier) and then deleted, so a row that arrives meanwhile is in no list and
+stays, and a run that died is finished from its journal.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.time import parse_as_of, partition_date
-from loglake.session import path_exists, scratch_path, write_text
-from loglake.sources.files import delete_files, list_files
+from loglake.session import path_exists, qualified, write_text
+from loglake.sources.files import copied, delete_files, deleted, list_files, tasks_reach
+from loglake.sources.journal import COPIED, DELETED, PLANNED, Journal, Lease
 from loglake.sources.lake import bump_version, read_logs, write_logs
 
 HOT, ARCHIVE, EXPIRED = "hot", "archive", "expired"
+#: What the keys of packed files begin with.
+FULL_BIN, PART_BIN = "compact-full-", "compact-part-"
 
 
 def retention_plan(partitions: DataFrame, as_of, retention_days: int | None,
@@ -52,45 +56,105 @@ def planned_files(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "p
             .select("f.*", "p.tier"))
 
 
+def _journals(root: str) -> str:
+    return f"{root.rstrip('/')}-state/retention"
+
+
 def apply_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "parquet",
                     archive_root: str | None = None, dry_run: bool = True) -> DataFrame:
     """Carry out a plan on a lake. Returns the files acted on, with their tier.
 
-    Archive tier: rows of the listed files are appended under ``archive_root``
-    in the same layout, then the files are deleted; without ``archive_root`` a plan
-    with archive rows is refused. Expired: deleted. ``dry_run`` only lists. Every step can be
-    run again after a failure: copies replace themselves, deletes are repeatable.
+    Archive tier: the listed files are copied whole to the same place under ``archive_root``,
+    then deleted; without ``archive_root`` a plan with archive rows is refused. Expired:
+    deleted. ``dry_run`` only lists. Each file's target and state stand in a journal, from
+    which the next run finishes what a run that died has left, before it lists anything.
     """
-    found = planned_files(spark, root, plan, fmt)
     if dry_run:
-        return found
-    manifest = scratch_path(spark, "retention", uuid.uuid4().hex)
-    found.write.parquet(manifest)
-    found = spark.read.schema(found.schema).parquet(manifest)
-    archive = found.where(F.col("tier") == ARCHIVE)
-    if not archive.isEmpty():
-        if not archive_root:
-            raise ValueError("the plan has an archive tier but no archive_root is given; nothing was changed")
-        copy_files(spark, root, archive, archive_root, fmt)
-    if not found.isEmpty():
-        delete_files(found)
-        bump_version(spark, root)
-    return found
+        return planned_files(spark, root, plan, fmt)
+    resume_retention(spark, root, fmt)
+    journal = begin_retention(spark, root, plan, fmt, archive_root)
+    finish_retention(spark, root, journal, fmt)
+    return journal.planned().drop("target")
+
+
+def begin_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "parquet",
+                    archive_root: str | None = None) -> Journal:
+    """Step 1: write down what becomes of each file, in a journal."""
+    found = planned_files(spark, root, plan, fmt)
+    inner = F.expr(f"substring(path, {len(qualified(spark, root)) + 1})")
+    target = F.concat(F.lit(qualified(spark, archive_root)), inner) if archive_root else F.lit(None).cast("string")
+    found = found.withColumn("target", F.when(F.col("tier") == ARCHIVE, target))
+    if not archive_root and not found.where(F.col("tier") == ARCHIVE).isEmpty():
+        raise ValueError("the plan has an archive tier but no archive_root is given; nothing was changed")
+    return Journal.begin(_journals(root), found, archive_root or "")
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """The rows over tasks of about a GB of files, or one for each core."""
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return files.repartition(max(1, min(n, files.sparkSession.sparkContext.defaultParallelism), size >> 30))
+
+
+def copy_planned(spark: SparkSession, root: str, journal: Journal, fmt: str = "parquet") -> None:
+    """Step 2: copy the files that have a target and no copy yet."""
+    todo = journal.files().where(F.col("target").isNotNull() & (F.col("state") == PLANNED))
+    first = todo.select("path", "target").head(1)
+    if not first:
+        return
+    if all(map(tasks_reach, first[0])):
+        journal.note(copied(_spread(todo)), COPIED)
+    else:
+        copy_files(spark, root, todo, journal.about, fmt)
+        journal.note(todo, COPIED)
+
+
+def delete_moved(journal: Journal) -> None:
+    """Step 3: delete the files that have been copied or are expired."""
+    todo = journal.files().where((F.col("state") == COPIED) | (F.col("tier") == EXPIRED) & (F.col("state") != DELETED))
+    first = todo.select("path").head(1)
+    if not first:
+        return
+    if tasks_reach(first[0]["path"]):
+        journal.note(deleted(_spread(todo)), DELETED)
+    else:
+        delete_files(todo)
+        journal.note(todo, DELETED)
+
+
+def finish_retention(spark: SparkSession, root: str, journal: Journal, fmt: str = "parquet") -> None:
+    """Steps 2 and 3, as far as they are still to be done."""
+    copy_planned(spark, root, journal, fmt)
+    delete_moved(journal)
+    bump_version(spark, root)
+    journal.end()
+
+
+def resume_retention(spark: SparkSession, root: str, fmt: str = "parquet") -> int:
+    """Finish the journals of runs that died; returns how many there were."""
+    left = Journal.unfinished(spark, _journals(root))
+    for journal in left:
+        finish_retention(spark, root, journal, fmt)
+    return len(left)
 
 
 def copy_files(spark: SparkSession, root: str, files: DataFrame, target: str, fmt: str = "parquet",
-               key: Column | str | None = None) -> None:
-    """Add the rows of the listed files of a lake to another one.
+               key: Column | str | None = None, whole_keys: bool = False) -> None:
+    """Add the rows of the listed files of a lake to another one, read and written anew.
 
-    By default the copies are named after the file they come from: a copy made
-    again replaces itself, and later files of the same day get other names.
+    By default the copies are named after the write and the file they come from: a copy made
+    again replaces itself and nothing else.
     """
     rows = read_logs(spark, root, fmt, keep_key=True, keep_file=True)
-    listed = files.select(*S.LAYOUT_COLUMNS, F.regexp_extract("path", "[^/]+$", 0).alias("file_name"))
-    same = " AND ".join(f"r.{c} <=> f.{c}" for c in (*S.LAYOUT_COLUMNS, "file_name"))
-    picked = rows.alias("r").join(listed.alias("f"), F.expr(same), "left_semi")
-    write_logs(picked, target, fmt, ingest_key=key if key is not None else F.concat(
-        F.lit("archive-"), F.regexp_replace("file_name", r"\..*$", "")))
+    listed = files.select(*S.LAYOUT_COLUMNS, F.regexp_extract("path", "[^/]+$", 0).alias("file_name"),
+                          *([key.alias("_new_key")] if isinstance(key, Column) else []))
+    same = F.expr(" AND ".join(f"r.{c} <=> f.{c}" for c in (*S.LAYOUT_COLUMNS, "file_name")))
+    if isinstance(key, Column):
+        picked = rows.alias("r").join(listed.alias("f"), same).select("r.*", "f._new_key")
+        key = F.col("_new_key")
+    else:
+        picked = rows.alias("r").join(listed.alias("f"), same, "left_semi")
+    write_logs(picked, target, fmt, whole_keys=whole_keys, ingest_key=key if key is not None else F.concat_ws(
+        "-", F.lit("archive"), S.INGEST_KEY, "file_name"))
 
 
 def expire_archive(spark: SparkSession, archive_root: str, as_of, retention_days: int, fmt: str = "parquet",
@@ -100,42 +164,58 @@ def expire_archive(spark: SparkSession, archive_root: str, as_of, retention_days
     return apply_retention(spark, archive_root, plan, fmt, dry_run=dry_run)
 
 
-def compact(spark: SparkSession, root: str, before_day: str, fmt: str = "parquet", min_files: int = 2) -> int:
-    """Rewrite the files of each closed day (before ``before_day``, ISO) as few files.
+def compaction_plan(files: DataFrame, before_day: str, target_mb: int = S.TARGET_FILE_MB, min_files: int = 2) -> DataFrame:
+    """The files to pack, with ``bin`` and ``new_key``: which of them become one file.
 
-    Returns how many files were replaced. The files to replace are noted first,
-    then their rows are written under one new key, then they are deleted. Between these
-    two steps readers see both copies; a run that died in between is finished, or its
-    unfinished copy removed, by the next one. Run it where no reader is, or at a quiet hour.
+    ``files``: a listing. Only files of closed days (before ``before_day``, ISO) under half the target
+    size are packed, smallest first, into bins of about that size; a bin needs ``min_files``. What came
+    out of a full bin is not packed again, whatever its size, so a second run finds nothing.
     """
-    state = f"{root.rstrip('/')}-state/compaction"
-    _finish_compaction(spark, root, state, fmt)
+    target = target_mb << 20
     day = F.concat_ws("-", "year", "month", "day")
-    files = list_files(spark, root, fmt).where(day < F.lit(before_day))
-    many = files.groupBy(*S.PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)
-    files = files.alias("f").join(many.alias("p"), _same_day("f", "p"), "left_semi")
-    key = f"compact-{uuid.uuid4().hex}"
-    manifest = files.withColumn("new_key", F.lit(key))
-    manifest.write.mode("overwrite").parquet(f"{state}/files")
-    files = spark.read.schema(manifest.schema).parquet(f"{state}/files")
+    small = files.where((day < F.lit(before_day)) & (F.col("bytes") < target / 2) & ~F.coalesce(F.col(S.INGEST_KEY), F.lit("")).startswith(FULL_BIN))
+    before = F.sum("bytes").over(Window.partitionBy(*S.PARTITION_COLUMNS).orderBy("bytes", "path")) - F.col("bytes")
+    small = small.withColumn("bin", F.floor(before / target).cast("int"))
+    one_bin = Window.partitionBy(*S.PARTITION_COLUMNS, "bin")
+    packed = (small.withColumn("_n", F.count(F.lit(1)).over(one_bin)).withColumn("_size", F.sum("bytes").over(one_bin))
+              .where(F.col("_n") >= min_files))
+    key = F.concat(F.when(F.col("_size") >= target / 2, FULL_BIN).otherwise(PART_BIN), F.lit(uuid.uuid4().hex + "-"), F.col("bin"))
+    return packed.withColumn("new_key", key).drop("_n", "_size")
+
+
+def compact(spark: SparkSession, root: str, before_day: str, fmt: str = "parquet", min_files: int = 2,
+            target_mb: int = S.TARGET_FILE_MB, lease_seconds: float = 3600.0) -> int:
+    """Pack the small files of each closed day (:func:`compaction_plan`).
+
+    Returns how many files were replaced. The plan is written to a journal first, then the
+    new files, one a bin, then the old ones are deleted. Between these two steps readers see
+    both copies; a run that died is finished, or its unfinished copies removed, by the
+    next one. Run it where no reader is, or at a quiet hour. One run at a time holds the lease.
+    """
+    state = f"{root.rstrip('/')}-state/compaction"
+    lease = Lease(spark, f"{state}/LEASE", lease_seconds)
+    lease.take()
+    for journal in Journal.unfinished(spark, f"{state}/runs"):
+        _finish_compaction(spark, root, journal, fmt)
+    lease.renew()
+    journal = Journal.begin(f"{state}/runs", compaction_plan(list_files(spark, root, fmt), before_day, target_mb, min_files))
+    files = journal.planned()
     n = files.count()
     if n:
-        write_text(spark, f"{state}/OPEN", key)
-        copy_files(spark, root, files, root, fmt, key=key)
-        write_text(spark, f"{state}/WRITTEN-{key}", key)
-        _finish_compaction(spark, root, state, fmt)
+        copy_files(spark, root, files, root, fmt, key=F.col("new_key"), whole_keys=True)
+        lease.renew()  # a run that was taken over must not delete
+        write_text(spark, f"{journal.path}/WRITTEN", "-")
+    _finish_compaction(spark, root, journal, fmt)
+    lease.give_up()
     return n
 
 
-def _finish_compaction(spark: SparkSession, root: str, state: str, fmt: str) -> None:
-    from loglake.session import read_text
-
-    key = read_text(spark, f"{state}/OPEN")
-    if not key:
-        return
-    if path_exists(spark, f"{state}/WRITTEN-{key}"):
-        delete_files(spark.read.parquet(f"{state}/files").where(F.col("new_key") == key))
+def _finish_compaction(spark: SparkSession, root: str, journal: Journal, fmt: str) -> None:
+    files = journal.planned()
+    if path_exists(spark, f"{journal.path}/WRITTEN"):
+        delete_files(files)
     else:
-        delete_files(list_files(spark, root, fmt).where(F.col(S.INGEST_KEY) == key))
-    write_text(spark, f"{state}/OPEN", "")
+        new = files.select(F.col("new_key").alias(S.INGEST_KEY)).distinct()
+        delete_files(list_files(spark, root, fmt).join(new, S.INGEST_KEY, "left_semi"))
     bump_version(spark, root)
+    journal.end()

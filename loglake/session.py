@@ -78,6 +78,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as file listings show it."""
+    p, fs = _hadoop(spark, path.rstrip("/"))
+    return fs.makeQualified(p).toString()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    p, fs = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one file, or an empty folder; nothing happens if it is not there."""
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, False)
+
+
 def path_status(spark: SparkSession, path: str) -> str:
     """Sizes and modification times of a file, or of the files in a folder."""
     p, fs = _hadoop(spark, path)
@@ -94,6 +112,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet; False if it does."""
+    p, fs = _hadoop(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Exception as e:  # made by another writer since
+        if "already exists" not in str(e):
+            raise
+        return False
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _hadoop(spark, path)
     if not fs.exists(p):

@@ -41,7 +41,7 @@ def _table_frame(df: DataFrame, key: str | None = None) -> DataFrame:
 def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
                max_records_per_file: int = MAX_RECORDS_PER_FILE, options: dict | None = None,
                target_file_mb: int | None = S.TARGET_FILE_MB,
-               ingest_key: Column | str | None = None) -> Column | str:
+               ingest_key: Column | str | None = None, whole_keys: bool = False) -> Column | str:
     """Write rows with the table columns, partitioned by domain and date.
 
     ``REBALANCE(domain, year, month, day)`` is one shuffle that groups rows
@@ -54,7 +54,8 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
     Rows go under ``ingest_key`` (returned), by dynamic partition overwrite:
     the days in ``df`` lose what the same key wrote before and nothing else. By
     default ``mode="append"`` takes a new key, and ``mode="overwrite"`` one fixed
-    key, so that it replaces the days that an earlier overwrite wrote.
+    key, so that it replaces the days that an earlier overwrite wrote. With
+    ``whole_keys`` the rows of one day and key go to one task, for keys of a file's size.
     """
     key = ingest_key
     if key is None:
@@ -63,8 +64,9 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
     # Rows inside each file are ordered by time: the writer sorts by the
     # partition keys anyway, and the extra key gives Parquet row groups tight
     # min/max ranges, so "last N minutes" predicates skip most of a day.
-    out = (_table_frame(keyed, "_key").hint("rebalance", *S.PARTITION_COLUMNS)
-           .sortWithinPartitions(*S.LAYOUT_COLUMNS, "timestamp"))
+    out = _table_frame(keyed, "_key")
+    out = (out.repartition(*S.LAYOUT_COLUMNS) if whole_keys else out.hint("rebalance", *S.PARTITION_COLUMNS)
+           ).sortWithinPartitions(*S.LAYOUT_COLUMNS, "timestamp")
     w = (out.write.partitionBy(*S.LAYOUT_COLUMNS).mode("overwrite")
          .option("maxRecordsPerFile", max_records_per_file)
          .option("partitionOverwriteMode", "dynamic"))
