@@ -39,10 +39,10 @@ from pyspark.sql.window import Window
 from loglake.llm.common import hash_words, save, slices, table
 
 K = 10
-SHARD_DOCS = 8_192
-SHARD_TERMS = 1_000_000
+SHARD_DOCS = 4_096
+SHARD_TERMS = 300_000
 BLOCK_TERMS = 200_000
-ITEMS = 128
+ITEMS = 64
 #: Ranges of one item that are opened at a time.
 WIDE = 64
 NO_ID = (1 << 63) - 1
@@ -178,10 +178,12 @@ class Treap:
         self.ids = np.frombuffer(doc_ids, np.int64)
         self.terms, self.places = np.frombuffer(terms, np.uint64), np.frombuffer(term_rows, np.uint32)
         self.counts = np.frombuffer(term_counts, np.uint32)
-        self.cells, self.tops = np.frombuffer(cells, np.uint8), np.frombuffer(tops, np.uint32).astype(np.int64)
-        self.leaf_rows, self.leaf_columns = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (leaf_rows, leaf_columns))
-        self.first = np.cumsum(np.bitwise_count(self.cells), dtype=np.int64) - np.bitwise_count(self.cells) + 1
-        self.leaf = np.where(self.cells == 0, np.cumsum(self.cells == 0) - 1, -1)
+        self.cells, self.tops = np.frombuffer(cells, np.uint8), np.frombuffer(tops, np.uint32)
+        self.leaf_rows, self.leaf_columns = (np.frombuffer(x, np.uint32) for x in (leaf_rows, leaf_columns))
+        quarters = np.bitwise_count(self.cells)
+        self.first = np.cumsum(quarters, dtype=np.uint32) - quarters + np.uint32(1)
+        self.leaf = np.cumsum(self.cells == 0, dtype=np.int32) - 1
+        self.leaf[self.cells != 0] = -1
         self.levels = depth(len(self.terms), n_docs)
 
     def rows_of(self, names: np.ndarray) -> np.ndarray:
@@ -192,7 +194,7 @@ class Treap:
     def quarter(self, cell: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether a quarter of each cell exists, and where it is."""
         bits = self.cells[cell].astype(np.int64)
-        return bits >> which & 1 == 1, self.first[cell] + np.bitwise_count(bits & ((1 << which) - 1))
+        return bits >> which & 1 == 1, self.first[cell].astype(np.int64) + np.bitwise_count(bits & ((1 << which) - 1))
 
 
 class Best:
@@ -238,10 +240,10 @@ def search_shard(treap: Treap, item: np.ndarray, names: np.ndarray, weights: np.
     terms, cells = np.arange(len(item)), np.zeros(len(item), np.int64)
     if treap.cells[0] == 0:  # a grid of one posting
         ok = rows == treap.leaf_rows[0]
-        best.add(item[ok], weights[ok] * treap.tops[0], np.full(int(ok.sum()), treap.ids[treap.leaf_columns[0]]))
+        best.add(item[ok], weights[ok] * int(treap.tops[0]), np.full(int(ok.sum()), treap.ids[treap.leaf_columns[0]]))
         return
     owner, level, first = item[starts], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    bound = np.add.reduceat(weights * treap.tops[0], starts)
+    bound = np.add.reduceat(weights * int(treap.tops[0]), starts)
     while len(owner):
         ok = best.may_enter(owner, bound, treap.ids[np.minimum(first, len(treap.ids) - 1)])
         order = np.lexsort((-bound[ok], owner[ok]))
@@ -276,7 +278,7 @@ def search_shard(treap: Treap, item: np.ndarray, names: np.ndarray, weights: np.
         new_entries = np.diff(np.append(new, len(t)))
 
         # A range is done if it is one document, or only one document has postings left in it.
-        column = np.where(treap.leaf[c] >= 0, treap.leaf_columns[treap.leaf[c]], -1)
+        column = np.where(treap.leaf[c] >= 0, treap.leaf_columns[treap.leaf[c]].astype(np.int64), -1)
         if len(new):
             low, high = np.minimum.reduceat(column, new), np.maximum.reduceat(column, new)
             done = (low == high) & (low >= 0)
