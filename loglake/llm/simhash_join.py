@@ -17,7 +17,7 @@ whole. A shard hands on only the links that span its components, so a crowd of
 near copies gives as many links as it has members.
 
 Trees for dealing are built from small samples: one for all fingerprints, then one
-for each shard that is still over CELL. What is over CELL after that is a crowd
+for each shard that still has CROWDED times CELL rows. What has that after the second is a crowd
 that no vantage parts, because most of it lies within RADIUS of every border.
 Its links are found without a tree: two fingerprints within 2 bits
 share a centre that is within 1 bit of both, and a centre has 65 members at most.
@@ -44,12 +44,14 @@ from loglake.llm.components import connected_components
 WIDTH = 3
 SEED = 42
 RADIUS = 2
-#: Rows a shard should have, and fingerprints sampled for each shard of a tree.
-CELL = 16_384
-PER_SHARD = 32
+#: Fingerprints a shard should have, how many times that with visitors is too much, and
+#: fingerprints sampled for each shard of a tree.
+CELL = 32_768
+CROWDED = 4
+PER_SHARD = 64
 #: Shards of one tree: a second round of trees makes this squared.
 MOST_SHARDS = 1_024
-LEAF = 256
+LEAF = 1_024
 COMPARE = 1 << 20
 #: Borders in a row that part hardly anything, after which a crowd is not parted further.
 VAIN = 3
@@ -260,8 +262,8 @@ def near_links(kinds: DataFrame, cell: int = CELL, most: int = MOST_SHARDS) -> D
     ready = []
     for _ in range(2):
         counted = save(counted, "simhash-shards")
-        over = counted.where(F.col("rows") > cell).select(
-            "shard", "rows", F.least(F.lit(most), F.ceil(F.col("rows") / (cell / 2))).cast("int").alias("parts"))
+        over = counted.where(F.col("rows") > CROWDED * cell).select(
+            "shard", "rows", F.least(F.lit(most), F.ceil(F.col("rows") / cell)).cast("int").alias("parts"))
         if over.isEmpty():
             break
         # Shards of a fitting size are ready; the others are dealt once more.
@@ -269,7 +271,7 @@ def near_links(kinds: DataFrame, cell: int = CELL, most: int = MOST_SHARDS) -> D
         rows = save(dealt(rows.join(F.broadcast(over.select("shard")), "shard", "left_semi"), over), "simhash-dealt")
         counted = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
     counted = save(counted, "simhash-shards")
-    crowds = counted.where(F.col("rows") > 4 * cell).select("shard")
+    crowds = counted.where(F.col("rows") > CROWDED * cell).select("shard")
     ready.append(rows.join(crowds, "shard", "left_anti"))
     links = crowd_links(rows.join(crowds, "shard", "left_semi"))
     for part in ready:
