@@ -438,6 +438,25 @@ def _rule_counts_like(spark, sf_dir):
                           keyword_mode="like")
 
 
+_KEYWORD_RULES = """SELECT DISTINCT domain || ' ' || word AS name, domain, word AS keyword,
+         CAST(500 AS DOUBLE) AS threshold, CAST(20160.0 AS DOUBLE) AS period_minutes
+       FROM (SELECT domain, unnest([message, substr(message, -8), substr(message, -3), substr(message, 1, 2)]) AS word FROM logs)"""
+
+
+@register("rule_counts_keywords", with_logs(
+    f"""SELECT name, count(message) AS cnt FROM ({_KEYWORD_RULES}) r LEFT JOIN logs l
+          ON l.domain = r.domain AND contains(l.message, r.keyword) AND l.ts_ms >= {AS_OF_TS} - INTERVAL 14 DAY
+        GROUP BY name"""))
+def _rule_counts_keywords(spark, sf_dir):
+    """Keyword rules taken from the logs themselves, hundreds in one domain: whole messages and short pieces."""
+    lg = parquet_lake(spark, sf_dir)
+    pieces = F.array("message", F.substring("message", -8, 8), F.substring("message", -3, 3), F.substring("message", 1, 2))
+    words = lg.select("domain", F.explode(pieces).alias("keyword")).distinct()
+    rules = words.select(F.concat_ws(" ", "domain", "keyword").alias("name"), "domain", F.lit(None).cast("string").alias("level"),
+                         "keyword", F.lit(500.0).alias("threshold"), F.lit(20160.0).alias("period_minutes"))
+    return AL.rule_counts(lg, rules, AS_OF)
+
+
 @register("alert_status", with_rules("SELECT * FROM status"))
 def _alert_status(spark, sf_dir):
     return _status(spark, sf_dir)
@@ -647,6 +666,31 @@ def _archive_scan(spark, sf_dir):
     return _full_table(L.read_logs(spark, _aged_lake(spark, sf_dir)[1]))
 
 
+@register("retention_resume", with_logs(
+    f"""SELECT tier, domain, count(*) AS cnt FROM logs l JOIN ({TIER_SQL}) p USING (domain, year, month, day)
+        WHERE tier <> 'expired' GROUP BY tier, domain"""))
+def _retention_resume(spark, sf_dir):
+    """Three runs that die after the journal, the copies and a part of the deletes; each is
+    finished from its journal, and rows that came meanwhile are in no run but the next."""
+    base = FX.result_path(spark, "resume")
+    hot, cold = f"{base}/hot", f"{base}/archive"
+    logs = FX.logs(spark, sf_dir)
+    for step in range(3):
+        L.write_logs(logs.where(F.col("event_id") % 3 == step), hot, max_records_per_file=100)
+        plan = RT.retention_plan(FL.list_files(spark, hot), AS_OF, FX.RETENTION_DAYS, FX.ARCHIVE_DAYS)
+        journal = RT.begin_retention(spark, hot, plan, archive_root=cold)
+        if step > 0:
+            RT.copy_planned(spark, hot, journal)
+        if step > 1:  # deleted, but its job died before it noted so
+            FL.delete_files(journal.files().where((F.col("state") == "copied") & (F.xxhash64("path") % 2 == 0)))
+        RT.resume_retention(spark, hot)
+    counts = None
+    for tier, root in ((RT.HOT, hot), (RT.ARCHIVE, cold)):
+        part = L.read_logs(spark, root).groupBy(F.lit(tier).alias("tier"), "domain").agg(F.count(F.lit(1)).alias("cnt"))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
 @register("archive_expire", with_logs(
     f"""SELECT domain, count(*) AS cnt FROM logs l JOIN ({TIER_SQL}) p USING (domain, year, month, day)
         WHERE tier = 'archive' AND age_days < 10 GROUP BY domain"""))
@@ -881,4 +925,62 @@ def _stream_alerts(spark, sf_dir):
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return SA.closed_windows(spark, base + "/out")
+    return SA.closed_windows(spark, base + "/out", rules)
+
+
+# Three versions of the rules: all of them always; from the middle of the month every valid
+# threshold is doubled and ERROR rules lose their keyword; later the daily rules of WARN are removed.
+_CHANGED, _DROPPED = "2024-01-15 06:30:00", "2024-01-22 18:00:00"
+VERSIONS_CTE = f"""versions AS (
+  SELECT name, domain, level, keyword, threshold, period_minutes, error, false AS removed, NULL AS valid_from FROM checked
+  UNION ALL SELECT name, domain, level, CASE WHEN level = 'ERROR' THEN NULL ELSE keyword END, threshold * 2, period_minutes, error, false,
+    TIMESTAMP '{_CHANGED}' FROM checked WHERE error IS NULL
+  UNION ALL SELECT name, NULL, NULL, NULL, NULL, NULL, NULL, true, TIMESTAMP '{_DROPPED}' FROM checked WHERE name LIKE '%-warn-daily'),
+held AS (SELECT *, coalesce(epoch_us(valid_from), -4000000000000000000) AS r_from,
+           coalesce(epoch_us(lead(valid_from) OVER (PARTITION BY name ORDER BY valid_from NULLS FIRST)), 4000000000000000000) AS r_to FROM versions),
+valid AS (SELECT *, TRY_CAST(period_minutes * 60000000 AS BIGINT) AS span FROM held WHERE NOT removed AND error IS NULL),
+counted AS (
+  SELECT r.name, r.span, CAST(floor(epoch_us(l.ts_ms) / r.span) AS BIGINT) * r.span AS s, count(*) AS cnt
+  FROM logs l JOIN valid r ON l.domain = r.domain AND epoch_us(l.ts_ms) >= r.r_from AND epoch_us(l.ts_ms) < r.r_to
+   AND (NULLIF(trim(r.level), '') IS NULL OR l.level = r.level)
+   AND (NULLIF(trim(r.keyword), '') IS NULL OR contains(l.message, r.keyword))
+  GROUP BY 1, 2, 3)"""
+VERSIONS_SQL = f"""SELECT c.name, strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_start,
+         strftime(make_timestamp(s + c.span), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS window_end, cnt, v.threshold, cnt > v.threshold AS exceeded
+  FROM counted c JOIN valid v ON v.name = c.name AND v.span = c.span AND v.r_from < s + c.span
+  WHERE make_timestamp(s + c.span) <= (SELECT max(ts_ms) FROM logs)
+  QUALIFY row_number() OVER (PARTITION BY c.name, c.span, s ORDER BY v.r_from DESC) = 1"""
+
+
+def _rule_history(rules):
+    valid = AL.list_rules(rules).where("error IS NULL")
+    changed = valid.withColumn("threshold", F.col("threshold") * 2).withColumn(
+        "keyword", F.when(F.col("level") == "ERROR", None).otherwise(F.col("keyword"))).drop("error")
+    history = AL.changed_rules(AL.rule_history(rules), changed, _CHANGED)
+    return AL.removed_rules(history, rules.where(F.col("name").endswith("-warn-daily")).select("name"), _DROPPED)
+
+
+@register("stream_alerts_versions", f"WITH {LOGS_CTE},\n{RULES_CTE},\n{VERSIONS_CTE}\n{VERSIONS_SQL}")
+def _stream_alerts_versions(spark, sf_dir):
+    """The alert stream under a history of rules. Files come in no order of time, so every
+    batch has events of all versions; each counts for the one that held at its time."""
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    lake_p = FX.lake_path(spark, sf_dir, "parquet")
+    base = FX.result_path(spark, "stream_versions")
+    files = FL.list_files(spark, lake_p).count()
+    history = _rule_history(_rules(spark, sf_dir))
+    stream = (spark.readStream.schema(S.LOGS_PARQUET).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(lake_p))
+    q = SA.start_alerts(stream, lambda: history, base + "/out", base + "/_checkpoint", trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return SA.closed_windows(spark, base + "/out", history)
+
+
+@register("rules_as_of", f"""WITH {LOGS_CTE},\n{RULES_CTE},\n{VERSIONS_CTE}
+  SELECT name, domain, level, keyword, threshold, period_minutes FROM held
+  WHERE NOT removed AND r_from <= epoch_us(TIMESTAMP '{_DROPPED}') AND r_to > epoch_us(TIMESTAMP '{_DROPPED}')""")
+def _rules_as_of(spark, sf_dir):
+    return AL.rules_at(_rule_history(_rules(spark, sf_dir)), _DROPPED)

@@ -21,6 +21,22 @@ def keyword_match(message: Column, keyword: Column, mode: str = "contains") -> C
     raise ValueError(f"unknown keyword mode {mode!r}")
 
 
+def grams(text: Column, width: int) -> Column:
+    """The distinct pieces of ``width`` characters of a text; none if it is shorter."""
+    chars = F.split(text, "")
+    at = F.sequence(F.lit(0), F.size(chars) - width)
+    pieces = F.transform(at, lambda i: F.concat(*[chars[i + k] for k in range(width)]))
+    return F.array_distinct(F.when(F.size(chars) >= width, pieces).otherwise(F.array().cast("array<string>")))
+
+
+def needed_grams(keyword: Column, mode: str, width: int) -> Column:
+    """Pieces that every message matching the keyword contains: those of ``width``
+    characters of its literal stretches, or else the shorter stretches whole."""
+    parts = F.filter(F.split(keyword, "[%_]") if mode == "like" else F.array(keyword), lambda p: p != "")
+    long = F.flatten(F.transform(parts, lambda p: grams(p, width)))
+    return F.when(F.size(long) > 0, long).otherwise(F.array_distinct(F.filter(parts, lambda p: F.length(p) < width)))
+
+
 def filter_name(log_group: Column, domain: Column, prefix: str = "loglake-") -> Column:
     """Subscription-filter name: trim slashes at both ends, inner '/' -> '-',
     then ``{prefix}{domain}-{group}``."""

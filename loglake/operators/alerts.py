@@ -4,28 +4,46 @@ The plan: prune the logs to the oldest window start (partition + row-group
 pruning), then one equi-join on ``(domain, level)`` with the per-rule keyword
 and window predicate as the residual, then a count per rule (partial aggregation before the
 shuffle, so only one row per rule and task crosses the network). A rule without
-a level meets the second copy of each row, whose level is ``*``. Spark chooses
+a level meets a second copy of each row, whose level is empty. Spark chooses
 the join from the sizes it knows; there is one plan for any number of rules.
+
+Where one (domain, level) has more than GRAM_RULES rules with a keyword, these are not tested one by one:
+each is found by its rarest piece of GRAM characters, which joins the equi-join's keys, and only
+the rows and rules that meet there are compared. A keyword with shorter literal
+stretches only is found by one of these. Keywords of wildcards alone have none and stay a residual.
 Rules with no match report 0; invalid rules report status ERROR and leave the
 others alone.
+
+A rule history keeps every version of a rule with the time from which it holds.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.functions.text import keyword_match
+from loglake.functions.text import grams, keyword_match, needed_grams
 from loglake.functions.time import date_bound, parse_as_of, ts_literal
+from loglake.session import saved
 
 OK_STATUS, EXCEEDED, ERROR = "OK", "EXCEEDED", "ERROR"
 #: Longest period a rule may have: ten years.
 MAX_PERIOD_MINUTES = 5_256_000.0
 #: Rules named in one notification.
 PAYLOAD_LINES = 1000
-ANY_LEVEL = "*"
+#: Level of the copy of a row that meets rules without a level; no rule can name it.
+ANY_LEVEL = ""
+#: Keyword rules of one (domain, level) that are tested one by one, the length of the pieces
+#: the others are found by, rules of these that are broadcast at a time, and log rows
+#: looked at to tell how frequent a piece is (this only orders the choice).
+GRAM_RULES = 64
+GRAM = 3
+BLOCK_RULES = 100_000
+SAMPLE_ROWS = 2_000
 _RULE = ("domain", "level", "keyword", "threshold", "period_minutes")
 
 
@@ -60,27 +78,93 @@ def _as_of_micros(as_of) -> int:
     return int(t.timestamp()) * 1_000_000 + t.microsecond
 
 
-def rule_side(rules: DataFrame) -> DataFrame:
-    """Valid rules as the join needs them; the level of a rule without one is ``*``."""
-    return validate_rules(unique_rules(rules)).where(F.col("error").isNull()).select(
+def _side(rules: DataFrame, *more: str) -> DataFrame:
+    """Valid rules as the join needs them, one row each."""
+    return validate_rules(rules).where(F.col("error").isNull()).select(
         "name", F.col("domain").alias("r_domain"), F.coalesce(_blank_to_null("level"), F.lit(ANY_LEVEL)).alias("r_level"),
-        _blank_to_null("keyword").alias("r_keyword"), "threshold", "period_minutes")
+        _blank_to_null("keyword").alias("r_keyword"), "threshold", "period_minutes", *more)
+
+
+def rule_side(rules: DataFrame) -> DataFrame:
+    """Valid rules as the join needs them; the level of a rule without one is empty."""
+    return _side(unique_rules(rules))
+
 
+class Profile(NamedTuple):
+    """What a plan has to know about the rules it joins."""
 
-def match_rules(logs: DataFrame, side: DataFrame, keyword_mode: str, residual=None) -> DataFrame:
-    """Rows of logs with each rule they match.
+    longest: float  # period, minutes
+    any_level: bool
+    keywords: int
+    crowd: int  # keyword rules of one (domain, level)
+
+
+def rule_profile(side: DataFrame) -> Profile:
+    each = side.groupBy("r_domain", "r_level").agg(
+        F.max("period_minutes").alias("longest"), F.count("r_keyword").alias("keywords"))
+    row = each.agg(F.max("longest"), F.max(F.col("r_level") == ANY_LEVEL), F.sum("keywords"), F.max("keywords")).first()
+    return Profile(*(x or 0 for x in row))
+
+
+def with_gram(side: DataFrame, logs: DataFrame, keyword_mode: str) -> DataFrame:
+    """The rules with ``r_gram``, the piece of the keyword that is rarest: in how many rules of
+    the same (domain, level) it is, times how often it was seen in some log rows. Null without any."""
+    pieces = side.select("name", "r_domain", "r_level", F.explode(needed_grams(F.col("r_keyword"), keyword_mode, GRAM)).alias("r_gram"))
+    shared = pieces.groupBy("r_domain", "r_level", "r_gram").agg(F.count(F.lit(1)).alias("_rules"))
+    seen = (logs.select("message").limit(SAMPLE_ROWS).select(F.explode(grams(F.col("message"), GRAM)).alias("r_gram"))
+            .groupBy("r_gram").agg(F.count(F.lit(1)).alias("_seen")))
+    cost = F.col("_rules") * (F.coalesce(F.col("_seen"), F.lit(0)) + 1)
+    best = (pieces.join(shared, ["r_domain", "r_level", "r_gram"]).join(seen, "r_gram", "left")
+            .groupBy("name").agg(F.min(F.struct(cost.alias("cost"), "r_gram")).alias("_best")))
+    return (side.alias("s").join(best.alias("b"), F.expr("s.name <=> b.name"), "left")
+            .select("s.*", F.col("_best")["r_gram"].alias("r_gram")))
+
+
+def match_rules(logs: DataFrame, side: DataFrame, keyword_mode: str, residual: Column | None = None,
+                about: Profile | None = None) -> DataFrame:
+    """The timestamp of each row of logs with each rule it matches (columns of ``side``).
 
     The message column (the widest) is read only if some rule has a keyword.
     """
-    has_keywords = not side.where(F.col("r_keyword").isNotNull()).isEmpty()
-    rows = logs.select("timestamp", "domain", F.explode(F.array(F.lit(ANY_LEVEL), "level")).alias("_level"),
-                       *(["message"] if has_keywords else []))
+    about = about or rule_profile(side)
+    if about.crowd <= GRAM_RULES:
+        return _joined(logs, side, keyword_mode, residual, about.any_level, about.keywords > 0)
+    keyed = side.where(F.col("r_keyword").isNotNull())
+    columns = [c for c in side.columns if c != "name"]
+    # Versions of one rule share its name: each is found by a piece of its own.
+    keyed = keyed.withColumn("_id", F.xxhash64(*side.columns))
+    keyed = saved(with_gram(keyed.withColumn("_name", F.col("name")).withColumn("name", F.col("_id")), logs, keyword_mode)
+                  .select(F.col("_name").alias("name"), *columns, "r_gram"), "rule-grams")
+    lengths, found = keyed.where(F.col("r_gram").isNotNull()).agg(F.collect_set(F.length("r_gram")), F.count(F.lit(1))).first()
+    rest = side.where(F.col("r_keyword").isNull()).unionByName(keyed.where(F.col("r_gram").isNull()).select(*side.columns))
+    out = _joined(logs, rest, keyword_mode, residual, about.any_level, True)
+    blocks = -(-found // BLOCK_RULES)
+    for i in range(blocks):
+        # At most about BLOCK_RULES rows, each broadcast; more rules are more scans.
+        block = F.broadcast(keyed.where(F.col("r_gram").isNotNull() & (F.pmod(F.xxhash64("r_gram"), F.lit(blocks)) == i)))
+        rows = _levels(logs.join(F.broadcast(keyed.select(F.col("r_domain").alias("domain")).distinct()), "domain", "left_semi"),
+                       about.any_level, True)
+        pieces = F.concat(*[grams(F.col("message"), n) for n in sorted(lengths)])
+        on = ((F.col("domain") == F.col("r_domain")) & (F.col("_level") == F.col("r_level")) & (F.col("_gram") == F.col("r_gram"))
+              & keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
+        rows = rows.select("*", F.explode(pieces).alias("_gram")).join(block, on if residual is None else on & residual)
+        out = out.unionByName(rows.select("timestamp", *side.columns))
+    return out
+
+
+def _levels(logs: DataFrame, any_level: bool, keywords: bool) -> DataFrame:
+    """The rows as rules look for them: by their level and, if some rule has none, once more by the empty one."""
+    level = F.explode(F.array_distinct(F.array(F.lit(ANY_LEVEL), "level"))) if any_level else F.col("level")
+    return logs.select("timestamp", "domain", level.alias("_level"), *(["message"] if keywords else []))
+
+
+def _joined(logs: DataFrame, side: DataFrame, keyword_mode: str, residual: Column | None, any_level: bool, keywords: bool) -> DataFrame:
     on = (F.col("domain") == F.col("r_domain")) & (F.col("_level") == F.col("r_level"))
-    if has_keywords:
+    if keywords:
         on = on & (F.col("r_keyword").isNull() | keyword_match(F.col("message"), F.col("r_keyword"), keyword_mode))
     if residual is not None:
         on = on & residual
-    return rows.join(side, on, "inner")
+    return _levels(logs, any_level, keywords).join(side, on).select("timestamp", *side.columns)
 
 
 def rule_counts(logs: DataFrame, rules: DataFrame, as_of, keyword_mode: str = "contains") -> DataFrame:
@@ -91,10 +175,10 @@ def rule_counts(logs: DataFrame, rules: DataFrame, as_of, keyword_mode: str = "c
     """
     side = rule_side(rules).withColumn("r_lower", F.timestamp_micros(
         F.lit(_as_of_micros(as_of)) - (F.col("period_minutes") * 60_000_000).cast("long")))
-    longest = side.agg(F.max("period_minutes")).first()[0] or 0.0
-    lower = parse_as_of(as_of) - _dt.timedelta(minutes=longest)
+    about = rule_profile(side)
+    lower = parse_as_of(as_of) - _dt.timedelta(minutes=about.longest)
     scoped = logs.where(date_bound(lower) & (F.col("timestamp") >= ts_literal(lower)))
-    hits = match_rules(scoped, side, keyword_mode, F.col("timestamp") >= F.col("r_lower")).groupBy("name").agg(
+    hits = match_rules(scoped, side, keyword_mode, F.col("timestamp") >= F.col("r_lower"), about).groupBy("name").agg(
         F.count(F.lit(1)).alias("cnt"))
     names = unique_rules(rules).select("name").alias("n")
     return (names.join(hits.alias("h"), F.expr("n.name <=> h.name"), "left")
@@ -131,15 +215,16 @@ def alert_payload(status: DataFrame, max_lines: int = PAYLOAD_LINES) -> DataFram
     """No row without a breached rule, else one row: the notification text, one
     line per rule ``[name] domain / level: count events (threshold: t)``,
     ``ALL`` when the rule has no level; lines sorted. Above ``max_lines`` breached
-    rules there are several rows, each with about that many of the rules."""
+    rules there are several rows, each with about that many of the rules. The status is
+    computed once: its breached rules are kept in the shared folder."""
     line = F.format_string("[%s] %s / %s: %s events (threshold: %s)", F.col("name"),
                            F.col("domain"), F.coalesce(_blank_to_null("level"), F.lit("ALL")),
                            F.col("cnt").cast("string"), _num_text("threshold"))
-    breached = status.where(F.col("status") == EXCEEDED)
+    breached = saved(status.where(F.col("status") == EXCEEDED).select("name", line.alias("line")), "breached")
     total = breached.count()
     pages = max(1, -(-total // max_lines))
     agg = (breached.groupBy(F.pmod(F.xxhash64("name"), F.lit(pages)).alias("page"))
-           .agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines")))
+           .agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines")))
     return agg.select(
         F.lit(total).cast("long").alias("exceeded"),
         F.concat(F.lit(f"Alert: {total} rule(s) exceeded\n"), F.col("lines")).alias("text"))
@@ -164,3 +249,56 @@ def remove_rules(rules: DataFrame, names: DataFrame) -> DataFrame:
 def missing_rules(rules: DataFrame, names: DataFrame) -> DataFrame:
     """Names asked for removal that match no rule (reported, not an error)."""
     return names.select("name").join(rules.select("name"), "name", "left_anti")
+
+
+# ---- rule history ------------------------------------------------------------------
+
+#: What a rule history has besides the columns of a rule.
+VALID_FROM, REMOVED = "valid_from", "removed"
+ALWAYS, FOREVER = -(1 << 62), 1 << 62
+
+
+def rule_history(rules: DataFrame, at=None) -> DataFrame:
+    """Rules as versions that hold from ``at`` on; always, without it."""
+    when = F.lit(None).cast("timestamp") if at is None else ts_literal(parse_as_of(at))
+    return rules.select("name", *_RULE, when.alias(VALID_FROM), F.lit(False).alias(REMOVED))
+
+
+def changed_rules(history: DataFrame, new: DataFrame, at) -> DataFrame:
+    """The history with rules set, or replaced by name, from ``at`` on. Nothing earlier changes."""
+    return history.unionByName(rule_history(unique_rules(new), at))
+
+
+def removed_rules(history: DataFrame, names: DataFrame, at) -> DataFrame:
+    """The history with the named rules removed from ``at`` on."""
+    rule_types = {f.name: f.dataType for f in history.schema.fields}
+    gone = names.select("name").distinct().select(
+        "name", *[F.lit(None).cast(rule_types[c]).alias(c) for c in _RULE], ts_literal(parse_as_of(at)).alias(VALID_FROM), F.lit(True).alias(REMOVED))
+    return history.unionByName(gone)
+
+
+def rule_versions(history: DataFrame) -> DataFrame:
+    """Every version with ``r_from`` and ``r_to`` (microseconds, the end not included).
+
+    A version holds until the next one of its name. Of those of one name and time a removal
+    counts first, then the smallest row. Plain rules, without the columns of a history, hold always.
+    """
+    if VALID_FROM not in history.columns:
+        history = rule_history(history)
+    start = F.coalesce(F.unix_micros(VALID_FROM), F.lit(ALWAYS))
+    one = (history.groupBy("name", start.alias("r_from"))
+           .agg(F.min(F.struct((~F.col(REMOVED)).alias("kept"), *_RULE)).alias("_r"))
+           .select("name", "r_from", F.col("_r")["kept"].alias("kept"), *[F.col("_r")[c].alias(c) for c in _RULE]))
+    end = F.lead("r_from").over(Window.partitionBy("name").orderBy("r_from"))
+    return one.withColumn("r_to", F.coalesce(end, F.lit(FOREVER))).where("kept").drop("kept")
+
+
+def rules_at(history: DataFrame, as_of) -> DataFrame:
+    """The rules that hold at a time."""
+    t = _as_of_micros(as_of)
+    return rule_versions(history).where((F.col("r_from") <= t) & (F.col("r_to") > t)).select("name", *_RULE)
+
+
+def version_side(history: DataFrame) -> DataFrame:
+    """Valid versions as the join needs them, with the times between which they hold."""
+    return _side(rule_versions(history), "r_from", "r_to")

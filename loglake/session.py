@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every loglake job relies on. Time zone UTC: ISO text and date
 # partitions are always rendered in UTC.
@@ -66,6 +67,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "loglake", *[p.strip("/") for p in parts]])
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a small step under the shared checkpoint root and read it back: it is
+    computed once, and what builds on it survives lost executors."""
+    path = scratch_path(df.sparkSession, "steps", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The path and its filesystem as Spark resolves them: a path without a
     scheme is on the default filesystem, wherever that is."""

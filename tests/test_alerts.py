@@ -203,3 +203,108 @@ def test_keyword_semantics_brute_force(spark):
     for r in got:
         assert r["c"] == (r["k"] in r["m"]), (r["m"], r["k"])
         assert r["l"] == like(r["m"], r["k"]), (r["m"], r["k"])
+
+
+def _random_rules(n, words, seed):
+    import random
+
+    r = random.Random(seed)
+    levels = ["ERROR", "WARN", None, "", " "]
+    return [(f"r{i}", r.choice(["payment", "order"]), r.choice(levels), "".join(r.choice(words) for _ in range(r.randint(1, 3))), 1.0, r.choice([10.0, 1e5]))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("mode", ["contains", "like"])
+def test_keywords_found_by_pieces_count_the_same(spark, monkeypatch, mode):
+    """Against every rule on every row: pieces that are shared, short keywords, wildcards, characters beyond 16 bits."""
+    import random
+    import re as _re
+
+    r = random.Random(11)
+    words = ["id=", "id", "7", "42", "é", "\U0001F600", "x\U0001F600y", "%", "_", "\\", "' ", "timeout", "time"]
+    message = lambda: "".join(r.choice(words) for _ in range(r.randint(0, 9)))
+    rows = [(f"2024-01-30 23:{r.randrange(60):02d}:00", r.choice(["payment", "order", "user"]), r.choice(["ERROR", "WARN", "", None]), r.choice([message(), message(), None]))
+            for _ in range(400)]
+    rules = _random_rules(300, words, 3) + [("bare", "order", None, None, 1.0, 30.0), ("wild", "order", None, "%", 1.0, 30.0), ("any", "order", None, "_", 1.0, 30.0)]
+
+    def hit(m, kw):
+        if m is None:
+            return False
+        if mode == "contains":
+            return kw in m
+        return _re.search("".join(".*" if c == "%" else "." if c == "_" else _re.escape(c) for c in kw), m, _re.S) is not None
+
+    def count(rule):
+        _, domain, level, kw, _, period = rule
+        lower = dt.datetime(2024, 1, 31) - dt.timedelta(minutes=period)
+        return sum(d == domain and (not (level or "").strip() or lv == level) and (not (kw or "").strip() or hit(m, kw))
+                   and dt.datetime.fromisoformat(t) >= lower for t, d, lv, m in rows)
+
+    want = {x[0]: count(x) for x in rules}
+    logs, side = _logs(spark, rows), _rules(spark, rules)
+    for crowd, block in ((64, 100_000), (5, 40)):
+        monkeypatch.setattr(AL, "GRAM_RULES", crowd)
+        monkeypatch.setattr(AL, "BLOCK_RULES", block)
+        assert {x["name"]: x["cnt"] for x in AL.rule_counts(logs, side, AS_OF, mode).collect()} == want
+    assert sum(want.values()) > 1000
+
+
+def test_twenty_thousand_keywords_in_one_domain(spark):
+    """No join of rows with all rules of their domain: pieces are keys of the join, and few pairs are compared."""
+    from loglake.plans.inspect import plan_text
+
+    rules = spark.range(20_000).select(
+        F.concat(F.lit("r"), "id").alias("name"), F.lit("payment").alias("domain"), F.lit(None).cast("string").alias("level"),
+        F.concat(F.lit("order id "), F.conv(F.col("id") * 7919, 10, 36)).alias("keyword"), F.lit(0.0).alias("threshold"), F.lit(60.0).alias("period_minutes"))
+    rows = [("2024-01-30 23:55:00", "payment", "ERROR", f"status of order id {x} is unknown") for x in ("ZZZZZZZZ", "0", "63Z", "NOPE")] * 50
+    df = AL.rule_counts(_logs(spark, rows), rules, AS_OF)
+    got = {r["name"]: r["cnt"] for r in df.where("cnt > 0").collect()}
+    base36 = lambda n: (base36(n // 36) if n >= 36 else "") + "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[n % 36]
+    want = {}
+    for i in range(20_000):
+        n = sum(f"order id {base36(i * 7919)}" in m for *_, m in rows)
+        if n:
+            want[f"r{i}"] = n
+    assert got == want and "r0" in want
+    text = plan_text(df, "simple")
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert any("_gram" in k and "r_gram" in k for k in _join_keys(df))
+    # Every join of log rows by (domain, level) alone is with the rules that have no piece: none here.
+    side = AL.rule_side(rules)
+    assert AL.with_gram(side, _logs(spark, rows), "contains").where("r_gram IS NULL").count() == 0
+
+
+def test_a_blank_level_of_a_row_is_no_second_copy(spark):
+    logs = _logs(spark, [("2024-01-30 23:55:00", "payment", "", "m"), ("2024-01-30 23:55:00", "payment", "*", "m")])
+    rules = _rules(spark, [("any", "payment", None, None, 0.0, 60.0), ("star", "payment", "*", None, 0.0, 60.0)])
+    assert {r["name"]: r["cnt"] for r in AL.rule_counts(logs, rules, AS_OF).collect()} == {"any": 2, "star": 1}
+
+
+def test_the_payload_runs_the_scan_once(spark, logs):
+    rules = _rules(spark, [("b", "payment", None, None, 1.0, 10.0)])
+    scans = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(m):
+        scans.add(1)
+        return m
+
+    status = AL.alert_status(logs.where("domain = 'payment'").withColumn("level", watched("level")), rules, AS_OF)
+    assert AL.alert_payload(status).count() == 1 and scans.value == 4  # the rows in the window, once
+
+
+def _history(spark):
+    history = AL.rule_history(_rules(spark, [("t", "payment", "ERROR", None, 15.0, 60.0), ("k", "payment", None, "a", 0.0, 60.0), ("p", "order", None, None, 0.0, 60.0)]))
+    history = AL.changed_rules(history, _rules(spark, [("t", "payment", "ERROR", None, 14.0, 60.0), ("bad", "order", None, None, -1.0, 60.0)]), "2024-01-10 00:30:00")
+    history = AL.changed_rules(history, _rules(spark, [("k", "payment", None, "b", 5.0, 60.0), ("p", "order", None, None, 2.0, 30.0)]), "2024-01-10 00:20:00")
+    return AL.removed_rules(history, spark.createDataFrame([("k",)], "name string"), "2024-01-10 02:00:00")
+
+
+def test_rules_at_a_time(spark):
+    h = _history(spark)
+    at = lambda t: {r["name"]: (r["keyword"], r["threshold"], r["period_minutes"]) for r in AL.rules_at(h, t).collect()}
+    assert at("2024-01-10 00:00:00") == {"t": (None, 15.0, 60.0), "k": ("a", 0.0, 60.0), "p": (None, 0.0, 60.0)}
+    assert at("2024-01-10 00:30:00") == {"t": (None, 14.0, 60.0), "k": ("b", 5.0, 60.0), "p": (None, 2.0, 30.0), "bad": (None, -1.0, 60.0)}
+    assert set(at("2024-01-10 02:00:00")) == {"t", "p", "bad"}
+    again = AL.changed_rules(h, _rules(spark, [("k", "payment", None, "c", 1.0, 60.0)]), "2024-01-10 03:00:00")
+    assert {r["name"] for r in AL.rules_at(again, "2024-01-10 03:00:00").collect()} == {"t", "k", "p", "bad"}

@@ -42,7 +42,7 @@ def test_stream_alerts_match_batch_closed_windows(spark, sf, tmp_path):
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     q = SA.start_alerts(stream, lambda: rules, out, ck, trigger={"availableNow": True})
     q.awaitTermination()
-    got = SA.closed_windows(spark, out)
+    got = SA.closed_windows(spark, out, rules)
     batch = SA.window_counts(FX.lake(spark, sf), rules)
     last = FX.lake(spark, sf).agg(F.max("timestamp")).first()[0]
     closed = batch.where(F.to_timestamp("window_end") <= F.lit(last))
@@ -156,6 +156,73 @@ def test_alert_windows_of_fractions_late_rows_and_replays(spark, tmp_path):
     SA.alert_batch(frame([row(t + 30_000), row(t + 200_000)]), 0, lambda: rules, out, "s")
     for _ in range(2):  # late rows, and their batch again
         SA.alert_batch(frame([row(t + 10), row(t + 20, "WARN"), row(t + 700)]), 1, lambda: rules, out, "s")
-    got = {(r["name"], r["window_start"][17:]): (r["cnt"], r["exceeded"]) for r in SA.closed_windows(spark, out).collect()}
+    got = {(r["name"], r["window_start"][17:]): (r["cnt"], r["exceeded"]) for r in SA.closed_windows(spark, out, rules).collect()}
     assert got == {("minute", "00.000Z"): (3, True), ("short", "00.000Z"): (2, True), ("short", "00.600Z"): (1, True), ("short", "30.000Z"): (1, True)}
-    assert SA.closed_windows(spark, out, delay_minutes=10).count() == 0
+    assert SA.closed_windows(spark, out, rules, delay_minutes=10).count() == 0
+
+
+def test_a_threshold_changed_between_batches_splits_no_window(spark, tmp_path):
+    """10 and 10 events of one window, and the threshold lowered in between: one row of 20, held against the new one."""
+    from loglake.operators import alerts as AL
+
+    rule = lambda t: spark.createDataFrame([("t", "payment", None, None, t, 60.0)], S.RULES)
+    t = 1_704_844_800_000  # 2024-01-10 00:00
+    frame = lambda first, n: spark.createDataFrame([(t + 60_000 * (first + i), "payment", "ERROR", "m") for i in range(n)],
+                                                   "ms long, domain string, level string, message string").select(
+        F.timestamp_millis("ms").alias("timestamp"), "domain", "level", "message")
+    out, history = str(tmp_path / "out"), AL.rule_history(rule(25.0))
+    SA.alert_batch(frame(0, 10), 0, lambda: history, out, "s")
+    history = AL.changed_rules(history, rule(14.0), "2024-01-10 00:15:00")
+    SA.alert_batch(frame(30, 10), 1, lambda: history, out, "s")
+    SA.alert_batch(frame(70, 1), 2, lambda: history, out, "s")
+    seen = lambda h: [tuple(r)[3:] for r in SA.closed_windows(spark, out, h).orderBy("window_start").collect()]
+    assert seen(history) == [(20, 14.0, True)]
+    # A change after the window's end does not reach it; one from its first moment on does.
+    assert seen(AL.changed_rules(history, rule(50.0), "2024-01-10 01:00:00")) == [(20, 14.0, True)]
+    assert seen(AL.changed_rules(history, rule(20.0), "2024-01-10 00:59:59.999")) == [(20, 20.0, False)]
+
+
+def test_versions_by_brute_force(spark, tmp_path):
+    """Events in no order over batches, every kind of change: each event counts for the version of its time."""
+    import random
+
+    from loglake.operators import alerts as AL
+
+    r = random.Random(9)
+    t0 = 1_704_844_800_000
+    versions = []  # (from minute or None, rule or None)
+    history = None
+    minutes = [None, 47, 130, 131, 200, 260]
+    for m in minutes:
+        rule = ("x", r.choice(["a", "b"]), r.choice(["E", None]), r.choice(["p", None]), float(r.randint(0, 9)), r.choice([60.0, 30.0])) if m != 200 else None
+        versions.append((m, rule))
+        when = None if m is None else f"2024-01-10 {m // 60:02d}:{m % 60:02d}:00"
+        if history is None:
+            history = AL.rule_history(spark.createDataFrame([rule], S.RULES))
+        elif rule is None:
+            history = AL.removed_rules(history, spark.createDataFrame([("x",)], "name string"), when)
+        else:
+            history = AL.changed_rules(history, spark.createDataFrame([rule], S.RULES), when)
+    events = [(t0 + 60_000 * r.randrange(300) + r.randrange(60_000), r.choice("ab"), r.choice("EW"), r.choice(["p q", "q"])) for _ in range(600)]
+    out = str(tmp_path / "out")
+    for k in range(3):
+        SA.alert_batch(spark.createDataFrame(events[k::3], "ms long, domain string, level string, message string").select(
+            F.timestamp_millis("ms").alias("timestamp"), "domain", "level", "message"), k, lambda: history, out, "s")
+    counts = {}
+    for ms, d, lv, text in events:
+        m = (ms - t0) / 60_000
+        rule = [v for f, v in versions if f is None or f <= m][-1]
+        if rule and rule[1] == d and rule[2] in (None, lv) and (rule[3] is None or rule[3] in text):
+            key = (int(m // rule[5] * rule[5]), rule[5])
+            counts[key] = counts.get(key, 0) + 1
+    last = (max(ms for ms, *_ in events) - t0) / 60_000
+    want = set()
+    for (s, span), n in counts.items():
+        if s + span <= last:
+            threshold = [v[4] for f, v in versions if v and v[5] == span and (f is None or f < s + span)][-1]
+            want.add((s, span, n, threshold, n > threshold))
+    got = set()
+    for x in SA.closed_windows(spark, out, history).collect():
+        a, b = (int(x[c][11:13]) * 60 + int(x[c][14:16]) for c in ("window_start", "window_end"))
+        got.add((a, float(b - a), x["cnt"], x["threshold"], x["exceeded"]))
+    assert got == want and len(want) > 4
