@@ -47,11 +47,12 @@ SPACE = r"\x20\x09-\x0D"
 VARIABLE = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 
 
-def row_key():
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text")).alias("key")
+def row_key(copies: bool):
+    """What makes a document: its doc_id and text; or, with ``copies``, the text alone."""
+    return (F.xxhash64("text") if copies else F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text"))).alias("key")
 
 
-def tree_lines(docs: DataFrame) -> DataFrame:
+def tree_lines(docs: DataFrame, copies: bool) -> DataFrame:
     """One row per line that is not blank: doc_id, key, pos, nodes (hash and length of each segment).
 
     A short line has one node, its template; the length is the documents it must recur in.
@@ -59,7 +60,7 @@ def tree_lines(docs: DataFrame) -> DataFrame:
     # Few lines have a digit: the pattern that masks variable fields runs on those only.
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))
     tokens = lambda c: F.split(F.btrim(c, F.lit(" \t\x0b\f\r")), f"[{SPACE}]+")
-    lines = (docs.select("doc_id", row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = (docs.select("doc_id", row_key(copies), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
              .select("doc_id", "key", "pos", "line", tokens(masked).alias("t")))
     rest = F.size("t") - LEAD
     nodes = []
@@ -83,9 +84,9 @@ def recurring(rows: DataFrame, column: str) -> DataFrame:
             .where("lo <> hi").select(column))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, copies: bool = False) -> DataFrame:
     """key and the positions of the lines to drop, one row per document that loses lines."""
-    lines = save(tree_lines(docs), "tree-lines")
+    lines = save(tree_lines(docs, copies), "tree-lines")
     nodes = (lines.where(F.size("nodes") == SEGMENTS).select("doc_id", "key", "pos", F.explode("nodes").alias("n"))
              .select("doc_id", "key", "pos", "n.*"))
     short = (lines.where(F.size("nodes") == 1)
@@ -102,46 +103,41 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
     again = (templates.groupBy("template").agg(first, F.min("key").alias("lo"), F.max("key").alias("hi"))
              .where("lo <> hi").select("template", "first"))
-    often = (short.groupBy("template", "least", "doc_id", "key").agg(F.min("pos").alias("pos"))
-             .groupBy("template", "least").agg(first, F.count(F.lit(1)).alias("n")).where("n >= least").select("template", "first"))
+    often = (short.groupBy("template", "least", "key").agg(F.min(F.struct("doc_id", "pos")).alias("x"))
+             .select("template", "least", "x.doc_id", "key", "x.pos").groupBy("template", "least").agg(first, F.count(F.lit(1)).alias("n")).where("n >= least").select("template", "first"))
     again = save(again.unionByName(often), "recurring-templates")
     return (templates.unionByName(short.drop("least")).join(again, "template")
             .where((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
             .groupBy("key").agg(F.collect_set("pos").alias("gone")))
 
 
-def cleaned(docs: DataFrame, max_share: float = 1.0) -> DataFrame:
-    """docs with n_lines, n_dropped and new_text.
-
-    A document that would lose more than ``max_share`` of its characters is a
-    copy rather than a carrier of recurring lines, and is left whole.
-    """
+def cleaned(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """docs with n_lines, n_dropped and new_text."""
     # The smaller side is hashed, so that the texts need no sorting.
-    gone_lines = dropped_lines(docs.select("doc_id", "text")).hint("shuffle_hash")
+    gone_lines = dropped_lines(docs.select("doc_id", "text"), copies).hint("shuffle_hash")
     none = F.array().cast("array<int>")
-    marked = docs.withColumn("key", row_key()).join(gone_lines, "key", "left").withColumn("gone", F.coalesce("gone", none))
+    marked = docs.withColumn("key", row_key(copies)).join(gone_lines, "key", "left").withColumn("gone", F.coalesce("gone", none))
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    marked = marked.withColumn("new_text", text)
-    if max_share < 1:
-        whole = F.length("new_text") < (1 - max_share) * F.length("text")
-        marked = marked.withColumn("gone", F.when(whole, none).otherwise(F.col("gone")))
-        marked = marked.withColumn("new_text", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.col("new_text")))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return (marked.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
+    return (marked.withColumn("new_text", text).withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
             .withColumn("n_dropped", F.size("gone").cast("long")))
 
 
-def dedup_lines(docs: DataFrame, max_share: float = 1.0) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (without the dropped lines) per row."""
-    return cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), max_share).select(
+    return cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
         "doc_id", "n_lines", "n_dropped", F.col("new_text").alias("text"))
 
 
-def clean_documents(docs: DataFrame, max_share: float = 0.5) -> DataFrame:
-    """docs with the same columns, the text cleaned and n_chars following it."""
-    slim = cleaned(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c not in ("doc_id", "text")}), max_share)
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """docs with the same columns, the text cleaned and n_chars following it.
+
+    Documents of the very same text count as one: they lose the same lines and stay
+    copies, which a near-duplicate stage removes. All other documents lose every dropped line.
+    """
+    slim = cleaned(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c not in ("doc_id", "text")}), copies=True)
     columns = []
     for c in docs.columns:
         if c == "text":
@@ -162,11 +158,12 @@ WITH d AS (SELECT doc_id, text, md5(text) AS h FROM documents),
 u AS (SELECT DISTINCT doc_id, h, text FROM d WHERE text IS NOT NULL),
 s AS (SELECT doc_id, h, string_split(text, chr(10)) AS ls FROM u),
 l AS (SELECT doc_id, h, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM s),
-t AS (SELECT doc_id, h, pos, list_transform(regexp_extract_all(line, '[^{SPACE}]+'),
-             lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
+raw AS (SELECT doc_id, h, pos, regexp_extract_all(line, '[^{SPACE}]+') AS raw FROM l),
+t AS (SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t,
+             len(list_filter(raw, lambda x: NOT regexp_matches(x, '[0-9]'))) AS plain FROM raw WHERE len(raw) > 0),
 n AS (SELECT doc_id, h, pos, i, len(t) AS n, t[1:{LEAD}] AS head,
              t[{LEAD} + 1 + ((len(t) - {LEAD}) * i) // {SEGMENTS}:{LEAD} + ((len(t) - {LEAD}) * (i + 1)) // {SEGMENTS}] AS part
-      FROM t, (SELECT unnest(range({SEGMENTS})) AS i) WHERE len(list_filter(t, lambda x: x <> '<*>')) >= {MIN_TOKENS}),
+      FROM t, (SELECT unnest(range({SEGMENTS})) AS i) WHERE plain >= {MIN_TOKENS}),
 f AS (SELECT * FROM n WINDOW w AS (PARTITION BY n, head, i, part)
       QUALIFY min(doc_id || '/' || h) OVER w <> max(doc_id || '/' || h) OVER w),
 m AS (SELECT doc_id, h, pos, (any_value(n), any_value(head), list((i, part) ORDER BY i)) AS template
@@ -175,7 +172,12 @@ m AS (SELECT doc_id, h, pos, (any_value(n), any_value(head), list((i, part) ORDE
 g AS (SELECT doc_id, h, pos FROM m WINDOW w AS (PARTITION BY template)
       QUALIFY min(doc_id || '/' || h) OVER w <> max(doc_id || '/' || h) OVER w
               AND row_number() OVER (PARTITION BY template ORDER BY doc_id, h, pos) > 1),
-x AS (SELECT doc_id, h, count(*) AS n_dropped, list(pos) AS gone FROM g GROUP BY doc_id, h)
+o AS (SELECT doc_id, h, pos, CASE WHEN plain > 0 THEN t ELSE raw END AS template,
+             CASE WHEN plain = len(t) THEN {SHORT_DOCUMENTS} ELSE {VARIABLE_DOCUMENTS} END AS least FROM t WHERE plain < {MIN_TOKENS}),
+a AS (SELECT doc_id, h, pos FROM g UNION ALL
+      SELECT doc_id, h, pos FROM o WINDOW w AS (PARTITION BY template, least)
+      QUALIFY count(DISTINCT doc_id || '/' || h) OVER w >= least AND row_number() OVER (PARTITION BY template, least ORDER BY doc_id, h, pos) > 1),
+x AS (SELECT doc_id, h, count(*) AS n_dropped, list(pos) AS gone FROM a GROUP BY doc_id, h)
 SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
        CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
