@@ -242,6 +242,58 @@ def _map_domain(spark, sf_dir):
     return I.map_domain(lg, FX.connections(spark))
 
 
+_REMAPPED = [("/ecs/user-api", "auth", "2024-01-10 12:00:00"), ("/ecs/user-api", "order", "2024-01-20 00:00:00"),
+             ("/ecs/unmapped", "payment", "2024-01-05 06:00:00")]
+_DISCONNECTED = ("/ecs/auth-service", "auth", "2024-01-15 00:00:00")
+
+
+def _connection_history(spark):
+    history = CN.connection_history(FX.connections(spark))
+    for group, domain, at in _REMAPPED:
+        history = CN.changed_connections(history, spark.createDataFrame([(group, "", domain)], S.CONNECTIONS), at)
+    gone = spark.createDataFrame([_DISCONNECTED[:2]], "log_group string, domain string")
+    return CN.removed_connections(history, gone, _DISCONNECTED[2])
+
+
+def _mapped_sql(ts: str) -> str:
+    """The domain a group has at a time (ISO text), from the same changes."""
+    iso = lambda at: at.replace(" ", "T") + ".000Z"
+    arms = [f"WHEN log_group = '{g}' AND {ts} >= '{iso(at)}' THEN '{d}'" for g, d, at in reversed(_REMAPPED)]
+    g, _, at = _DISCONNECTED
+    arms.append(f"WHEN log_group = '{g}' AND {ts} >= '{iso(at)}' THEN 'unknown'")
+    arms += [f"WHEN log_group = '{g}' THEN '{d}'" for g, d in zip(FX.LOG_GROUP_OF_USER_MOD, FX.DOMAIN_OF_USER_MOD)]
+    return f"CASE {' '.join(arms)} ELSE 'unknown' END"
+
+
+_MAPPED = _mapped_sql('"timestamp"')
+
+
+@register("map_domain_history", with_logs(f'SELECT trace_id, log_group, {_MAPPED} AS domain FROM logs'))
+def _map_domain_history(spark, sf_dir):
+    """A group mapped twice anew, one connected late and one disconnected: each event as of its time."""
+    return I.map_domain(FX.logs(spark, sf_dir).select("trace_id", "log_group", "epoch_ms"), _connection_history(spark)).select(
+        "trace_id", "log_group", "domain")
+
+
+@register("stream_ingest_history", with_ingested(
+    f"""SELECT domain, year, month, day, count(*) AS cnt FROM (SELECT {_MAPPED} AS domain, year, month, day FROM ingested)
+        GROUP BY domain, year, month, day"""))
+def _stream_ingest_history(spark, sf_dir):
+    """The stream under a history of connections; its first batch is replayed at the end."""
+    from loglake.session import ensure_utc
+
+    ensure_utc(spark)
+    base, src = FX.result_path(spark, "stream_history"), FX.envelopes_path(spark, sf_dir)
+    history = _connection_history(spark)
+    q = SI.start_ingest(spark, src, base + "/lake", base + "/_checkpoint", lambda: history, trigger={"availableNow": True}, stream="s")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    SI.ingest_batch(read_envelopes(spark, src, "json"), 0, lambda: FX.connections(spark), base + "/lake", None, stream="s",
+                    state_path=base + "/_checkpoint-state")
+    return L.read_logs(spark, base + "/lake").groupBy(*S.PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 @register("epoch_to_iso", with_logs('SELECT trace_id, epoch_ms, "timestamp" FROM logs'))
 def _epoch_to_iso(spark, sf_dir):
     lg = FX.logs(spark, sf_dir)
@@ -302,6 +354,16 @@ def _scan_bare_layout_pruned(spark, sf_dir):
                                           ["payment", "auth"], ("2024-01-10", "2024-01-20")))
 
 
+@register("scan_days", with_logs(
+    f"""SELECT {TABLE_SELECT} FROM logs WHERE domain IN ('payment', 'auth')
+        AND year || '-' || month || '-' || day BETWEEN '2024-01-10' AND '2024-01-20'"""))
+def _scan_days(spark, sf_dir):
+    """Folders worked out from domains and dates; nothing else of the lake is listed."""
+    FX.lake(spark, sf_dir, "json")
+    return _full_table(L.read_logs(spark, FX.lake_path(spark, sf_dir, "json"), "json", domains=["payment", "auth", "none"],
+                                   dates=("2024-01-10", "2024-01-20")))
+
+
 def _roundtrip(spark, sf_dir, fmt):
     rows, _ = _decoded(spark, sf_dir)
     path = FX.result_path(spark, f"ingested_{fmt}")
@@ -777,6 +839,18 @@ def _table_sync(spark, sf_dir):
     return Q.count_by_domain(TB.read_table(spark, *name, registered_only=False))
 
 
+@register("table_add_partitions", with_logs("SELECT domain, count(*) AS cnt FROM logs GROUP BY domain"))
+def _table_add_partitions(spark, sf_dir):
+    """Three writes into a table that is there already; each registers what it touched, without a repair."""
+    path, name = FX.result_path(spark, "touched"), _table_name()
+    logs = FX.logs(spark, sf_dir)
+    L.write_logs(logs.where("event_id % 4 = 0"), path)
+    TB.create_log_table(spark, *name, path)
+    for k in (1, 2, 3):
+        TB.write_to_table(spark, *name, logs.where(F.col("event_id") % 4 == k), path)
+    return Q.count_by_domain(TB.read_table(spark, *name, registered_only=False))
+
+
 @register("saved_result", with_logs("SELECT domain, level, count(*) AS cnt FROM logs GROUP BY domain, level"))
 def _saved_result(spark, sf_dir):
     path = FX.result_path(spark, "saved")

@@ -23,11 +23,12 @@ import datetime as _dt
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglake.functions.text import grams, keyword_match, needed_grams
 from loglake.functions.time import date_bound, parse_as_of, ts_literal
+from loglake.operators.versions import as_history, held_at, lifetimes, micros_of, removals
 from loglake.session import saved
 
 OK_STATUS, EXCEEDED, ERROR = "OK", "EXCEEDED", "ERROR"
@@ -73,11 +74,6 @@ def invalid_rules(rules: DataFrame) -> DataFrame:
     return validate_rules(rules).where(F.col("error").isNotNull()).select("name", "error")
 
 
-def _as_of_micros(as_of) -> int:
-    t = parse_as_of(as_of).replace(tzinfo=_dt.timezone.utc)
-    return int(t.timestamp()) * 1_000_000 + t.microsecond
-
-
 def _side(rules: DataFrame, *more: str) -> DataFrame:
     """Valid rules as the join needs them, one row each."""
     return validate_rules(rules).where(F.col("error").isNull()).select(
@@ -174,7 +170,7 @@ def rule_counts(logs: DataFrame, rules: DataFrame, as_of, keyword_mode: str = "c
     wildcard behaviour of a raw LIKE pattern. Rules that share a name count as one.
     """
     side = rule_side(rules).withColumn("r_lower", F.timestamp_micros(
-        F.lit(_as_of_micros(as_of)) - (F.col("period_minutes") * 60_000_000).cast("long")))
+        F.lit(micros_of(as_of)) - (F.col("period_minutes") * 60_000_000).cast("long")))
     about = rule_profile(side)
     lower = parse_as_of(as_of) - _dt.timedelta(minutes=about.longest)
     scoped = logs.where(date_bound(lower) & (F.col("timestamp") >= ts_literal(lower)))
@@ -253,15 +249,10 @@ def missing_rules(rules: DataFrame, names: DataFrame) -> DataFrame:
 
 # ---- rule history ------------------------------------------------------------------
 
-#: What a rule history has besides the columns of a rule.
-VALID_FROM, REMOVED = "valid_from", "removed"
-ALWAYS, FOREVER = -(1 << 62), 1 << 62
-
 
 def rule_history(rules: DataFrame, at=None) -> DataFrame:
     """Rules as versions that hold from ``at`` on; always, without it."""
-    when = F.lit(None).cast("timestamp") if at is None else ts_literal(parse_as_of(at))
-    return rules.select("name", *_RULE, when.alias(VALID_FROM), F.lit(False).alias(REMOVED))
+    return as_history(rules, ["name", *_RULE], at)
 
 
 def changed_rules(history: DataFrame, new: DataFrame, at) -> DataFrame:
@@ -271,34 +262,14 @@ def changed_rules(history: DataFrame, new: DataFrame, at) -> DataFrame:
 
 def removed_rules(history: DataFrame, names: DataFrame, at) -> DataFrame:
     """The history with the named rules removed from ``at`` on."""
-    rule_types = {f.name: f.dataType for f in history.schema.fields}
-    gone = names.select("name").distinct().select(
-        "name", *[F.lit(None).cast(rule_types[c]).alias(c) for c in _RULE], ts_literal(parse_as_of(at)).alias(VALID_FROM), F.lit(True).alias(REMOVED))
-    return history.unionByName(gone)
-
-
-def rule_versions(history: DataFrame) -> DataFrame:
-    """Every version with ``r_from`` and ``r_to`` (microseconds, the end not included).
-
-    A version holds until the next one of its name. Of those of one name and time a removal
-    counts first, then the smallest row. Plain rules, without the columns of a history, hold always.
-    """
-    if VALID_FROM not in history.columns:
-        history = rule_history(history)
-    start = F.coalesce(F.unix_micros(VALID_FROM), F.lit(ALWAYS))
-    one = (history.groupBy("name", start.alias("r_from"))
-           .agg(F.min(F.struct((~F.col(REMOVED)).alias("kept"), *_RULE)).alias("_r"))
-           .select("name", "r_from", F.col("_r")["kept"].alias("kept"), *[F.col("_r")[c].alias(c) for c in _RULE]))
-    end = F.lead("r_from").over(Window.partitionBy("name").orderBy("r_from"))
-    return one.withColumn("r_to", F.coalesce(end, F.lit(FOREVER))).where("kept").drop("kept")
+    return history.unionByName(removals(history, names, "name", at))
 
 
 def rules_at(history: DataFrame, as_of) -> DataFrame:
     """The rules that hold at a time."""
-    t = _as_of_micros(as_of)
-    return rule_versions(history).where((F.col("r_from") <= t) & (F.col("r_to") > t)).select("name", *_RULE)
+    return held_at(history, "name", list(_RULE), as_of)
 
 
 def version_side(history: DataFrame) -> DataFrame:
-    """Valid versions as the join needs them, with the times between which they hold."""
-    return _side(rule_versions(history), "r_from", "r_to")
+    """Valid versions as the join needs them, with the times between which they hold. Plain rules hold always."""
+    return _side(lifetimes(history, "name", list(_RULE)), "r_from", "r_to")

@@ -1,4 +1,8 @@
-"""Connections: which log group feeds which domain, with which filter."""
+"""Connections: which log group feeds which domain, with which filter.
+
+A history of connections keeps every mapping with the time from which it holds, so
+an event can be mapped as of its own time, however late it comes or is replayed.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglake.functions.text import filter_name as _filter_name
+from loglake.operators.versions import as_history, held_at, lifetimes, removals
 
 
 def invalid_connections(new: DataFrame, domains: DataFrame) -> DataFrame:
@@ -48,3 +53,36 @@ def unmatched_removals(conns: DataFrame, to_remove: DataFrame) -> DataFrame:
     e.g. the right group with the wrong domain."""
     return to_remove.select("log_group", "domain").join(
         conns.select("log_group", "domain"), ["log_group", "domain"], "left_anti")
+
+
+# ---- mapping history ---------------------------------------------------------------
+
+_CONNECTION = ["filter_pattern", "domain"]
+
+
+def connection_history(conns: DataFrame, at=None) -> DataFrame:
+    """Connections as versions that hold from ``at`` on; always, without it."""
+    return as_history(conns, ["log_group", *_CONNECTION], at)
+
+
+def changed_connections(history: DataFrame, new: DataFrame, at, domains: DataFrame | None = None) -> DataFrame:
+    """The history with groups connected, or mapped anew, from ``at`` on; with ``domains``, to known ones only."""
+    if domains is not None:
+        new = new.join(domains.select(F.col("name").alias("domain")), "domain", "left_semi")
+    return history.unionByName(connection_history(unique_connections(new.select("log_group", *_CONNECTION)), at))
+
+
+def removed_connections(history: DataFrame, to_remove: DataFrame, at) -> DataFrame:
+    """The history with groups disconnected from ``at`` on, where the domain they have then matches."""
+    gone = connections_at(history, at).join(to_remove.select("log_group", "domain"), ["log_group", "domain"], "left_semi")
+    return history.unionByName(removals(history, gone, "log_group", at))
+
+
+def connections_at(history: DataFrame, as_of) -> DataFrame:
+    """The connections that hold at a time."""
+    return held_at(history, "log_group", _CONNECTION, as_of)
+
+
+def mapping_lifetimes(history: DataFrame) -> DataFrame:
+    """log_group, domain, r_from, r_to of every mapping."""
+    return lifetimes(history, "log_group", ["domain"])

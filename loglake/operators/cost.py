@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import time as _time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from loglake import schema as S
 from loglake.functions.time import iso_text
 from loglake.operators.joins import local_table
 from loglake.operators.numbering import global_row_number
-from loglake.session import path_exists
+from loglake.session import path_exists, saved
+from loglake.sources.files import delete_files, list_files
 
 PREVIEW = S.SQL_PREVIEW_CHARS
 
@@ -71,28 +73,45 @@ def partition_scan_estimates(logs: DataFrame) -> DataFrame:
 
 # ---- driver-side session objects ------------------------------------------------
 
+#: A stored row: who appended it and when, in nanoseconds, never the same twice for one writer.
+_STORED = "writer string, ran long, sql string, scanned_bytes long, cost double, timestamp string"
+
+
 class QueryHistory:
-    """The queries that ran, as a table: one appended row each, numbered in run order.
+    """The queries that ran, as a table of appended rows that several users share.
 
-    One writer at a time; what earlier sessions appended is read back and counted on.
+    A row carries its writer's name and the time it was appended, so no writer has to know
+    of the others: rows are numbered when they are read, in the order they ran.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        last = self.frame().agg(F.max("n")).first()[0] if path_exists(spark, self.path) else None
-        self.last = last or 0
+        self.writer, self.last = uuid.uuid4().hex, 0
 
     def append(self, sql: str, scanned_bytes: int, when: str | None = None) -> None:
         now = _dt.datetime.now(_dt.timezone.utc)
         when = when or now.strftime("%Y-%m-%dT%H:%M:%S.") + f"{now.microsecond // 1000:03d}Z"
-        self.last += 1
-        row = (self.last, sql, int(scanned_bytes), scanned_bytes * S.USD_PER_BYTE, when)
-        local_table(self.spark, [row], S.HISTORY).write.mode("append").json(self.path)
+        self.last = max(self.last + 1, _time.time_ns())
+        row = (self.writer, self.last, sql, int(scanned_bytes), scanned_bytes * S.USD_PER_BYTE, when)
+        local_table(self.spark, [row], _STORED).write.mode("append").json(self.path)
+
+    def _rows(self, *paths: str) -> DataFrame:
+        """The rows, each once: a fold that died leaves some in two files."""
+        return self.spark.read.schema(_STORED).json(list(paths) or self.path).dropDuplicates(["writer", "ran"])
 
     def frame(self) -> DataFrame:
         if not path_exists(self.spark, self.path):
             return local_table(self.spark, [], S.HISTORY)
-        return self.spark.read.schema(S.HISTORY).json(self.path)
+        return global_row_number(self._rows(), [F.col("ran").asc(), F.col("writer").asc()]).select(*S.HISTORY.names)
+
+    def fold(self, min_files: int = 100) -> int:
+        """Write the rows of many small files as one and delete these; returns how many there were."""
+        files = saved(list_files(self.spark, self.path, "json"), "history-files")
+        paths = [r["path"] for r in files.select("path").collect()]
+        if len(paths) < min_files:
+            return 0
+        self._rows(*paths).coalesce(1).write.mode("append").json(self.path)
+        return delete_files(files)
 
 
 class ResultCache:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from loglake import schema as S
 from loglake.functions.codec import gunzip_json
 from loglake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS, iso_text
-from loglake.operators.connections import unique_connections
+from loglake.operators.connections import mapping_lifetimes, unique_connections
+from loglake.operators.versions import is_history
 
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT,
               "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
@@ -96,9 +97,19 @@ def explode_events(parsed: DataFrame) -> DataFrame:
 def map_domain(rows: DataFrame, connections: DataFrame) -> DataFrame:
     """Left lookup of ``log_group`` in the connections table; unmapped
     (and null) groups get ``unknown``. Of several domains for a group the smallest
-    counts. Spark broadcasts the table when its size is small."""
-    conn = connections.groupBy("log_group").agg(F.min("domain").alias("_domain"))
-    out = rows.join(conn, "log_group", "left")
+    counts. Spark broadcasts the table when its size is small.
+
+    A history of connections is joined as of each event's own time (``epoch_ms``):
+    the lifetimes of a group's mappings do not overlap, so an event meets one at most.
+    """
+    if is_history(connections):
+        held = mapping_lifetimes(connections).withColumnsRenamed({"domain": "_domain", "log_group": "_group"})
+        micros = F.col("epoch_ms") * 1000
+        on = (F.col("log_group") == F.col("_group")) & (micros >= F.col("r_from")) & (micros < F.col("r_to"))
+        out = rows.join(held, on, "left").drop("_group", "r_from", "r_to")
+    else:
+        conn = connections.groupBy("log_group").agg(F.min("domain").alias("_domain"))
+        out = rows.join(conn, "log_group", "left")
     return out.withColumn("domain", F.coalesce(F.col("_domain"), F.lit(S.UNKNOWN_DOMAIN))) \
               .drop("_domain")
 
@@ -129,6 +140,12 @@ def disposition_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("disposition").agg(F.sum(n).cast("long").alias("records"))
 
 
+def disposition_metrics() -> list:
+    """The same counts as metrics of a pass over parsed records, one column a disposition."""
+    n = F.when(F.col("disposition") == S.OK, F.size("env.logEvents")).otherwise(F.lit(1))
+    return [F.sum(F.when(F.col("disposition") == d, n)).cast("long").alias(d) for d in (S.OK, S.DROPPED, S.FAILED)]
+
+
 def to_json_line(rows: DataFrame) -> DataFrame:
     """The transformed record as one JSON line (non-ASCII kept as is)."""
     return rows.select(F.to_json(F.struct(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.text import keyword_match
 from loglake.functions.time import date_bound, iso_text, parse_as_of, ts_literal
+from loglake.session import saved
 
 def row_order() -> list[Column]:
     """Tie-break of every ordered limit: time, then the unique trace id."""
@@ -77,16 +78,29 @@ def errors_on_day(logs: DataFrame, domain: str, day, level: str = "ERROR") -> Da
 
 def top_messages(logs: DataFrame, domain: str, as_of, days: int, k: int = 5,
                  level: str = "ERROR") -> DataFrame:
-    """Top-k messages of one level in a domain over the trailing ``days``.
+    """Top-k messages of one level in a domain over the trailing ``days``; ties by message.
 
-    The lower time bound also becomes a partition bound, so old days are
-    not listed; the limit plans as TakeOrderedAndProject (no global sort).
+    The lower time bound also becomes a partition bound, so old days are not listed.
+    Hashes of messages are counted first, so that pass shuffles 16 bytes for each distinct message
+    and task and no text. Only messages whose hash counts as much as the k-th are then counted
+    as texts. Should two messages have shared a hash, the second pass goes down to the count it found.
     """
     lower = parse_as_of(as_of) - _dt.timedelta(days=days)
-    return (logs.where((F.col("domain") == domain) & (F.col("level") == level)
+    rows = (logs.where((F.col("domain") == domain) & (F.col("level") == level)
                        & date_bound(lower) & (F.col("timestamp") >= ts_literal(lower)))
-            .groupBy("message").agg(F.count(F.lit(1)).alias("cnt"))
-            .orderBy(F.col("cnt").desc(), F.col("message")).limit(k))
+            .select("message", F.xxhash64("message").alias("_hash")))
+    counts = saved(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")), "message-counts")
+    best = [r["_n"] for r in counts.orderBy(F.desc("_n")).limit(k).collect()]
+    least = min(best, default=0)
+    while True:
+        likely = counts.where(F.col("_n") >= least).select("_hash")
+        top = saved(rows.join(likely, "_hash", "left_semi").groupBy("message").agg(F.count(F.lit(1)).alias("cnt"))
+                    .orderBy(F.col("cnt").desc(), F.col("message")).limit(k), "top-messages")
+        found = top.agg(F.min("cnt"), F.count(F.lit(1))).first()
+        reached = found[0] if found[1] >= k else min(1, least)
+        if reached is None or reached >= least:
+            return top.orderBy(F.col("cnt").desc(), F.col("message"))
+        least = reached
 
 
 def domain_day(logs: DataFrame, domain: str, day) -> DataFrame:

@@ -6,7 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 # Settings every loglake job relies on. Time zone UTC: ISO text and date
 # partitions are always rendered in UTC.
@@ -75,6 +76,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed_metrics(observation: Observation) -> dict:
+    """What a finished action observed; nothing if its plan turned out to be empty."""
+    try:
+        return observation.get
+    except Py4JJavaError as e:
+        if "java.lang.AssertionError" not in str(e.java_exception):
+            raise
+        return {}
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The path and its filesystem as Spark resolves them: a path without a
     scheme is on the default filesystem, wherever that is."""

@@ -9,13 +9,17 @@ read: the bare ``x/yyyy/MM/dd/`` form, keys taken from the file path.
 
 from __future__ import annotations
 
+import datetime as _dt
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
-from loglake.session import scoped_conf
+from loglake.session import list_names, path_exists, qualified, scoped_conf
 
 VERSION_FILE = "_LOGLAKE_VERSION"
 
@@ -107,9 +111,46 @@ def save_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def months_between(first: str, last: str) -> list[tuple[str, str]]:
+    """(yyyy, MM) of every month from one ISO day to another."""
+    a, b = (_dt.date.fromisoformat(x) for x in (first, last))
+    return [(f"{m // 12:04d}", f"{m % 12 + 1:02d}") for m in range(a.year * 12 + a.month - 1, b.year * 12 + b.month)]
+
+
+def _escaped(value: str) -> str:
+    """A partition value as it stands in a directory name."""
+    return re.sub(r"""["#%'*/:=?\\\x00-\x1f\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def day_folders(spark: SparkSession, path: str, domains: list[str] | None, dates: tuple[str, str],
+                hive: bool = True) -> list[tuple[str, str, str, str, str]]:
+    """(domain, year, month, day, folder) of the days asked for that exist.
+
+    The folders follow from the predicate: domains times months. Only these months are
+    listed, however many days the lake has; without ``domains`` its first level too.
+    """
+    root = path.rstrip("/")
+    name = (lambda key, v: f"{key}={_escaped(v)}") if hive else (lambda key, v: v)
+    if domains is None:
+        found = [n for n in list_names(spark, root) if not n.startswith(("_", "."))]
+        domains = [unquote(n.partition("=")[2]) for n in found if n.startswith("domain=")] if hive else [n for n in found if n != S.ERRORS_PREFIX]
+    first, last = dates
+    months = [(d, y, m, f"{root}/{name('domain', d)}/{name('year', y)}/{name('month', m)}")
+              for d in sorted(set(domains)) for y, m in months_between(first, last)]
+    with ThreadPoolExecutor(16) as pool:
+        listed = list(pool.map(lambda x: list_names(spark, x[3]), months))
+    out = []
+    for (d, y, m, folder), names in zip(months, listed):
+        for n in names:
+            day = n.removeprefix("day=") if hive else n
+            if re.fullmatch("[0-9]{2}", day) and (not hive or n.startswith("day=")) and first <= f"{y}-{m}-{day}" <= last:
+                out.append((d, y, m, day, f"{folder}/{n}"))
+    return out
+
+
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", case_insensitive: bool = True,
               keep_corrupt: bool = False, keep_key: bool = False, keep_file: bool = False,
-              options: dict | None = None) -> DataFrame:
+              options: dict | None = None, domains: list[str] | None = None, dates: tuple[str, str] | None = None) -> DataFrame:
     """The lake as a DataFrame with the explicit table schema.
 
     Partition keys stay text (``03`` is not turned into 3). JSON keys match in
@@ -119,22 +160,31 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet", case_insensi
     ``keep_corrupt``; its ``timestamp`` text is cast with ``try_cast`` so a bad
     value is null, never an error. ``keep_key`` keeps ``ingest_key``, ``keep_file``
     adds ``file_name``.
+
+    With ``dates`` (first and last day, ISO), and ``domains`` if given, only these days'
+    folders are listed and read (:func:`day_folders`); otherwise Spark lists the lake.
     """
     reader = spark.read.options(**(options or {}))
+    paths: list[str] = [path]
+    if dates is not None:
+        paths = [x[-1] for x in day_folders(spark, path, domains, dates)]
+        reader = reader.option("basePath", path)
     columns = [*S.TABLE_COLUMNS, *([S.CORRUPT] if keep_corrupt and fmt == "json" else []), *([S.INGEST_KEY] if keep_key else []),
                *(["file_name"] if keep_file else [])]
     source = [F.col("_metadata.file_name").alias("file_name")] if keep_file else []
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} {'timestamp' if c == 'timestamp' else 'string'}" for c in columns))
     if fmt == "parquet":
-        return reader.schema(S.LOGS_PARQUET).parquet(path).select("*", *source).select(*columns)
+        return reader.schema(S.LOGS_PARQUET).parquet(*paths).select("*", *source).select(*columns)
     if fmt != "json":
         raise ValueError(f"unknown format {fmt!r}")
     if case_insensitive:
-        df = _any_case(reader.schema(", ".join(["value string", *(f"{c} string" for c in S.LAYOUT_COLUMNS)])).text(path).select("*", *source))
+        df = _any_case(reader.schema(", ".join(["value string", *(f"{c} string" for c in S.LAYOUT_COLUMNS)])).text(paths).select("*", *source))
     else:
         df = (reader.schema(S.LOGS_JSON)
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", S.CORRUPT)
-              .json(path).select("*", *source))
+              .json(paths).select("*", *source))
     return df.withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP)")).select(*columns)
 
 
@@ -162,29 +212,29 @@ def read_bare_layout(spark: SparkSession, path: str, fmt: str = "json", domains:
                      dates: tuple[str, str] | None = None) -> DataFrame:
     """Read ``{domain}/{yyyy}/{MM}/{dd}/file`` with the keys from the path.
 
-    Spark does not discover such keys, so files are listed recursively and
-    the keys are cut from ``_metadata.file_path``. A filter on the derived
-    keys is a filter on file metadata: Spark applies it to the file listing
-    and never opens the other files. ``domains`` and ``dates`` (first and last day,
-    ISO) are such filters; without ``domains`` all are read, but for the prefix
+    Spark does not discover such keys: they are cut from ``_metadata.file_path``. With
+    ``dates`` (first and last day, ISO) the folders of these days, and of ``domains`` if given, are
+    worked out, and only they are listed (:func:`day_folders`); without, files are listed
+    recursively, below ``domains`` only if given. Without ``domains`` all are read, but for the prefix
     that failed records go to.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    if fmt == "json":
-        data_schema = "timestamp string, level string, service string, message string, " \
-                      "trace_id string, log_group string, log_stream string"
-        df = reader.schema(data_schema).json(path)
+    rest = "level string, service string, message string, trace_id string, log_group string, log_stream string"
+    schema = f"timestamp {'string' if fmt == 'json' else 'timestamp'}, {rest}"
+    if dates is not None:
+        paths = [x[-1] for x in day_folders(spark, path, domains, dates, hive=False)]
+    elif domains is not None:
+        paths = [p for p in (f"{path.rstrip('/')}/{d}" for d in domains) if path_exists(spark, p)]
     else:
-        df = reader.schema(
-            "timestamp timestamp, level string, service string, message string, "
-            "trace_id string, log_group string, log_stream string").parquet(path)
+        paths = [path]
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} {'timestamp' if c == 'timestamp' else 'string'}" for c in S.TABLE_COLUMNS))
+    df = reader.schema(schema).json(paths) if fmt == "json" else reader.schema(schema).parquet(*paths)
     fp = F.col("_metadata.file_path")
     df = df.select(*[F.col(c) for c in S.DATA_COLUMNS],
                    *[F.regexp_extract(fp, _BARE, i + 1).alias(k)
                      for i, k in enumerate(S.PARTITION_COLUMNS)])
     df = df.where(F.col("domain").isin(list(domains)) if domains is not None else F.col("domain") != S.ERRORS_PREFIX)
-    if dates is not None:
-        df = df.where(F.concat_ws("-", "year", "month", "day").between(*dates))
     if fmt == "json":
         df = df.withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP)"))
     return df
@@ -198,11 +248,15 @@ def write_bare_layout(df: DataFrame, path: str) -> None:
     these files themselves: each to a name of its attempt, moved to
     its final name once complete, so a task that runs twice, or dies half-way, leaves
     one whole file. The filesystem is resolved by Arrow (local, HDFS, S3)."""
+    from loglake.sources.files import tasks_reach
+
     out = _table_frame(df).withColumn("timestamp", F.date_format("timestamp", S.ISO_FORMAT))
     out = out.hint("rebalance", *S.PARTITION_COLUMNS).select(
         F.concat_ws("/", *S.PARTITION_COLUMNS).alias("folder"),
         F.to_json(F.struct(*S.DATA_COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
-    root = path.rstrip("/")
+    root = qualified(df.sparkSession, path)
+    if not tasks_reach(root):
+        raise ValueError(f"tasks cannot write single files under {root}; nothing was written")
 
     def write_part(it):
         import pandas as pd
@@ -210,7 +264,7 @@ def write_bare_layout(df: DataFrame, path: str) -> None:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))  # file:/x
         streams: dict = {}
         # Each Arrow batch is written out at once: memory stays one batch,
         # with one open file per partition key this task holds.

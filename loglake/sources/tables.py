@@ -7,10 +7,15 @@ checked against a plain-name pattern and quoted; values are parameters.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loglake import schema as S
+from loglake.session import observed_metrics, path_exists
+from loglake.sources.lake import day_folders, read_logs, write_logs
+
 DOMAINS_PROPERTY = "loglake.domains"
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -39,7 +44,8 @@ def create_log_table(spark: SparkSession, db: str, table: str, path: str, fmt: s
     opts = " OPTIONS ('timestampFormat' = \"yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]\")" if fmt == "json" else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {_ident(db, table)} ({_COLUMNS}) USING {fmt}{opts} "
               f"PARTITIONED BY (domain, year, month, day, ingest_key) LOCATION '{_path(path)}'{props}")
-    sync_partitions(spark, db, table)
+    if path_exists(spark, path):
+        sync_partitions(spark, db, table)
 
 
 def _path(path: str) -> str:
@@ -55,8 +61,38 @@ def _check_domains(domains: list[str]) -> list[str]:
     return list(domains)
 
 
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def add_partitions(spark: SparkSession, db: str, table: str, folders: list[tuple[str, ...]], keys: list[str]) -> None:
+    """Register (domain, year, month, day, folder) under the given ingest keys, many in one statement."""
+    parts = [f"PARTITION ({', '.join(f'{c} = {_literal(v)}' for c, v in zip(S.LAYOUT_COLUMNS, (*f[:4], k)))})" for f in folders for k in keys]
+    for i in range(0, len(parts), 500):
+        spark.sql(f"ALTER TABLE {_ident(db, table)} ADD IF NOT EXISTS {' '.join(parts[i:i + 500])}")
+
+
+def write_to_table(spark: SparkSession, db: str, table: str, df: DataFrame, path: str, fmt: str = "parquet",
+                   ingest_key: str | None = None) -> str:
+    """Write rows into the table's lake and register just the partitions that this write touched.
+
+    The first and last day come from the write itself (observed metrics); the folders
+    between them are worked out, and those that hold the write's key are added. Returns the key.
+    """
+    observed = Observation()
+    day = F.concat_ws("-", "year", "month", "day")
+    key = write_logs(df.observe(observed, F.min(day).alias("first"), F.max(day).alias("last")), path, fmt, ingest_key=ingest_key)
+    days = observed_metrics(observed)
+    if days.get("first"):
+        folders = day_folders(spark, path, None, (days["first"], days["last"]))
+        with ThreadPoolExecutor(16) as pool:
+            there = list(pool.map(lambda f: path_exists(spark, f"{f[-1]}/{S.INGEST_KEY}={key}"), folders))
+        add_partitions(spark, db, table, [f for f, ok in zip(folders, there) if ok], [key])
+    return key
+
+
 def sync_partitions(spark: SparkSession, db: str, table: str) -> None:
-    """Make partition directories written since the last call visible."""
+    """Make partition directories that others wrote since the last call visible: lists the whole lake."""
     spark.sql(f"MSCK REPAIR TABLE {_ident(db, table)}")
 
 
@@ -90,8 +126,6 @@ def read_table(spark: SparkSession, db: str, table: str, registered_only: bool =
     """The table; with ``registered_only`` rows of unregistered domains (e.g.
     ``unknown``) are filtered out by a partition predicate. A JSON table is
     read at its location, where keys match in any letter case."""
-    from loglake.sources.lake import read_logs
-
     about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_ident(db, table)}").collect()}
     if about.get("Provider", "").lower() == "json":
         df = read_logs(spark, about["Location"], "json")

@@ -7,7 +7,7 @@ still counted; a batch that runs again replaces its own counts. A window is clos
 once the largest event time, less ``delay_minutes``, has passed its end.
 Nothing is held in memory between batches.
 
-Rules may be a history (``operators.alerts.rule_versions``): an event counts for the
+Rules may be a history (``operators.alerts.rule_history``): an event counts for the
 version that holds at its own time, whenever it arrives. Counts are kept
 without a threshold; a window is held against the one of the last version, with
 its period, that held before the window's end.
@@ -23,7 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loglake import schema as S
 from loglake.functions.time import iso_text
-from loglake.operators.alerts import FOREVER, match_rules, version_side
+from loglake.operators.alerts import match_rules, version_side
+from loglake.operators.versions import FOREVER
 from loglake.streaming.ingest import batch_key, stream_name
 
 PARTIAL = "name string, s long, span long, cnt long"

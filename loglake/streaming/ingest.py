@@ -7,8 +7,12 @@ streams, fresh checkpoints and batch writers on one path never replace each
 other, while a batch that runs again replaces its own files.
 
 The connections table is read in every batch, so a group connected later is
-mapped from its next batch on. The mapping a batch used is kept beside the
-checkpoint, and a replay uses it again: its rows land where they were.
+mapped from its next batch on; a history of connections maps each event as of its own
+time instead. What a batch used is kept beside the checkpoint, and a replay uses
+it again: its rows land where they were.
+
+The audit counts records while the batch is written (observed metrics): nothing is
+aggregated a second time.
 """
 
 from __future__ import annotations
@@ -16,19 +20,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake import schema as S
-from loglake.operators.ingest import disposition_counts, explode_events, map_domain, parse_records, to_log_rows
-from loglake.session import path_exists
+from loglake.operators.ingest import disposition_metrics, explode_events, map_domain, parse_records, to_log_rows
+from loglake.operators.joins import local_table
+from loglake.operators.versions import REMOVED, VALID_FROM, is_history
+from loglake.session import observed_metrics, path_exists
 from loglake.sources.envelopes import read_envelopes
 from loglake.sources.lake import write_logs
 
-BATCH_COLUMN = "ingest_batch"
-
-
 def stream_name(checkpoint: str) -> str:
     return "stream" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
@@ -38,11 +41,13 @@ def batch_key(stream: str, batch_id: int) -> str:
 
 
 def mapping_of_batch(connections: DataFrame, state_path: str, key: str) -> DataFrame:
-    """The (log_group, domain) pairs batch ``key`` used, kept at its first run."""
+    """The mapping, or the history of it, that batch ``key`` used, kept at its first run."""
     path = f"{state_path.rstrip('/')}/mappings/{key}"
+    mapping = connections.select("log_group", "domain", *([VALID_FROM, REMOVED] if is_history(connections) else []))
     if not path_exists(connections.sparkSession, f"{path}/_SUCCESS"):
-        connections.select("log_group", "domain").write.mode("overwrite").parquet(path)
-    return connections.sparkSession.read.schema("log_group string, domain string").parquet(path)
+        mapping.write.mode("overwrite").parquet(path)
+    # A replay reads what the first run kept, whatever the table has become.
+    return connections.sparkSession.read.parquet(path)
 
 
 def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], DataFrame],
@@ -56,7 +61,11 @@ def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], Da
         mapping = mapping_of_batch(mapping, state_path, key)
     # The decoded text is not needed once parsed: keep only what the
     # outputs read, so the persisted batch holds no second copy of it.
-    parsed = parse_records(records).drop("payload").persist()
+    observed = Observation()
+    parsed = parse_records(records).drop("payload")
+    if audit_path:
+        parsed = parsed.observe(observed, *disposition_metrics())
+    parsed = parsed.persist()
     try:
         rows = to_log_rows(map_domain(explode_events(parsed), mapping))
         write_logs(rows, lake_path, fmt, ingest_key=key)
@@ -66,13 +75,18 @@ def ingest_batch(records: DataFrame, batch_id: int, connections: Callable[[], Da
              .write.partitionBy(S.INGEST_KEY).mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").json(quarantine_path))
         if audit_path:
-            (disposition_counts(parsed).withColumn(S.INGEST_KEY, F.lit(key))
+            (audit_rows(records.sparkSession, observed_metrics(observed)).withColumn(S.INGEST_KEY, F.lit(key))
              .write.partitionBy(S.INGEST_KEY).mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").json(audit_path))
     finally:
         parsed.unpersist()
 
 
+def audit_rows(spark: SparkSession, counts: dict) -> DataFrame:
+    """(disposition, records) from a batch's observed metrics; none that did not occur."""
+    return local_table(spark, [(d, counts[d]) for d in (S.OK, S.DROPPED, S.FAILED) if counts.get(d)], "disposition string, records long")
+
+
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"record_id string, data string, reason string, {S.INGEST_KEY} string").json(path)
 

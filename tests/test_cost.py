@@ -107,3 +107,30 @@ def test_cache_misses_after_a_write(spark, sf, tmp_path):
     extra = spark.read.parquet(some).count()
     assert ll.query(sql).first()["n"] == second + extra and runs() == 3
     assert ll.query("SELECT count(*) AS m FROM logs").first()["m"] == second + extra
+
+
+def test_several_users_append_to_one_history(spark, tmp_path):
+    path = str(tmp_path / "history")
+    users = [CO.QueryHistory(spark, path) for _ in range(3)]
+    order = [0, 1, 0, 2, 2, 1, 0]
+    for i, u in enumerate(order):
+        users[u].append(f"q{i}", i, "2024-01-01T00:00:00.000Z")
+    rows = sorted((r["n"], r["sql"]) for r in users[0].frame().collect())
+    assert rows == [(i + 1, f"q{i}") for i in range(7)]
+    assert users[1].fold(min_files=8) == 0 and users[1].fold(min_files=2) == 7
+    assert sorted((r["n"], r["sql"]) for r in users[2].frame().collect()) == rows
+    users[2].append("later", 1)
+    assert max((r["n"], r["sql"]) for r in users[0].frame().collect()) == (8, "later")
+
+
+def test_a_fold_that_died_counts_no_row_twice(spark, tmp_path, monkeypatch):
+    import pytest
+
+    h = CO.QueryHistory(spark, str(tmp_path / "history"))
+    for i in range(4):
+        h.append(f"q{i}", i)
+    monkeypatch.setattr(CO, "delete_files", lambda files: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        h.fold(2)
+    monkeypatch.undo()
+    assert h.frame().count() == 4 and h.fold(2) == 5 and h.frame().count() == 4

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglake import fixtures as FX
@@ -248,3 +249,73 @@ def test_writes_of_different_keys_add_up_and_equal_keys_replace(spark, sf, tmp_p
     L.write_logs(lg, root)
     assert L.read_logs(spark, root).count() == 3 * n
     assert FL.snapshot(spark, root) != FL.snapshot(spark, FX.lake_path(spark, sf))
+
+
+def test_top_messages_count_hashes_first(spark, monkeypatch):
+    """Against a plain count, with ties, few messages and messages that share a hash; the first shuffle has no text."""
+    import random
+    from collections import Counter
+
+    from loglake.operators import queries as Q
+    from loglake.plans.inspect import plan_text
+
+    r = random.Random(4)
+    rows = [("2024-01-30 10:00:00", r.choice(["user", "order"]), r.choice(["ERROR", "WARN"]), f"message {int(r.random() ** 2 * 40)}") for _ in range(800)]
+    rows += [("2024-01-30 10:00:00", "user", "ERROR", None)] * 30
+    logs = spark.createDataFrame(rows, "ts string, domain string, level string, message string").select(
+        F.to_timestamp("ts").alias("timestamp"), "domain", "level", "message", F.lit("2024").alias("year"), F.lit("01").alias("month"), F.lit("30").alias("day"))
+    counts = Counter(m for _, d, lv, m in rows if (d, lv) == ("user", "ERROR"))
+    want = lambda k: sorted(((m, n) for m, n in counts.items()), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:k]
+    got = lambda k: [(x["message"], x["cnt"]) for x in Q.top_messages(logs, "user", "2024-01-31", 3, k).collect()]
+    for k in (1, 5, 17, 500):
+        assert got(k) == want(k)
+    first = []
+    keep = Q.saved
+    monkeypatch.setattr(Q, "saved", lambda df, name: first.append((name, plan_text(df, "simple"))) or keep(df, name))
+    got(5)
+    exchanges = [line for name, text in first if name == "message-counts" for line in text.split("\n") if "HashAggregate" in line or "Exchange" in line]
+    assert exchanges and not any("message" in line.split("keys=")[-1].split("functions")[0] for line in exchanges)
+    # Everything shares one of three hashes.
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.pmod(F.crc32(F.coalesce(F.col(c), F.lit(""))), F.lit(3)))
+    for k in (1, 5, 17):
+        assert got(k) == want(k)
+    assert Q.top_messages(logs, "nobody", "2024-01-31", 3).count() == 0
+
+
+@pytest.mark.parametrize("hive", [True, False])
+def test_only_the_days_asked_for_are_listed(spark, tmp_path, monkeypatch, hive):
+    """10,000 days of two domains: a predicate of six days lists its months and nothing else."""
+    import datetime as dt
+
+    name = (lambda k, v: f"{k}={v}") if hive else (lambda k, v: v)
+    for domain in ("user", "order"):
+        for i in range(10_000):
+            d = dt.date(2000, 1, 1) + dt.timedelta(days=i)
+            os.makedirs(os.path.join(tmp_path, name("domain", domain), name("year", f"{d.year}"), name("month", f"{d.month:02d}"), name("day", f"{d.day:02d}")))
+    for day in ("2010-02-27", "2010-03-02", "2010-03-05"):
+        y, m, d = day.split("-")
+        folder = os.path.join(tmp_path, name("domain", "user"), name("year", y), name("month", m), name("day", d), *(["ingest_key=k"] if hive else []))
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/part-0.json", "w") as f:
+            f.write(f'{{"message": "{day}", "timestamp": "{day}T00:00:00.000Z"}}\n')
+    listed = []
+    keep = L.list_names
+    monkeypatch.setattr(L, "list_names", lambda s, p: listed.append(p) or keep(s, p))
+    read = (lambda **kw: L.read_logs(spark, str(tmp_path), "json", **kw)) if hive else (lambda **kw: L.read_bare_layout(spark, str(tmp_path), **kw))
+    df = read(domains=["user", "none"], dates=("2010-02-26", "2010-03-03"))
+    assert sorted((r["message"], r["domain"], r["month"]) for r in df.collect()) == [("2010-02-27", "user", "02"), ("2010-03-02", "user", "03")]
+    assert len(listed) == 4 and len(df.inputFiles()) == 2
+    listed.clear()
+    assert read(dates=("2010-03-05", "2010-03-05")).count() == 1 and len(listed) == 3  # the root, and a month of each domain
+    empty = read(domains=["user"], dates=("1999-01-01", "1999-01-31"))
+    assert empty.count() == 0 and empty.columns == df.columns
+    assert L.months_between("2023-11-30", "2024-02-01") == [("2023", "11"), ("2023", "12"), ("2024", "01"), ("2024", "02")]
+
+
+def test_days_of_escaped_domains(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = spark.createDataFrame([("a:b", "2024", "01", "02", "m"), ("c", "2024", "01", "02", "n")], "domain string, year string, month string, day string, message string")
+    L.write_logs(rows.withColumn("timestamp", F.lit("2024-01-02").cast("timestamp")), root)
+    for domains in (["a:b"], None):
+        got = {r["domain"] for r in L.read_logs(spark, root, domains=domains, dates=("2024-01-01", "2024-01-31")).collect()}
+        assert got == set(domains or ["a:b", "c"])

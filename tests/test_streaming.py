@@ -226,3 +226,20 @@ def test_versions_by_brute_force(spark, tmp_path):
         a, b = (int(x[c][11:13]) * 60 + int(x[c][14:16]) for c in ("window_start", "window_end"))
         got.add((a, float(b - a), x["cnt"], x["threshold"], x["exceeded"]))
     assert got == want and len(want) > 4
+
+
+def test_the_audit_is_observed_and_not_aggregated_again(spark, tmp_path, monkeypatch):
+    """No job groups the parsed records: the counts come from the pass that writes the batch."""
+    from helpers import b64gz, envelope
+    from loglake.operators import ingest as I
+
+    rows = [("a", b64gz(envelope(group="/ecs/new", events=[{"id": str(i), "timestamp": 1704412800000 + i, "message": "m"} for i in range(5)]))),
+            ("b", b64gz(envelope(mtype="CONTROL_MESSAGE"))), ("c", "no payload"), ("d", b64gz("{")), ("e", b64gz(envelope(events=[])))]
+    records = spark.createDataFrame(rows, S.DELIVERY_RECORD).repartition(3)
+    monkeypatch.setattr(I, "disposition_counts", lambda *_: (_ for _ in ()).throw(AssertionError("aggregated again")))
+    audit = str(tmp_path / "audit")
+    for _ in range(2):  # a replay replaces its counts
+        SI.ingest_batch(records, 3, lambda: FX.connections(spark), str(tmp_path / "lake"), str(tmp_path / "q"), audit_path=audit)
+    assert {r["disposition"]: r["records"] for r in SI.read_audit(spark, audit).collect()} == {"Ok": 5, "Dropped": 2, "ProcessingFailed": 2}
+    SI.ingest_batch(records.limit(0), 4, lambda: FX.connections(spark), str(tmp_path / "lake"), None, audit_path=audit)
+    assert SI.read_audit(spark, audit).count() == 3

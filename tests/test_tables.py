@@ -45,3 +45,17 @@ def test_new_partitions_need_sync_in_catalog(spark, sf, tmp_path):
     from loglake.sources.lake import read_logs
     assert read_logs(spark, root).count() == T.read_table(spark, "lakedb2", "logs").count()
     T.drop_log_table(spark, "lakedb2", "logs", drop_database=True)
+
+
+def test_writes_register_what_they_touch(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    root, lg = str(tmp_path / "lake3"), FX.logs(spark, sf)
+    T.create_log_table(spark, "lakedb3", "logs", root, "parquet")
+    monkeypatch.setattr(T, "sync_partitions", lambda *a: (_ for _ in ()).throw(AssertionError("repair")))
+    odd = lg.limit(3).withColumn("domain", F.lit("it's:odd"))
+    for part in (lg.where("day = '03'"), lg.where("day IN ('02', '28')"), odd, lg.limit(0)):
+        T.write_to_table(spark, "lakedb3", "logs", part, root)
+    assert T.read_table(spark, "lakedb3", "logs").count() == lg.where("day IN ('02', '03', '28')").count() + 3
+    assert T.read_table(spark, "lakedb3", "logs").where("domain = \"it's:odd\"").count() == 3
+    T.drop_log_table(spark, "lakedb3", "logs", drop_database=True)
