@@ -1,6 +1,7 @@
 """The driver contract, checked against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 
 import __spark_entry__ as E
 
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _norm(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    return sorted("|".join("NULL" if v is None or (isinstance(v, float) and v != v)
+    return sorted("|".join("NULL" if v is None or v is pd.NA or (isinstance(v, float) and v != v)
                            else (f"{v:.6g}" if isinstance(v, float) else str(v)) for v in row)
                   for row in pdf.itertuples(index=False))
 
