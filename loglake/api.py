@@ -19,7 +19,7 @@ from loglake.operators import cost as CO
 from loglake.operators.sql import run_sql
 from loglake.plans.inspect import cached_bytes, run_measured
 from loglake.sources.files import snapshot
-from loglake.sources.lake import read_logs, registered_only
+from loglake.sources.lake import day_folders, read_logs, registered_only
 from loglake.sources.tables import get_domains
 from loglake.session import ensure_utc
 
@@ -37,21 +37,28 @@ class LogLake:
         self.history = CO.QueryHistory(self.spark, history_path or path.rstrip("/") + "-history")
         self.cache = CO.ResultCache(cache_ttl, max_bytes=cache_bytes)
 
-    def logs(self, options: dict | None = None) -> DataFrame:
-        df = read_logs(self.spark, self.path, self.fmt, options=options)
+    def logs(self, options: dict | None = None, domains: list[str] | None = None,
+             dates: tuple[str, str] | None = None) -> DataFrame:
+        df = read_logs(self.spark, self.path, self.fmt, options=options, domains=domains, dates=dates)
         return registered_only(df, self.domains) if self.domains is not None else df
 
-    def query(self, sql: str, args: dict | None = None) -> DataFrame:
+    def query(self, sql: str, args: dict | None = None, domains: list[str] | None = None,
+              dates: tuple[str, str] | None = None) -> DataFrame:
         """Run SQL over ``logs``; record the bytes its scans selected and the
         cost; serve repeats from the cache for ``cache_ttl`` seconds (a hit is
         free and not recorded). A hit needs the same files in the lake, whoever wrote
-        them. Results above the cache's bytes are not kept."""
-        key = (sql, tuple(sorted((args or {}).items())), snapshot(self.spark, self.path, self.fmt))
+        them. Results above the cache's bytes are not kept.
+
+        With ``dates`` (first and last day, ISO), and ``domains`` if given, ``logs`` is these days only:
+        nothing else is listed, and a write elsewhere leaves a hit a hit."""
+        reached = None if dates is None else [x[-1] for x in day_folders(self.spark, self.path, domains, dates)]
+        key = (sql, tuple(sorted((args or {}).items())), dates and (tuple(domains or ()), dates),
+               snapshot(self.spark, self.path, self.fmt, reached))
         hit = self.cache.get(key)
         if hit is not None:
             return hit
         # A read of its own: Spark must not answer it from another result it holds.
-        df = run_sql(self.spark, self.logs({"loglake.read": uuid.uuid4().hex}), sql, args).persist()
+        df = run_sql(self.spark, self.logs({"loglake.read": uuid.uuid4().hex}, domains, dates), sql, args).persist()
         self.history.append(sql, run_measured(df)["scanned_bytes"])
         return self.cache.put(key, df, cached_bytes(df))
 

@@ -689,6 +689,34 @@ def _query_history(spark, sf_dir):
     return lake.history.frame().select("n", "sql", (F.col("scanned_bytes") > 0).alias("charged"))
 
 
+_DAYS = ("2024-01-10", "2024-01-20")
+
+
+@register("query_days_cache", with_logs(
+    f"""SELECT step, cnt, charged FROM (VALUES ('1 first', 1, true), ('2 other domain written', 1, false), ('3 other day written', 1, false),
+                                               ('4 this domain and day written', 2, true)) AS s(step, parts, charged),
+         LATERAL (SELECT count(*) AS cnt FROM logs WHERE domain = 'user' AND event_id % 2 < parts
+                  AND year || '-' || month || '-' || day BETWEEN '{_DAYS[0]}' AND '{_DAYS[1]}')"""))
+def _query_days_cache(spark, sf_dir):
+    """One query of a domain's days, again after writes elsewhere (a hit, free) and there (run anew)."""
+    from loglake.api import LogLake
+
+    path, logs = FX.result_path(spark, "days"), FX.logs(spark, sf_dir)
+    reached = (F.col("domain") == "user") & F.concat_ws("-", "year", "month", "day").between(*_DAYS)
+    first = F.col("event_id") % 2 == 0
+    lake = LogLake(spark, path, history_path=FX.result_path(spark, "days-history"))
+    rows, charged = None, 0
+    for step, part in (("1 first", logs.where(first & reached)), ("2 other domain written", logs.where(first & (F.col("domain") == "order"))),
+                       ("3 other day written", logs.where(first & (F.col("domain") == "user") & ~reached)),
+                       ("4 this domain and day written", logs.where(~first & reached))):
+        L.write_logs(part, path)
+        result = lake.query("SELECT count(*) AS cnt FROM logs", domains=["user"], dates=_DAYS)
+        before, charged = charged, lake.history.frame().count()
+        row = spark.createDataFrame([(step, result.first()["cnt"], charged > before)], "step string, cnt long, charged boolean")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 TIER_SQL = f"""SELECT domain, year, month, day, age_days,
          CASE WHEN age_days >= {FX.RETENTION_DAYS} THEN 'expired'
               WHEN age_days >= {FX.ARCHIVE_DAYS} THEN 'archive' ELSE 'hot' END AS tier

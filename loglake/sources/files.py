@@ -18,16 +18,18 @@ def _key(column: str) -> Column:
     return F.when((raw == "") | (raw == "__HIVE_DEFAULT_PARTITION__"), F.lit(None)).otherwise(text).alias(column)
 
 
-def list_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """path, bytes and partition values of every data file of the lake.
+def list_files(spark: SparkSession, path: str, fmt: str = "parquet", folders: list[str] | None = None) -> DataFrame:
+    """path, bytes and partition values of every data file of the lake, or of some of its folders.
 
     The source lists files (in parallel when there are many); their content
     is not selected, so nothing is opened.
     """
-    if not path_exists(spark, path):
+    if folders is None:
+        folders = [path] if path_exists(spark, path) else []
+    if not folders:
         return spark.createDataFrame([], FILE_SCHEMA)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", f"*.{fmt}").load(path))
+             .option("pathGlobFilter", f"*.{fmt}").load(folders))
     return files.select("path", F.col("length").alias("bytes"), *[_key(c) for c in S.LAYOUT_COLUMNS])
 
 
@@ -37,9 +39,9 @@ def partition_inventory(spark: SparkSession, path: str, fmt: str = "parquet") ->
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> str:
-    """A text that changes with the lake's files, whoever wrote them."""
-    row = list_files(spark, path, fmt).agg(
+def snapshot(spark: SparkSession, path: str, fmt: str = "parquet", folders: list[str] | None = None) -> str:
+    """A text that changes with the lake's files, or those of some folders, whoever wrote them."""
+    row = list_files(spark, path, fmt, folders).agg(
         F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0)),
         F.coalesce(F.bit_xor(F.xxhash64("path", "bytes")), F.lit(0))).first()
     return "-".join(map(str, row))
