@@ -6,12 +6,16 @@ extra columns of an input, clashing names included, never reach it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,36 @@ def save(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function for mapInArrow, which gives free memory back when its task ends.
+
+    Python workers are used again by later stages; what their allocators keep would count there.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # of the GNU C library only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where a column of df has them (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (wraps around by design)."""
     x = x.astype(np.uint64, copy=True)
@@ -51,6 +85,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(start, rows)
 
 
+def slices_of_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of about ``size`` bytes of text in a column; a longer text is a part by itself."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(lengths) - 1) // size
+    starts = np.flatnonzero(np.diff(part, prepend=-2)) if len(part) else np.empty(0, np.int64)
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
 #: ASCII white space, which parts words.
 SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 BASE = 0x9E3779B97F4A7C15 | 1

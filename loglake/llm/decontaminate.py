@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import save, table
+from loglake.llm.common import save, table, tidy
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
@@ -201,7 +201,7 @@ def benchmark_pieces(items: DataFrame, window: int) -> DataFrame:
                 ["item", "words", "n", "whole"])
 
     return (items.select(F.col("item_id").cast("string").alias("item"), "text")
-            .mapInArrow(run, "item string, words binary, n long, whole boolean").distinct())
+            .mapInArrow(tidy(run), "item string, words binary, n long, whole boolean").distinct())
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
@@ -240,7 +240,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                      pa.array(items, pa.list_(pa.string())), *b.columns[5:]],
                     ["doc_id", "text", "n_words", "spans", "items", *carry])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
         if k + 1 < blocks:
             out = save(out, f"contamination-{k}")
     return out
@@ -271,7 +271,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                      for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3)], ["doc_id", "text", "in_row"])
 
-    cut = judged.select("doc_id", "text", "spans", "in_row").mapInArrow(run, judged.select("doc_id", "text", "in_row").schema)
+    cut = judged.select("doc_id", "text", "spans", "in_row").mapInArrow(tidy(run), judged.select("doc_id", "text", "in_row").schema)
     values = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
     return cut.select([values[c].cast(docs.schema[c].dataType).alias(c) if c in values else F.col("in_row")[c].alias(c) for c in names])
 

@@ -51,11 +51,13 @@ from loglake.llm.common import (
     filter_bits,
     filter_place,
     flag_rows,
+    free_names,
     in_filter,
     save,
     shingle_hashes,
     slices,
     table,
+    tidy,
 )
 from loglake.llm.components import across, connected_components, merge_components
 
@@ -244,7 +246,7 @@ def hot_groups(docs: DataFrame) -> np.ndarray:
         return pdf.iloc[:1].assign(counts=[total.tobytes()], part=[int(pdf["part"].iloc[0]) // FAN])
 
     schema = "slice int, part int, counts binary"
-    sums = docs.select("text").mapInArrow(run, schema)
+    sums = docs.select("text").mapInArrow(tidy(run), schema)
     for level in range(3):
         keys = ["slice"] if level == 2 else ["slice", F.floor(F.col("part") / FAN)]
         sums = sums.groupBy(*keys).applyInPandas(add, schema)
@@ -281,7 +283,7 @@ def points(docs: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(kind, pa.int64()), pa.array(cells, pa.list_(pa.int64())),
                  pa.array(counts, pa.binary())], ["doc_id", "row", "n", "class", "cells", "counts"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, n long, class long, cells array<long>, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(tidy(run), "doc_id long, row long, n long, class long, cells array<long>, counts binary")
 
 
 def may_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -301,7 +303,7 @@ def may_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 keep.append(can_link(n_a, n_b, min(shared, n_a, n_b)))
             yield b.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long, shared long")
+    return pairs.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(tidy(run), "a long, b long, shared long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
@@ -320,7 +322,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
                                              ["class", "hashes"])
 
     # What the filter lets through without need finds no pair; both joins read one exchange.
-    sets = docs.select(filter_place(["doc_id"]).alias("at"), "text").mapInArrow(compute, "class long, hashes binary").repartition("class")
+    sets = docs.select(filter_place(["doc_id"]).alias("at"), "text").mapInArrow(tidy(compute), "class long, hashes binary").repartition("class")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -334,7 +336,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
     whole = pairs.select("a", "b")
     for side in "ba":
         whole = whole.join(sets.select(F.col("class").alias(side), F.col("hashes").alias(f"set_{side}")), side)
-    return whole.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+    return whole.select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def shared_cells(every: DataFrame) -> DataFrame:
@@ -356,7 +358,7 @@ def shared_cells(every: DataFrame) -> DataFrame:
             keep = in_filter(bits.value, flat % FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owners[keep])], ["cell", "class"])
 
-    shared = save(dealt.mapInArrow(run, "cell long, class long").join(again, "cell", "left_semi").distinct(), "join-shared")
+    shared = save(dealt.mapInArrow(tidy(run), "cell long, class long").join(again, "cell", "left_semi").distinct(), "join-shared")
     # Written first, here and below: a join of two exchanges, whose hot keys Spark can split.
     hubs = save(shared.groupBy("cell").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1"), "join-hubs")
     return save(shared.join(hubs, "cell"), "join-cells")
@@ -428,7 +430,7 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int
         yield batch()
 
     dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "class")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -471,12 +473,14 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     grouped = save(link_components(docs).where("component IS NOT NULL").select("component", "doc_id", "row"), "join-grouped")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("x")
     chosen = grouped.groupBy("component").agg(first).select("x.doc_id", "x.row")
-    keyed = docs.withColumn("_row", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
-    marked = flag_rows(keyed, grouped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), ["_id", "_row"], "_grouped")
-    near = marked.where("_grouped")
-    lost = grouped.alias("g").join(chosen.alias("c"), F.expr("g.doc_id <=> c.doc_id AND g.row = c.row"), "left_anti").select("doc_id", "row").distinct()
-    kept = near.alias("n").join(lost.alias("l"), F.expr("n._id <=> l.doc_id AND n._row = l.row"), "left_anti").dropDuplicates(["_id", "_row"])
-    return marked.where("NOT _grouped").unionByName(kept).drop("_id", "_row", "_grouped")
+    i, row, mark = free_names(docs, "_id", "_row", "_grouped")
+    keyed = docs.withColumn(row, F.xxhash64("text")).withColumn(i, F.col("doc_id").cast("long"))
+    marked = flag_rows(keyed, grouped.select(F.col("doc_id").alias(i), F.col("row").alias(row)), [i, row], mark)
+    lost = (grouped.alias("g").join(chosen.alias("c"), F.expr("g.doc_id <=> c.doc_id AND g.row = c.row"), "left_anti")
+            .select(F.col("doc_id").alias(i), F.col("row").alias(row)).distinct())
+    kept = (marked.where(F.col(mark)).alias("n").join(lost.alias("l"), F.col(f"n.{i}").eqNullSafe(F.col(f"l.{i}")) & (F.col(f"n.{row}") == F.col(f"l.{row}")), "left_anti")
+            .dropDuplicates([i, row]))
+    return marked.where(~F.col(mark)).unionByName(kept).drop(i, row, mark)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

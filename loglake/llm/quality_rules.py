@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglake.llm.common import table
+from loglake.llm.common import table, tidy
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals"]
@@ -106,7 +106,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *MEASURES])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)]))
+        tidy(run), ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)]))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, entry], [*b.schema.names, ENTRY])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ENTRY, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
-    entries = docs.mapInArrow(run, schema)
+    entries = docs.mapInArrow(tidy(run), schema)
     failures = F.expr(failure_bits(f"{ENTRY}."))
     return entries.where(~rejected_by(failures, tuple(dict.fromkeys((*BASE, *POLICIES[policy]))))).drop(ENTRY)
 

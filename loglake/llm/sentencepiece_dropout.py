@@ -7,8 +7,9 @@ word) falls under the dropout rate (in steps of 1/256), so a text has many
 segmentations, each reproducible from its seed, and every one decodes to the very same text.
 
 No piece holds white space behind a visible character, so merges never cross
-words: each distinct (variant, word) is segmented once and remembered in a
-bounded memo. A document takes one of ``variants`` variants by a keyed hash of
+words: a word of a variant has one segmentation, and those of the last texts are
+remembered in a memo of bounded bytes. The words of some texts that are new are segmented
+together, step by step. A document takes one of ``variants`` variants by a keyed hash of
 its id, which keeps the memo effective. No shuffle.
 
 Defined cases: null text has null ids, an empty text none; characters outside
@@ -23,20 +24,28 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm.common import table
+from loglake.llm.common import slices_of_bytes, table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SEED = 20_240
 DROPOUT = 0.1
 VARIANTS = 3
-MEMO = 600_000
+#: Bytes that remembered words may take, about, in each of two generations, and those of an entry besides its content.
+MEMO = 12 << 20
+ENTRY = 200
+#: Bytes of text, and rows of words, that are taken at a time.
+TEXT = 1 << 20
+ROWS = 4_096
 MARK = "▁"
 NONE = 1 << 29
 SHIFT = 15  # keys of pairs stay small integers for up to 2**15 pieces
+OUTSIDE = -(1 << 30)  # no symbol: outside of a word
 SHORT = 48  # characters up to which a scanned list beats a heap
 
 
@@ -64,8 +73,13 @@ def load_model(path: str) -> dict:
     rank_of = {p: r for r, p in enumerate(order)}
     merges = {ids[p[:k]] << SHIFT | ids[p[k:]]: rank_of[p]
               for p in ids for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
-    return {"chars": {p: i for p, i in ids.items() if len(p) == 1}, "merges": merges, "merged": [ids[p] for p in order],
-            "bytes": byte_ids, "texts": texts}
+    chars = {p: i for p, i in ids.items() if len(p) == 1}
+    symbol_of = np.full(max(map(ord, chars)) + 2, -1, np.int32)
+    symbol_of[list(map(ord, chars))] = list(chars.values())
+    keys = np.array(sorted(merges), np.int32)
+    return {"chars": chars, "merges": merges, "merged": [ids[p] for p in order], "bytes": byte_ids, "texts": texts,
+            "symbol_of": symbol_of, "keys": keys, "ranks": np.array([merges[k] for k in keys.tolist()], np.int32),
+            "merged_ids": np.array([ids[p] for p in order], np.int32)}
 
 
 def stream(digest: bytes) -> Iterator[int]:
@@ -131,25 +145,116 @@ def segment(word: str, model: dict, digest: bytes, rate: float) -> tuple[int, ..
     return tuple(x for s in symbols for x in ((s,) if s >= 0 else map(model["bytes"].__getitem__, chr(-1 - s).encode())))
 
 
-class Segmentations(dict):
-    """word -> ids for one variant. Holds two generations of at most ``memo``
-    words; words of the older one that are used again move to the newer."""
+def segment_many(words: list[str], model: dict, digests: list[bytes], rate: float) -> list[tuple[int, ...]]:
+    """:func:`segment` of many words, whose agendas are processed in step.
+
+    A row is a word: its symbols and the agenda, the ranks of neighbours. In each step every
+    row takes its best, leftmost candidate, which is skipped or merged. Words too long for that, or
+    that use up the first bytes of their stream, go one by one.
+    """
+    out: list = [None] * len(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    short = order[(lengths[order] > 0) & (lengths[order] <= SHORT)]
+    for start in range(0, len(short), ROWS):
+        rows = short[start:start + ROWS].tolist()
+        for i, ids in zip(rows, _segment_rows([words[i] for i in rows], model, [digests[i] for i in rows], round(rate * 256))):
+            out[i] = ids
+    for i, ids in enumerate(out):
+        if ids is None:
+            out[i] = segment(words[i], model, digests[i], rate)
+    return out
+
+
+def _segment_rows(words: list[str], model: dict, digests: list[bytes], bar: int) -> list[tuple[int, ...] | None]:
+    """Columns never move: a merged symbol stays in its first column, and the neighbours of a column are noted."""
+    symbol_of, keys, ranks, merged = model["symbol_of"], model["keys"], model["ranks"], model["merged_ids"]
+    n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+    width = int(lengths.max()) + 2  # a column that is never a symbol on either side
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
+    known = symbol_of[np.minimum(points, len(symbol_of) - 1)]
+    symbols = np.full((n, width), OUTSIDE, np.int32)
+    inside = (np.arange(width) > 0) & (np.arange(width) <= lengths[:, None])
+    symbols[inside] = np.where((points < len(symbol_of)) & (known >= 0), known, -1 - points)
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a | b) >= 0, a << SHIFT | b, -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], np.int32(NONE))
+
+    agenda = np.full((n, width), NONE, np.int32)
+    agenda[:, 1:-1] = rank(symbols[:, 1:-1], symbols[:, 2:])
+    draws = np.frombuffer(b"".join(digests), np.uint8).reshape(n, -1)
+    # Flat places of all rows; only those still at work are looked at.
+    flat, ahead, back = symbols.ravel(), np.arange(1, n * width + 1, dtype=np.int32), np.arange(-1, n * width - 1, dtype=np.int32)
+    candidates = agenda.ravel()
+    row, open_ = np.arange(n), np.ones(n, bool)
+    for drawn in range(draws.shape[1] if bar else n * width):
+        best = row * width + agenda[row].argmin(1)
+        value = candidates[best]
+        todo = value != NONE
+        if not todo.all():
+            open_[row[~todo]] = False
+            row, best, value = row[todo], best[todo], value[todo]
+        if not len(row):
+            break
+        if bar:
+            skipped = draws[row, drawn] < bar
+            candidates[best[skipped]] = NONE
+            best, value = best[~skipped], value[~skipped]
+        gone = ahead[best]
+        after, before = ahead[gone], back[best]
+        flat[best] = new = merged[value]
+        flat[gone] = OUTSIDE
+        candidates[gone] = NONE
+        ahead[best], back[after] = after, best
+        candidates[best] = rank(new, flat[after])
+        candidates[before] = rank(flat[before], new)
+    alive = symbols != OUTSIDE
+    ids, ends = symbols[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
+    out: list = [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+    for i in np.flatnonzero(open_).tolist():
+        out[i] = None
+    texts = model["bytes"]
+    for i in np.flatnonzero((symbols < 0).sum(1) > (~alive).sum(1)).tolist():
+        if out[i] is not None:
+            out[i] = tuple(y for s in out[i] for y in ((s,) if s >= 0 else map(texts.__getitem__, chr(-1 - s).encode())))
+    return out
+
+
+class Segmentations:
+    """Words of one variant and their ids. Remembers the words of the last texts, in two
+    generations of about ``memo`` bytes; a word that is used again moves to the newer."""
 
     def __init__(self, model: dict, seed: int, variant: int, rate: float, memo: int):
-        self.model, self.rate, self.memo, self.old = model, rate, memo, {}
+        self.model, self.rate, self.memo, self.new, self.old, self.size = model, rate, memo, {}, {}, 0
         self.keyed = hashlib.blake2b(key=f"{seed}/{variant}".encode())
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.memo:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            keyed = self.keyed.copy()
-            keyed.update(word.encode())
-            ids = segment(word, self.model, keyed.digest(), self.rate)
-        self[word] = ids
-        return ids
+    def _digest(self, word: str) -> bytes:
+        keyed = self.keyed.copy()
+        keyed.update(word.encode())
+        return keyed.digest()
+
+    def look_up(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each word."""
+        known = words.intersection(self.new)
+        here = dict(zip(known, map(self.new.__getitem__, known)))
+        rest = words.difference(known)
+        again = rest.intersection(self.old)
+        fresh = dict(zip(again, map(self.old.__getitem__, again)))
+        missing = list(rest.difference(again))
+        fresh.update(zip(missing, segment_many(missing, self.model, list(map(self._digest, missing)), self.rate)))
+        here.update(fresh)
+        self._remember(fresh)
+        return here
+
+    def _remember(self, fresh: dict[str, tuple[int, ...]]) -> None:
+        size = ENTRY * len(fresh) + sum(map(len, fresh)) + 8 * sum(map(len, fresh.values()))
+        if self.size + size > self.memo:
+            self.old, self.new, self.size = self.new, {}, 0
+        if size <= self.memo:
+            self.new.update(fresh)
+            self.size += size
 
 
 class Encoder:
@@ -164,18 +269,31 @@ class Encoder:
         h = hashlib.blake2b(str(doc_id).encode(), digest_size=8, key=self.seed).digest()
         return int.from_bytes(h, "big") % self.variants
 
+    def _parts(self, text: str) -> list[list[str]]:
+        """The words of a text, between the piece markers that it has itself."""
+        parts = text.split(MARK) if text else []
+        return [self.words(p.replace(" ", MARK) if k else MARK + p.replace(" ", MARK)) for k, p in enumerate(parts)]
+
+    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[list[int] | None]:
+        """Ids of each text in its variant; the words of all of them are looked up together."""
+        parts = [None if t is None else self._parts(t) for t in texts]
+        asked: list[set[str]] = [set() for _ in range(self.variants)]
+        for p, v in zip(parts, variants):
+            for words in p or ():
+                asked[v].update(words)
+        ids_of = [memo.look_up(words).__getitem__ for memo, words in zip(self.memo, asked)]
+        out: list[list[int] | None] = []
+        for p, v in zip(parts, variants):
+            ids: list[int] | None = None if p is None else []
+            for k, words in enumerate(p or ()):
+                if k:
+                    ids += self.mark_ids
+                ids += chain.from_iterable(map(ids_of[v], words))
+            out.append(ids)
+        return out
+
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        if not text:
-            return []
-        memo = self.memo[variant]
-        ids: list[int] = []
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                ids += self.mark_ids
-            part = part.replace(" ", MARK)
-            for x in map(memo.__getitem__, self.words(part if k else MARK + part)):
-                ids += x
-        return ids
+        return self.encode_all([text], [variant])[0]
 
 
 class Decoder:
@@ -200,11 +318,10 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value, seed, rate, variants), Decoder(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):  # ids take more room than their text
-                b = whole.slice(start, 512)
+            for b in slices_of_bytes(whole, 1, TEXT):  # ids take more room than their text
                 keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 chosen = [encoder.variant_of(k) for k in keys]
-                ids = [None if t is None else encoder.encode(t, v) for t, v in zip(texts, chosen)]
+                ids = encoder.encode_all(texts, chosen)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(ids, pa.list_(pa.int32())),
                      pa.array([len(x or ()) for x in ids], pa.int64()), pa.array(chosen, pa.int32()),
@@ -212,7 +329,7 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT,
                     ["doc_id", "ids", "n_tokens", "variant", "lossless"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, n_tokens long, variant int, lossless boolean")
+        tidy(run), "doc_id long, ids array<int>, n_tokens long, variant int, lossless boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -225,7 +342,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else decoder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@ import pytest
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; inputs may have columns of the same names.
-EXTRA = ("key", "row", "n", "class", "component", "n_words", "spans", "items", "failures", "kept", "n_dropped", "new_text", "gone", "pos")
+EXTRA = ("key", "row", "n", "class", "component", "n_words", "spans", "items", "failures", "kept", "n_dropped", "new_text", "gone", "pos",
+         "_id", "_row", "_grouped", "_ROW_", "_hit", "_found", "_resolve", "print", "shard", "runs")
 
 
 @pytest.fixture

@@ -36,6 +36,36 @@ def test_short_and_long_agendas_agree(model):
             assert "".join(model["texts"][i] for i in a) == word
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_words_in_step_equal_words_one_by_one(model, rate, monkeypatch):
+    """The scalar agenda is the definition; words of many lengths, unknown characters, used-up streams."""
+    import hashlib
+
+    r = random.Random(8)
+    words = ["".join(r.choice("theandiong▁é漢😀\n") for _ in range(r.randrange(1, 70))) for _ in range(2000)] + ["a", "▁", "😀", "x" * 300, "aaaa" * 12]
+    digests = [hashlib.blake2b(w.encode()).digest() for w in words]
+    want = [S.segment(w, model, d, rate) for w, d in zip(words, digests)]
+    assert S.segment_many(words, model, digests, rate) == want
+    monkeypatch.setattr(S, "ROWS", 7)
+    assert S.segment_many(words, model, [d[:64] for d in digests], rate) == want
+    assert S.segment_many([], model, [], rate) == []
+
+
+def test_memo_is_bounded_by_bytes_and_changes_nothing(model):
+    few = S.Encoder(model)
+    for m in few.memo:
+        m.memo = 5_000
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 12))) for _ in range(300)) for _ in range(30)]
+    whole = S.Encoder(model)
+    assert [few.encode(t, i % 3) for i, t in enumerate(texts)] == whole.encode_all(texts, [i % 3 for i in range(30)])
+    assert all(m.size <= 5_000 and len(m.new) + len(m.old) < 60 for m in few.memo)
+    for m in few.memo:
+        m.memo = 70_000
+    assert [few.encode(t, i % 3) for i, t in enumerate(texts)] == whole.encode_all(texts, [i % 3 for i in range(30)])
+    assert any(m.old for m in few.memo) and all(m.new for m in few.memo)
+
+
 def test_round_trip_variation_and_edge_cases(spark, make_docs, words):
     text = " ".join(["international communication understanding"] * 20)
     texts = {i: text for i in range(30)} | {100: None, 101: "", 102: " ▁ x▁", 103: "ab" * 40_000, 104: "  two  spaces \n"}
