@@ -3,10 +3,11 @@
 A page becomes a tree of containers that hold text blocks. Every paragraph
 passes points for its length and commas to its ancestors, less with each level
 and discounted by the share of link text; the best container is kept. In an
-article it is widened to the article, with the siblings that score well; on
-other pages all that stands around it is kept but for lists of links. Blocks inside
+article it is widened to the article, with the headings, paragraphs and further articles beside
+it and the siblings that score well; on other pages all that stands around it is kept but for lists of links. Blocks inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles never count.
+and styles never count. Where only a class or id says so, an element is furniture unless it holds over
+HALF of the page's text and no article stands beside it; a header inside an article, or of an entry, is none.
 
 Defined cases: null or empty html, and pages without text, give an empty text;
 broken and unclosed markup is closed as browsers do; ties between containers
@@ -17,7 +18,7 @@ page_id and url pass through. No shuffle.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,14 +43,23 @@ FURNITURE = frozenset((
 CLOSES = {**dict.fromkeys(CONTAINERS | BLOCKS | {"hr", "form", "nav", "aside", "footer"}, frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6"))),
           "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")),
           "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p"))}
+#: Words that make a furniture word one about the page's state, and headers that belong to the text.
+STATE = frozenset("has no with without is hide show not".split())
+HEADERS = frozenset("header masthead banner".split())
+ENTRY = frozenset("entry post article story content title section".split())
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"[^a-z]+")
+HALF = 0.5
+#: Levels up to which a paragraph passes points.
+LEVELS = 32
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "length", "linked", "block")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "inside", "score", "length", "linked", "block")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubtful: bool = False):
+        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, doubtful
+        self.inside = tag in ARTICLE or parent is not None and parent.inside
         self.children: list[Node | Block] = []
         self.score, self.length, self.linked = 0.0, 0, 0
         self.block = tag in BLOCKS
@@ -67,7 +77,9 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.node = Node("#", None, False)
         self.inline: list[str] = []
-        self.links = self.linked = 0
+        self.link: Node | None = None  # where an open link began
+        self.linked = 0
+        self.open: Counter[str] = Counter()
 
     def flush(self) -> None:
         if self.inline:
@@ -78,7 +90,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
-            self.links += 1
+            self.link = self.node  # a link ends one that is open
         if tag == "br":
             self.inline.append("\n")
         if tag not in BLOCKS and tag not in CONTAINERS and tag not in DROPPED:
@@ -92,44 +104,35 @@ class TreeBuilder(HTMLParser):
         if closes and self.node.tag in closes:
             # One open paragraph, or the cells of a row, end here.
             while self.node.tag in closes and self.node.parent:
-                self.node = self.node.parent
+                self.leave()
                 if tag not in ("tr", "li", "dt", "dd", "td", "th"):
                     break
-        words = set()
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                words.update(re.split(r"[^a-z]+", value.lower()))
-            elif name in ("hidden",) or name == "aria-hidden" and value == "true":
-                words.add("hidden")
-        inside = self.in_article()
-        dropped = (self.node.dropped or tag in DROPPED or "hidden" in words
-                   or bool(words & FURNITURE) and tag not in ("html", "body", "article", "main")
-                   or tag == "header" and not inside)
-        node = Node(tag, self.node, dropped)
+        inside = self.node.inside
+        hidden = any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+        tokens = [t for name, value in attrs if name in ("class", "id", "role") and value for t in value.lower().split()]
+        dropped = self.node.dropped or tag in DROPPED or hidden or "hidden" in tokens or tag == "header" and not inside
+        doubtful = tag not in ("html", "body", "article", "main") and any(is_furniture(t, inside) for t in tokens)
+        node = Node(tag, self.node, dropped, doubtful)
         self.node.children.append(node)
         self.node = node
-        self.links = 0
-
-    def in_article(self) -> bool:
-        node = self.node
-        while node:
-            if node.tag in ARTICLE:
-                return True
-            node = node.parent
-        return False
+        self.open[tag] += 1
+
+    def leave(self) -> None:
+        """Close the current element, and a link that began in it."""
+        self.open[self.node.tag] -= 1
+        if self.link is self.node:
+            self.link = None
+        self.node = self.node.parent
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.links = max(0, self.links - 1)
-        if tag not in BLOCKS and tag not in CONTAINERS and tag not in DROPPED:
+            self.link = None
+        if tag not in BLOCKS and tag not in CONTAINERS and tag not in DROPPED or not self.open[tag]:
             return
-        node = self.node
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.flush()
-            self.node = node.parent
-            self.links = 0
+        self.flush()
+        while self.node.tag != tag:
+            self.leave()
+        self.leave()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -138,10 +141,45 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data):
         self.inline.append(data)
-        if self.links:
+        if self.link is not None:
             self.linked += len(data)
 
 
+def is_furniture(token: str, inside: bool) -> bool:
+    """Whether a word of a class, id or role names page furniture. ``inside``: of an article."""
+    parts = [p for p in WORD.split(token) if p]
+    found = FURNITURE.intersection(parts)
+    if not found or STATE.intersection(parts):
+        return False
+    return not (found <= HEADERS and (inside or ENTRY.intersection(parts)))
+
+
+def settle(root: Node) -> None:
+    """Drop what is doubtful and holds no more than HALF of the text; sums up lengths on the way."""
+    order = [x for x in walk(root) if isinstance(x, Node)]
+    for n in reversed(order):  # children first
+        for c in n.children:
+            length, linked = (c.length, c.linked) if isinstance(c, Node) else (len(c.text), c.linked)
+            n.length += length
+            n.linked += linked
+    total = root.length
+    around_article: set[int] = set()
+    for n in order:
+        if n.tag in ARTICLE and n.length and not n.dropped:
+            while n and id(n) not in around_article:
+                around_article.add(id(n))
+                n = n.parent
+    for n in order:
+        # Beside an article, what looks like furniture is some, however much text it has.
+        holds = n.length > HALF * total and (not around_article or id(n) in around_article or n.inside)
+        if n.doubtful and not holds or n.parent and n.parent.dropped:
+            n.dropped = True
+    for n in reversed(order):
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.dropped)]
+        n.length = sum(c.length if isinstance(c, Node) else len(c.text) for c in n.children)
+        n.linked = sum(c.linked for c in n.children)
+
+
 def walk(node: Node) -> Iterator[Node | Block]:
     """The tree in page order, without recursion."""
     stack = [node]
@@ -166,10 +204,8 @@ def add_scores(root: Node) -> list[Node]:
         points *= 1 - min(1.0, x.linked / len(x.text))
         holder = owner.parent if owner.block and owner.parent else owner
         level = 0
-        while holder:
+        while holder and level < LEVELS:
             holder.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
-            holder.length += len(x.text)
-            holder.linked += x.linked
             holder = holder.parent
             level += 1
     return [n for n in nodes if not n.block and n.score > 0]
@@ -196,7 +232,15 @@ def few_links(x: Node | Block) -> bool:
     return sum(b.linked for b in blocks) < 0.25 * max(1, sum(len(b.text) for b in blocks))
 
 
+def beside(x: Node | Block, top: Node) -> bool:
+    """Whether a sibling of the article belongs to it."""
+    if x is top or isinstance(x, Block) or x.block or x.tag == "article":
+        return x is top or few_links(x)
+    return final_score(x) >= max(10.0, 0.2 * final_score(top)) and x.linked < 0.25 * max(1, x.length)
+
+
 def main_blocks(root: Node) -> list[str]:
+    settle(root)
     nodes = add_scores(root)
     if not nodes:
         return []
@@ -209,11 +253,7 @@ def main_blocks(root: Node) -> list[str]:
         node = node.parent
     if top.tag not in ARTICLE:
         return [x.text for k in around(top) for x in walk(k) if isinstance(x, Block)]
-    kept = [top]
-    if top.parent:
-        least = max(10.0, 0.2 * final_score(top))
-        kept = [c for c in top.parent.children if c is top or isinstance(c, Node) and (
-            not c.block and final_score(c) >= least and c.linked < 0.25 * max(1, c.length))]
+    kept = [c for c in top.parent.children if beside(c, top)] if top.parent else [top]
     return [x.text for k in kept for x in walk(k) if isinstance(x, Block)]
 
 

@@ -54,3 +54,39 @@ def test_nulls_repeats_and_empty_table(spark):
     got = sorted(map(tuple, H.extract_pages(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, None, LONG, len(LONG)), (1, None, LONG, len(LONG)), (None, "u", "", 0)], key=str)
     assert H.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+STORY = "A long paragraph of the story, with commas, and with enough words in it to be found at once by its length. " * 3
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<div class="content has-sidebar"><p>{0}</p></div>', ["{0}"]),
+    ('<div id=page class="no-ads layout"><h1>T</h1><p>{0}</p></div>', ["T", "{0}"]),
+    ('<div class="page-with-sidebar"><p>{0}</p><div class="sidebar">more links here</div></div>', ["{0}"]),
+    ('<article><header class="entry-header"><h1>Title</h1></header><p>{0}</p></article>', ["Title", "{0}"]),
+    ('<div class="post-header"><h1>Title</h1></div><div><p>{0}</p><p>{0}</p></div>', ["Title", "{0}", "{0}"]),
+    ('<body><h1>Title</h1><p>Lead text.</p><article><p>{0}</p></article><div class="share">Share</div></body>', ["Title", "Lead text.", "{0}"]),
+    ('<body><article><p>{0}</p></article><article><p>Short one.</p></article></body>', ["{0}", "Short one."]),
+    ('<body><div><p>{0}</p><p>{0}</p></div><div><a href=x><div>Card one here</div></a><a href=y><div>Card two here</div></a></div></body>', ["{0}", "{0}"]),
+    ('<body><article><p>{0}</p></article><div class="cookie-notice"><p>{0}</p><p>{0}</p></div></body>', ["{0}"]),
+    ('<div class="sidebar-layout"><div><p>{0}</p><p>{0}</p></div></div>', ["{0}", "{0}"]),
+])
+def test_probes(html, want):
+    text = " ".join(STORY.split())
+    assert H.extract(html.replace("{0}", STORY)).split("\n") == [w.replace("{0}", text) for w in want]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for depth in (5_000, 40_000):
+        html = "<div>" * depth + f"<p>{STORY}</p>" + "</div>" * depth + "</section>" * depth
+        start = time.time()
+        assert H.extract(html) == " ".join(STORY.split())
+        took.append(time.time() - start)
+    assert took[1] < 30 * took[0] + 1, took
+
+
+def test_unclosed_links_end():
+    assert H.extract(f"<article><p>See <a href=x>this<p>{STORY}</p><p>{STORY}</p></article>").count("A long paragraph") == 6
