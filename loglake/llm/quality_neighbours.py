@@ -118,9 +118,11 @@ def vote(points: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
     """Similarity-weighted share of label 1 among the nearest of ``known``."""
     cosine = points @ known.T
     k = min(neighbours, len(labels))
-    # The earlier of equals wins: a tiny term falls with the position.
-    ranked = cosine - np.arange(len(labels), dtype=np.float32) * np.float32(1e-9)
-    near = np.argpartition(-ranked, k - 1, axis=1)[:, :k]
+    # Those above the k-th cosine, and of those equal to it the first ones by position.
+    kth = -np.partition(-cosine, k - 1, axis=1)[:, k - 1:k]
+    above, equal = cosine > kth, cosine == kth
+    near = above | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True))
+    near = np.nonzero(near)[1].reshape(len(points), k)
     weights = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS
     return (weights * labels[near]).sum(1) / weights.sum(1)
 

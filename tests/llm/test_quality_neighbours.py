@@ -56,3 +56,18 @@ def test_edge_cases(spark, make_docs, words):
     assert all(0 <= s <= 1 for s in got.values()) and got[1] == got[2] == got[3]
     assert K.score(make_docs({}), labels).count() == 0
     assert K.score(make_docs([(5, "a b"), (5, "a b"), (None, "a b")]), labels).count() == 3
+
+
+def test_ties_go_to_the_earlier_position():
+    """Many equal known vectors: the neighbours are those of a stable sort by cosine, then position."""
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        kinds = K.unit_rows(r.normal(size=(6, 8)).astype(np.float32))
+        known = kinds[r.integers(0, 6, 60)]
+        labels = r.integers(0, 2, 60).astype(np.float32)
+        points = K.unit_rows(r.normal(size=(5, 8)).astype(np.float32))
+        k = int(r.integers(1, 61))
+        cosine = points @ known.T
+        near = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        weights = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** K.SHARPNESS
+        assert np.allclose(K.vote(points, known, labels, k), (weights * labels[near]).sum(1) / weights.sum(1), rtol=1e-5)
