@@ -1,17 +1,18 @@
 """Substring dedup by MinHash banding of paragraphs (operator 3).
 
 A text is cut into small paragraphs that do not depend on where a passage
-stands: sentences (short ones joined to the next, long ones cut after words
-chosen by their own hash). A paragraph is its set of 5-word shingles; BANDS
+stands: at sentence ends, of which those within NEAR words of another give way to the one of
+the smallest hash of the words around it; sentences of over CUT_ABOVE words also where such
+a hash is the smallest within NEAR words; what is over CUT_MOST even then (runs of one word) every
+CUT_STEP words. So no paragraph is of fewer than MIN_PARAGRAPH words, but at a text's end, and
+the same words are cut alike in any surroundings. A paragraph is its set of 5-word shingles; BANDS
 MinHash values are its bands, tuned so that paragraphs of Jaccard similarity
 THRESHOLD collide with a probability of at least RECALL. Colliding paragraphs
 of different documents are compared on their whole sets; equal ones are one
 class, links make components, and a component that occurs in two or more
 documents repeats. Runs of repeating paragraphs of at least MIN_WORDS words
-are passages; all but the first occurrence (doc_id, place) are removed.
-
-A passage of over 50 words holds at least MIN_WORDS words in whole paragraphs
-but for the rare case of very long sentences at both its ends.
+are passages, with the components of all their paragraphs; all but the first occurrence (doc_id,
+place) are removed.
 
 Skew: bands are pre-aggregated (smallest and largest document); paragraphs
 whose bands no other document has are dropped where they are made, by a
@@ -26,8 +27,7 @@ are one document; ties on the first occurrence go to the smaller text hash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from loglake.llm.common import (
     FILTER_BITS,
+    SPACES,
     distinct_sorted,
     filter_bits,
     flag_rows,
@@ -53,14 +54,18 @@ from loglake.llm.ngram_join import FEW, can_link, coarse_counts, pack, tree_pair
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.99
-JOIN_BELOW = 5  # words: shorter sentences join the next one
-CUT_ABOVE = 32  # words: longer sentences are cut
-CUT_EVERY = 8  # words that end a piece of a long sentence: one in so many
-MIN_PARAGRAPH = 6
+NEAR = 5  # words: cuts are farther apart
+CUT_ABOVE = 20  # words: longer sentences are cut
+CUT_MOST = 40
+CUT_STEP = 16
+MIN_PARAGRAPH = NEAR + 1
 SECOND = 25  # bits that the second flag of a band leaves out
-MIN_WORDS = 25
+MIN_WORDS = 16
 GAP = 6
 
+#: A key that no place has.
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 #: A-Z to a-z, sentence ends to line ends, other ASCII marks to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 10 if c in b".!?\n" else 32 for c in range(256))
 
@@ -79,52 +84,62 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 BANDS = tune_bands()
 
 
-def bounds_of(ends: Iterable[int], hashes: np.ndarray) -> np.ndarray:
-    """The paragraphs' bounds in words, from the words where sentences end."""
-    bounds = [0]
-    last = 0
-    for n in ends:
-        if n - last > CUT_ABOVE:
-            piece = last
-            for k in (np.flatnonzero(hashes[last:n - 1] % np.uint64(CUT_EVERY) == 0) + last + 1).tolist():
-                if k - piece >= CUT_EVERY:
-                    bounds.append(k)
-                    piece = k
-        # What a long sentence leaves is not joined, so that the next one starts afresh.
-        if n - bounds[-1] >= JOIN_BELOW or n - last > CUT_ABOVE and n > bounds[-1]:
-            bounds.append(n)
-        last = n
-    if bounds[-1] != last:
-        bounds.append(last)
-    return np.array(bounds, np.int64)
-
-
-def paragraphs(texts: list[str | None]) -> Iterator[dict[str, np.ndarray] | None]:
-    """For each text, arrays over its paragraphs of MIN_PARAGRAPH words: start, end (words), class, bands; and the shingles."""
+def smallest_near(keys: np.ndarray) -> np.ndarray:
+    """Places whose key is the smallest within NEAR places, the first of equal ones."""
+    before, after = (np.full(len(keys), LAST) for _ in range(2))
+    for r in range(1, min(NEAR, len(keys) - 1) + 1):
+        before[r:] = np.minimum(before[r:], keys[:-r])
+        after[:-r] = np.minimum(after[:-r], keys[r:])
+    return (keys < before) & (keys <= after)
+
+
+def cut_places(words: np.ndarray, sentence: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words that begin a paragraph. ``sentence``: whether a word begins a sentence; ``first``: those that begin a text."""
+    around = np.zeros(len(words), np.uint64)
+    around[1:-1] = gram_hashes(words, 3) >> np.uint64(1) if len(words) > 2 else 0
+    keys = np.where(sentence, around, LAST)
+    keys[first] = 0
+    cut = smallest_near(keys)
+    cut[first] = True
+    # Long sentences, away from their ends.
+    at = np.flatnonzero(cut)
+    size = np.diff(np.append(at, len(words)))
+    inside = np.arange(len(words)) - np.repeat(at, size)
+    size = np.repeat(size, size)
+    keys = np.where((size > CUT_ABOVE) & (inside > NEAR) & (size - inside > NEAR), mix64(around) >> np.uint64(1), LAST)
+    cut |= smallest_near(keys)
+    at = np.flatnonzero(cut)
+    size = np.diff(np.append(at, len(words)))
+    for s, n in zip(at[size > CUT_MOST].tolist(), size[size > CUT_MOST].tolist()):
+        cut[s + CUT_STEP:s + n - NEAR:CUT_STEP] = True
+    return np.flatnonzero(cut)
+
+
+def paragraphs(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """Arrays over the paragraphs of all texts: owner (which text), start, end (words of the
+    text), class, bands, at (the first shingle) and last; and the shingles of all texts."""
     raws = [t.encode().translate(FOLD) if t else b"" for t in texts]
     words, counts = hash_words(raws)
-    first = 0
-    for raw, total in zip(raws, counts.tolist()):
-        h = words[first:first + total]
-        first += total
-        ends = accumulate(n for p in raw.split(b"\n") if (n := len(p.split())))
-        yield _paragraphs(h, bounds_of(ends, h)) if total >= MIN_PARAGRAPH else None
-
-
-def _paragraphs(h: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray] | None:
-    starts, ends = bounds[:-1], bounds[1:]
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
+    begins = np.flatnonzero(np.diff(SPACES[raw].astype(np.int8), prepend=1) == -1)
+    sentence = np.diff(np.cumsum(raw == 10, dtype=np.int64)[begins], prepend=-1) > 0
+    first = np.cumsum(counts) - counts
+    starts = cut_places(words, sentence, first[counts > 0]) if len(words) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(words))[:len(starts)]
     big = ends - starts >= MIN_PARAGRAPH
-    if not big.any():
-        return None
-    grams = gram_hashes(h, WIDTH)
     starts, ends = starts[big], ends[big]
+    owner = np.searchsorted(first + counts, starts, "right")
+    if not len(starts):
+        return {"owner": owner, "start": starts, "end": ends, "class": starts, "bands": np.empty((0, BANDS), np.int64), "at": starts, "last": starts, "grams": words}
+    grams = gram_hashes(words, WIDTH)
     # Ranges of shingles wholly inside a paragraph: [start, end - WIDTH + 1).
     edges = np.column_stack((starts, ends - WIDTH + 1)).ravel()
     edges = edges[:-1] if edges[-1] >= len(grams) else edges
     bands = [np.minimum.reduceat(mix64(grams ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & 0xFFFFFFFFFFFFFFFF)), edges)[::2] ^ np.uint64(k)
              for k in range(BANDS)]
     kind = np.add.reduceat(mix64(grams + np.uint64(1)), edges)[::2] + (ends - starts).astype(np.uint64)
-    return {"start": starts, "end": ends, "class": kind.astype(np.int64), "bands": np.column_stack(bands).astype(np.int64), "grams": grams}
+    return {"owner": owner, "start": starts - first[owner], "end": ends - first[owner], "class": kind.astype(np.int64),
+            "bands": np.column_stack(bands).astype(np.int64), "at": starts, "last": ends - WIDTH + 1, "grams": grams}
 
 
 def shared_bands(docs: DataFrame) -> DataFrame:
@@ -132,13 +147,9 @@ def shared_bands(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            bands, keys = [], []
-            for key, p in zip(b.column(0).to_pylist(), paragraphs(b.column(1).to_pylist())):
-                if p is not None:
-                    bands.append(np.unique(p["bands"]))
-                    keys.append(np.full(len(bands[-1]), key, np.int64))
-            if bands:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(keys))], ["band", "key"])
+            p = paragraphs(b.column(1).to_pylist())
+            keys = np.repeat(b.column(0).to_numpy()[p["owner"]], BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(p["bands"].ravel()), pa.array(keys)], ["band", "key"])
 
     rows = docs.select("key", "text").mapInArrow(run, "band long, key long")
     return rows.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
@@ -152,14 +163,14 @@ def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            p = paragraphs(b.column(3).to_pylist())
+            hit = (in_filter(shared.value, p["bands"] % FILTER_BITS) & in_filter(shared.value, (p["bands"] >> SECOND) % FILTER_BITS)).any(axis=1)
+            doc_ids, row_keys, keys = (b.column(c).to_pylist() for c in range(3))
             rows = []
-            for doc_id, row, key, p in zip(*(b.column(c).to_pylist() for c in range(3)), paragraphs(b.column(3).to_pylist())):
-                if p is None:
-                    continue
-                hit = (in_filter(shared.value, p["bands"] % FILTER_BITS) & in_filter(shared.value, (p["bands"] >> SECOND) % FILTER_BITS)).any(axis=1)
-                for i in np.flatnonzero(hit):
-                    s, e = int(p["start"][i]), int(p["end"][i])
-                    rows.append((doc_id, row, key, s, e, int(p["class"][i]), p["bands"][i], pack(distinct_sorted(p["grams"][s:e - WIDTH + 1]))))
+            for i in np.flatnonzero(hit).tolist():
+                o = int(p["owner"][i])
+                rows.append((doc_ids[o], row_keys[o], keys[o], int(p["start"][i]), int(p["end"][i]), int(p["class"][i]), p["bands"][i],
+                             pack(distinct_sorted(p["grams"][p["at"][i]:p["last"][i]]))))
             kinds = (pa.int64(),) * 6 + (pa.list_(pa.int64()), pa.binary())
             columns = zip(*rows) if rows else ((),) * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
@@ -235,10 +246,11 @@ def repeating(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row, start, end (words), component, removed: one row per repeated passage.
+    """doc_id, row, start, end (words), component, components, removed: one row per repeated passage.
 
     A passage is a run of repeating paragraphs that are all first occurrences
-    or all later ones; component is that of its first paragraph.
+    or all later ones; ``components`` are those of all its paragraphs, in order, and ``component`` is the
+    smallest. Two passages repeat one another if they share a component.
     """
     runs = (repeating(docs).groupBy("doc_id", "row")
             .agg(F.array_sort(F.collect_set(F.struct("start", "end", "component", "first"))).alias("p")))
@@ -251,15 +263,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for p in found:
                     if merged and p["start"] - merged[-1][1] <= GAP and p["first"] != merged[-1][3]:
                         merged[-1][1] = p["end"]
+                        merged[-1][2].add(p["component"])
                     else:
-                        merged.append([p["start"], p["end"], p["component"], not p["first"]])
-                rows += [(doc_id, row, *m) for m in merged if m[1] - m[0] >= min_words]
-            kinds = (*(pa.int64(),) * 5, pa.bool_())
-            columns = zip(*rows) if rows else ((),) * 6
+                        merged.append([p["start"], p["end"], {p["component"]}, not p["first"]])
+                rows += [(doc_id, row, s, e, min(c), sorted(c), removed) for s, e, c, removed in merged if e - s >= min_words]
+            kinds = (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.bool_())
+            columns = zip(*rows) if rows else ((),) * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             ["doc_id", "row", "start", "end", "component", "removed"])
+                                             ["doc_id", "row", "start", "end", "component", "components", "removed"])
 
-    return runs.mapInArrow(run, "doc_id long, row long, start long, end long, component long, removed boolean")
+    return runs.mapInArrow(run, "doc_id long, row long, start long, end long, component long, components array<long>, removed boolean")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -298,4 +311,4 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repeated passage; documents without one have no row."""
     return repeated_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"),
-        (F.col("end") - F.col("start")).alias("n_words"), "component", "removed")
+        (F.col("end") - F.col("start")).alias("n_words"), "component", "components", "removed")
