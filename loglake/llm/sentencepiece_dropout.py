@@ -37,7 +37,7 @@ SEED = 20_240
 DROPOUT = 0.1
 VARIANTS = 3
 #: Bytes that remembered words may take, about, in each of two generations, and those of an entry besides its content.
-MEMO = 12 << 20
+MEMO = 24 << 20
 ENTRY = 200
 #: Bytes of text, and rows of words, that are taken at a time.
 TEXT = 1 << 20
