@@ -147,3 +147,23 @@ def test_decode_runs_gunzip_and_parse_once(spark):
     text = plan_text(rows, "simple")
     assert text.count("ArrowEvalPython") == 1
     assert text.count("from_json(") == 1
+
+
+def test_codec_gives_results_back_in_parts(spark):
+    """A batch of long texts comes back in parts of bounded size, complete and in order."""
+    import pyarrow as pa
+
+    from loglake.functions import codec as C
+
+    n = 40
+    texts = [None if i % 7 == 3 else json.dumps({"i": i, "t": "x" * (3 * C.PART_BYTES if i == 5 else C.PART_BYTES // 4)}) for i in range(n)]
+    packed = [x for part in C.gzip_base64.func(iter([pa.array(texts[:9]), pa.array(texts[9:])])) for x in part.to_pylist()]
+    blobs = [p and base64.b64decode(p) for p in packed]
+    parts = [p.to_pylist() for p in C.gunzip_json.func(iter([pa.array([], pa.binary()), pa.array(blobs)]))]
+    assert [x["text"] for p in parts for x in p] == texts
+    assert [x["is_object"] for p in parts for x in p] == [t and True for t in texts]
+    assert all(sum(len(x["text"] or "") for x in p[:-1]) < C.PART_BYTES for p in parts)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = df.select("i", C.gzip_base64("t").alias("z"), C.gzip_base64_padded("t").alias("p")).select(
+        "i", *[C.gunzip_json(F.unbase64(c))["text"].alias(c) for c in "zp"]).collect()
+    assert {x["i"]: (x["z"], x["p"]) for x in got} == {i: (t, t) for i, t in enumerate(texts)}
