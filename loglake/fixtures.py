@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loglake import schema as S
 from loglake.functions.codec import gzip_base64, gzip_base64_padded
 from loglake.operators.joins import local_table
-from loglake.session import ensure_utc, path_exists, path_status, scratch_path, write_text
+from loglake.session import ensure_utc, path_exists, path_status, scoped_conf, scratch_path, write_text
 
 # ---- fixed values ----------------------------------------------------------
 # Registered domains (the default domain set).
@@ -289,9 +289,12 @@ def envelopes_path(spark: SparkSession, sf_dir: str, fmt: str = "json") -> str:
     control and truncated records), written once."""
     from loglake.sources.envelopes import write_envelopes
 
-    path = derived_path(spark, sf_dir, f"envelopes_{fmt}")
-    return materialise(spark, path, lambda p: write_envelopes(
-        encode_envelopes(logs(spark, sf_dir)), p, fmt))
+    def build(path):
+        # Envelope texts go to Python in Arrow batches; they are bounded by bytes, not only by rows.
+        with scoped_conf(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}):
+            write_envelopes(encode_envelopes(logs(spark, sf_dir)), path, fmt)
+
+    return materialise(spark, derived_path(spark, sf_dir, f"envelopes_{fmt}"), build)
 
 
 def bare_lake_path(spark: SparkSession, sf_dir: str) -> str:
