@@ -109,3 +109,22 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(common, "BLOCK", 64)
     small, same = common.hash_words(texts)
     assert (small == whole).all() and (same == counts).all()
+
+
+def test_hashing_keeps_little_in_memory():
+    """What hashing makes of texts on the way is small next to some MB of them."""
+    import tracemalloc
+
+    from loglake.llm import common
+
+    texts = [b"some words of a text %d " % i * 200 for i in range(1000)]  # 5 MB
+    common._POWERS.clear()
+    tracemalloc.start()
+    try:
+        hashes, counts = common.hash_words([*texts, b" ".join(texts)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        common._POWERS.clear()
+    assert (hashes[:counts[:-1].sum()] == hashes[counts[:-1].sum():]).all() and counts[-1] == counts[:-1].sum()
+    assert peak < 2 * hashes.nbytes + (8 << 20)
