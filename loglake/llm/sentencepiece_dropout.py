@@ -24,10 +24,10 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm.common import slices_of_bytes, table, tidy
@@ -37,7 +37,7 @@ SEED = 20_240
 DROPOUT = 0.1
 VARIANTS = 3
 #: Bytes that remembered words may take, about, in each of two generations, and those of an entry besides its content.
-MEMO = 24 << 20
+MEMO = 48 << 20
 ENTRY = 200
 #: Bytes of text, and rows of words, that are taken at a time.
 TEXT = 1 << 20
@@ -152,6 +152,11 @@ def segment_many(words: list[str], model: dict, digests: list[bytes], rate: floa
     row takes its best, leftmost candidate, which is skipped or merged. Words too long for that, or
     that use up the first bytes of their stream, go one by one.
     """
+    return [tuple(np.frombuffer(x, np.int32).tolist()) for x in packed_ids(words, model, digests, rate)]
+
+
+def packed_ids(words: list[str], model: dict, digests: list[bytes], rate: float) -> list[bytes]:
+    """The ids of :func:`segment_many`, those of a word as the bytes of 32-bit integers."""
     out: list = [None] * len(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
@@ -162,11 +167,11 @@ def segment_many(words: list[str], model: dict, digests: list[bytes], rate: floa
             out[i] = ids
     for i, ids in enumerate(out):
         if ids is None:
-            out[i] = segment(words[i], model, digests[i], rate)
+            out[i] = np.array(segment(words[i], model, digests[i], rate), np.int32).tobytes()
     return out
 
 
-def _segment_rows(words: list[str], model: dict, digests: list[bytes], bar: int) -> list[tuple[int, ...] | None]:
+def _segment_rows(words: list[str], model: dict, digests: list[bytes], bar: int) -> list[bytes | None]:
     """Columns never move: a merged symbol stays in its first column, and the neighbours of a column are noted."""
     symbol_of, keys, ranks, merged = model["symbol_of"], model["keys"], model["ranks"], model["merged_ids"]
     n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
@@ -211,31 +216,35 @@ def _segment_rows(words: list[str], model: dict, digests: list[bytes], bar: int)
         candidates[best] = rank(new, flat[after])
         candidates[before] = rank(flat[before], new)
     alive = symbols != OUTSIDE
-    ids, ends = symbols[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
-    out: list = [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+    raw, ends = symbols[alive].tobytes(), (4 * np.cumsum(alive.sum(1))).tolist()
+    out: list = [raw[a:b] for a, b in zip([0, *ends], ends)]
     for i in np.flatnonzero(open_).tolist():
         out[i] = None
     texts = model["bytes"]
     for i in np.flatnonzero((symbols < 0).sum(1) > (~alive).sum(1)).tolist():
         if out[i] is not None:
-            out[i] = tuple(y for s in out[i] for y in ((s,) if s >= 0 else map(texts.__getitem__, chr(-1 - s).encode())))
+            ids = np.frombuffer(out[i], np.int32).tolist()
+            out[i] = np.array([y for s in ids for y in ((s,) if s >= 0 else map(texts.__getitem__, chr(-1 - s).encode()))], np.int32).tobytes()
     return out
 
 
 class Segmentations:
-    """Words of one variant and their ids. Remembers the words of the last texts, in two
+    """Words of one variant and their packed ids. Remembers the words of the last texts, in two
     generations of about ``memo`` bytes; a word that is used again moves to the newer."""
 
     def __init__(self, model: dict, seed: int, variant: int, rate: float, memo: int):
         self.model, self.rate, self.memo, self.new, self.old, self.size = model, rate, memo, {}, {}, 0
         self.keyed = hashlib.blake2b(key=f"{seed}/{variant}".encode())
 
-    def _digest(self, word: str) -> bytes:
-        keyed = self.keyed.copy()
-        keyed.update(word.encode())
-        return keyed.digest()
+    def _digests(self, words: list[str]) -> list[bytes]:
+        out, copy = [], self.keyed.copy
+        for word in words:
+            keyed = copy()
+            keyed.update(word.encode())
+            out.append(keyed.digest())
+        return out
 
-    def look_up(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def look_up(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word."""
         known = words.intersection(self.new)
         here = dict(zip(known, map(self.new.__getitem__, known)))
@@ -243,13 +252,13 @@ class Segmentations:
         again = rest.intersection(self.old)
         fresh = dict(zip(again, map(self.old.__getitem__, again)))
         missing = list(rest.difference(again))
-        fresh.update(zip(missing, segment_many(missing, self.model, list(map(self._digest, missing)), self.rate)))
+        fresh.update(zip(missing, packed_ids(missing, self.model, self._digests(missing), self.rate)))
         here.update(fresh)
         self._remember(fresh)
         return here
 
-    def _remember(self, fresh: dict[str, tuple[int, ...]]) -> None:
-        size = ENTRY * len(fresh) + sum(map(len, fresh)) + 8 * sum(map(len, fresh.values()))
+    def _remember(self, fresh: dict[str, bytes]) -> None:
+        size = ENTRY * len(fresh) + 2 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
         if self.size + size > self.memo:
             self.old, self.new, self.size = self.new, {}, 0
         if size <= self.memo:
@@ -263,7 +272,7 @@ class Encoder:
         self.variants = max(1, variants)
         self.seed = str(seed).encode()
         self.memo = [Segmentations(model, seed, v, rate, MEMO // self.variants) for v in range(self.variants)]
-        self.mark_ids = [model["bytes"][b] for b in MARK.encode()]
+        self.mark_ids = np.array([model["bytes"][b] for b in MARK.encode()], np.int32).tobytes()
 
     def variant_of(self, doc_id: object) -> int:
         h = hashlib.blake2b(str(doc_id).encode(), digest_size=8, key=self.seed).digest()
@@ -274,23 +283,20 @@ class Encoder:
         parts = text.split(MARK) if text else []
         return [self.words(p.replace(" ", MARK) if k else MARK + p.replace(" ", MARK)) for k, p in enumerate(parts)]
 
-    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[list[int] | None]:
-        """Ids of each text in its variant; the words of all of them are looked up together."""
+    def packed(self, texts: list[str | None], variants: list[int]) -> list[bytes | None]:
+        """Packed ids of each text in its variant; the words of all of them are looked up together."""
         parts = [None if t is None else self._parts(t) for t in texts]
         asked: list[set[str]] = [set() for _ in range(self.variants)]
         for p, v in zip(parts, variants):
             for words in p or ():
                 asked[v].update(words)
         ids_of = [memo.look_up(words).__getitem__ for memo, words in zip(self.memo, asked)]
-        out: list[list[int] | None] = []
-        for p, v in zip(parts, variants):
-            ids: list[int] | None = None if p is None else []
-            for k, words in enumerate(p or ()):
-                if k:
-                    ids += self.mark_ids
-                ids += chain.from_iterable(map(ids_of[v], words))
-            out.append(ids)
-        return out
+        return [None if p is None else self.mark_ids.join([b"".join(map(ids_of[v], words)) for words in p])
+                for p, v in zip(parts, variants)]
+
+    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[list[int] | None]:
+        """Ids of each text in its variant."""
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.packed(texts, variants)]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         return self.encode_all([text], [variant])[0]
@@ -301,11 +307,30 @@ class Decoder:
         self.byte_of = {i: b for b, i in enumerate(model["bytes"])}
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode()
                     for i, t in enumerate(model["texts"])]
+        self.pieces = pa.array(self.raw, pa.large_binary())
 
     def decode(self, ids: list[int]) -> str:
         """The text; the one space put before it is taken off."""
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each text, with the one space put before it; of no ids none, of null ids null."""
+        whole = pa.ListArray.from_arrays(ids.offsets, self.pieces.take(ids.values), mask=ids.is_null())
+        return pc.binary_join(whole, pa.scalar(b"", pa.large_binary()))
+
+    def lossless(self, texts: pa.Array, ids: pa.ListArray) -> pa.Array:
+        """Whether the ids are decoded to the same text; so it is where both are null."""
+        raw, space = texts.cast(pa.large_binary()), pa.scalar(b" ", pa.large_binary())
+        put = pc.if_else(pc.equal(pc.binary_length(raw), 0), raw, pc.binary_join_element_wise(space, raw, pa.scalar(b"", pa.large_binary())))
+        return pc.fill_null(pc.equal(self.decode_all(ids), put), True)
+
+
+def id_lists(packed: list[bytes | None]) -> pa.ListArray:
+    """Packed ids as an Arrow column."""
+    offsets = np.cumsum([0, *(len(x or b"") // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32)),
+                                    mask=pa.array([x is None for x in packed], pa.bool_()))
+
 
 def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,11 +346,10 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT,
             for b in slices_of_bytes(whole, 1, TEXT):  # ids take more room than their text
                 keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 chosen = [encoder.variant_of(k) for k in keys]
-                ids = encoder.encode_all(texts, chosen)
+                ids = id_lists(encoder.packed(texts, chosen))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([len(x or ()) for x in ids], pa.int64()), pa.array(chosen, pa.int32()),
-                     pa.array([t is None or decoder.decode(x) == t for t, x in zip(texts, ids)], pa.bool_())],
+                    [b.column(0), ids, pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), pa.array(chosen, pa.int32()),
+                     decoder.lossless(b.column(1), ids)],
                     ["doc_id", "ids", "n_tokens", "variant", "lossless"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(

@@ -86,3 +86,23 @@ def test_words_have_three_segmentations_at_least(model):
     assert len({encoder.variant_of(i) for i in range(100)}) == encoder.variants >= 3
     words = ["internationalisation", "understanding", "communication", "representation"]
     assert any(len({tuple(encoder.encode(w, v)) for v in range(encoder.variants)}) >= 3 for w in words)
+
+
+def test_packed_ids_of_a_batch_and_their_decoding(spark, model):
+    """Ids stay packed from the memo to the column; a batch is decoded at once, and a changed id is noticed."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["the understanding", None, "", " ▁ x▁", "▁▁", " ", "a\n\n b 😀漢", "ab" * 300, "x" * 60 + "😀"]
+    encoder, decoder = S.Encoder(model), S.Decoder(model)
+    variants = [i % 3 for i in range(len(texts))]
+    ids = S.id_lists(encoder.packed(texts, variants))
+    assert all(isinstance(x, bytes) for m in encoder.memo for x in m.new.values())
+    assert ids.to_pylist() == S.Encoder(model).encode_all(texts, variants)
+    assert [None if x is None else decoder.decode(x) for x in ids.to_pylist()] == texts
+    assert decoder.lossless(pa.array(texts), ids).to_pylist() == [True] * len(texts)
+    changed = ids.values.to_numpy().copy()
+    changed[ids.offsets[3].as_py()] += 1
+    other = pa.ListArray.from_arrays(ids.offsets, pa.array(changed, pa.int32()), mask=ids.is_null())
+    assert np.flatnonzero(~decoder.lossless(pa.array(texts), other).to_numpy(zero_copy_only=False)).tolist() == [3]
+    assert S.id_lists([]).to_pylist() == []
