@@ -206,20 +206,21 @@ def filter_place(columns: list[str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def filter_bits(places: DataFrame) -> bytes:
-    """A filter with the flags at ``at`` (0 to FILTER_BITS - 1) set; merged by slices of flags."""
+def filter_bits(places: DataFrame, size: int = FILTER_BITS) -> bytes:
+    """A filter with the flags at ``at`` (0 to size - 1) set; merged by slices of flags."""
+    width = FILTER_SLICE * max(1, size // FILTER_BITS)
 
     def run(pdf):
         import pandas as pd
 
-        flags = np.zeros(FILTER_SLICE, bool)
-        flags[pdf["at"].to_numpy() % FILTER_SLICE] = True
-        return pd.DataFrame({"slice": [int(pdf["at"].iloc[0]) // FILTER_SLICE], "bits": [np.packbits(flags).tobytes()]})
+        flags = np.zeros(width, bool)
+        flags[pdf["at"].to_numpy() % width] = True
+        return pd.DataFrame({"slice": [int(pdf["at"].iloc[0]) // width], "bits": [np.packbits(flags).tobytes()]})
 
-    slices = places.select("at").distinct().groupBy(F.floor(F.col("at") / FILTER_SLICE)).applyInPandas(run, "slice long, bits binary")
-    bits = bytearray(FILTER_BITS // 8)
-    for r in slices.collect():  # FILTER_BITS bits in all
-        bits[r["slice"] * FILTER_SLICE // 8:(r["slice"] + 1) * FILTER_SLICE // 8] = r["bits"]
+    slices = places.select("at").distinct().groupBy(F.floor(F.col("at") / width)).applyInPandas(run, "slice long, bits binary")
+    bits = bytearray(size // 8)
+    for r in slices.collect():  # so many bits in all
+        bits[r["slice"] * width // 8:(r["slice"] + 1) * width // 8] = r["bits"]
     return bytes(bits)
 
 

@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.llm.common import (
-    FILTER_BITS,
     SPACES,
     distinct_sorted,
     filter_bits,
@@ -59,7 +58,9 @@ CUT_ABOVE = 20  # words: longer sentences are cut
 CUT_MOST = 40
 CUT_STEP = 16
 MIN_PARAGRAPH = NEAR + 1
-SECOND = 25  # bits that the second flag of a band leaves out
+#: Flags of the filter of shared bands (16 MB), four times those of other filters, since nearly each paragraph is looked up.
+FLAGS = 1 << 27
+SECOND = 27  # bits that the second flag of a band leaves out
 MIN_WORDS = 16
 GAP = 6
 
@@ -157,14 +158,14 @@ def shared_bands(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """Paragraphs with a band that (nearly surely) another document has."""
-    # Two flags a band: one passage in a hundred or so comes without need.
-    flags = F.explode(F.array(F.pmod("band", F.lit(FILTER_BITS)), F.pmod(F.shiftright("band", SECOND), F.lit(FILTER_BITS))))
-    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(bands.select(flags.alias("at"))))
+    # Two flags a band: of 3 million shared bands one paragraph in 200 comes without need.
+    flags = F.explode(F.array(F.pmod("band", F.lit(FLAGS)), F.pmod(F.shiftright("band", SECOND), F.lit(FLAGS))))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(bands.select(flags.alias("at")), FLAGS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             p = paragraphs(b.column(3).to_pylist())
-            hit = (in_filter(shared.value, p["bands"] % FILTER_BITS) & in_filter(shared.value, (p["bands"] >> SECOND) % FILTER_BITS)).any(axis=1)
+            hit = (in_filter(shared.value, p["bands"] % FLAGS) & in_filter(shared.value, (p["bands"] >> SECOND) % FLAGS)).any(axis=1)
             doc_ids, row_keys, keys = (b.column(c).to_pylist() for c in range(3))
             rows = []
             for i in np.flatnonzero(hit).tolist():
@@ -217,9 +218,11 @@ def repeating(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text").alias("key"), "text")
     bands = save(shared_bands(docs), "dedup-bands")
     found = save(candidates(docs, bands), "dedup-paragraphs")
-    cells = found.select(F.explode("bands").alias("cell"), "class").distinct()
+    cells = found.select(F.explode("bands").alias("cell"), "class")
     hubs = cells.groupBy("cell").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a <> top").select("cell", "a")
     hubs = save(hubs, "dedup-hubs")  # a join of two exchanges, whose hot keys Spark can split
+    # Most bands are of one class, of exact repeats: they have no hub, and are not shuffled.
+    cells = flag_rows(cells, hubs, ["cell"], "_several").where("_several").select("cell", "class").distinct()
     cells = save(cells.join(hubs, "cell"), "dedup-cells")
     # Only bands of several classes have anything to compare; most have one, of exact repeats.
     compared = cells.select("class").distinct()
@@ -233,8 +236,12 @@ def repeating(docs: DataFrame) -> DataFrame:
         more = save(verified(across, sets.select("class", "hashes")), "dedup-links")
         if not more.isEmpty():
             labels = merge_components(labels, more)
-    placed = (found.join(labels, found["class"] == labels["node"], "left")
-              .select("doc_id", "row", "key", "start", "end", F.coalesce("component", "class").alias("component")))
+    # Classes without a link pass by the join: most have none.
+    placed = found.select("doc_id", "row", "key", "start", "end", "class")
+    placed = flag_rows(placed, labels.select(F.col("node").alias("class")), ["class"], "_linked")
+    linked = placed.where("_linked").join(labels, F.col("class") == F.col("node"), "left")
+    placed = (linked.select("doc_id", "row", "key", "start", "end", F.coalesce("component", "class").alias("component"))
+              .unionByName(placed.where("NOT _linked").select("doc_id", "row", "key", "start", "end", F.col("class").alias("component"))))
     groups = (placed.groupBy("component")
               .agg(F.min("key").alias("lo"), F.max("key").alias("hi"),
                    F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")).alias("first"))
