@@ -377,15 +377,16 @@ def most_promising(pairs: Iterator[tuple[int, int, float]], few: int) -> Iterato
     return ((x, y, similarity) for x, heap in best.items() for similarity, y in heap)
 
 
-def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int | None = None) -> DataFrame:
+def tree_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, few: int | None = None, least: int = 2) -> DataFrame:
     """Pairs (a, b) across components that meet in a tree and pass its bounds.
 
     ``few``: only the most promising so many of each point in each tree, for a round before the full one.
+    ``least``: classes that a cell must have.
     """
     rows = (shared.join(labels, shared["class"] == labels["node"], "left")
             .select("cell", "class", F.coalesce("component", "class").alias("component")))
     open_cells = (rows.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
-                  .where("lo <> hi").select("cell", F.ceil(F.col("k") / CELL_ROWS).cast("int").alias("parts")))
+                  .where((F.col("lo") != F.col("hi")) & (F.col("k") >= least)).select("cell", F.ceil(F.col("k") / CELL_ROWS).cast("int").alias("parts")))
     open_cells = save(open_cells, "join-open")
     rows = rows.join(open_cells, "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -231,8 +231,9 @@ def repeating(docs: DataFrame) -> DataFrame:
     pairs = cells.where("class <> a").select("a", F.col("class").alias("b")).distinct()
     cells = cells.select("cell", "class")
     labels = connected_components(save(verified(pairs, sets.select("class", "hashes")), "dedup-links"))
-    for few in (FEW, None):  # first some pairs of each, then all that lie in different components still
-        across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts", "first"), few), "dedup-across")
+    # First some pairs of each, then all that lie in different components still. The only pair of two classes has been compared.
+    for few in (FEW, None):
+        across = save(tree_pairs(cells, labels, sets.select("class", "n", "counts", "first"), few, least=3), "dedup-across")
         more = save(verified(across, sets.select("class", "hashes")), "dedup-links")
         if not more.isEmpty():
             labels = merge_components(labels, more)

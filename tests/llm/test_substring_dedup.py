@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loglake.llm import substring_dedup as D
 
@@ -126,3 +128,25 @@ def test_windows_over_the_table(spark, size):
 
 def test_tuning():
     assert D.tune_bands(0.8, 0.99) == 3 and D.tune_bands(0.5, 0.99) == 7
+
+
+def test_many_shared_bands_let_few_other_paragraphs_through(spark, make_docs, words):
+    """Of paragraphs without a shared band a small part is shuffled, with millions of shared bands too."""
+    docs = make_docs({i: ". ".join(" ".join(words(12, seed=100 * i + k)) for k in range(20)) for i in range(150)})
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    bands = spark.range(3_000_000).select(F.xxhash64("id").alias("band"))
+    assert D.candidates(docs, bands).count() < 60  # of 3,000 or so
+    assert D.candidates(docs, D.shared_bands(docs.unionByName(docs.withColumn("key", F.col("key") + 1)))).count() > 2_500
+
+
+def test_a_cell_of_two_classes_grows_no_tree(spark):
+    """Its only pair has been compared with the smallest class; cells of three give their other pair."""
+    from loglake.llm.ngram_join import coarse_counts
+
+    grams = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    known = spark.createDataFrame([(c, 40, bytearray(coarse_counts(grams)), [7, 9]) for c in (1, 2, 3)], "class long, n long, counts binary, first array<long>")
+    cells = spark.createDataFrame([(7, 1), (7, 2), (9, 1), (9, 2), (9, 3)], "cell long, class long")
+    labels = spark.createDataFrame([(1, 1)], "node long, component long")
+    pairs = {(r["a"], r["b"]) for r in D.tree_pairs(cells.where("cell = 7"), labels, known, 4, least=3).collect()}
+    assert pairs == set()
+    assert {(r["a"], r["b"]) for r in D.tree_pairs(cells, labels, known, 4, least=3).collect()} == {(1, 2), (1, 3), (2, 3)}
