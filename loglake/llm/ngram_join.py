@@ -74,6 +74,7 @@ HOT_MIN = 16
 COARSE_MIN, COARSE_MAX = 64, 16384
 CELL_ROWS = 4096
 LEAF = 16
+WIDE = 256
 
 #: A-Z to a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -207,19 +208,24 @@ class CountTree:
 
     def _leaf_pairs(self, a: Node, b: Node, apart: np.ndarray | None) -> Iterator[tuple[int, int, float]]:
         dims = min(len(self.vectors[i]) for n in (a, b) for i in range(n.start, n.stop))
-        right = np.stack([fold(self.vectors[j], dims) for j in range(b.start, b.stop)])
-        sizes = self.sizes[b.start:b.stop]
-        for i in range(a.start, a.stop):
-            shared = np.minimum(right, fold(self.vectors[i], dims)).sum(1)
-            shared = np.minimum(np.minimum(shared, sizes), self.sizes[i])
-            ok = 100 * shared >= PERCENT * (self.sizes[i] + sizes - shared)
-            ok &= self.components[b.start:b.stop] != self.components[i]
-            if apart is not None:
-                ok &= apart[b.start:b.stop] != apart[i]
-            for j in np.flatnonzero(ok) + b.start:
-                if a is not b or i < j:
-                    n = int(shared[j - b.start])
-                    yield i, int(j), n / (self.sizes[i] + self.sizes[j] - n)
+        left, right = (np.stack([fold(self.vectors[i], dims) for i in range(n.start, n.stop)]) for n in (a, b))
+        of_a, of_b = slice(a.start, a.stop), slice(b.start, b.stop)
+        n_a, n_b = self.sizes[of_a, None], self.sizes[of_b]
+        if dims <= WIDE:  # all pairs at once, which stay in a core's cache
+            shared = np.minimum(left[:, None], right).sum(2)
+        else:
+            shared = np.stack([np.minimum(right, x).sum(1) for x in left])
+        shared = np.minimum(np.minimum(shared, n_b), n_a)
+        ok = 100 * shared >= PERCENT * (n_a + n_b - shared)
+        ok &= self.components[of_a, None] != self.components[of_b]
+        if apart is not None:
+            ok &= apart[of_a, None] != apart[of_b]
+        if a is b:
+            ok = np.triu(ok, 1)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+            n = int(shared[i, j])
+            i, j = i + a.start, j + b.start
+            yield i, j, n / (self.sizes[i] + self.sizes[j] - n)
 
 
 def hot_groups(docs: DataFrame) -> np.ndarray:
