@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from loglake import schema as S
 from loglake.functions.time import parse_as_of, partition_date
-from loglake.session import path_exists, qualified, write_text
+from loglake.session import path_exists, qualified, scoped_conf, write_text
 from loglake.sources.files import copied, delete_files, deleted, list_files, tasks_reach
 from loglake.sources.journal import COPIED, DELETED, PLANNED, Journal, Lease
 from loglake.sources.lake import bump_version, read_logs, write_logs
 
 HOT, ARCHIVE, EXPIRED = "hot", "archive", "expired"
+#: A listing opens no file, so a task takes thousands of them; by default one for each 32 small files.
+LISTING_CONF = {"spark.sql.files.openCostInBytes": "64k"}
 #: What the keys of packed files begin with.
 FULL_BIN, PART_BIN = "compact-full-", "compact-part-"
 
@@ -80,13 +82,13 @@ def apply_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str =
 def begin_retention(spark: SparkSession, root: str, plan: DataFrame, fmt: str = "parquet",
                     archive_root: str | None = None) -> Journal:
     """Step 1: write down what becomes of each file, in a journal."""
-    found = planned_files(spark, root, plan, fmt)
     inner = F.expr(f"substring(path, {len(qualified(spark, root)) + 1})")
     target = F.concat(F.lit(qualified(spark, archive_root)), inner) if archive_root else F.lit(None).cast("string")
-    found = found.withColumn("target", F.when(F.col("tier") == ARCHIVE, target))
-    if not archive_root and not found.where(F.col("tier") == ARCHIVE).isEmpty():
-        raise ValueError("the plan has an archive tier but no archive_root is given; nothing was changed")
-    return Journal.begin(_journals(root), found, archive_root or "")
+    found = planned_files(spark, root, plan, fmt).withColumn("target", F.when(F.col("tier") == ARCHIVE, target))
+    with scoped_conf(spark, LISTING_CONF):
+        if not archive_root and not found.where(F.col("tier") == ARCHIVE).isEmpty():
+            raise ValueError("the plan has an archive tier but no archive_root is given; nothing was changed")
+        return Journal.begin(_journals(root), found, archive_root or "")
 
 
 def _spread(files: DataFrame) -> DataFrame:

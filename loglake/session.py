@@ -104,6 +104,20 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(p).toString()
 
 
+def local_write_options(spark: SparkSession, path: str) -> dict:
+    """Write options for Parquet files in a local folder; none for any other store.
+
+    Hadoop's default there keeps a .crc file beside each file and starts four ``chmod``
+    processes for the two, most of the time of a write of small files. Its plain
+    filesystem starts one; the checksums of Parquet's own pages are written as ever.
+    A session that names a local filesystem of its own keeps it.
+    """
+    _, fs = _hadoop(spark, path)
+    if fs.getUri().getScheme() != "file" or fs.getConf().get("fs.file.impl"):  # s3a and others need the default for their buffers
+        return {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is not there."""
     p, fs = _hadoop(spark, path)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake import schema as S
-from loglake.session import list_names, path_exists, qualified, scoped_conf
+from loglake.session import list_names, local_write_options, path_exists, qualified, scoped_conf
 
 VERSION_FILE = "_LOGLAKE_VERSION"
 
@@ -31,6 +31,9 @@ PARQUET_WRITE_CONF = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS
 # near the advisory size instead of one file per task per partition.
 MAX_RECORDS_PER_FILE = 2_000_000
 
+# A task of small files writes about this many.
+FILES_PER_TASK = 1024
+
 # Key of writes that replace whole days (mode="overwrite").
 MAIN_KEY = "main"
 
@@ -53,7 +56,8 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
     advisory-size tasks instead of one, so a skewed partition costs more
     files, not one straggler. ``target_file_mb`` sets AQE's advisory
     partition size for this write only (files come out near that size);
-    None leaves the session's.
+    None leaves the session's. Where ``max_records_per_file`` makes files small, a
+    task takes about a thousand files, not that size: their number is its work.
 
     Rows go under ``ingest_key`` (returned), by dynamic partition overwrite:
     the days in ``df`` lose what the same key wrote before and nothing else. By
@@ -74,11 +78,13 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "appe
     w = (out.write.partitionBy(*S.LAYOUT_COLUMNS).mode("overwrite")
          .option("maxRecordsPerFile", max_records_per_file)
          .option("partitionOverwriteMode", "dynamic"))
-    for k, v in (options or {}).items():
+    local = local_write_options(df.sparkSession, path) if fmt == "parquet" else {}
+    for k, v in {**local, **(options or {})}.items():
         w = w.option(k, v)
     conf = dict(PARQUET_WRITE_CONF) if fmt == "parquet" else {}
     if target_file_mb:
-        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = f"{int(target_file_mb)}m"
+        size = min(int(target_file_mb) << 20, max(1 << 20, max_records_per_file * FILES_PER_TASK * 64))  # rows of 64 bytes
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = f"{size}b"
     with scoped_conf(df.sparkSession, conf):
         if fmt == "parquet":
             w.option("compression", "snappy").parquet(path)

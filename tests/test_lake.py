@@ -319,3 +319,51 @@ def test_days_of_escaped_domains(spark, tmp_path):
     for domains in (["a:b"], None):
         got = {r["domain"] for r in L.read_logs(spark, root, domains=domains, dates=("2024-01-01", "2024-01-31")).collect()}
         assert got == set(domains or ["a:b", "c"])
+
+
+def _small_files(spark, root, n=3000, **kw):
+    """One day of ``n`` rows of a KB each."""
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(8)])
+    rows = spark.range(0, n, 1, 8).select(F.lit("a").alias("domain"), F.lit("2024").alias("year"), F.lit("01").alias("month"), F.lit("02").alias("day"),
+                                          F.timestamp_seconds(F.col("id") + 1_704_153_600).alias("timestamp"), text.alias("message"))
+    L.write_logs(rows, root, **kw)
+    return rows
+
+
+def test_tasks_of_small_files_are_cut_by_their_number(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = _small_files(spark, root, max_records_per_file=16)
+    names = [os.path.basename(r["path"]) for r in FL.list_files(spark, root).collect()]
+    assert len({n.split("-")[1] for n in names}) > 1  # one task of 188 files before
+    assert -(-3000 // 16) <= len(names) < 200
+    assert sorted(r[0] for r in L.read_logs(spark, root).select("message").collect()) == sorted(r[0] for r in rows.select("message").collect())
+    whole = str(tmp_path / "whole")
+    _small_files(spark, whole)
+    assert FL.list_files(spark, whole).count() == 1
+
+
+def test_local_files_have_checksums_in_their_pages_only(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    root = str(tmp_path / "lake")
+    _small_files(spark, root, n=100)
+    found = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if "domain=" in d]
+    assert len(found) == 1 and found[0].endswith(".parquet")  # no .crc file
+    assert pq.ParquetFile(found[0], page_checksum_verification=True).read().num_rows == 100
+    data = bytearray(open(found[0], "rb").read())
+    data[len(data) // 2] ^= 1
+    open(found[0], "wb").write(data)
+    with pytest.raises(OSError):
+        pq.ParquetFile(found[0], page_checksum_verification=True).read()
+
+
+def test_only_local_folders_get_the_plain_filesystem(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace as N
+
+    from loglake import session
+
+    assert "RawLocal" in session.local_write_options(spark, str(tmp_path))["fs.file.impl"]
+    for scheme, own in (("s3a", None), ("viewfs", None), ("file", "my.LocalFileSystem")):
+        fs = N(getUri=lambda s=scheme: N(getScheme=lambda: s), getConf=lambda o=own: N(get=lambda key: o))
+        monkeypatch.setattr(session, "_hadoop", lambda spark, path, fs=fs: (path, fs))
+        assert session.local_write_options(spark, "x") == {}

@@ -280,3 +280,18 @@ def test_which_stores_tasks_reach(tmp_path):
     from loglake.sources.files import tasks_reach
 
     assert tasks_reach(f"file:{tmp_path}/a%3Ab c") and not tasks_reach("s3a://bucket/key") and not tasks_reach("viewfs://in/x")
+
+
+def test_a_listing_takes_few_tasks(spark, tmp_path, monkeypatch):
+    hot, tasks, begin = str(tmp_path / "hot"), [], RT.Journal.begin
+    write_logs(_day(spark, "20", [str(i) for i in range(400)]), hot, max_records_per_file=1)
+
+    def seen(folder, files, about=""):
+        tasks.append(list_files(spark, hot).rdd.getNumPartitions())
+        return begin(folder, files, about)
+
+    monkeypatch.setattr(RT.Journal, "begin", seen)
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    journal = RT.begin_retention(spark, hot, RT.retention_plan(list_files(spark, hot), "2024-01-31", 20, 7), archive_root=f"{hot}-cold")
+    assert journal.planned().count() == 400 and tasks[0] <= spark.sparkContext.defaultParallelism + 1  # one for each 32 files before
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == was
